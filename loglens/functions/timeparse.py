@@ -38,9 +38,13 @@ def _c(col: Column | str) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+SPACE_CHARS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B)) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def trim_space(col: Column | str) -> Column:
-    """Trim leading/trailing white space as the original tool does."""
-    return F.regexp_replace(_c(col), rf"^{SPACE_CLASS}+|{SPACE_CLASS}+$", "")
+    """Trim leading/trailing white space as the original tool does (the
+    characters of ``SPACE_CLASS``; ``btrim`` is a plain character loop)."""
+    return F.btrim(_c(col), F.lit(SPACE_CHARS))
 
 
 def _layout_time(s: Column, token_re: str, width: int, fmt: str | None, year: Column) -> Column:

@@ -213,26 +213,44 @@ def find_source(files: DataFrame, name: str, k: int = DEFAULT_MAX_FILES) -> Data
 
 # ---- J2 / J1 / U1 / A6 ------------------------------------------------------------------------------------
 
-def resolve_groups(files: DataFrame, groups: DataFrame, excludes: Sequence[str] = (), history: bool = False) -> DataFrame:
-    """``(name, path)`` for every file some glob of a group selects.
-
-    A literal pattern naming a file selects it even when rotated; one naming
-    a directory selects the files below it.  ``groups`` is config-sized and
-    broadcast (its size is the number of configured patterns).
+def resolve_groups(
+    files: DataFrame,
+    groups: Mapping[str, Sequence[str]],
+    excludes: Sequence[str] = (),
+    history: bool = False,
+    builtin: bool = True,
+) -> DataFrame:
+    """``(name, path)`` for every file some pattern of a group selects.
+
+    Globs select by full-path match; a literal pattern naming a file selects
+    it even when rotated; one naming a directory selects the files below it.
+    Groups are configuration (bounded, known on the driver), so each group
+    becomes one predicate with literal regexes and the match is a single
+    pass over ``files``: an array of the group names a file belongs to,
+    exploded.  No join, no regex compiled per row.
     """
-    g = F.broadcast(groups)
-    p = files["path"]
-    by_glob = g["regex"].isNotNull() & F.regexp_like(p, g["regex"])
-    by_file = g["literal"].isNotNull() & (p == g["literal"])
-    by_dir = g["literal"].isNotNull() & p.startswith(F.concat(g["literal"], F.lit("/")))
-    j = files.join(g, by_glob | by_file | by_dir, "inner")
-    keep = is_log(p)
-    if not history:
-        keep = keep & (~is_rotated(p) | by_file)
-    j = j.filter(keep)
+    m = dict(BUILTIN_GROUPS) if builtin else {}
+    m.update(groups)
+    p = F.col("path")
+    names = []
+    for name, pats in m.items():
+        by_glob = F.lit(False)
+        explicit = F.lit(False)
+        for pat in pats:
+            if has_meta(pat):
+                by_glob = by_glob | p.rlike(glob_to_regex(pat))
+            else:
+                lit = clean(pat)
+                explicit = explicit | (p == lit)
+                by_glob = by_glob | p.startswith(lit.rstrip("/") + "/")
+        keep = (by_glob & is_log(p) & (F.lit(history) | ~is_rotated(p))) | (explicit & is_log(p))
+        names.append(F.when(keep, F.lit(name)))
+    if not names:
+        return files.select(F.lit(None).cast("string").alias("name"), p.alias("path")).limit(0)
+    out = files.select(F.explode(F.array(*names)).alias("name"), p.alias("path")).filter(F.col("name").isNotNull())
     if excludes:
-        j = j.filter(~excluded(p, excludes))
-    return j.select(g["name"], p.alias("path")).distinct()
+        out = out.filter(~excluded(F.col("path"), excludes))
+    return out.distinct()
 
 
 def rotated_siblings(paths: DataFrame, files: DataFrame, excludes: Sequence[str] = ()) -> DataFrame:
@@ -342,7 +360,7 @@ def _matcher(regs: Sequence[str]):
 
 def list_sources(
     files: DataFrame,
-    groups: DataFrame,
+    groups: Mapping[str, Sequence[str]],
     roots: Sequence[str],
     excludes: Sequence[str] = (),
 ) -> DataFrame:
@@ -350,7 +368,10 @@ def list_sources(
     directory of the catalog; an auto source named like a group is hidden
     (J7).  Ordered by kind, name."""
     gf = resolve_groups(files, groups, excludes)
-    gnames = groups.select("name").distinct()
+    spark = files.sparkSession
+    allg = dict(BUILTIN_GROUPS)
+    allg.update(groups)
+    gnames = spark.createDataFrame([(n,) for n in allg], "name string")
     gcounts = gnames.join(gf.groupBy("name").agg(F.count(F.lit(1)).alias("n_files")), "name", "left").select(
         "name", F.lit("group").alias("kind"), F.lit(None).cast("string").alias("root"),
         F.coalesce(F.col("n_files"), F.lit(0)).cast("long").alias("n_files"),

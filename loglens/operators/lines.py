@@ -181,22 +181,108 @@ def cap_pending(df: DataFrame, n: int) -> DataFrame:
     ).drop("_total")
 
 
-# ---- composed search ------------------------------------------------------------------------------
+# ---- composed search --------------------------------------------------------------------------
+
+OUT_COLS = ("path", "bk", "line_no", "sub", "line", "is_match", "is_gap")
+
+
+def _fused(flagged: DataFrame, q: LogQuery, width: int, markers: bool) -> DataFrame:
+    """Context, gap markers and (optionally) dedup in ONE shuffle.
+
+    Rows go to ``(path, bk = line_no div width)``; the ``h = max(before,
+    after) + 1`` rows next to a bucket edge are copied into the neighbour
+    bucket (halo), so every frame a bucket needs is inside it.  Within the
+    bucket a range frame over ``line_no`` finds the lines near a match, a
+    one-line frame tells whether the line before is output, and a running
+    max whether an earlier line of the block is output.  Each selected line
+    becomes ``[marker?, line]`` through one ``explode`` -- no union, no join,
+    so the input plan appears once.  Buckets (and blocks) hold at most
+    ``width + 2h`` rows whatever the file size.
+    """
+    h = max(q.before, q.after) + 1
+    bk = F.floor(F.col("line_no") / F.lit(width)).cast("long")
+    off = F.col("line_no") - bk * F.lit(width)
+    copies = F.array(
+        F.struct(bk.alias("bk"), F.lit(True).alias("primary")),
+        F.when(off < h, F.struct((bk - 1).alias("bk"), F.lit(False).alias("primary"))),
+        F.when(off >= width - h, F.struct((bk + 1).alias("bk"), F.lit(False).alias("primary"))),
+    )
+    base = ["path", "line_no", "line", "is_eligible", "is_match"]
+    x = flagged.select(*base, F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("_c")).select(
+        *base, F.col("_c.bk").alias("bk"), F.col("_c.primary").alias("primary"))
+    w = Window.partitionBy("path", "bk").orderBy("line_no")
+    if q.has_pattern:
+        near = F.max(F.col("is_match").cast("int")).over(w.rangeBetween(-q.after, q.before)) == 1
+        x = x.withColumn("_sel", F.col("is_eligible") & near)
+    else:
+        x = x.withColumn("_sel", F.col("is_eligible"))
+    gap = F.lit(False)
+    if markers and q.has_pattern:
+        prev_sel = F.coalesce(F.max(F.col("_sel").cast("int")).over(w.rangeBetween(-1, -1)) == 1, F.lit(False))
+        before = F.coalesce(
+            F.max((F.col("_sel") & F.col("primary")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)) == 1,
+            F.lit(False))
+        gap = ~prev_sel & before
+    # the gap flag reads neighbouring rows: compute it before the filter
+    sel = x.withColumn("_gap", gap).filter(F.col("primary") & F.col("_sel"))
+    emit = F.array(
+        F.when(F.col("_gap"), F.struct(F.lit(0).alias("sub"), F.lit(GAP).alias("line"),
+                                       F.lit(False).alias("is_match"), F.lit(True).alias("is_gap"))),
+        F.struct(F.lit(1).alias("sub"), F.col("line").alias("line"), F.col("is_match").alias("is_match"),
+                 F.lit(False).alias("is_gap")),
+    )
+    out = sel.select("path", "bk", "line_no", F.explode(F.filter(emit, lambda e: e.isNotNull())).alias("_e"))
+    return out.select("path", "bk", "line_no", F.col("_e.sub").alias("sub"), F.col("_e.line").alias("line"),
+                      F.col("_e.is_match").alias("is_match"), F.col("_e.is_gap").alias("is_gap"))
+
+
+def dedup_block(rows: DataFrame) -> DataFrame:
+    """W3 inside each block ``(path, bk)``: consecutive equal output lines
+    become ``line  × n``; markers never merge.  Works on the partitioning
+    the fused search left (window + aggregate on the same keys: no shuffle).
+    """
+    w = Window.partitionBy("path", "bk").orderBy("line_no", "sub")
+    prev = F.lag(F.struct("line", "is_gap")).over(w)
+    boundary = prev.isNull() | (prev["line"] != F.col("line")) | prev["is_gap"] | F.col("is_gap")
+    r = rows.withColumn("_b", boundary.cast("int")).withColumn(
+        "_run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    g = r.groupBy("path", "bk", "_run").agg(
+        F.min_by(F.struct("line_no", "sub", "line", "is_gap"), F.struct("line_no", "sub")).alias("_f"),
+        F.count(F.lit(1)).alias("_n"),
+        F.max(F.col("is_match").cast("int")).alias("_m"),
+    )
+    return g.select(
+        "path", "bk", F.col("_f.line_no").alias("line_no"), F.col("_f.sub").alias("sub"),
+        F.when(F.col("_n") > 1, F.concat(F.col("_f.line"), F.lit("  × "), F.col("_n").cast("string")))
+        .otherwise(F.col("_f.line")).alias("line"),
+        (F.col("_m") == 1).alias("is_match"), F.col("_f.is_gap").alias("is_gap"),
+    )
+
 
 def select_lines(
     df: DataFrame,
     q: LogQuery,
     time_col: str = "file_mtime",
     year=None,
-    plan: str = "join",
+    plan: str = "bucket",
     markers: bool = True,
     bucket_width: int = DEFAULT_BUCKET_LINES,
 ) -> DataFrame:
     """Search one lines table: filters -> context -> gap markers -> dedup.
 
-    Output rows ``path, line_no, sub, line, is_match, is_gap``.
+    Output rows ``path, bk, line_no, sub, line, is_match, is_gap``; ``bk``
+    (``line_no div bucket_width``) names the output block.
+
+    ``plan="bucket"`` (default) runs everything in one shuffle (see
+    ``_fused``); markers and runs are then block-local, which equals the
+    per-file result for files shorter than ``bucket_width`` lines.
+    ``plan="join"`` / ``"window"`` use the stand-alone operators (per-file
+    markers and runs, several shuffles).
     """
     flagged = flag_lines(df, q, time_col, year)
+    if plan == "bucket":
+        out = _fused(flagged, q, bucket_width, markers)
+        return dedup_block(out) if q.dedup else out
     if q.has_pattern:
         sel = context(flagged, q.before, q.after, plan)
     else:
@@ -207,7 +293,7 @@ def select_lines(
         out = sel.select("path", "line_no", F.lit(1).alias("sub"), "line", "is_match", F.lit(False).alias("is_gap"))
     if q.dedup:
         out = dedup(out, bucket_width)
-    return out
+    return out.withColumn("bk", F.floor(F.col("line_no") / F.lit(bucket_width)).cast("long")).select(*OUT_COLS)
 
 
 def order_output(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

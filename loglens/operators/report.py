@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.config import ALERT_RATE_WINDOW_S, MAX_ALERT_EVENTS, MAX_ALERT_GROUPS, MAX_RENDERED_ALERTS
 from loglens.functions.timeparse import ts_literal
-from loglens.operators.ordered import DEFAULT_BUCKET_LINES, line_bucket, running_count
 
 
 def _ts(now) -> Column:
@@ -107,31 +106,28 @@ def watch_header(alerts: DataFrame, rate: DataFrame, files: DataFrame) -> DataFr
 def blocks(
     rows: DataFrame,
     now,
-    max_lines: int = 100_000,
+    span: int | None = None,
     with_counts: bool = True,
-    bucket_width: int = DEFAULT_BUCKET_LINES,
 ) -> DataFrame:
-    """A5: the ordered output lines of a source as one array per block.
-
-    A source's lines go to one block unless it has more than ``max_lines``
-    output rows; then it is cut into consecutive blocks of ``max_lines``
-    (``part`` 0, 1, ...), so no group is unbounded.  ``suffix`` is
-    ``"<n> matches"`` (the source's total) when ``with_counts``.
+    """A5: the ordered output lines of a block as one array.
+
+    A block is ``(path, bk)`` of the search output (``bk`` = ``line_no div
+    width``; pass ``span`` to re-cut rows without ``bk``), so every group is
+    bounded whatever the file size; a file shorter than the width is one
+    block, as in the original tool.  The grouping keys equal the search's
+    partitioning, so no shuffle is added.  ``suffix`` is ``"<n> matches"``
+    with the source's total: a window over the (small) block table.
     """
-    ranked = running_count(
-        rows.withColumn("_pos", F.col("line_no") * 2 + F.col("sub")),
-        ["path"], [F.col("_pos")], line_bucket("line_no", bucket_width), "_rank",
-    )
-    ranked = ranked.withColumn("part", F.floor((F.col("_rank") - 1) / F.lit(max_lines)).cast("long"))
-    agg = ranked.groupBy("path", "part").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_pos"), F.col("line")))).alias("_l"),
+    if span is not None or "bk" not in rows.columns:
+        rows = rows.withColumn("bk", F.floor(F.col("line_no") / F.lit(span or 1_000_000)).cast("long"))
+    agg = rows.groupBy("path", F.col("bk").alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("line_no"), F.col("sub"), F.col("line")))).alias("_l"),
         F.sum((F.col("is_match") & ~F.col("is_gap")).cast("long")).alias("_m"),
     )
     out = agg.select("path", "part", F.transform("_l", lambda x: x["line"]).alias("lines"), "_m")
     if with_counts:
-        tot = out.groupBy("path").agg(F.sum("_m").alias("_tot"))
-        out = out.join(tot, "path").withColumn("suffix", F.concat(F.col("_tot").cast("string"), F.lit(" matches")))
-        out = out.drop("_tot")
+        tot = F.sum("_m").over(Window.partitionBy("path"))
+        out = out.withColumn("suffix", F.concat(tot.cast("string"), F.lit(" matches")))
     else:
         out = out.withColumn("suffix", F.lit(None).cast("string"))
     t = F.date_format(_ts(now), "yyyy-MM-dd'T'HH:mm:ssXXX")

@@ -361,7 +361,7 @@ _GROUP_FILES_SQL = f"SELECT name, path FROM ({_GROUP_MATCH_SQL}) g WHERE {DUCK_I
 
 @register("group_files", with_views(_GROUP_FILES_SQL, "files_v"))
 def q_group_files(spark, sf):
-    return FL.resolve_groups(V(spark, sf, "files_v"), FL.groups_table(spark, GROUPS))
+    return FL.resolve_groups(V(spark, sf, "files_v"), GROUPS)
 
 
 @register("source_list", with_views(f"""
@@ -376,7 +376,7 @@ def q_group_files(spark, sf):
            FROM cat GROUP BY regexp_extract(path, '^(.*)/[^/]*$', 1))
 SELECT * FROM g UNION ALL SELECT * FROM a WHERE name NOT IN (SELECT name FROM names)""", "files_v"))
 def q_source_list(spark, sf):
-    return FL.list_sources(V(spark, sf, "files_v"), FL.groups_table(spark, GROUPS), ["/srv"])
+    return FL.list_sources(V(spark, sf, "files_v"), GROUPS, ["/srv"])
 
 
 _SIB_SQL = f"""
@@ -402,11 +402,10 @@ SELECT DISTINCT path FROM (
 WHERE path <> ''""", "files_v"))
 def q_union_sources(spark, sf):
     f = V(spark, sf, "files_v")
-    g = FL.groups_table(spark, GROUPS)
-    a = FL.resolve_groups(f, g.filter(F.col("name") == "api"))
-    b = FL.resolve_groups(f, FL.groups_table(spark, {"t": ["/srv/svc3/*.log"]}).filter(F.col("name") == "t"))
+    a = FL.resolve_groups(f, {"api": GROUPS["api"]}, builtin=False)
+    b = FL.resolve_groups(f, {"t": ["/srv/svc3/*.log"]}, builtin=False)
     targets = FL.split_targets(["/srv/svc4/app.log,/srv/svc5/error.log"])
-    c = FL.resolve_groups(f, FL.groups_table(spark, {"t": targets}).filter(F.col("name") == "t"))
+    c = FL.resolve_groups(f, {"t": targets}, builtin=False)
     return FL.union_sources(a, b, c)
 
 
@@ -577,7 +576,7 @@ def q_context_gaps(spark, sf):
 @register("match_counts", _ctx_sql(
     "SELECT path, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS matches FROM sel GROUP BY ROLLUP (path)"))
 def q_match_counts(spark, sf):
-    rows = search(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR)
+    rows = L.select_lines(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR, markers=False)
     return R.match_counts(rows)
 
 

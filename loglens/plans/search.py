@@ -19,18 +19,18 @@ def search(
     q: LogQuery,
     time_col: str = "file_mtime",
     year=None,
-    plan: str = "join",
+    plan: str = "bucket",
     bucket_width: int = DEFAULT_BUCKET_LINES,
 ) -> DataFrame:
-    """Search a lines table; rows ``path, line_no, sub, line, is_match, is_gap``."""
+    """Search a lines table; rows ``path, bk, line_no, sub, line, is_match, is_gap``."""
     return L.select_lines(lines, q, time_col, year, plan, True, bucket_width)
 
 
 def search_blocks(lines: DataFrame, q: LogQuery, now, time_col: str = "file_mtime", year=None,
-                  plan: str = "join", max_lines: int = 100_000) -> DataFrame:
+                  plan: str = "bucket", bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """Search and assemble one block per source (A5) with ``N matches``."""
-    rows = search(lines, q, time_col, year, plan)
-    return R.blocks(rows, now, max_lines=max_lines, with_counts=q.has_pattern)
+    rows = search(lines, q, time_col, year, plan, bucket_width)
+    return R.blocks(rows, now, with_counts=q.has_pattern)
 
 
 def snapshot(lines: DataFrame, n: int, q: LogQuery, time_col: str = "file_mtime", year=None) -> DataFrame:

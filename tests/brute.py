@@ -49,3 +49,22 @@ def dedup(rows):
         out.append((ln, 1, t if c == 1 else f"{t}  × {c}"))
         i = j + 1
     return out
+
+
+def select_blocks(lines, pattern, before, after, ignore=(), width=10**9, dedup_runs=False):
+    """Block-local output: the selection is per file, gap markers and runs
+    only inside a block of ``width`` line numbers."""
+    rows = [r for r in select_lines(lines, pattern, before, after, ignore) if r[1] == 1]
+    out = []
+    blocks = {}
+    for r in rows:
+        blocks.setdefault(r[0] // width, []).append(r)
+    for b in sorted(blocks):
+        part, last = [], None
+        for ln, sub, t in blocks[b]:
+            if pattern is not None and last is not None and ln > last + 1:
+                part.append((ln, 0, "--"))
+            part.append((ln, 1, t))
+            last = ln
+        out.extend(dedup(part) if dedup_runs else part)
+    return out

@@ -11,15 +11,13 @@ def _files(spark, paths, mtime="2024-01-01 00:00:00"):
 
 def test_group_files_without_history(spark):
     f = _files(spark, ["/d/api/app.log", "/d/api/error.log", "/d/api/app.log.1"])
-    g = FL.groups_table(spark, {"api": ["/d/api/*.log"]})
-    got = sorted(r["path"] for r in FL.resolve_groups(f, g).filter(F.col("name") == "api").collect())
+    got = sorted(r["path"] for r in FL.resolve_groups(f, {"api": ["/d/api/*.log"]}).filter(F.col("name") == "api").collect())
     assert got == ["/d/api/app.log", "/d/api/error.log"]
 
 
 def test_explicit_rotated_file_is_kept(spark):
     f = _files(spark, ["/d/api/app.log.1"])
-    g = FL.groups_table(spark, {"x": ["/d/api/app.log.1"]})
-    assert [r["path"] for r in FL.resolve_groups(f, g).collect()] == ["/d/api/app.log.1"]
+    assert [r["path"] for r in FL.resolve_groups(f, {"x": ["/d/api/app.log.1"]}).collect()] == ["/d/api/app.log.1"]
 
 
 def test_rotated_siblings(spark):

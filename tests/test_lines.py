@@ -5,6 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from brute import dedup as bf_dedup
+from brute import select_blocks as bf_blocks
 from brute import select_lines as bf_select
 from conftest import lines_df
 from loglens.config import LogQuery
@@ -59,16 +60,34 @@ def test_dedup_matches_brute_force(spark, seed):
     files = _random_files(seed)
     df = lines_df(spark, files)
     q = LogQuery(pattern="ERROR|ok", before=1, after=0, dedup=True)
-    got = _rows(L.select_lines(df, q, bucket_width=5))
-    want = sorted((p, ln, sub, t) for p, ls in files.items()
-                  for ln, sub, t in bf_dedup(bf_select(ls, "ERROR|ok", 1, 0)))
-    assert got == want
+    for plan in ("join", "bucket"):
+        got = _rows(L.select_lines(df, q, plan=plan))
+        want = sorted((p, ln, sub, t) for p, ls in files.items()
+                      for ln, sub, t in bf_dedup(bf_select(ls, "ERROR|ok", 1, 0)))
+        assert got == want, plan
     q2 = LogQuery(dedup=True)
-    got2 = _rows(L.select_lines(df, q2, bucket_width=3))
+    got2 = _rows(L.select_lines(df, q2, plan="join", bucket_width=3))
     want2 = sorted((p, ln, sub, t) for p, ls in files.items() for ln, sub, t in bf_dedup(bf_select(ls, None, 0, 0)))
     assert got2 == want2
 
 
+@pytest.mark.parametrize("seed", [6, 7, 8])
+@pytest.mark.parametrize("width", [4, 7, 1000])
+def test_bucket_plan_block_semantics(spark, seed, width):
+    """Small widths force many blocks and halo copies: the selection must
+    stay per file, markers and runs block-local."""
+    files = _random_files(seed)
+    rnd = random.Random(seed)
+    before, after = rnd.randint(0, 3), rnd.randint(0, 3)
+    df = lines_df(spark, files)
+    for dd in (False, True):
+        q = LogQuery(pattern="ERROR", before=before, after=after, ignore=("noise",), dedup=dd)
+        got = _rows(L.select_lines(df, q, plan="bucket", bucket_width=width))
+        want = sorted((p, ln, sub, t) for p, ls in files.items()
+                      for ln, sub, t in bf_blocks(ls, "ERROR", before, after, ("noise",), width, dd))
+        assert got == want, (before, after, dd)
+
+
 def test_drop_repeats_and_gaps_small_buckets(spark):
     files = _random_files(9, n_files=3, max_len=40)
     df = lines_df(spark, files)

@@ -56,5 +56,5 @@ def test_json_blocks_escape_and_suffix(spark):
                  '"lines":["a \\u003cb\\u003e \\u0026 c","--","d"]}')
     j2 = R.to_json_blocks(R.blocks(rows, "2026-08-13 10:00:00", with_counts=False)).first()["json"]
     assert '"suffix"' not in j2
-    parts = R.blocks(rows, "2026-08-13 10:00:00", max_lines=2).orderBy("part").collect()
-    assert [p["lines"] for p in parts] == [["a <b> & c", "--"], ["d"]]
+    parts = R.blocks(rows, "2026-08-13 10:00:00", span=2).orderBy("part").collect()
+    assert [p["lines"] for p in parts] == [["a <b> & c"], ["--", "d"]]
