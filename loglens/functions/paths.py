@@ -16,20 +16,21 @@ def _c(col: Column | str) -> Column:
 
 
 def base_name(col: Column | str) -> Column:
-    """last path element."""
-    return F.regexp_extract(_c(col), r"([^/]*)$", 1)
+    """last path element (plain string functions, no regex)."""
+    return F.substring_index(_c(col), "/", -1)
 
 
 def dir_name(col: Column | str) -> Column:
     """directory part ('/' for a top-level file, '.' without a slash)."""
     c = _c(col)
-    d = F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
+    d = c.substr(F.lit(1), F.length(c) - F.length(base_name(c)) - 1)
     return F.when(c.contains("/"), F.when(d == "", F.lit("/")).otherwise(d)).otherwise(F.lit("."))
 
 
 def extension(name: Column | str) -> Column:
     """suffix from the last dot of the name, '' without one."""
-    return F.regexp_extract(_c(name), r"(\.[^./]*)$", 1)
+    c = _c(name)
+    return F.when(c.contains("."), F.concat(F.lit("."), F.substring_index(c, ".", -1))).otherwise(F.lit(""))
 
 
 def stem(name: Column | str) -> Column:
@@ -58,8 +59,9 @@ def is_log(col: Column | str) -> Column:
 def is_rotated(col: Column | str) -> Column:
     """P10: rotated / historical log by name."""
     b = F.lower(base_name(col))
-    second = F.coalesce(F.element_at(F.split(b, r"\.log\."), 2), F.lit(""))
-    return b.endswith(".gz") | (b.contains(".log.") & (second != "")) | b.contains(".log-")
+    # text between the first ".log." and the next one (or the end)
+    after = F.substring_index(F.substr(b, F.instr(b, ".log.") + 5), ".log.", 1)
+    return b.endswith(".gz") | (b.contains(".log.") & (after != "")) | b.contains(".log-")
 
 
 def process_text(comm: Column | str, cmdline: Column | str) -> Column:

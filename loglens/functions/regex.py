@@ -9,6 +9,8 @@ driver; the executors only see a literal pattern inside ``rlike``.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ POSIX_CLASSES = {
 }
 # ASCII word boundary, as RE2 defines \b (Java 17's \b is Unicode-aware).
 _WORD_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
+# the same boundary when the character after / before it is known to be a word character
+_BOUNDARY_BEFORE_WORD = r"(?<![0-9A-Za-z_])"
+_BOUNDARY_AFTER_WORD = r"(?![0-9A-Za-z_])"
+_WORD_GROUP = re.compile(r"\((?:\?:)?[0-9A-Za-z_]+(?:\|[0-9A-Za-z_]+)*\)")
+_WORD_ALTERNATION = re.compile(r"^\(\?i\)\\b\(((?:[0-9A-Za-z_]+\|)*[0-9A-Za-z_]+)\)\\b$")
 _NOT_WORD_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?=[0-9A-Za-z_])|(?<![0-9A-Za-z_])(?![0-9A-Za-z_]))"
 # -----------------------------------------------------------------------------
 
@@ -97,7 +104,18 @@ def to_java(pattern: str) -> str:
             if d == "v":
                 out.append("\\x0B")
             elif d == "b" and not in_class:
-                out.append(_WORD_BOUNDARY)
+                nxt = pattern[i + 2:i + 3]
+                prv = "".join(out)[-1:] if out else ""
+                grp = _WORD_GROUP.match(pattern, i + 2)
+                follow = pattern[grp.end():grp.end() + 1] if grp else pattern[i + 3:i + 4]
+                word_next = (nxt.isascii() and (nxt.isalnum() or nxt == "_")) or grp is not None
+                if word_next and follow not in ("?", "*", "{"):
+                    out.append(_BOUNDARY_BEFORE_WORD)
+                elif prv and (prv.isalnum() and prv.isascii() and not _escaped_tail(out) or prv == "_"
+                              or _ends_with_word_group(out)):
+                    out.append(_BOUNDARY_AFTER_WORD)
+                else:
+                    out.append(_WORD_BOUNDARY)
             elif d == "B" and not in_class:
                 out.append(_NOT_WORD_BOUNDARY)
             else:
@@ -167,12 +185,47 @@ def to_java(pattern: str) -> str:
     return "(?du)" + "".join(out)
 
 
+def _escaped_tail(out: list[str]) -> bool:
+    """The last emitted token is an escape such as ``\\d`` (not a literal)."""
+    return bool(out) and ((len(out[-1]) == 2 and out[-1].startswith("\\")) or out[-1].startswith("\\Q"))
+
+
+def _ends_with_word_group(out: list[str]) -> bool:
+    text = "".join(out)
+    if not text.endswith(")"):
+        return False
+    k = text.rfind("(")
+    return k >= 0 and _WORD_GROUP.fullmatch(text[k:]) is not None
+
+
+def word_alternation(pattern: str) -> list[str] | None:
+    """Words of a ``(?i)\\b(w1|w2|...)\\b`` pattern (the severity shape), else None."""
+    m = _WORD_ALTERNATION.match(pattern)
+    return m.group(1).split("|") if m else None
+
+
+def prefilter(col: Column, words: list[str]) -> Column:
+    """Necessary condition for a case-insensitive word match: the line holds
+    one of the words in lower or upper case (plain ``contains``, no regex)."""
+    lo, up = F.lower(col), F.upper(col)
+    cond = F.lit(False)
+    for w in words:
+        cond = cond | lo.contains(w.lower()) | up.contains(w.upper())
+    return cond
+
+
 def match(col: Column | str, pattern: str | None, ignore_case: bool = False) -> Column:
-    """Does the line match; no pattern matches every line."""
+    """Does the line match; no pattern matches every line.
+
+    Severity-shaped patterns get a cheap ``contains`` prefilter first.
+    """
     if not pattern:
         return F.lit(True)
     p = ("(?i)" + pattern) if ignore_case else pattern
     c = F.col(col) if isinstance(col, str) else col
+    words = word_alternation(p)
+    if words:
+        return prefilter(c, words) & c.rlike(to_java(p))
     return c.rlike(to_java(p))
 
 
@@ -190,6 +243,6 @@ def level(col: Column | str) -> Column:
     c = F.col(col) if isinstance(col, str) else col
     expr = None
     for name, words in LEVEL_WORDS:
-        cond = c.rlike(to_java(rf"(?i)\b({words})\b"))
+        cond = prefilter(c, words.split("|")) & c.rlike(to_java(rf"(?i)\b({words})\b"))
         expr = F.when(cond, F.lit(name)) if expr is None else expr.when(cond, F.lit(name))
     return expr.otherwise(F.lit(NO_LEVEL))

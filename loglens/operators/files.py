@@ -190,9 +190,10 @@ def find_source(files: DataFrame, name: str, k: int = DEFAULT_MAX_FILES) -> Data
     (directory 100, stem 95, directory contains 80, base contains 70,
     path segment 90, path contains 40).  Newest first inside a score."""
     needle = name.lower()
-    lp = F.lower(F.col("path"))
-    base = F.lower(base_name(F.col("path")))
-    d = F.lower(base_name(dir_name(F.col("path"))))
+    # the parts are columns of their own, so the score below stays small
+    staged = files.withColumn("_lp", F.lower(F.col("path"))).withColumn(
+        "_base", F.lower(base_name(F.col("path")))).withColumn("_d", F.lower(base_name(dir_name(F.col("path")))))
+    lp, base, d = F.col("_lp"), F.col("_base"), F.col("_d")
     stem = base.substr(F.lit(1), F.length(base) - F.length(extension(base)))
     score = (
         F.when(d == needle, 100)
@@ -204,10 +205,11 @@ def find_source(files: DataFrame, name: str, k: int = DEFAULT_MAX_FILES) -> Data
         .otherwise(0)
     )
     return (
-        files.withColumn("score", score.cast("long"))
+        staged.withColumn("score", score.cast("long"))
         .filter(F.col("score") > 0)
         .orderBy(F.col("score").desc(), F.col("mtime").desc(), "path")
         .limit(k)
+        .drop("_lp", "_base", "_d")
     )
 
 

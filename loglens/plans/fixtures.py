@@ -110,9 +110,12 @@ def files_v(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, n in enumerate(FILE_NAMES):
         name = F.when(k == i, F.lit(n)) if name is None else name.when(k == i, F.lit(n))
     path = F.concat(F.lit("/srv/svc"), (F.col("o_custkey") % 40).cast("string"), F.lit("/"), name)
-    return o.groupBy(path.alias("path")).agg(
-        F.max(F.col("o_orderdate").cast("timestamp")).alias("mtime"), F.count(F.lit(1)).alias("size")
-    )
+    # grouped by the two small integer keys; ``path`` is an aggregate output,
+    # so later predicates on it stay above the aggregate (one row per file)
+    return o.groupBy((F.col("o_custkey") % 40).alias("_c"), k.alias("_k")).agg(
+        F.max(path).alias("path"),
+        F.max(F.col("o_orderdate").cast("timestamp")).alias("mtime"), F.count(F.lit(1)).alias("size"),
+    ).select("path", "mtime", "size")
 
 
 def proc_fds(spark: SparkSession, sf_dir: str) -> DataFrame:

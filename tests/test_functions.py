@@ -128,3 +128,15 @@ def test_resolve_since():
     assert tp.resolve_since("", now) is None
     with pytest.raises(ValueError):
         tp.resolve_since("yesterday-ish", now)
+
+
+@pytest.mark.parametrize("pattern", [r"\bfoo\b", r"\ba?b", r"\b(x|y)*z", r"o\b", r"\b(ab|c)\b", r"\d\b", r"\B", r"x\b\.",
+                                     r"(?i)\b(error|err)\b"])
+def test_word_boundary_agrees_with_re2_style(spark, pattern):
+    """The translated boundary equals an ASCII word boundary (checked with
+    Python's ``re`` in ASCII mode, which defines \\b the same way)."""
+    import re
+    texts = ["foo", "a foo b", "xfoo", "foox", "b", "ab", "zz", "x z", "xyz", "o.", "abc c", "9", "x.",
+             "ERROR", "errors", "é error", "a.", "a.b"]
+    want = [re.search(pattern, t, re.ASCII) is not None for t in texts]
+    assert _eval(spark, texts, lambda c: rx.match(c, pattern)) == want
