@@ -65,23 +65,30 @@ def trailing_rate(events: DataFrame, now, time_col: str = "at") -> DataFrame:
     )
 
 
-def rate_series(events: DataFrame, time_col: str = "at") -> DataFrame:
+def rate_series(events: DataFrame, time_col: str = "at", bucket_s: int = 3600) -> DataFrame:
     """For every second with events, the events of that second and the
     60 before it.
 
-    Reduced to per-second counts first; each count is then spread to the 61
-    seconds whose window contains it and summed by ``groupBy`` -- fully
-    parallel, no window over an unpartitioned time line.
+    Reduced to per-second counts first (partial aggregation).  The seconds
+    are then cut into ``bucket_s`` ranges; the last 60 seconds of a range
+    are also copied into the next one (halo), so a 60-second range window
+    inside each range sees everything it needs -- parallel over ranges, no
+    window over one unpartitioned time line.
     """
+    w_s = ALERT_RATE_WINDOW_S
     sec = F.floor(F.unix_micros(F.col(time_col).cast("timestamp")) / F.lit(1_000_000)).cast("long")
     per_sec = events.groupBy(sec.alias("sec")).agg(F.count(F.lit(1)).alias("n"))
-    spread = per_sec.select(
-        F.explode(F.sequence(F.col("sec"), F.col("sec") + ALERT_RATE_WINDOW_S)).alias("sec"), "n"
-    )
-    sums = spread.groupBy("sec").agg(F.sum("n").alias("rate"))
-    return sums.join(per_sec.select("sec"), "sec", "left_semi").select(
-        F.timestamp_seconds("sec").alias("second"), F.col("rate").cast("long").alias("rate")
+    bk = F.floor(F.col("sec") / F.lit(bucket_s)).cast("long")
+    copies = F.array(
+        F.struct(bk.alias("bk"), F.lit(True).alias("primary")),
+        F.when(F.col("sec") - bk * F.lit(bucket_s) >= bucket_s - w_s,
+               F.struct((bk + 1).alias("bk"), F.lit(False).alias("primary"))),
     )
+    x = per_sec.select("sec", "n", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("_c")).select(
+        "sec", "n", F.col("_c.bk").alias("bk"), F.col("_c.primary").alias("primary"))
+    w = Window.partitionBy("bk").orderBy("sec").rangeBetween(-w_s, 0)
+    r = x.withColumn("rate", F.sum("n").over(w)).filter(F.col("primary"))
+    return r.select(F.timestamp_seconds("sec").alias("second"), F.col("rate").cast("long").alias("rate"))
 
 
 def watch_header(alerts: DataFrame, rate: DataFrame, files: DataFrame) -> DataFrame:

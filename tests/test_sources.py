@@ -93,3 +93,22 @@ def test_path_predicate_prunes_at_scan(spark):
     _write(d, "drop.txt", b"b\n")
     df = read_lines(spark, d, path_regex=r"\.log$")
     assert [r["line"] for r in df.collect()] == ["a"]
+
+
+def test_catalog_from_directories(spark):
+    from loglens.operators import files as FL
+    from loglens.sources.catalog import list_files
+
+    d = _dir()
+    _write(d, "app.log", b"x\n")
+    _write(d, "app.log.1", b"x\n")
+    _write(d, "sub/worker.out", b"x\n")
+    _write(d, "skip/ignored.log", b"x\n")
+    _write(d, "notes.conf", b"x\n")
+    files = list_files(spark, [d])
+    assert "content" not in files.columns
+    cat = FL.catalog(files, [d], excludes=[d + "/skip"])
+    got = sorted(os.path.relpath(r["path"], d) for r in cat.collect())
+    assert got == ["app.log", "sub/worker.out"]
+    hist = FL.catalog(files, [d], excludes=[d + "/skip"], history=True)
+    assert sorted(os.path.relpath(r["path"], d) for r in hist.collect()) == ["app.log", "app.log.1", "sub/worker.out"]
