@@ -201,3 +201,21 @@ def fair_flush(
         rest.write.mode("overwrite").parquet(os.path.join(pend_root, f"v={batch_id}"))
 
     return flush
+
+
+def search_then_follow(spark: SparkSession, path: str, q: LogQuery, year=None, **options) -> DataFrame:
+    """Search the files and keep following them as ONE stream.
+
+    The stream starts at byte 0 of every file (``startingLines=-1``), so the
+    search part and the follow part are the same query and no line written
+    in between is lost; new files are still picked up (T10) and ``since``
+    stays applied to every line.
+    """
+    from loglens.sources.tail import tail_stream
+
+    opts = {"startingLines": -1, **options}
+    src = tail_stream(spark, path, **opts)
+    if q.before or q.after or q.dedup:
+        # too-old lines leave first (markers pass), then the stateful context
+        return follow_context(follow_filter(src, LogQuery(None, False, (), q.since), year), q)
+    return follow_filter(src, q, year)

@@ -191,3 +191,36 @@ def test_watch_sink(spark):
         assert alerts == {"ERROR timeout": 3, "ERROR job failed": 1}
     finally:
         q.stop()
+
+
+def test_search_then_follow_keeps_since_and_new_lines(spark):
+    d = _tmp()
+    p = os.path.join(d, "s.log")
+    _append(p, "2020-01-01 00:00:00 ERROR old\n2030-01-01 00:00:00 ERROR future\nINFO x\n")
+    name = "t_" + uuid.uuid4().hex[:8]
+    q = LogQuery(pattern="ERROR", since="2025-01-01 00:00:00")
+    s = _mem(FW.search_then_follow(spark, p, q), name, os.path.join(_tmp(), "c"))
+    try:
+        s.processAllAvailable()
+        _append(p, "2031-01-01 00:00:00 ERROR newer\n")
+        s.processAllAvailable()
+        got = [r["line"] for r in spark.sql(f"SELECT * FROM {name} ORDER BY offset").collect()]
+        assert got == ["2030-01-01 00:00:00 ERROR future", "2031-01-01 00:00:00 ERROR newer"]
+    finally:
+        s.stop()
+
+
+def test_windowed_rate(spark):
+    d = _tmp()
+    p = os.path.join(d, "w.log")
+    _append(p, "ERROR a\nERROR b\nINFO c\n")
+    name = "t_" + uuid.uuid4().hex[:8]
+    df = WA.windowed_rate(tail_stream(spark, p, startingLines=-1), LogQuery(pattern="ERROR"))
+    s = _mem(df, name, os.path.join(_tmp(), "c"), mode="update")
+    try:
+        s.processAllAvailable()
+        counts = {r["events"] for r in spark.sql(f"SELECT * FROM {name}").collect()}
+        assert counts == {2}  # every sliding minute holding the batch sees both errors
+        assert spark.sql(f"SELECT count(*) FROM {name}").first()[0] == 60
+    finally:
+        s.stop()
