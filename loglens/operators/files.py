@@ -76,10 +76,24 @@ def family_patterns(family: str) -> list[str]:
     return out
 
 
+def preset_rows() -> list[tuple[str, str, str]]:
+    return [(f, p, glob_to_regex(p)) for f in [*PRESETS, "unknown", "other"] for p in family_patterns(f)]
+
+
 def exclude_presets(spark: SparkSession) -> DataFrame:
     """``(family, pattern, regex)`` for every family, incl. 'unknown' and 'other'."""
-    rows = [(f, p, glob_to_regex(p)) for f in [*PRESETS, "unknown", "other"] for p in family_patterns(f)]
-    return spark.createDataFrame(rows, "family string, pattern string, regex string")
+    return spark.createDataFrame(preset_rows(), "family string, pattern string, regex string")
+
+
+def preset_hits(files: DataFrame, hosts: DataFrame, presets: DataFrame) -> DataFrame:
+    """S8 as a table: which preset pattern of its host's family hits each file.
+
+    ``presets`` has a fixed size (the preset list), so it is broadcast; the
+    join is an equi-join on ``family`` with the regex as residual.
+    """
+    hf = host_family(hosts)
+    j = files.join(hf, "host").join(F.broadcast(presets), "family")
+    return j.filter(F.expr("regexp_like(path, regex)")).select("host", "path", "pattern")
 
 
 def groups_table(spark: SparkSession, mapping: Mapping[str, Sequence[str]] | None = None) -> DataFrame:

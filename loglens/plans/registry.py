@@ -552,8 +552,8 @@ def _ctx_sql(select: str) -> str:
 
 @register("context_lines", _ctx_sql("SELECT path, line_no, line FROM sel"))
 def q_context_lines(spark, sf):
-    f = L.flag_lines(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR)
-    return L.context(f, CTX_Q.before, CTX_Q.after, plan="window").select("path", "line_no", "line")
+    rows = L.select_lines(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR, markers=False)
+    return rows.select("path", "line_no", "line")
 
 
 @register("context_join", _ctx_sql("SELECT path, line_no, line FROM sel"))
@@ -740,3 +740,32 @@ def q_watch_header(spark, sf):
     ev = msgs.filter(rx.match("line", "ERROR")).withColumnRenamed("path", "source").withColumnRenamed("observed_at", "at")
     h = R.watch_header(R.alert_groups(ev, "at"), R.trailing_rate(ev, RATE_NOW), msgs)
     return h.select("alert_groups", "rate", flag(F.col("rate_capped")).alias("rate_capped"), "sources")
+
+
+# ---- S8: the preset table against each host's files ---------------------------------------------
+
+
+def _preset_values() -> str:
+    rows = ", ".join(f"({D.q(f)}, {D.q(p)}, {D.q(r)})" for f, p, r in FL.preset_rows())
+    return f"presets(family, pattern, regex) AS (VALUES {rows})"
+
+
+_HOST_FAMILY_SQL = """hosts(host, os, ids) AS (VALUES """ + ", ".join(
+    f"({D.q(h)}, {D.q(o)}, {D.q(i)})" for h, o, i in HOSTS) + """),
+hf AS (SELECT host, CASE WHEN lower(os) <> 'linux' THEN 'other'
+  WHEN list_has_any(string_split(lower(ids), ' '), ['debian','ubuntu','linuxmint','raspbian']) THEN 'debian'
+  WHEN list_has_any(string_split(lower(ids), ' '), ['rhel','centos','fedora','rocky','almalinux','amzn']) THEN 'rhel'
+  WHEN list_has_any(string_split(lower(ids), ' '), ['sles','opensuse','opensuse-leap','opensuse-tumbleweed']) THEN 'suse'
+  WHEN list_has_any(string_split(lower(ids), ' '), ['arch','manjaro']) THEN 'arch'
+  WHEN list_has_any(string_split(lower(ids), ' '), ['alpine']) THEN 'alpine'
+  WHEN list_has_any(string_split(lower(ids), ' '), ['gentoo']) THEN 'gentoo'
+  ELSE 'unknown' END AS family FROM hosts)"""
+
+
+@register("preset_hits", with_views(
+    f", {_preset_values()}, {_HOST_FAMILY_SQL}, hfiles AS ({_HOST_FILES_SQL})\n"
+    "SELECT f.host, f.path, p.pattern FROM hfiles f JOIN hf ON hf.host = f.host "
+    "JOIN presets p ON p.family = hf.family AND regexp_matches(f.path, p.regex)", "files_v"))
+def q_preset_hits(spark, sf):
+    hosts = spark.createDataFrame(HOSTS, "host string, os string, ids string")
+    return FL.preset_hits(_host_files(V(spark, sf, "files_v")), hosts, FL.exclude_presets(spark))

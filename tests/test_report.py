@@ -58,3 +58,12 @@ def test_json_blocks_escape_and_suffix(spark):
     assert '"suffix"' not in j2
     parts = R.blocks(rows, "2026-08-13 10:00:00", span=2).orderBy("part").collect()
     assert [p["lines"] for p in parts] == [["a <b> & c"], ["--", "d"]]
+
+
+def test_write_json_blocks(spark, tmp_path):
+    rows = spark.createDataFrame([("/p", 0, 1, "x", True, False)],
+                                 "path string, line_no long, sub int, line string, is_match boolean, is_gap boolean")
+    out = str(tmp_path / "json")
+    R.write_json_blocks(R.blocks(rows, "2026-08-13 10:00:00"), out)
+    got = [r["value"] for r in spark.read.text(out).collect()]
+    assert got == ['{"path":"/p","time":"2026-08-13T10:00:00Z","suffix":"1 matches","lines":["x"]}']
