@@ -81,7 +81,7 @@ def test_literal_root():
 
 
 def test_likely_and_rotated(spark):
-    paths = ["/x/app.log", "/x/logc.conf", "/x/syslog.1", "/x/app.log.1", "/x/app.log.2.gz", "/x/access_log",
+    paths = ["/x/app.log", "/x/applog.conf", "/x/syslog.1", "/x/app.log.1", "/x/app.log.2.gz", "/x/access_log",
              "/x/app.log.log.1", "/x/worker.log-2026", "/x/current", "/x/mylog", "/x/a.TXT"]
     assert _eval(spark, paths, PH.is_log) == [True, False, False, True, True, True, True, False, True, True, True]
     assert _eval(spark, paths, PH.is_rotated) == [False, False, False, True, True, False, True, True, False, False, False]
