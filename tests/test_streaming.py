@@ -224,3 +224,27 @@ def test_windowed_rate(spark):
         assert spark.sql(f"SELECT count(*) FROM {name}").first()[0] == 60
     finally:
         s.stop()
+
+
+def test_follow_context_state_survives_restart(spark):
+    """Stop and restart on the same checkpoint: the per-file state (after
+    count) resumes, and no line is printed twice."""
+    d = _tmp()
+    p = os.path.join(d, "k.log")
+    _append(p, "a\nERROR x\n")
+    ckpt = os.path.join(_tmp(), "c")
+    out = os.path.join(_tmp(), "out")
+    q = LogQuery(pattern="ERROR", before=0, after=2)
+
+    def run():
+        s = (FW.follow_context(tail_stream(spark, p, startingLines=-1), q).writeStream.format("parquet")
+             .option("path", out).option("checkpointLocation", ckpt).outputMode("append")
+             .trigger(processingTime="100 milliseconds").start())
+        s.processAllAvailable()
+        s.stop()
+
+    run()
+    _append(p, "b\nc\nd\n")
+    run()
+    got = [r["line"] for r in spark.read.parquet(out).orderBy("offset").collect()]
+    assert got == ["ERROR x", "b", "c"]
