@@ -32,11 +32,27 @@ def line_bucket(pos: Column | str = "line_no", width: int = DEFAULT_BUCKET_LINES
     return F.floor(c / F.lit(int(width)))
 
 
-def quantile_bucket(df: DataFrame, x: Column, n: int = 256, accuracy: int = 10_000) -> Column:
-    """Bucket index from global quantiles of the numeric expression ``x``."""
-    qs = [i / n for i in range(1, n)]
-    row = df.select(F.percentile_approx(x, qs, accuracy).alias("b")).first()
-    bounds = sorted(set(b for b in (row["b"] or []) if b is not None))
+_BOUNDS: dict[str, list] = {}
+_BOUNDS_MAX = 64
+
+
+def quantile_bucket(df: DataFrame, x: Column, n: int = 256, accuracy: int = 10_000,
+                    cache_key: str | None = None) -> Column:
+    """Bucket index from global quantiles of the numeric expression ``x``.
+
+    Any non-decreasing bucketing gives the same ordinals -- the bounds only
+    decide how evenly the work spreads -- so bounds computed once for an
+    input (``cache_key``) can be reused by later plans over it.
+    """
+    bounds = _BOUNDS.get(cache_key) if cache_key else None
+    if bounds is None:
+        qs = [i / n for i in range(1, n)]
+        row = df.select(F.percentile_approx(x, qs, accuracy).alias("b")).first()
+        bounds = sorted(set(b for b in (row["b"] or []) if b is not None))
+        if cache_key:
+            if len(_BOUNDS) >= _BOUNDS_MAX:
+                _BOUNDS.pop(next(iter(_BOUNDS)))
+            _BOUNDS[cache_key] = bounds
     if not bounds:
         return F.lit(0)
     arr = F.array(*[F.lit(b) for b in bounds])

@@ -38,7 +38,7 @@ def _events_numbered(spark: SparkSession, sf_dir: str, name: str, n_buckets: int
     )
     ev = ev.withColumn("path", F.concat(F.lit("/srv/app"), (F.col("user_id") % 20).cast("string"), F.lit(f"/{name}")))
     x = F.unix_micros(F.col("ts"))
-    b = quantile_bucket(ev, x, n_buckets)
+    b = quantile_bucket(ev, x, n_buckets, cache_key=f"{sf_dir}/events.parquet#ts#{n_buckets}")
     return ordinal(ev, ["path"], [F.col("ts"), F.col("event_id")], b, "line_no")
 
 

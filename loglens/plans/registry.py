@@ -53,6 +53,8 @@ def flag(c) -> F.Column:
 
 
 def V(spark, sf, name) -> DataFrame:
+    # the oracles render zone-less (UTC) timestamps: read the fixtures in UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return FX.SPARK_VIEWS[name](spark, sf)
 
 
