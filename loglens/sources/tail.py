@@ -15,8 +15,11 @@ Offset (JSON)::
 below), so a range never splits a line.  Per range:
 
 * a file new since the previous offset -> ``[from, pos)``;
-* identity changed (rotated/replaced) -> marker row ``rotated`` + ``[from, pos)``
-  (``from`` = start of the last N lines of the new file);
+* identity changed (rotated/replaced) -> first the unread end of the old
+  file, found in the same directory by its identity (``tail``), then a
+  marker row ``rotated`` + ``[from, pos)`` of the new file (``from`` = start
+  of its last N lines).  ``gen`` counts the generations of a path, so rows
+  order as ``gen, offset``;
 * size below the previous position (truncated) -> marker ``truncated`` +
   ``[0, pos)``;
 * otherwise ``[prev.pos, pos)``.
@@ -28,7 +31,7 @@ longer than this is emitted as ``[truncated long line] `` + its last
 ``lineCap`` bytes), ``splitBytes`` (64 MiB: larger ranges are read by
 several tasks, split Hadoop-style at line starts).
 
-Output: ``path, offset, line, kind ('line'|'rotated'|'truncated'),
+Output: ``path, gen, offset, line, kind ('line'|'rotated'|'truncated'),
 observed_at``.  ``observed_at`` is the listing time stored in the offset,
 so a replayed batch yields the same rows.
 
@@ -48,7 +51,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from loglens.config import DEFAULT_LINES, FOLLOW_READ_BYTES, LINE_CAP_BYTES
 
-SCHEMA = "path string, offset long, line string, kind string, observed_at timestamp"
+SCHEMA = "path string, gen long, offset long, line string, kind string, observed_at timestamp"
 TRUNCATED_TAG = "[truncated long line] "
 BLOCK = 64 * 1024
 
@@ -108,19 +111,45 @@ def _last_lines_start(f, size: int, n: int) -> int:
     return base + first + 1
 
 
+def _find_by_id(path: str, fid: str) -> str | None:
+    """A file in ``path``'s directory with identity ``fid`` (the renamed original)."""
+    d = os.path.dirname(path) or "."
+    try:
+        with os.scandir(d) as it:
+            for ent in it:
+                if ent.is_file(follow_symlinks=False) and ent.path != path:
+                    st = ent.stat(follow_symlinks=False)
+                    if f"{st.st_dev}:{st.st_ino}" == fid:
+                        return ent.path
+    except OSError:
+        return None
+    return None
+
+
 def _plan_file(path: str, prev: dict | None, max_bytes: int, start_lines: int, cap: int) -> dict | None:
     try:
         st = os.stat(path)
         fid = f"{st.st_dev}:{st.st_ino}"
         size = st.st_size
+        tail = None
         with open(path, "rb") as f:
             if prev is None or prev.get("id") != fid:
                 frm = _last_lines_start(f, size, start_lines)
                 base, long_ = frm, False
+                gen = 0 if prev is None else prev.get("gen", 0) + 1
+                if prev is not None:
+                    # rotated: the unread end of the old file, found by its identity
+                    old = _find_by_id(path, prev["id"])
+                    if old is not None:
+                        old_size = os.stat(old).st_size
+                        if old_size > prev["pos"]:
+                            tail = {"file": old, "lo": prev["pos"], "hi": old_size}
             elif size < prev["pos"]:
                 frm, base, long_ = 0, 0, False
+                gen = prev.get("gen", 0) + 1
             else:
                 frm, base, long_ = prev["from"], prev["pos"], prev.get("long", False)
+                gen = prev.get("gen", 0)
             # a line up to ``cap`` bytes is always admitted whole
             hi = min(size, base + max(max_bytes, cap + 1))
             k = _last_newline(f, base, hi)
@@ -130,7 +159,10 @@ def _plan_file(path: str, prev: dict | None, max_bytes: int, start_lines: int, c
                 pos, long_ = hi, True  # inside a line longer than the cap: skip ahead
             else:
                 pos = base  # an unfinished line: wait for its end
-        return {"id": fid, "pos": pos, "from": frm, "long": long_}
+        e = {"id": fid, "pos": pos, "from": frm, "long": long_, "gen": gen}
+        if tail is not None:
+            e["tail"] = tail
+        return e
     except OSError:
         return None  # vanished or unreadable: dropped this round
 
@@ -159,6 +191,8 @@ def _text(raw: bytes) -> str:
 @dataclass
 class TailRange(InputPartition):
     path: str
+    file: str
+    gen: int
     lo: int
     hi: int
     range_lo: int
@@ -205,42 +239,50 @@ class LogTailReader(DataSourceStreamReader):
         self.known = nxt
         return nxt
 
+    def _ranges(self, path, file, gen, lo, hi, long_start, long_end, marker, ts):
+        out, a, first = [], lo, True
+        while True:
+            b = min(hi, a + self.split)
+            out.append(TailRange(path, file, gen, a, b, lo, hi, long_start, long_end,
+                                 marker if first else None, ts, self.cap))
+            first = False
+            if b >= hi:
+                return out
+            a = b
+
     def partitions(self, start: dict, end: dict):
         out = []
         sfiles = (start or {}).get("files", {})
         for path, e in sorted(end.get("files", {}).items()):
             s = sfiles.get(path)
             marker = None
+            gen = e.get("gen", 0)
             if s is None:
                 lo, long_start = e["from"], False
             elif s["id"] != e["id"]:
                 lo, long_start, marker = e["from"], False, "rotated"
-            elif e["pos"] < s["pos"]:
+                t = e.get("tail")
+                if t and t["lo"] == s["pos"]:
+                    # the rest of the renamed file comes first, under the old generation
+                    out += self._ranges(path, t["file"], s.get("gen", 0), t["lo"], t["hi"],
+                                        s.get("long", False), False, None, end["ts"])
+            elif e["pos"] < s["pos"] or gen != s.get("gen", 0):
                 lo, long_start, marker = 0, False, "truncated"
             else:
                 lo, long_start = s["pos"], s.get("long", False)
             hi = e["pos"]
             if hi <= lo and marker is None:
                 continue
-            a = lo
-            first = True
-            while True:
-                b = min(hi, a + self.split)
-                out.append(TailRange(path, a, b, lo, hi, long_start, e.get("long", False),
-                                     marker if first else None, end["ts"], self.cap))
-                first = False
-                if b >= hi:
-                    break
-                a = b
+            out += self._ranges(path, path, gen, lo, hi, long_start, e.get("long", False), marker, end["ts"])
         return out
 
     def read(self, part: TailRange):
         ts = dt.datetime.fromtimestamp(part.ts / 1000.0, tz=dt.timezone.utc)
         if part.marker:
-            yield (part.path, part.range_lo, None, part.marker, ts)
+            yield (part.path, part.gen, part.range_lo, None, part.marker, ts)
         if part.hi <= part.lo:
             return
-        with open(part.path, "rb") as f:
+        with open(part.file, "rb") as f:
             pos = part.lo
             if pos > part.range_lo:
                 # a line belongs to the piece that holds its first byte
@@ -275,7 +317,7 @@ class LogTailReader(DataSourceStreamReader):
                     text = TRUNCATED_TAG + _text(raw_line[-part.cap:])
                 else:
                     text = _text(raw_line)
-                yield (part.path, line_pos, text, "line", ts)
+                yield (part.path, part.gen, line_pos, text, "line", ts)
 
     def commit(self, end: dict) -> None:
         pass

@@ -33,7 +33,7 @@ ROTATED_NOTICE = "↻ file rotated/replaced"
 TRUNCATED_NOTICE = "↻ file truncated"
 DROPPED_NOTICE = "⚠ skipped {n} older buffered lines (hot log)"
 
-OUT_SCHEMA = "path string, offset long, seq long, line string, observed_at timestamp"
+OUT_SCHEMA = "path string, gen long, offset long, seq long, line string, observed_at timestamp"
 STATE_SCHEMA = "seq long, last_emitted long, after_remaining long, prev_seq array<long>, prev_text array<string>"
 
 
@@ -53,17 +53,17 @@ def follow_filter(stream: DataFrame, q: LogQuery, year=None) -> DataFrame:
                                          .otherwise(TRUNCATED_NOTICE)).otherwise(F.col("line")))
 
 
-def _runs(items: list[tuple[int, str, object]]) -> list[tuple[int, str, object]]:
-    """Consecutive equal lines of one batch -> ``line  × n`` (first keeps its offset)."""
+def _runs(items: list[tuple[int, int, str, object]]) -> list[tuple[int, int, str, object]]:
+    """Consecutive equal lines of one batch -> ``line  × n`` (first keeps its position)."""
     out = []
     i = 0
     while i < len(items):
         j = i
-        while j + 1 < len(items) and items[j + 1][1] == items[i][1]:
+        while j + 1 < len(items) and items[j + 1][2] == items[i][2]:
             j += 1
         c = j - i + 1
-        off, text, obs = items[i]
-        out.append((off, text if c == 1 else f"{text}  × {c}", obs))
+        g, off, text, obs = items[i]
+        out.append((g, off, text if c == 1 else f"{text}  × {c}", obs))
         i = j + 1
     return out
 
@@ -86,13 +86,15 @@ def _make_stateful(q: LogQuery):
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
-        rows = pd.concat(frames).sort_values(["offset", "kind"], key=lambda c: c if c.name == "offset" else (c == "line"))
-        out_lines: list[tuple[int, str, object]] = []
-        for off, line, kind, obs in zip(rows["offset"], rows["line"], rows["kind"], rows["observed_at"]):
+        rows = pd.concat(frames)
+        rows = rows.assign(_line=(rows["kind"] == "line")).sort_values(["gen", "offset", "_line"])
+        out_lines: list[tuple[int, int, str, object]] = []
+        for g, off, line, kind, obs in zip(rows["gen"], rows["offset"], rows["line"], rows["kind"], rows["observed_at"]):
+            g = int(g)
             if kind != "line":
                 if kind == "rotated":
                     seq, last_emitted, after_rem, prev = 0, 0, 0, []
-                out_lines.append((int(off), _notice(kind), obs))
+                out_lines.append((g, int(off), _notice(kind), obs))
                 continue
             if any(r.search(line) for r in ignore_res):
                 continue
@@ -102,16 +104,16 @@ def _make_stateful(q: LogQuery):
                 if match_re is not None:
                     for ps, pt in prev:
                         if ps > last_emitted:
-                            out_lines.append((int(off), pt, obs))
+                            out_lines.append((g, int(off), pt, obs))
                             last_emitted = ps
                 if seq > last_emitted:
-                    out_lines.append((int(off), line, obs))
+                    out_lines.append((g, int(off), line, obs))
                     last_emitted = seq
                 if hit:
                     after_rem = after
             elif after_rem > 0:
                 if seq > last_emitted:
-                    out_lines.append((int(off), line, obs))
+                    out_lines.append((g, int(off), line, obs))
                     last_emitted = seq
                 after_rem -= 1
             if before > 0:
@@ -123,10 +125,11 @@ def _make_stateful(q: LogQuery):
         if out_lines:
             yield pd.DataFrame({
                 "path": [path] * len(out_lines),
-                "offset": [o for o, _, _ in out_lines],
+                "gen": [g for g, _, _, _ in out_lines],
+                "offset": [o for _, o, _, _ in out_lines],
                 "seq": list(range(len(out_lines))),
-                "line": [t for _, t, _ in out_lines],
-                "observed_at": [ob for _, _, ob in out_lines],
+                "line": [t for _, _, t, _ in out_lines],
+                "observed_at": [ob for _, _, _, ob in out_lines],
             })
 
     return step
@@ -146,7 +149,7 @@ def follow_context(stream: DataFrame, q: LogQuery) -> DataFrame:
 
 # ---- T7: fair flush ----------------------------------------------------------------------------
 
-PENDING_SCHEMA = "path string, b long, offset long, seq long, line string"
+PENDING_SCHEMA = "path string, b long, gen long, offset long, seq long, line string"
 
 
 def read_version(spark: SparkSession, root: str, version: int, schema: str) -> DataFrame:
@@ -170,7 +173,7 @@ def fair_flush(
     per source per batch, keeping at most ``max_pending`` newest lines of
     each source pending and announcing how many older ones were dropped.
 
-    Input rows: ``path, offset, seq, line, observed_at`` (output of
+    Input rows: ``path, gen, offset, seq, line, observed_at`` (output of
     ``follow_filter``/``follow_context``).  Output: ``out_dir/batch_id=<i>``
     with ``path, k, line``.  Batch ``i`` reads the pending table of batch
     ``i-1`` and writes its own, so a replayed batch gives the same result.
@@ -180,10 +183,11 @@ def fair_flush(
     pend_root = os.path.join(state_dir, "pending")
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("path", F.lit(batch_id).cast("long").alias("b"), "offset", "seq", "line")
+        new = batch.select("path", F.lit(batch_id).cast("long").alias("b"), "gen", "offset", "seq", "line")
         rows = read_version(spark, pend_root, batch_id - 1, PENDING_SCHEMA).unionByName(new)
-        newest = Window.partitionBy("path").orderBy(F.col("b").desc(), F.col("offset").desc(), F.col("seq").desc())
-        oldest = Window.partitionBy("path").orderBy("b", "offset", "seq")
+        newest = Window.partitionBy("path").orderBy(F.col("b").desc(), F.col("gen").desc(), F.col("offset").desc(),
+                                                    F.col("seq").desc())
+        oldest = Window.partitionBy("path").orderBy("b", "gen", "offset", "seq")
         per_path = Window.partitionBy("path")
         kept = (rows.withColumn("_total", F.count(F.lit(1)).over(per_path))
                 .withColumn("_new_rank", F.row_number().over(newest))
@@ -197,7 +201,7 @@ def fair_flush(
                      F.lit(" older buffered lines (hot log)")).alias("line"))
         emitted = out.select("path", F.col("_k").cast("long").alias("k"), "line").unionByName(notices)
         emitted.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
-        rest = kept.filter(F.col("_k") > per_source).select("path", "b", "offset", "seq", "line")
+        rest = kept.filter(F.col("_k") > per_source).select("path", "b", "gen", "offset", "seq", "line")
         rest.write.mode("overwrite").parquet(os.path.join(pend_root, f"v={batch_id}"))
 
     return flush

@@ -26,7 +26,7 @@ def _mem(df, name, ckpt, mode="append"):
 
 def _lines(spark, name):
     return [(os.path.basename(r["path"]), r["kind"], r["line"]) for r in
-            spark.sql(f"SELECT * FROM {name} ORDER BY observed_at, path, offset, "
+            spark.sql(f"SELECT * FROM {name} ORDER BY observed_at, path, gen, offset, "
                       "CASE WHEN kind = 'line' THEN 1 ELSE 0 END").collect()]
 
 
@@ -119,13 +119,13 @@ def test_follow_filter_and_context(spark):
     try:
         cq.processAllAvailable()
         fq.processAllAvailable()
-        got = [r["line"] for r in spark.sql(f"SELECT * FROM {ctx_name} ORDER BY offset, seq").collect()]
+        got = [r["line"] for r in spark.sql(f"SELECT * FROM {ctx_name} ORDER BY gen, offset, seq").collect()]
         assert got == ["x1", "ERROR a", "x2"]
         # the context state carries over into the next batch
         _append(p, "ERROR b\ny\nz\n")
         cq.processAllAvailable()
         fq.processAllAvailable()
-        got = [r["line"] for r in spark.sql(f"SELECT * FROM {ctx_name} ORDER BY offset, seq").collect()]
+        got = [r["line"] for r in spark.sql(f"SELECT * FROM {ctx_name} ORDER BY gen, offset, seq").collect()]
         assert got == ["x1", "ERROR a", "x2", "x4", "ERROR b", "y"]
         assert [r["line"] for r in spark.sql(f"SELECT * FROM {flt_name} ORDER BY offset").collect()] == ["ERROR a", "ERROR b"]
     finally:
@@ -248,3 +248,22 @@ def test_follow_context_state_survives_restart(spark):
     run()
     got = [r["line"] for r in spark.read.parquet(out).orderBy("offset").collect()]
     assert got == ["ERROR x", "b", "c"]
+
+
+def test_rotation_serves_unread_tail_of_renamed_file(spark):
+    d = _tmp()
+    app = os.path.join(d, "app.log")
+    _append(app, "a1\n")
+    name = "t_" + uuid.uuid4().hex[:8]
+    q = _mem(tail_stream(spark, app, startingLines=-1), name, os.path.join(_tmp(), "c"))
+    try:
+        q.processAllAvailable()
+        # lines written just before the rotation have not been read yet
+        _append(app, "a2\na3\n")
+        os.rename(app, app + ".1")
+        _append(app, "b1\n")
+        q.processAllAvailable()
+        got = [(k, l) for _, k, l in _lines(spark, name)]
+        assert got == [("line", "a1"), ("line", "a2"), ("line", "a3"), ("rotated", None), ("line", "b1")]
+    finally:
+        q.stop()
