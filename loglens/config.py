@@ -61,3 +61,12 @@ class LogQuery:
     @property
     def has_pattern(self) -> bool:
         return bool(self.pattern)
+
+    def with_defaults(self, now: dt.datetime, options: Options | None = None) -> "LogQuery":
+        """A pattern without a time bound searches the recent past only
+        (``now - options.recent``, 24 h by default)."""
+        if self.has_pattern and self.since is None:
+            recent = (options or Options()).recent
+            return LogQuery(self.pattern, self.ignore_case, self.ignore, now - recent,
+                            self.before, self.after, self.dedup)
+        return self

@@ -53,10 +53,21 @@ def quantile_bucket(df: DataFrame, x: Column, n: int = 256, accuracy: int = 10_0
             if len(_BOUNDS) >= _BOUNDS_MAX:
                 _BOUNDS.pop(next(iter(_BOUNDS)))
             _BOUNDS[cache_key] = bounds
-    if not bounds:
-        return F.lit(0)
-    arr = F.array(*[F.lit(b) for b in bounds])
-    return F.size(F.filter(arr, lambda b: b <= x))
+    return bucket_of(x, bounds)
+
+
+def bucket_of(x: Column, bounds: list) -> Column:
+    """Number of ``bounds`` (sorted) that are <= ``x``: a balanced tree of
+    comparisons, ``log2(len(bounds))`` per row, no lambda."""
+
+    def tree(lo: int, hi: int) -> Column:
+        # answer lies in [lo, hi]; bounds[lo:hi] decide it
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi + 1) // 2
+        return F.when(x >= F.lit(bounds[mid - 1]), tree(mid, hi)).otherwise(tree(lo, mid - 1))
+
+    return tree(0, len(bounds)) if bounds else F.lit(0)
 
 
 def _keys(keys: Sequence[str]) -> list[Column]:

@@ -59,9 +59,12 @@ def trailing_rate(events: DataFrame, now, time_col: str = "at") -> DataFrame:
     t = _ts(now)
     lo = t - F.expr(f"INTERVAL {ALERT_RATE_WINDOW_S} SECONDS")
     n = events.filter((F.col(time_col) >= lo) & (F.col(time_col) <= t)).agg(F.count(F.lit(1)).alias("n"))
+    rate = F.least(F.col("n"), F.lit(MAX_ALERT_EVENTS)).cast("long")
+    capped = F.col("n") > MAX_ALERT_EVENTS
     return n.select(
-        F.least(F.col("n"), F.lit(MAX_ALERT_EVENTS)).cast("long").alias("rate"),
-        (F.col("n") > MAX_ALERT_EVENTS).alias("rate_capped"),
+        rate.alias("rate"),
+        capped.alias("rate_capped"),
+        F.concat(rate.cast("string"), F.when(capped, F.lit("+")).otherwise(F.lit(""))).alias("rate_label"),
     )
 
 

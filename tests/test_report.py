@@ -67,3 +67,11 @@ def test_write_json_blocks(spark, tmp_path):
     R.write_json_blocks(R.blocks(rows, "2026-08-13 10:00:00"), out)
     got = [r["value"] for r in spark.read.text(out).collect()]
     assert got == ['{"path":"/p","time":"2026-08-13T10:00:00Z","suffix":"1 matches","lines":["x"]}']
+
+
+def test_rate_label_and_default_since():
+    from loglens.config import LogQuery
+    q = LogQuery(pattern="ERROR").with_defaults(NOW)
+    assert q.since == NOW - dt.timedelta(hours=24)
+    assert LogQuery().with_defaults(NOW).since is None
+    assert LogQuery(pattern="x", since="2020-01-01").with_defaults(NOW).since == "2020-01-01"
