@@ -208,7 +208,7 @@ def _fused(flagged: DataFrame, q: LogQuery, width: int, markers: bool) -> DataFr
         F.when(off >= width - h, F.struct((bk + 1).alias("bk"), F.lit(False).alias("primary"))),
     )
     base = ["path", "line_no", "line", "is_eligible", "is_match"]
-    x = flagged.select(*base, F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("_c")).select(
+    x = flagged.select(*base, F.explode(F.array_compact(copies)).alias("_c")).select(
         *base, F.col("_c.bk").alias("bk"), F.col("_c.primary").alias("primary"))
     w = Window.partitionBy("path", "bk").orderBy("line_no")
     if q.has_pattern:
@@ -231,7 +231,7 @@ def _fused(flagged: DataFrame, q: LogQuery, width: int, markers: bool) -> DataFr
         F.struct(F.lit(1).alias("sub"), F.col("line").alias("line"), F.col("is_match").alias("is_match"),
                  F.lit(False).alias("is_gap")),
     )
-    out = sel.select("path", "bk", "line_no", F.explode(F.filter(emit, lambda e: e.isNotNull())).alias("_e"))
+    out = sel.select("path", "bk", "line_no", F.explode(F.array_compact(emit)).alias("_e"))
     return out.select("path", "bk", "line_no", F.col("_e.sub").alias("sub"), F.col("_e.line").alias("line"),
                       F.col("_e.is_match").alias("is_match"), F.col("_e.is_gap").alias("is_gap"))
 

@@ -87,7 +87,7 @@ def rate_series(events: DataFrame, time_col: str = "at", bucket_s: int = 3600) -
         F.when(F.col("sec") - bk * F.lit(bucket_s) >= bucket_s - w_s,
                F.struct((bk + 1).alias("bk"), F.lit(False).alias("primary"))),
     )
-    x = per_sec.select("sec", "n", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("_c")).select(
+    x = per_sec.select("sec", "n", F.explode(F.array_compact(copies)).alias("_c")).select(
         "sec", "n", F.col("_c.bk").alias("bk"), F.col("_c.primary").alias("primary"))
     w = Window.partitionBy("bk").orderBy("sec").rangeBetween(-w_s, 0)
     r = x.withColumn("rate", F.sum("n").over(w)).filter(F.col("primary"))
