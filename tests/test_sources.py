@@ -112,3 +112,23 @@ def test_catalog_from_directories(spark):
     assert got == ["app.log", "sub/worker.out"]
     hist = FL.catalog(files, [d], excludes=[d + "/skip"], history=True)
     assert sorted(os.path.relpath(r["path"], d) for r in hist.collect()) == ["app.log", "app.log.1", "sub/worker.out"]
+
+
+def test_search_files_end_to_end(spark):
+    from loglens.config import LogQuery
+    from loglens.operators.report import to_json_blocks
+    from loglens.plans.search import search_files
+
+    d = _dir()
+    _write(d, "app.log", b"2024-01-01 00:00:00 INFO a\n2024-01-01 00:00:01 ERROR boom\n2024-01-01 00:00:02 INFO b\n"
+                         b"2024-01-01 00:00:03 INFO c\n2024-01-01 00:00:04 INFO d\n2024-01-01 00:00:05 ERROR again\n")
+    _gz(d, "app.log.1.gz", b"INFO ok\nERROR old\n")
+    q = LogQuery(pattern="error", before=1, after=0, since="2023-12-31 00:00:00")
+    blk = {os.path.basename(r["path"]): r for r in search_files(spark, d, q, "2024-01-02 00:00:00").collect()}
+    assert blk["app.log"]["lines"] == ["2024-01-01 00:00:00 INFO a", "2024-01-01 00:00:01 ERROR boom", "--",
+                                       "2024-01-01 00:00:04 INFO d", "2024-01-01 00:00:05 ERROR again"]
+    assert blk["app.log"]["suffix"] == "2 matches"
+    # lines without a time fall back to the file's mtime (recent here)
+    assert blk["app.log.1.gz"]["lines"] == ["INFO ok", "ERROR old"]
+    js = to_json_blocks(search_files(spark, d, q, "2024-01-02 00:00:00")).collect()
+    assert len(js) == 2
