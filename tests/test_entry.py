@@ -1,7 +1,6 @@
 """The driver contract: entry() smoke run and every registered query
 against its DuckDB oracle on the smallest data set."""
 
-import hashlib
 import os
 import sys
 
