@@ -273,15 +273,22 @@ def rotated_siblings(paths: DataFrame, files: DataFrame, excludes: Sequence[str]
     """The given paths plus every likely log in the same directory named
     ``<base>.…`` or ``<base>-…``; distinct.
 
-    Equi join on the directory (AQE splits a hot directory), residual
-    ``startswith`` test.
+    A sibling's name starts with the selected base followed by ``.`` or
+    ``-``, so each file name is cut before each of its ``.``/``-`` into its
+    few candidate bases (``app.log.2.gz`` -> ``app``, ``app.log``,
+    ``app.log.2``).  The match is then an equi-join on ``(dir, base)``:
+    never all pairs of a large directory.
     """
     sel = paths.select("path").join(files.select("path"), "path", "left_semi")
-    s = sel.select(dir_name(F.col("path")).alias("dir"), base_name(F.col("path")).alias("base"))
-    f = files.select("path", dir_name(F.col("path")).alias("dir"), base_name(F.col("path")).alias("name"))
-    sib = f.join(s, "dir").filter(
-        F.col("name").startswith(F.concat(F.col("base"), F.lit("."))) | F.col("name").startswith(F.concat(F.col("base"), F.lit("-")))
-    ).select("path")
+    s = sel.select(dir_name(F.col("path")).alias("dir"), base_name(F.col("path")).alias("base")).distinct()
+    name = base_name(F.col("path"))
+    cuts = F.filter(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))),
+                    lambda i: F.substring(name, i + 1, 1).isin(".", "-"))
+    cand = files.select(
+        "path", dir_name(F.col("path")).alias("dir"),
+        F.explode(F.transform(cuts, lambda i: F.substring(name, 1, i))).alias("base"),
+    )
+    sib = cand.join(s, ["dir", "base"], "left_semi").select("path")
     out = sel.unionByName(sib).filter(is_log(F.col("path")))
     if excludes:
         out = out.filter(~excluded(F.col("path"), excludes))

@@ -91,3 +91,11 @@ def test_process_and_port_selectors(spark):
     assert [r["path"] for r in INV.logs_of_process(fds, "10").collect()] == ["/var/log/nginx/access.log"]
     lst = spark.createDataFrame([("h", 80, 11), ("h", 80, 12)], "host string, port long, pid long")
     assert [r["pid"] for r in INV.logs_of_port(lst, fds, 80).collect()] == [11]
+
+
+def test_rotated_siblings_name_rules(spark):
+    f = _files(spark, ["/d/app.log", "/d/app.log-2024", "/d/app.log.1", "/d/app.logs", "/d/app.log2",
+                       "/d/xapp.log.1", "/e/app.log.3"])
+    got = sorted(r["path"] for r in FL.rotated_siblings(f.filter(F.col("path") == "/d/app.log"), f).collect())
+    # app.log-2024 is a sibling by name but not a likely log, so it is dropped like in the original
+    assert got == ["/d/app.log", "/d/app.log.1"]
