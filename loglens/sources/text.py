@@ -29,14 +29,20 @@ def read_lines(
     path_regex: str | None = None,
     modified_after: str | None = None,
     recursive: bool = False,
+    skip_bad_files: bool = True,
 ) -> DataFrame:
     """``path, file_mtime, line, _block`` for every line of the files.
 
     Lines end at ``\\n`` only; up to two trailing ``\\r`` are dropped (F8).
     Path and age predicates apply to ``_metadata`` right at the scan, so
-    they prune files before any row is read.
+    they prune files before any row is read.  With ``skip_bad_files`` a file
+    that cannot be read (corrupt gzip, deleted meanwhile) is skipped instead
+    of failing the job, as the original tool skips it; a gzip broken half-way
+    still yields the lines before the damage.
     """
     r = spark.read.option("lineSep", "\n")
+    if skip_bad_files:
+        r = r.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true")
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     if modified_after:

@@ -132,3 +132,11 @@ def test_search_files_end_to_end(spark):
     assert blk["app.log.1.gz"]["lines"] == ["INFO ok", "ERROR old"]
     js = to_json_blocks(search_files(spark, d, q, "2024-01-02 00:00:00")).collect()
     assert len(js) == 2
+
+
+def test_corrupt_gzip_is_skipped(spark):
+    d = _dir()
+    _write(d, "bad.log.gz", b"this is not gzip data\n")
+    _write(d, "good.log", b"fine\n")
+    got = [(os.path.basename(p), l) for p, _, l in _lines(scan(spark, d))]
+    assert got == [("good.log", "fine")]
