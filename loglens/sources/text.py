@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from loglens.operators.ordered import DEFAULT_BUCKET_LINES, running_count
 
 # broadcast the per-split offsets only below this many split rows
-MAX_BROADCAST_SPLITS = 2_000_000
+# (a row is a path plus three longs: ~200k rows stay around 25 MB);
+# above it the split table joins by shuffle
+MAX_BROADCAST_SPLITS = 200_000
 
 
 def _plain_path(c: Column) -> Column:
