@@ -223,3 +223,31 @@ def search_then_follow(spark: SparkSession, path: str, q: LogQuery, year=None, *
         # too-old lines leave first (markers pass), then the stateful context
         return follow_context(follow_filter(src, LogQuery(None, False, (), q.since), year), q)
     return follow_filter(src, q, year)
+
+
+def follow(
+    spark: SparkSession,
+    path: str,
+    q: LogQuery,
+    out_dir: str,
+    state_dir: str | None = None,
+    trigger: str = "500 milliseconds",
+    **source_options,
+):
+    """Section 3.2: ``logtail`` -> filter (T1) or per-file context (T2) ->
+    fair flush (T7) into ``out_dir``.  Checkpoint and pending state live
+    under ``state_dir`` (default: a fresh folder in the session's shared
+    ``spark.checkpoint.dir``).  Returns the running ``StreamingQuery``.
+    """
+    from loglens.session import new_state_dir
+    from loglens.sources.tail import tail_stream
+
+    state_dir = state_dir or new_state_dir(spark, "follow")
+    src = tail_stream(spark, path, **source_options)
+    if q.before or q.after or q.dedup:
+        rows = follow_context(src, q)
+    else:
+        rows = follow_filter(src, q).withColumn("seq", F.lit(0).cast("long"))
+    return (rows.writeStream.foreachBatch(fair_flush(spark, state_dir, out_dir))
+            .option("checkpointLocation", os.path.join(state_dir, "checkpoint"))
+            .trigger(processingTime=trigger).start())

@@ -98,3 +98,26 @@ def windowed_rate(stream: DataFrame, q: LogQuery) -> DataFrame:
     ev = eligible_events(stream, q)
     return ev.withWatermark("at", "1 minute").groupBy(F.window("at", "60 seconds", "1 second")).agg(
         F.count(F.lit(1)).alias("events"))
+
+
+def watch(
+    spark: SparkSession,
+    path: str,
+    q: LogQuery,
+    state_dir: str | None = None,
+    trigger: str = "1 second",
+    **source_options,
+):
+    """Section 3.3: ``logtail`` -> alert groups, rate and header tables
+    (T8, T9) under ``state_dir`` (default: a fresh folder in the shared
+    ``spark.checkpoint.dir``).  Returns ``(StreamingQuery, state_dir)``;
+    read the tables with ``latest``."""
+    from loglens.session import new_state_dir
+    from loglens.sources.tail import tail_stream
+
+    state_dir = state_dir or new_state_dir(spark, "watch")
+    src = tail_stream(spark, path, **source_options)
+    sq = (src.writeStream.foreachBatch(watch_sink(spark, state_dir, q))
+          .option("checkpointLocation", os.path.join(state_dir, "checkpoint"))
+          .trigger(processingTime=trigger).start())
+    return sq, state_dir

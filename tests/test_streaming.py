@@ -267,3 +267,25 @@ def test_rotation_serves_unread_tail_of_renamed_file(spark):
         assert got == [("line", "a1"), ("line", "a2"), ("line", "a3"), ("rotated", None), ("line", "b1")]
     finally:
         q.stop()
+
+
+def test_follow_and_watch_entry_points(spark):
+    d = _tmp()
+    p = os.path.join(d, "e.log")
+    _append(p, "ERROR one\nINFO two\nERROR three\n")
+    out = _tmp()
+    s = FW.follow(spark, p, LogQuery(pattern="ERROR"), out, trigger="100 milliseconds", startingLines=-1)
+    try:
+        s.processAllAvailable()
+    finally:
+        s.stop()
+    got = [r["line"] for r in spark.read.parquet(out).orderBy("batch_id", "k").collect()]
+    assert got == ["ERROR one", "ERROR three"]
+    w, state = WA.watch(spark, p, LogQuery(pattern="errors"), trigger="100 milliseconds", startingLines=-1)
+    try:
+        w.processAllAvailable()
+        bid = w.lastProgress["batchId"]
+    finally:
+        w.stop()
+    assert {r["line"]: r["count"] for r in WA.latest(spark, state, "alerts", bid).collect()} == {
+        "ERROR one": 1, "ERROR three": 1}
