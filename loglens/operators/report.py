@@ -147,11 +147,13 @@ def blocks(
 def to_json_blocks(blk: DataFrame) -> DataFrame:
     """One JSON object per block, keys ``path, time, suffix?, lines``.
 
-    ``<``, ``>`` and ``&`` are written as ``\\u003c``, ``\\u003e``, ``\\u0026``
+    ``<``, ``>``, ``&``, U+2028 and U+2029 are written as ``\\u`` escapes
     like the original encoder; an empty suffix is left out.
     """
     j = F.to_json(F.struct("path", "time", "suffix", "lines"))
-    j = F.replace(F.replace(F.replace(j, F.lit("<"), F.lit("\\u003c")), F.lit(">"), F.lit("\\u003e")), F.lit("&"), F.lit("\\u0026"))
+    # these characters only occur inside JSON strings, so a plain replace is safe
+    for ch, esc in (("<", "\\u003c"), (">", "\\u003e"), ("&", "\\u0026"), ("\u2028", "\\u2028"), ("\u2029", "\\u2029")):
+        j = F.replace(j, F.lit(ch), F.lit(esc))
     return blk.select("path", "part", j.alias("json"))
 
 

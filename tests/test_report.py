@@ -75,3 +75,10 @@ def test_rate_label_and_default_since():
     assert q.since == NOW - dt.timedelta(hours=24)
     assert LogQuery().with_defaults(NOW).since is None
     assert LogQuery(pattern="x", since="2020-01-01").with_defaults(NOW).since == "2020-01-01"
+
+
+def test_json_escapes_line_separators(spark):
+    rows = spark.createDataFrame([("/p", 0, 1, "a b", True, False)],
+                                 "path string, line_no long, sub int, line string, is_match boolean, is_gap boolean")
+    j = R.to_json_blocks(R.blocks(rows, "2026-08-13 10:00:00")).first()["json"]
+    assert '"lines":["a\\u2028b"]' in j
