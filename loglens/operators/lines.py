@@ -199,8 +199,13 @@ def _fused(flagged: DataFrame, q: LogQuery, width: int, markers: bool) -> DataFr
     so the input plan appears once.  Buckets (and blocks) hold at most
     ``width + 2h`` rows whatever the file size.
     """
-    h = max(q.before, q.after) + 1
     bk = F.floor(F.col("line_no") / F.lit(width)).cast("long")
+    if not q.has_pattern:
+        # every eligible line, no context and no markers: no window needed
+        return flagged.filter(F.col("is_eligible")).select(
+            "path", bk.alias("bk"), "line_no", F.lit(1).alias("sub"), "line", "is_match",
+            F.lit(False).alias("is_gap"))
+    h = max(q.before, q.after) + 1
     off = F.col("line_no") - bk * F.lit(width)
     copies = F.array(
         F.struct(bk.alias("bk"), F.lit(True).alias("primary")),
@@ -211,13 +216,10 @@ def _fused(flagged: DataFrame, q: LogQuery, width: int, markers: bool) -> DataFr
     x = flagged.select(*base, F.explode(F.array_compact(copies)).alias("_c")).select(
         *base, F.col("_c.bk").alias("bk"), F.col("_c.primary").alias("primary"))
     w = Window.partitionBy("path", "bk").orderBy("line_no")
-    if q.has_pattern:
-        near = F.max(F.col("is_match").cast("int")).over(w.rangeBetween(-q.after, q.before)) == 1
-        x = x.withColumn("_sel", F.col("is_eligible") & near)
-    else:
-        x = x.withColumn("_sel", F.col("is_eligible"))
+    near = F.max(F.col("is_match").cast("int")).over(w.rangeBetween(-q.after, q.before)) == 1
+    x = x.withColumn("_sel", F.col("is_eligible") & near)
     gap = F.lit(False)
-    if markers and q.has_pattern:
+    if markers:
         prev_sel = F.coalesce(F.max(F.col("_sel").cast("int")).over(w.rangeBetween(-1, -1)) == 1, F.lit(False))
         before = F.coalesce(
             F.max((F.col("_sel") & F.col("primary")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)) == 1,
