@@ -37,17 +37,17 @@ def snapshot(lines: DataFrame, n: int, q: LogQuery, time_col: str = "file_mtime"
     """Last 4N lines -> search -> last N output lines when there is no
     pattern -> dedup.
 
-    After the first step every source holds at most 4N rows, so the later
-    per-source windows are small and plain ones are used.
+    After the first step every source holds at most 4N rows; the search is
+    the one-shuffle plan and the last-N cut a window over those few rows.
     """
     recent = L.tail_lines(lines, max(4 * n, n))
     rows = L.select_lines(recent, LogQuery(q.pattern, q.ignore_case, q.ignore, q.since, q.before, q.after, False),
-                          time_col, year, plan="window")
+                          time_col, year, plan="bucket")
     if not q.has_pattern:
         w = Window.partitionBy("path").orderBy(F.col("line_no").desc(), F.col("sub").desc())
         rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
     if q.dedup:
-        rows = L.dedup(rows)
+        rows = L.dedup_block(rows)
     return rows
 
 
