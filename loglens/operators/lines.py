@@ -238,6 +238,28 @@ def _fused(flagged: DataFrame, q: LogQuery, width: int, markers: bool) -> DataFr
                       F.col("_e.is_match").alias("is_match"), F.col("_e.is_gap").alias("is_gap"))
 
 
+def _marked(sel: DataFrame, width: int, markers: bool) -> DataFrame:
+    """Output rows of already selected lines: block ``bk``, and a ``--``
+    before a line that does not follow the previous selected line of its
+    block.  Only the selected rows are shuffled (by ``(path, bk)``)."""
+    bk = F.floor(F.col("line_no") / F.lit(width)).cast("long")
+    x = sel.select("path", bk.alias("bk"), "line_no", "line", "is_match")
+    if markers:
+        prev = F.lag("line_no").over(Window.partitionBy("path", "bk").orderBy("line_no"))
+        x = x.withColumn("_gap", prev.isNotNull() & (F.col("line_no") - prev > 1))
+    else:
+        x = x.withColumn("_gap", F.lit(False))
+    emit = F.array(
+        F.when(F.col("_gap"), F.struct(F.lit(0).alias("sub"), F.lit(GAP).alias("line"),
+                                       F.lit(False).alias("is_match"), F.lit(True).alias("is_gap"))),
+        F.struct(F.lit(1).alias("sub"), F.col("line").alias("line"), F.col("is_match").alias("is_match"),
+                 F.lit(False).alias("is_gap")),
+    )
+    out = x.select("path", "bk", "line_no", F.explode(F.array_compact(emit)).alias("_e"))
+    return out.select("path", "bk", "line_no", F.col("_e.sub").alias("sub"), F.col("_e.line").alias("line"),
+                      F.col("_e.is_match").alias("is_match"), F.col("_e.is_gap").alias("is_gap"))
+
+
 def dedup_block(rows: DataFrame) -> DataFrame:
     """W3 inside each block ``(path, bk)``: consecutive equal output lines
     become ``line  × n``; markers never merge.  Works on the partitioning
@@ -266,25 +288,48 @@ def select_lines(
     q: LogQuery,
     time_col: str = "file_mtime",
     year=None,
-    plan: str = "bucket",
+    plan: str = "auto",
     markers: bool = True,
     bucket_width: int = DEFAULT_BUCKET_LINES,
 ) -> DataFrame:
     """Search one lines table: filters -> context -> gap markers -> dedup.
 
     Output rows ``path, bk, line_no, sub, line, is_match, is_gap``; ``bk``
-    (``line_no div bucket_width``) names the output block.
-
-    ``plan="bucket"`` (default) runs everything in one shuffle (see
-    ``_fused``); markers and runs are then block-local, which equals the
-    per-file result for files shorter than ``bucket_width`` lines.
-    ``plan="join"`` / ``"window"`` use the stand-alone operators (per-file
-    markers and runs, several shuffles).
+    (``line_no div bucket_width``) names the output block, and markers and
+    runs apply inside a block (equal to the per-file result for files
+    shorter than ``bucket_width`` lines).
+
+    Plans:
+
+    * ``"auto"`` (default): without context, ``"select"``; with context,
+      ``"bucket"``.
+    * ``"select"``: filter first, then shuffle only the selected lines by
+      ``(path, bk)`` for markers and runs -- the plan for plain searches,
+      where matches are a small part of the data.
+    * ``"bucket"``: context, markers and runs in one shuffle of all lines
+      (``_fused``) -- best when matches are dense.
+    * ``"join"``: context by semi join (J3), then as ``"select"`` -- best
+      when matches are rare: with a small set of wanted positions AQE
+      broadcasts it and the lines are never shuffled.
+    * ``"window"``: per-file window and per-file markers and runs (one sort
+      per file; exact for any file size, not skew-safe).
     """
     flagged = flag_lines(df, q, time_col, year)
+    has_context = bool(q.before or q.after)
+    if plan == "auto":
+        plan = "bucket" if (q.has_pattern and has_context) else "select"
     if plan == "bucket":
         out = _fused(flagged, q, bucket_width, markers)
         return dedup_block(out) if q.dedup else out
+    if plan in ("select", "join"):
+        if not q.has_pattern:
+            sel = flagged.filter(F.col("is_eligible"))
+        elif plan == "join" or has_context:
+            sel = context(flagged, q.before, q.after, "join")
+        else:
+            sel = flagged.filter(F.col("is_match"))
+        out = _marked(sel, bucket_width, markers and q.has_pattern)
+        return dedup_block(out) if q.dedup else out
     if q.has_pattern:
         sel = context(flagged, q.before, q.after, plan)
     else:

@@ -19,7 +19,7 @@ def search(
     q: LogQuery,
     time_col: str = "file_mtime",
     year=None,
-    plan: str = "bucket",
+    plan: str = "auto",
     bucket_width: int = DEFAULT_BUCKET_LINES,
 ) -> DataFrame:
     """Search a lines table; rows ``path, bk, line_no, sub, line, is_match, is_gap``."""
@@ -27,7 +27,7 @@ def search(
 
 
 def search_blocks(lines: DataFrame, q: LogQuery, now, time_col: str = "file_mtime", year=None,
-                  plan: str = "bucket", bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
+                  plan: str = "auto", bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """Search and assemble one block per source (A5) with ``N matches``."""
     rows = search(lines, q, time_col, year, plan, bucket_width)
     return R.blocks(rows, now, with_counts=q.has_pattern)
@@ -42,7 +42,7 @@ def snapshot(lines: DataFrame, n: int, q: LogQuery, time_col: str = "file_mtime"
     """
     recent = L.tail_lines(lines, max(4 * n, n))
     rows = L.select_lines(recent, LogQuery(q.pattern, q.ignore_case, q.ignore, q.since, q.before, q.after, False),
-                          time_col, year, plan="bucket")
+                          time_col, year, plan="auto")
     if not q.has_pattern:
         w = Window.partitionBy("path").orderBy(F.col("line_no").desc(), F.col("sub").desc())
         rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
@@ -75,5 +75,5 @@ def search_files(
     if window_bytes:
         gz = F.lower(F.col("path")).endswith(".gz")
         lines = last_bytes(lines.filter(~gz), window_bytes).unionByName(first_bytes(lines.filter(gz), window_bytes))
-    rows = search(lines, q, "file_mtime", year, "bucket", bucket_width)
+    rows = search(lines, q, "file_mtime", year, "auto", bucket_width)
     return R.blocks(rows, now, with_counts=q.has_pattern)

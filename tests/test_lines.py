@@ -50,8 +50,12 @@ def test_search_matches_brute_force(spark, seed, plan):
     q = LogQuery(pattern="ERROR", before=before, after=after, ignore=("noise",))
     df = lines_df(spark, files)
     got = _rows(L.select_lines(df, q, plan=plan, bucket_width=7))
-    want = sorted((p, ln, sub, t) for p, ls in files.items()
-                  for ln, sub, t in bf_select(ls, "ERROR", before, after, ("noise",)))
+    if plan == "window":  # per-file markers
+        want = sorted((p, ln, sub, t) for p, ls in files.items()
+                      for ln, sub, t in bf_select(ls, "ERROR", before, after, ("noise",)))
+    else:  # block-local markers
+        want = sorted((p, ln, sub, t) for p, ls in files.items()
+                      for ln, sub, t in bf_blocks(ls, "ERROR", before, after, ("noise",), 7))
     assert got == want
 
 
@@ -66,7 +70,7 @@ def test_dedup_matches_brute_force(spark, seed):
                       for ln, sub, t in bf_dedup(bf_select(ls, "ERROR|ok", 1, 0)))
         assert got == want, plan
     q2 = LogQuery(dedup=True)
-    got2 = _rows(L.select_lines(df, q2, plan="join", bucket_width=3))
+    got2 = _rows(L.select_lines(df, q2, plan="window", bucket_width=3))
     want2 = sorted((p, ln, sub, t) for p, ls in files.items() for ln, sub, t in bf_dedup(bf_select(ls, None, 0, 0)))
     assert got2 == want2
 
@@ -82,10 +86,11 @@ def test_bucket_plan_block_semantics(spark, seed, width):
     df = lines_df(spark, files)
     for dd in (False, True):
         q = LogQuery(pattern="ERROR", before=before, after=after, ignore=("noise",), dedup=dd)
-        got = _rows(L.select_lines(df, q, plan="bucket", bucket_width=width))
         want = sorted((p, ln, sub, t) for p, ls in files.items()
                       for ln, sub, t in bf_blocks(ls, "ERROR", before, after, ("noise",), width, dd))
-        assert got == want, (before, after, dd)
+        for plan in ("bucket", "select", "join"):
+            got = _rows(L.select_lines(df, q, plan=plan, bucket_width=width))
+            assert got == want, (before, after, dd, plan)
 
 
 def test_drop_repeats_and_gaps_small_buckets(spark):

@@ -18,14 +18,14 @@ files_st = st.dictionaries(
 )
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(files=files_st, before=st.integers(0, 3), after=st.integers(0, 3), width=st.integers(2, 50),
-       dedup=st.booleans())
-def test_fused_search_equals_brute_force(spark, files, before, after, width, dedup):
+       dedup=st.booleans(), plan=st.sampled_from(["bucket", "select", "join", "auto"]))
+def test_search_plans_equal_brute_force(spark, files, before, after, width, dedup, plan):
     df = lines_df(spark, files)
     q = LogQuery(pattern="ERROR", before=before, after=after, ignore=("noise",), dedup=dedup)
     got = sorted((r["path"], r["line_no"], r["sub"], r["line"])
-                 for r in L.select_lines(df, q, plan="bucket", bucket_width=width).collect())
+                 for r in L.select_lines(df, q, plan=plan, bucket_width=width).collect())
     want = sorted((p, ln, sub, t) for p, ls in files.items()
                   for ln, sub, t in select_blocks(ls, "ERROR", before, after, ("noise",), width, dedup))
     assert got == want
