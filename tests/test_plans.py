@@ -67,3 +67,11 @@ def test_text_scan_prunes_files_by_path(spark):
     df = read_lines(spark, d, path_regex=r"\.log$")
     assert df.count() == 1
     assert "file_path" in _plan(df)
+
+
+def test_plain_search_filters_before_its_shuffle(spark):
+    df = lines_df(spark, {"/a": ["ok", "ERROR x", "ok", "ERROR y"]})
+    p = _plan(L.select_lines(df, LogQuery(pattern="ERROR")))
+    ex = p.index("Exchange hashpartitioning(path")
+    flt = p.index("Filter", ex)  # the filter is below (printed after) the exchange
+    assert flt > ex and "Window" in p[:ex]
