@@ -771,3 +771,20 @@ hf AS (SELECT host, CASE WHEN lower(os) <> 'linux' THEN 'other'
 def q_preset_hits(spark, sf):
     hosts = spark.createDataFrame(HOSTS, "host string, os string, ids string")
     return FL.preset_hits(_host_files(V(spark, sf, "files_v")), hosts, FL.exclude_presets(spark))
+
+
+# ---- plain search (no context): filter first, markers over the selected lines -------------------
+
+PLAIN_RE = r"ERROR user=\d+ error value=[0-4]"
+
+
+@register("search_plain", with_views(f"""
+, sel AS (SELECT path, line_no, line FROM event_lines WHERE regexp_matches(line, {D.q(PLAIN_RE)}))
+SELECT path, line_no, CAST(1 AS BIGINT) AS sub, line FROM sel
+UNION ALL
+SELECT path, line_no, CAST(0 AS BIGINT) AS sub, '--' AS line FROM (
+  SELECT path, line_no, lag(line_no) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM sel)
+WHERE prev IS NOT NULL AND line_no - prev > 1""", "event_lines"))
+def q_search_plain(spark, sf):
+    rows = search(V(spark, sf, "event_lines"), LogQuery(pattern=PLAIN_RE), "observed_at", SYSLOG_YEAR)
+    return rows.select("path", "line_no", F.col("sub").cast("long").alias("sub"), "line")
