@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,7 +45,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             yield batch
             continue
         start, held = 0, 0
-        lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         for i, length in enumerate(lengths):
             if held and held + length > size:
                 yield batch.slice(start, i - start)

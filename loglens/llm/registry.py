@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import bpe
-from loglens.llm.common import table
+from loglens.llm import bpe, lines, quality, shards
+from loglens.llm.common import stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +35,107 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, how many line dedup drops, and a digest of what stays."""
+    deduped = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return deduped.select("_row.doc_id", "n_lines", "n_dropped", F.sha2(text_or_empty("_kept"), 256).alias("kept_sha256"))
+
+
+ORACLES["op7_lines"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n
+  FROM documents),
+k AS (
+  SELECT doc_id, n, line,
+         translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM l),
+c AS (
+  SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 20
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+SELECT doc_id, count(*) AS n_lines,
+       count(*) FILTER (WHERE c.key IS NOT NULL AND doc_id <> c.last) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE c.key IS NULL OR doc_id = c.last), '')) AS kept_sha256
+FROM k LEFT JOIN c ON k.key = c.key
+GROUP BY doc_id
+"""
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and the quality verdict of every document."""
+    docs = table(spark, sf_dir, "documents")
+    measured = stored(quality.measure(docs, keep=["doc_id", "lang"]), "quality")  # numbers only, so the texts are read once
+    judged = quality.judge(measured, quality.fit(measured, table(spark, sf_dir, "labels")))
+    return judged.select("_row.doc_id", *quality.METRICS, "base_failed", "kept")
+
+
+def _quality_sql() -> str:
+    tried = ", ".join(f"('{r}', {c})" for r, cs in quality.CUTOFFS.items() for c in cs)
+    feature = "CASE t.rule " + " ".join(f"WHEN '{r}' THEN m.{r}" for r in quality.CUTOFFS) + " END"
+    p = quality.LIMIT
+    return rf"""
+WITH w AS (
+  SELECT doc_id, lang, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls
+  FROM documents),
+g AS (
+  SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, ws[p], ws[p + 1], ws[p + 2]) AS n
+  FROM (SELECT doc_id, ws, unnest(generate_series(1, len(ws) - 2)) AS p FROM w)),
+r AS (
+  SELECT doc_id, sum(least(3, coalesce(next - p, 3))) AS n_repeat_words
+  FROM (SELECT doc_id, p, lead(p) OVER (PARTITION BY doc_id ORDER BY p) AS next FROM g WHERE n > 1)
+  GROUP BY doc_id),
+b AS (
+  SELECT doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words,
+         CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         len(ls) AS n_ls,
+         len(list_filter(generate_series(2, len(ws)), lambda i: ws[i] = ws[i - 1])) AS n_same,
+         length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_caps, length(regexp_replace(text, '[^!]', '', 'g')) AS n_shouts
+  FROM w LEFT JOIN r USING (doc_id)),
+m AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         coalesce(1000 * n_symbols // nullif(n_words, 0), 0) AS symbols, coalesce(1000 * n_dup_lines // nullif(n_ls, 0), 0) AS dup_lines,
+         coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeats, coalesce(1000 * n_same // nullif(n_words, 0), 0) AS same_next,
+         coalesce(1000 * n_caps // nullif(word_chars, 0), 0) AS capitals, coalesce(1000 * n_shouts // nullif(n_words, 0), 0) AS shouts
+  FROM b),
+t(rule, cutoff) AS (VALUES {tried}),
+h AS (SELECT m.*, quality FROM m JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)),
+s AS (
+  SELECT m.lang, t.rule, t.cutoff, count(*) FILTER (WHERE quality > 0) AS n,
+         count(*) FILTER (WHERE quality > 0 AND {feature} >= t.cutoff) AS k,
+         count(*) FILTER (WHERE quality <= 0 AND {feature} >= t.cutoff) AS bad
+  FROM h AS m CROSS JOIN t GROUP BY ALL),
+q AS (
+  SELECT *, list_sum(list_transform(generate_series(0, k), lambda i:
+           exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p}) + (n - i) * ln(1 - {p})))) AS tail
+  FROM s WHERE n > 0 AND k <= n * {p} AND bad > k),
+c AS (
+  SELECT lang, rule, max({{'gain': bad - k, 'cutoff': cutoff}}).cutoff AS cutoff FROM q
+  WHERE tail <= {quality.ERROR} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM h)) * (SELECT count(*) FROM t))
+  GROUP BY lang, rule)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT EXISTS (
+         SELECT 1 FROM c AS t WHERE t.lang IS NOT DISTINCT FROM m.lang AND {feature} >= t.cutoff) AS kept
+FROM m
+"""
+
+
+ORACLES["op9_quality"] = _quality_sql()
+
+
+@query
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard among 40 of near equal bytes, and its slot there."""
+    placed = shards.shard(table(spark, sf_dir, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
