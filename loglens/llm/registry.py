@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import bpe, html_text, lines, quality, shards
+from loglens.llm import bpe, html_text, jaccard, lines, quality, shards
 from loglens.llm.common import stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,8 +81,10 @@ def _quality_sql() -> str:
     return rf"""
 WITH w AS (
   SELECT doc_id, lang, coalesce(text, '') AS text,
-         regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS ls
+         regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS ls
   FROM documents),
 g AS (
   SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, ws[p], ws[p + 1], ws[p + 2]) AS n
@@ -145,3 +147,9 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query
+def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document by links of Jaccard similarity of at least 0.85 on 4-word shingles."""
+    return jaccard.join(table(spark, sf_dir, "documents"), size=4, percent=85).withColumnRenamed("component", "component_id")
