@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from loglens.llm.common import map_arrow, slices, text_or_empty
 
 # Words with their punctuation that a task remembers between slices; afterwards it starts anew (memory only, never the result).
-REMEMBERED_CHUNKS = 800_000
+REMEMBERED_CHUNKS = 600_000
 # Bytes of text whose distinct words go into one trie.
 LEARN_BYTES = 24 << 20
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import bpe, html_text, jaccard, lines, quality, shards
+from loglens.llm import bpe, html_text, jaccard, lines, quality, secrets, shards
 from loglens.llm.common import stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,15 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The component of every document by links of Jaccard similarity of at least 0.85 on 4-word shingles."""
     return jaccard.join(table(spark, sf_dir, "documents"), size=4, percent=85).withColumnRenamed("component", "component_id")
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: what the patterns find and what the Markov models add."""
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(secrets.count_of(k).alias(f"n_{k}") for k in secrets.KINDS),
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
