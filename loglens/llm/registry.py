@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import bpe, html_text, jaccard, lines, quality, secrets, shards
+from loglens.llm import bpe, html_text, jaccard, lines, quality, secrets, shards, substrings
 from loglens.llm.common import stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -165,3 +165,11 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed("base"), 256).alias("base_sha256"),
         secrets.listed("spans").alias("spans"),
     )
+
+
+@query
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document without the bytes of 100-byte strings that start earlier too."""
+    cut = substrings.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
