@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loglens.llm import bpe, html_text, jaccard, lines, quality, secrets, shards, substrings
+from loglens.llm import bpe, decontam, html_text, jaccard, lines, quality, secrets, shards, substrings
 from loglens.llm.common import stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,42 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.dedup(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages of the benchmark: the best window for each item."""
+    found = decontam.best(decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select(F.col("_k").alias("doc_id"), F.col("item").alias("item_id"), F.col("first").alias("first_word"), "shared", "total").distinct()
+
+
+ORACLES["op8_decontam"] = r"""
+WITH b AS (
+  SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark),
+i AS (
+  SELECT item_id, ws, len(ws) AS n, least(len(ws), 5) AS k,
+         list_transform(generate_series(1, len(ws) - least(len(ws), 5) + 1), lambda p: array_to_string(ws[p : p + least(len(ws), 5) - 1], ' ')) AS sh
+  FROM b WHERE len(ws) > 0),
+d AS (
+  SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+ds AS (
+  SELECT doc_id, ws, k, p, array_to_string(ws[p : p + k - 1], ' ') AS s
+  FROM (SELECT doc_id, ws, k, unnest(generate_series(1, len(ws) - k + 1)) AS p FROM d, (SELECT DISTINCT k FROM i))),
+isx AS (SELECT n, k, q, sh[q] AS s FROM (SELECT n, k, sh, unnest(generate_series(1, len(sh))) AS q FROM i)),
+w AS (
+  SELECT DISTINCT doc_id, isx.n, isx.k, greatest(p - q, 0) AS f, ws[greatest(p - q, 0) + 1 : greatest(p - q, 0) + isx.n] AS ww
+  FROM ds JOIN isx ON ds.s = isx.s AND ds.k = isx.k),
+x AS (
+  SELECT doc_id, n, k, f, list_transform(generate_series(1, len(ww) - k + 1), lambda p: array_to_string(ww[p : p + k - 1], ' ')) AS sh FROM w),
+pairs AS (
+  SELECT x.doc_id, item_id, f, x.sh AS a, i.sh AS b FROM x JOIN i ON x.k = i.k WHERE list_has_any(x.sh, i.sh)),
+sim AS (
+  SELECT *, CAST(list_sum(list_transform(list_distinct(list_concat(a, b)), lambda s:
+           least(len(list_filter(a, lambda t: t = s)), len(list_filter(b, lambda t: t = s))))) AS BIGINT) AS shared
+  FROM pairs),
+ok AS (SELECT *, len(a) + len(b) - shared AS total FROM sim WHERE 100 * shared >= 80 * (len(a) + len(b) - shared))
+SELECT doc_id, item_id, CAST(first_word AS BIGINT) AS first_word, shared, CAST(total AS BIGINT) AS total FROM (
+  SELECT doc_id, item_id, f AS first_word, shared, total,
+         row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(trunc(shared * 1000000.0 / total) AS BIGINT) DESC, f, shared DESC) AS r FROM ok)
+WHERE r = 1
+"""
