@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from loglens.llm import bpe, decontam, html_text, jaccard, lines, quality, secrets, shards, substrings
 from loglens.llm.common import stored, table, text_or_empty
 
@@ -212,3 +213,9 @@ SELECT doc_id, item_id, CAST(first_word AS BIGINT) AS first_word, shared, CAST(t
          row_number() OVER (PARTITION BY doc_id, item_id ORDER BY CAST(trunc(shared * 1000000.0 / total) AS BIGINT) DESC, f, shared DESC) AS r FROM ok)
 WHERE r = 1
 """
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus pipeline over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
