@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loglens.llm import bpe, decontam, html_text, jaccard, lines, quality, secrets, shards, substrings
+from loglens.llm import bpe, decontam, html_text, jaccard, licenses, lines, quality, secrets, shards, substrings
 from loglens.llm.common import stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +219,9 @@ WHERE r = 1
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus pipeline over all documents."""
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
