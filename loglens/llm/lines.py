@@ -53,11 +53,14 @@ def keys_of(text: str, least_chars: int) -> dict[str, list[int]]:
     return found
 
 
+def bit_places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """A row of HASHES bit numbers for each hash (Kirsch and Mitzenmacher's double hashing)."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    return ((hashes[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) % np.uint64(bits)).astype(np.int64)
+
+
 def places(keys: list[str], bits: int) -> np.ndarray:
-    """A row of HASHES bit numbers for each key (Kirsch and Mitzenmacher's double hashing)."""
-    h = np.array([xxhash.xxh3_64_intdigest(k.encode("utf-8")) for k in keys], np.uint64)
-    step = (h >> np.uint64(32)) | np.uint64(1)
-    return ((h[:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) % np.uint64(bits)).astype(np.int64)
+    return bit_places(np.array([xxhash.xxh3_64_intdigest(k.encode("utf-8")) for k in keys], np.uint64), bits)
 
 
 class Seen:

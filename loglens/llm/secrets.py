@@ -32,6 +32,8 @@ ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=-])"
 # A run must be so many times likelier under the random model.
 MARGIN = log(1e4)
 CODES = 128
+SYMBOLS = 67  # A-Z a-z 0-9 + / _ = -
+PRIOR = 10
 
 
 def _quoted(pattern: str) -> str:
@@ -85,22 +87,29 @@ def pair_counts(scanned: DataFrame) -> DataFrame:
 
 
 def ratios(counts: DataFrame) -> list[float] | None:
-    """The log-likelihood ratio of each pair (place 128 * a + b), by add-one estimates over the token characters."""
+    """The log-likelihood ratio of each pair (place 128 * a + b).
+
+    A model's chance of b after a mixes the pairs' counts with the chance of b
+    alone, which weighs as much as PRIOR samples; b alone is estimated by
+    adding one to the count of every token character.
+    """
     table: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
     for r in counts.collect():  # bounded, see pair_counts
         table[r["random"]][r["a"], r["b"]] = r["n"]
     if not table[True] or not table[False]:
         return None
-    symbols = 67  # A-Z a-z 0-9 + / _ = -
-    totals = {kind: [0] * CODES for kind in table}
+    after = {kind: [0] * CODES for kind in table}
+    alone = {kind: [1] * CODES for kind in table}
     for kind, of in table.items():
-        for (a, _), n in of.items():
-            totals[kind][a] += n
+        for (a, b), n in of.items():
+            after[kind][a] += n
+            alone[kind][b] += n
 
-    def chance(kind: bool, a: int, b: int) -> float:
-        return (table[kind].get((a, b), 0) + 1) / (totals[kind][a] + symbols)
+    def logs(kind: bool) -> list[float]:
+        of, n = table[kind], sum(after[kind]) + SYMBOLS
+        return [log((of.get((a, b), 0) + PRIOR * alone[kind][b] / n) / (after[kind][a] + PRIOR)) for a in range(CODES) for b in range(CODES)]
 
-    return [log(chance(True, a, b) / chance(False, a, b)) for a in range(CODES) for b in range(CODES)]
+    return [x - y for x, y in zip(logs(True), logs(False))]
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.llm.common import map_arrow, slices, stored
-from loglens.llm.lines import holds
+from loglens.llm.lines import bit_places, holds
 from loglens.llm.shingles import mix
 
 WIDTH = 100
@@ -119,11 +119,6 @@ class _Texts:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
 
-def _bits(hashes: np.ndarray, bits: int) -> np.ndarray:
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return ((hashes[:, None] + np.arange(4, dtype=np.uint64) * step[:, None]) % np.uint64(bits)).astype(np.int64)
-
-
 def _fresh(batch: pa.RecordBatch, told: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
     """The rows (_k, _text, text) that aren't told to be copies of others."""
     ids, hashes = told
@@ -154,7 +149,7 @@ def repeated_filter(rows: DataFrame, told, width: int) -> np.ndarray:
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed = np.zeros(bits // 8, np.uint8)
         for batch in batches:
-            at = _bits(np.asarray(batch.column(0)).view(np.uint64), bits).ravel()
+            at = bit_places(np.asarray(batch.column(0)).view(np.uint64), bits).ravel()
             np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
         blocks = packed.reshape(-1, BLOCK_BITS // 8)
         for i in np.flatnonzero(blocks.any(1)):
@@ -176,7 +171,7 @@ def surroundings(rows: DataFrame, told, packed, width: int) -> DataFrame:
             of, h, place, first, last = anchors(texts.data, texts.offsets, width)
             if not len(of):
                 continue
-            again = holds(packed.value, _bits(h, len(packed.value) * 8))
+            again = holds(packed.value, bit_places(h, len(packed.value) * 8))
             of, h, place, first, last = (x[again] for x in (of, h, place, first, last))
             size = last - first + width
             cuts = np.concatenate([[0], np.cumsum(size)])
