@@ -113,38 +113,40 @@ def dedup(rows: DataFrame, bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFram
 
     Input: output rows ``path, line_no, sub, line, is_match, is_gap`` (see
     ``gap_markers``; plain selected lines with ``sub=1, is_gap=false`` work
-    too).  Consecutive output lines have consecutive line numbers (otherwise
-    a marker stands between them), so a run is an island of equal text:
-    ``line_no - rank within (path, line)`` is constant on it.  The rank is a
-    bucketed running count, the run a ``groupBy`` with partial aggregation,
-    so a hot file or one endlessly repeated line stays spread out.
+    too).  Runs are formed inside buckets of ``bucket_width`` line numbers;
+    then the first and last run of every bucket meet in one small group per
+    file, where runs that go over bucket edges are joined.  The width steers
+    parallelism only.
 
     The match count of a run is its flag before the rewrite (one per run);
     markers never join a run.
     """
-    lines = rows.filter(~F.col("is_gap"))
-    marks = rows.filter(F.col("is_gap"))
-    ranked = running_count(lines, ["path", "line"], [F.col("line_no")], line_bucket("line_no", bucket_width), "_rk")
-    runs = (
-        ranked.withColumn("_grp", F.col("line_no") - F.col("_rk"))
-        .groupBy("path", "line", "_grp")
-        .agg(
-            F.min("line_no").alias("line_no"),
-            F.count(F.lit(1)).alias("_n"),
-            F.max(F.col("is_match").cast("int")).alias("_m"),
-        )
-        .select(
-            "path",
-            "line_no",
-            F.lit(1).alias("sub"),
-            F.when(F.col("_n") > 1, F.concat(F.col("line"), F.lit("  × "), F.col("_n").cast("string")))
-            .otherwise(F.col("line"))
-            .alias("line"),
-            (F.col("_m") == 1).alias("is_match"),
-            F.lit(False).alias("is_gap"),
-        )
+    rows = rows.withColumn("bk", line_bucket("line_no", bucket_width).cast("long"))
+    w = Window.partitionBy("path", "bk").orderBy("line_no", "sub")
+    prev = F.lag(F.struct("line", "is_gap")).over(w)
+    starts = prev.isNull() | ~prev["line"].eqNullSafe(F.col("line")) | prev["is_gap"] | F.col("is_gap")
+    r = rows.withColumn("_b", starts.cast("int")).withColumn("_run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    first = F.min_by(F.struct("line_no", "sub", "line", "is_gap"), F.struct("line_no", "sub")).alias("_f")
+    runs = r.groupBy("path", "bk", "_run").agg(first, F.count(F.lit(1)).alias("_n"), F.max(F.col("is_match").cast("int")).alias("_m"))
+    runs = runs.select("path", "bk", "_run", "_f.*", "_n", "_m")
+    wr = Window.partitionBy("path", "bk").orderBy("_run")
+    edge = F.lag("_run").over(wr).isNull() | F.lead("_run").over(wr).isNull()
+    runs = runs.withColumn("_g", F.when(edge, F.lit(-1)).otherwise(F.col("bk")))
+    we = Window.partitionBy("path", "_g").orderBy("line_no", "sub")
+    p = F.lag(F.struct("bk", "line", "is_gap")).over(we)
+    # two runs of one bucket are different runs, whatever stands between them
+    alone = p.isNull() | (p["bk"] == F.col("bk")) | ~p["line"].eqNullSafe(F.col("line")) | p["is_gap"] | F.col("is_gap")
+    runs = runs.withColumn("_b", alone.cast("int")).withColumn("_c", F.sum("_b").over(we.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = runs.groupBy("path", "_g", "_c").agg(
+        F.min_by(F.struct("bk", "line_no", "sub", "line", "is_gap"), F.struct("line_no", "sub")).alias("_f"),
+        F.sum("_n").alias("_n"), F.max("_m").alias("_m"),
+    )
+    return whole.select(
+        "path", F.col("_f.bk").alias("bk"), F.col("_f.line_no").alias("line_no"), F.col("_f.sub").alias("sub"),
+        F.when(F.col("_n") > 1, F.concat(F.col("_f.line"), F.lit("  × "), F.col("_n").cast("string")))
+        .otherwise(F.col("_f.line")).alias("line"),
+        (F.col("_m") == 1).alias("is_match"), F.col("_f.is_gap").alias("is_gap"),
     )
-    return runs.unionByName(marks.select(*runs.columns))
 
 
 def drop_repeats(df: DataFrame, bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
@@ -186,72 +188,47 @@ def cap_pending(df: DataFrame, n: int) -> DataFrame:
 OUT_COLS = ("path", "bk", "line_no", "sub", "line", "is_match", "is_gap")
 
 
-def _fused(flagged: DataFrame, q: LogQuery, width: int, markers: bool) -> DataFrame:
-    """Context, gap markers and (optionally) dedup in ONE shuffle.
+def _near_in_buckets(flagged: DataFrame, q: LogQuery, width: int) -> DataFrame:
+    """Eligible lines near a match, from one shuffle of all lines to
+    ``(path, line_no div width)``.
 
-    Rows go to ``(path, bk = line_no div width)``; the ``h = max(before,
-    after) + 1`` rows next to a bucket edge are copied into the neighbour
-    bucket (halo), so every frame a bucket needs is inside it.  Within the
-    bucket a range frame over ``line_no`` finds the lines near a match, a
-    one-line frame tells whether the line before is output, and a running
-    max whether an earlier line of the block is output.  Each selected line
-    becomes ``[marker?, line]`` through one ``explode`` -- no union, no join,
-    so the input plan appears once.  Buckets (and blocks) hold at most
-    ``width + 2h`` rows whatever the file size.
+    Every line is also copied to the other buckets that hold a line within
+    ``max(before, after)`` of it (the halo, which may span many buckets), so
+    the range frame of every line is complete inside its bucket.
     """
-    bk = F.floor(F.col("line_no") / F.lit(width)).cast("long")
-    if not q.has_pattern:
-        # every eligible line, no context and no markers: no window needed
-        return flagged.filter(F.col("is_eligible")).select(
-            "path", bk.alias("bk"), "line_no", F.lit(1).alias("sub"), "line", "is_match",
-            F.lit(False).alias("is_gap"))
-    h = max(q.before, q.after) + 1
-    off = F.col("line_no") - bk * F.lit(width)
-    copies = F.array(
-        F.struct(bk.alias("bk"), F.lit(True).alias("primary")),
-        F.when(off < h, F.struct((bk - 1).alias("bk"), F.lit(False).alias("primary"))),
-        F.when(off >= width - h, F.struct((bk + 1).alias("bk"), F.lit(False).alias("primary"))),
-    )
-    base = ["path", "line_no", "line", "is_eligible", "is_match"]
-    x = flagged.select(*base, F.explode(F.array_compact(copies)).alias("_c")).select(
-        *base, F.col("_c.bk").alias("bk"), F.col("_c.primary").alias("primary"))
-    w = Window.partitionBy("path", "bk").orderBy("line_no")
-    near = F.max(F.col("is_match").cast("int")).over(w.rangeBetween(-q.after, q.before)) == 1
-    x = x.withColumn("_sel", F.col("is_eligible") & near)
-    gap = F.lit(False)
-    if markers:
-        prev_sel = F.coalesce(F.max(F.col("_sel").cast("int")).over(w.rangeBetween(-1, -1)) == 1, F.lit(False))
-        before = F.coalesce(
-            F.max((F.col("_sel") & F.col("primary")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)) == 1,
-            F.lit(False))
-        gap = ~prev_sel & before
-    # the gap flag reads neighbouring rows: compute it before the filter
-    sel = x.withColumn("_gap", gap).filter(F.col("primary") & F.col("_sel"))
-    emit = F.array(
-        F.when(F.col("_gap"), F.struct(F.lit(0).alias("sub"), F.lit(GAP).alias("line"),
-                                       F.lit(False).alias("is_match"), F.lit(True).alias("is_gap"))),
-        F.struct(F.lit(1).alias("sub"), F.col("line").alias("line"), F.col("is_match").alias("is_match"),
-                 F.lit(False).alias("is_gap")),
-    )
-    out = sel.select("path", "bk", "line_no", F.explode(F.array_compact(emit)).alias("_e"))
-    return out.select("path", "bk", "line_no", F.col("_e.sub").alias("sub"), F.col("_e.line").alias("line"),
-                      F.col("_e.is_match").alias("is_match"), F.col("_e.is_gap").alias("is_gap"))
+    h = max(q.before, q.after)
+    home = F.floor(F.col("line_no") / F.lit(width)).cast("long")
+    low = F.greatest(F.floor((F.col("line_no") - h) / F.lit(width)), F.lit(0)).cast("long")
+    high = F.floor((F.col("line_no") + h) / F.lit(width)).cast("long")
+    x = flagged.select("path", "line_no", "line", "is_eligible", "is_match", home.alias("home"), F.explode(F.sequence(low, high)).alias("bk"))
+    w = Window.partitionBy("path", "bk").orderBy("line_no").rangeBetween(-q.after, q.before)
+    x = x.withColumn("_near", F.max(F.col("is_match").cast("int")).over(w) == 1)
+    return x.filter(F.col("_near") & F.col("is_eligible") & (F.col("home") == F.col("bk"))).select("path", "line_no", "line", "is_match")
 
 
 def _marked(sel: DataFrame, width: int, markers: bool) -> DataFrame:
-    """Output rows of already selected lines: block ``bk``, and a ``--``
-    before a line that does not follow the previous selected line of its
-    block.  Only the selected rows are shuffled (by ``(path, bk)``)."""
+    """Output rows of already selected lines: a ``--`` before a line that does
+    not follow the previous selected line of its file.
+
+    Only the selected rows are shuffled, by ``(path, bk)``; the first and last
+    row of every bucket then meet in one small group per file, where a
+    bucket's first row finds the row before it.
+    """
     bk = F.floor(F.col("line_no") / F.lit(width)).cast("long")
     x = sel.select("path", bk.alias("bk"), "line_no", "line", "is_match")
+    gap = F.lit(False)
     if markers:
-        prev = F.lag("line_no").over(Window.partitionBy("path", "bk").orderBy("line_no"))
-        x = x.withColumn("_gap", prev.isNotNull() & (F.col("line_no") - prev > 1))
-    else:
-        x = x.withColumn("_gap", F.lit(False))
+        w = Window.partitionBy("path", "bk").orderBy("line_no")
+        x = x.withColumns({"_prev": F.lag("line_no").over(w), "_next": F.lead("line_no").over(w)})
+        x = x.withColumn("_g", F.when(F.col("_prev").isNull() | F.col("_next").isNull(), F.lit(-1)).otherwise(F.col("bk")))
+        before = F.lag("line_no").over(Window.partitionBy("path", "_g").orderBy("line_no"))
+        # inside its bucket a row has its neighbour already
+        x = x.withColumn("_before", before)
+        prev = F.coalesce(F.col("_prev"), F.col("_before"))
+        gap = F.coalesce(F.col("line_no") - prev > 1, F.lit(False))
     emit = F.array(
-        F.when(F.col("_gap"), F.struct(F.lit(0).alias("sub"), F.lit(GAP).alias("line"),
-                                       F.lit(False).alias("is_match"), F.lit(True).alias("is_gap"))),
+        F.when(gap, F.struct(F.lit(0).alias("sub"), F.lit(GAP).alias("line"),
+                             F.lit(False).alias("is_match"), F.lit(True).alias("is_gap"))),
         F.struct(F.lit(1).alias("sub"), F.col("line").alias("line"), F.col("is_match").alias("is_match"),
                  F.lit(False).alias("is_gap")),
     )
@@ -260,29 +237,6 @@ def _marked(sel: DataFrame, width: int, markers: bool) -> DataFrame:
                       F.col("_e.is_match").alias("is_match"), F.col("_e.is_gap").alias("is_gap"))
 
 
-def dedup_block(rows: DataFrame) -> DataFrame:
-    """W3 inside each block ``(path, bk)``: consecutive equal output lines
-    become ``line  × n``; markers never merge.  Works on the partitioning
-    the fused search left (window + aggregate on the same keys: no shuffle).
-    """
-    w = Window.partitionBy("path", "bk").orderBy("line_no", "sub")
-    prev = F.lag(F.struct("line", "is_gap")).over(w)
-    boundary = prev.isNull() | (prev["line"] != F.col("line")) | prev["is_gap"] | F.col("is_gap")
-    r = rows.withColumn("_b", boundary.cast("int")).withColumn(
-        "_run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = r.groupBy("path", "bk", "_run").agg(
-        F.min_by(F.struct("line_no", "sub", "line", "is_gap"), F.struct("line_no", "sub")).alias("_f"),
-        F.count(F.lit(1)).alias("_n"),
-        F.max(F.col("is_match").cast("int")).alias("_m"),
-    )
-    return g.select(
-        "path", "bk", F.col("_f.line_no").alias("line_no"), F.col("_f.sub").alias("sub"),
-        F.when(F.col("_n") > 1, F.concat(F.col("_f.line"), F.lit("  × "), F.col("_n").cast("string")))
-        .otherwise(F.col("_f.line")).alias("line"),
-        (F.col("_m") == 1).alias("is_match"), F.col("_f.is_gap").alias("is_gap"),
-    )
-
-
 def select_lines(
     df: DataFrame,
     q: LogQuery,
@@ -295,52 +249,37 @@ def select_lines(
     """Search one lines table: filters -> context -> gap markers -> dedup.
 
     Output rows ``path, bk, line_no, sub, line, is_match, is_gap``; ``bk``
-    (``line_no div bucket_width``) names the output block, and markers and
-    runs apply inside a block (equal to the per-file result for files
-    shorter than ``bucket_width`` lines).
+    (``line_no div bucket_width``) names the output chunk.  Markers and runs
+    are those of the whole file: all plans and widths give the same rows.
 
     Plans:
 
     * ``"auto"`` (default): without context, ``"select"``; with context,
-      ``"bucket"``.
-    * ``"select"``: filter first, then shuffle only the selected lines by
-      ``(path, bk)`` for markers and runs -- the plan for plain searches,
-      where matches are a small part of the data.
-    * ``"bucket"``: context, markers and runs in one shuffle of all lines
-      (``_fused``) -- best when matches are dense.
-    * ``"join"``: context by semi join (J3), then as ``"select"`` -- best
-      when matches are rare: with a small set of wanted positions AQE
-      broadcasts it and the lines are never shuffled.
-    * ``"window"``: per-file window and per-file markers and runs (one sort
-      per file; exact for any file size, not skew-safe).
+      ``"join"``.
+    * ``"select"``: filter first, then shuffle only the selected lines for
+      markers and runs -- the plan for plain searches, where matches are a
+      small part of the data.
+    * ``"join"``: the positions near matches go through a semi join (J3), so
+      the text of lines that aren't selected is not shuffled when AQE
+      broadcasts the positions; then as ``"select"``.
+    * ``"bucket"``: context from one shuffle of all lines -- best when matches
+      are dense.
+    * ``"window"``: per-file window (one sort per file, not skew-safe).
     """
     flagged = flag_lines(df, q, time_col, year)
     has_context = bool(q.before or q.after)
     if plan == "auto":
-        plan = "bucket" if (q.has_pattern and has_context) else "select"
-    if plan == "bucket":
-        out = _fused(flagged, q, bucket_width, markers)
-        return dedup_block(out) if q.dedup else out
-    if plan in ("select", "join"):
-        if not q.has_pattern:
-            sel = flagged.filter(F.col("is_eligible"))
-        elif plan == "join" or has_context:
-            sel = context(flagged, q.before, q.after, "join")
-        else:
-            sel = flagged.filter(F.col("is_match"))
-        out = _marked(sel, bucket_width, markers and q.has_pattern)
-        return dedup_block(out) if q.dedup else out
-    if q.has_pattern:
-        sel = context(flagged, q.before, q.after, plan)
-    else:
+        plan = "join"
+    if not q.has_pattern:
         sel = flagged.filter(F.col("is_eligible"))
-    if markers and q.has_pattern:
-        out = gap_markers(sel, bucket_width)
+    elif not has_context:
+        sel = flagged.filter(F.col("is_match"))
+    elif plan == "bucket":
+        sel = _near_in_buckets(flagged, q, bucket_width)
     else:
-        out = sel.select("path", "line_no", F.lit(1).alias("sub"), "line", "is_match", F.lit(False).alias("is_gap"))
-    if q.dedup:
-        out = dedup(out, bucket_width)
-    return out.withColumn("bk", F.floor(F.col("line_no") / F.lit(bucket_width)).cast("long")).select(*OUT_COLS)
+        sel = context(flagged, q.before, q.after, "window" if plan == "window" else "join")
+    out = _marked(sel, bucket_width, markers and q.has_pattern)
+    return dedup(out, bucket_width) if q.dedup else out.select(*OUT_COLS)
 
 
 def order_output(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

@@ -54,17 +54,18 @@ def shown_alerts(alerts: DataFrame) -> DataFrame:
 def trailing_rate(events: DataFrame, now, time_col: str = "at") -> DataFrame:
     """A3: events in the minute before ``now`` (both ends inclusive).
 
-    ``rate`` is capped at 100,000 as the live view is; ``rate_capped`` says so.
+    ``rate`` is exact; the label shows at most 100,000 (``N+`` beyond), as the
+    live view does, and ``rate_capped`` says so.
     """
     t = _ts(now)
     lo = t - F.expr(f"INTERVAL {ALERT_RATE_WINDOW_S} SECONDS")
     n = events.filter((F.col(time_col) >= lo) & (F.col(time_col) <= t)).agg(F.count(F.lit(1)).alias("n"))
-    rate = F.least(F.col("n"), F.lit(MAX_ALERT_EVENTS)).cast("long")
+    shown = F.least(F.col("n"), F.lit(MAX_ALERT_EVENTS)).cast("string")
     capped = F.col("n") > MAX_ALERT_EVENTS
     return n.select(
-        rate.alias("rate"),
+        F.col("n").cast("long").alias("rate"),
         capped.alias("rate_capped"),
-        F.concat(rate.cast("string"), F.when(capped, F.lit("+")).otherwise(F.lit(""))).alias("rate_label"),
+        F.concat(shown, F.when(capped, F.lit("+")).otherwise(F.lit(""))).alias("rate_label"),
     )
 
 
@@ -124,20 +125,21 @@ def blocks(
     A block is ``(path, bk)`` of the search output (``bk`` = ``line_no div
     width``; pass ``span`` to re-cut rows without ``bk``), so every group is
     bounded whatever the file size; a file shorter than the width is one
-    block, as in the original tool.  The grouping keys equal the search's
-    partitioning, so no shuffle is added.  ``suffix`` is ``"<n> matches"``
-    with the source's total: a window over the (small) block table.
+    block, as in the original tool.  ``suffix`` is ``"<n> matches"`` with the
+    source's total: a sum of the flags alone, one number per block, joined by
+    block, so the lines never meet by path.
     """
     if span is not None or "bk" not in rows.columns:
         rows = rows.withColumn("bk", F.floor(F.col("line_no") / F.lit(span or 1_000_000)).cast("long"))
     agg = rows.groupBy("path", F.col("bk").alias("part")).agg(
         F.array_sort(F.collect_list(F.struct(F.col("line_no"), F.col("sub"), F.col("line")))).alias("_l"),
-        F.sum((F.col("is_match") & ~F.col("is_gap")).cast("long")).alias("_m"),
     )
-    out = agg.select("path", "part", F.transform("_l", lambda x: x["line"]).alias("lines"), "_m")
+    out = agg.select("path", "part", F.transform("_l", lambda x: x["line"]).alias("lines"))
     if with_counts:
-        tot = F.sum("_m").over(Window.partitionBy("path"))
-        out = out.withColumn("suffix", F.concat(tot.cast("string"), F.lit(" matches")))
+        hit = (F.col("is_match") & ~F.col("is_gap")).cast("long")
+        parts = rows.groupBy("path", F.col("bk").alias("part")).agg(F.sum(hit).alias("_m"))
+        total = F.sum("_m").over(Window.partitionBy("path"))  # over one number per block
+        out = out.join(parts.select("path", "part", F.concat(total.cast("string"), F.lit(" matches")).alias("suffix")), ["path", "part"])
     else:
         out = out.withColumn("suffix", F.lit(None).cast("string"))
     t = F.date_format(_ts(now), "yyyy-MM-dd'T'HH:mm:ssXXX")
@@ -158,5 +160,5 @@ def to_json_blocks(blk: DataFrame) -> DataFrame:
 
 
 def write_json_blocks(blk: DataFrame, out_dir: str) -> None:
-    """S7 sink: JSON lines text files (one object per line)."""
-    to_json_blocks(blk).orderBy("path", "part").select("json").write.mode("overwrite").text(out_dir)
+    """S7 sink: JSON lines text files (one object per line), each file in order."""
+    to_json_blocks(blk).sortWithinPartitions("path", "part").select("json").write.mode("overwrite").text(out_dir)

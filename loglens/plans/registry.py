@@ -319,9 +319,9 @@ def q_newest_files_history(spark, sf):
 
 @register("history_order", with_views(
     f"SELECT path, CAST(row_number() OVER (ORDER BY mtime, path) - 1 AS BIGINT) AS pos "
-    f"FROM ({_CAT_SQL}) WHERE starts_with(path, '/srv/svc1')", "files_v"))
+    f"FROM ({_CAT_SQL})", "files_v"))
 def q_history_order(spark, sf):
-    c = FL.catalog(V(spark, sf, "files_v"), ["/srv"], history=True).filter(F.col("path").startswith("/srv/svc1"))
+    c = FL.catalog(V(spark, sf, "files_v"), ["/srv"], history=True)
     b = quantile_bucket(c, F.unix_micros(F.col("mtime").cast("timestamp")), 16)
     return ordinal(c, [], [F.col("mtime"), F.col("path")], b, "pos").select("path", "pos")
 
@@ -575,11 +575,18 @@ def q_context_gaps(spark, sf):
     return rows.select("path", "line_no", F.col("sub").cast("long").alias("sub"), "line")
 
 
+@register("gaps_small_blocks", ORACLES["context_gaps"])
+def q_gaps_small_blocks(spark, sf):
+    rows = search(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR, "bucket", 3)
+    return rows.select("path", "line_no", F.col("sub").cast("long").alias("sub"), "line")
+
+
 @register("match_counts", _ctx_sql(
     "SELECT path, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS matches FROM sel GROUP BY ROLLUP (path)"))
 def q_match_counts(spark, sf):
-    rows = L.select_lines(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR, markers=False)
-    return R.match_counts(rows)
+    # only direct matches count: context and markers can't change the result
+    hits = L.flag_lines(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR).filter("is_match")
+    return R.match_counts(hits.withColumn("is_gap", F.lit(False)))
 
 
 JSON_NOW = EVENT_NOW
@@ -611,6 +618,12 @@ def q_dedup_runs(spark, sf):
     return rows.select("path", "line_no", "line")
 
 
+@register("dedup_small_blocks", ORACLES["dedup_runs"])
+def q_dedup_small_blocks(spark, sf):
+    rows = search(V(spark, sf, "event_msgs"), LogQuery(dedup=True), "observed_at", SYSLOG_YEAR, bucket_width=5)
+    return rows.select("path", "line_no", "line")
+
+
 @register("drop_repeats", with_views("""
 SELECT path, line_no, line FROM (
   SELECT path, line_no, line, lag(line) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM event_msgs)
@@ -684,6 +697,12 @@ def q_snapshot(spark, sf):
     return rows.select("path", "line_no", F.col("sub").cast("long").alias("sub"), "line")
 
 
+@register("snapshot_small_blocks", ORACLES["snapshot"])
+def q_snapshot_small_blocks(spark, sf):
+    rows = snapshot(V(spark, sf, "event_lines"), 10, SNAP_Q, "observed_at", SYSLOG_YEAR, bucket_width=7)
+    return rows.select("path", "line_no", F.col("sub").cast("long").alias("sub"), "line")
+
+
 # ---- A2, A3, A3b, A7, L4 ------------------------------------------------------------------------------------
 
 
@@ -712,7 +731,7 @@ RATE_NOW = "2024-01-15 12:00:00"
 
 
 @register("trailing_rate", with_views(f"""
-SELECT CAST(least(count(*), 100000) AS BIGINT) AS rate, CAST(count(*) > 100000 AS BIGINT) AS rate_capped
+SELECT CAST(count(*) AS BIGINT) AS rate, CAST(count(*) > 100000 AS BIGINT) AS rate_capped
 FROM event_lines WHERE observed_at BETWEEN TIMESTAMP '{RATE_NOW}' - INTERVAL 1 HOUR AND TIMESTAMP '{RATE_NOW}'""",
     "event_lines").replace("INTERVAL 1 HOUR", "INTERVAL 60 SECOND"))
 def q_trailing_rate(spark, sf):

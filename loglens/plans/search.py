@@ -30,25 +30,24 @@ def search_blocks(lines: DataFrame, q: LogQuery, now, time_col: str = "file_mtim
                   plan: str = "auto", bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """Search and assemble one block per source (A5) with ``N matches``."""
     rows = search(lines, q, time_col, year, plan, bucket_width)
-    return R.blocks(rows, now, with_counts=q.has_pattern)
+    return R.blocks(rows, now, with_counts=q.has_pattern or q.since is not None)
 
 
-def snapshot(lines: DataFrame, n: int, q: LogQuery, time_col: str = "file_mtime", year=None) -> DataFrame:
+def snapshot(lines: DataFrame, n: int, q: LogQuery, time_col: str = "file_mtime", year=None,
+             bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """Last 4N lines -> search -> last N output lines when there is no
     pattern -> dedup.
 
-    After the first step every source holds at most 4N rows; the search is
-    the one-shuffle plan and the last-N cut a window over those few rows.
+    After the first step every source holds at most 4N rows, so the last-N
+    cut is a window over those few rows.
     """
     recent = L.tail_lines(lines, max(4 * n, n))
     rows = L.select_lines(recent, LogQuery(q.pattern, q.ignore_case, q.ignore, q.since, q.before, q.after, False),
-                          time_col, year, plan="auto")
+                          time_col, year, plan="auto", bucket_width=bucket_width)
     if not q.has_pattern:
         w = Window.partitionBy("path").orderBy(F.col("line_no").desc(), F.col("sub").desc())
         rows = rows.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-    if q.dedup:
-        rows = L.dedup_block(rows)
-    return rows
+    return L.dedup(rows, bucket_width) if q.dedup else rows
 
 
 def search_files(
@@ -76,4 +75,4 @@ def search_files(
         gz = F.lower(F.col("path")).endswith(".gz")
         lines = last_bytes(lines.filter(~gz), window_bytes).unionByName(first_bytes(lines.filter(gz), window_bytes))
     rows = search(lines, q, "file_mtime", year, "auto", bucket_width)
-    return R.blocks(rows, now, with_counts=q.has_pattern)
+    return R.blocks(rows, now, with_counts=q.has_pattern or q.since is not None)

@@ -1,70 +1,34 @@
-"""Plain-Python statement of the search semantics, used as the reference in
-random tests (one file at a time, list positions as line numbers)."""
+"""The search semantics as sets of positions of one file, for random tests."""
 
 from __future__ import annotations
 
 import re
+from itertools import groupby
 
 
-def select_lines(lines, pattern, before, after, ignore=(), eligible=None):
-    n = len(lines)
-    ig = [re.compile(p) for p in ignore]
-    el = [not any(r.search(l) for r in ig) for l in lines]
-    if eligible is not None:
-        el = [a and b for a, b in zip(el, eligible)]
+def selected(lines, pattern, before=0, after=0, ignore=()):
+    """Positions of the lines that a search returns."""
+    noise = {p for p, line in enumerate(lines) if any(re.search(x, line) for x in ignore)}
+    usable = set(range(len(lines))) - noise
     if pattern is None:
-        return [(i, 1, l) for i, l in enumerate(lines) if el[i]]
-    rx = re.compile(pattern)
-    sel = [False] * n
-    for i, l in enumerate(lines):
-        if el[i] and rx.search(l):
-            for j in range(max(0, i - before), min(n - 1, i + after) + 1):
-                if el[j]:
-                    sel[j] = True
-    out, last = [], -2
-    for i, ok in enumerate(sel):
-        if not ok:
-            continue
-        if last >= 0 and i > last + 1:
-            out.append((i, 0, "--"))
-        out.append((i, 1, lines[i]))
-        last = i
-    return out
-
-
-def dedup(rows):
-    """rows: [(line_no, sub, text)] in order; markers never merge."""
-    out = []
-    i = 0
-    while i < len(rows):
-        ln, sub, t = rows[i]
-        if sub == 0:
-            out.append((ln, sub, t))
-            i += 1
-            continue
-        j = i
-        while j + 1 < len(rows) and rows[j + 1][1] == 1 and rows[j + 1][2] == t:
-            j += 1
-        c = j - i + 1
-        out.append((ln, 1, t if c == 1 else f"{t}  × {c}"))
-        i = j + 1
-    return out
-
-
-def select_blocks(lines, pattern, before, after, ignore=(), width=10**9, dedup_runs=False):
-    """Block-local output: the selection is per file, gap markers and runs
-    only inside a block of ``width`` line numbers."""
-    rows = [r for r in select_lines(lines, pattern, before, after, ignore) if r[1] == 1]
-    out = []
-    blocks = {}
-    for r in rows:
-        blocks.setdefault(r[0] // width, []).append(r)
-    for b in sorted(blocks):
-        part, last = [], None
-        for ln, sub, t in blocks[b]:
-            if pattern is not None and last is not None and ln > last + 1:
-                part.append((ln, 0, "--"))
-            part.append((ln, 1, t))
-            last = ln
-        out.extend(dedup(part) if dedup_runs else part)
+        return usable
+    hits = {p for p in usable if re.search(pattern, lines[p])}
+    return {p for p in usable if hits & set(range(p - after, p + before + 1))}
+
+
+def output(lines, pattern, before=0, after=0, ignore=(), runs=False):
+    """(line_no, sub, text) of the output, sub 0 being a gap marker."""
+    chosen = selected(lines, pattern, before, after, ignore)
+    marked = {p for p in chosen if p - 1 not in chosen and p != min(chosen)} if pattern is not None else set()
+    rows = sorted([(p, 1, lines[p]) for p in chosen] + [(p, 0, "--") for p in marked])
+    if not runs:
+        return rows
+    out, part = [], 0
+    keyed = []
+    for p, sub, text in rows:
+        part += sub == 0
+        keyed.append(((part, sub, text), p))
+    for (_, sub, text), members in groupby(keyed, key=lambda x: x[0]):
+        members = [p for _, p in members]
+        out.append((members[0], sub, text if len(members) == 1 else f"{text}  × {len(members)}"))
     return out

@@ -4,9 +4,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from brute import dedup as bf_dedup
-from brute import select_blocks as bf_blocks
-from brute import select_lines as bf_select
+from brute import output
 from conftest import lines_df
 from loglens.config import LogQuery
 from loglens.operators import lines as L
@@ -18,17 +16,17 @@ def _rows(df, cols=("path", "line_no", "sub", "line")):
     return sorted(tuple(r[c] for c in cols) for r in df.collect())
 
 
-def test_context_and_ignore_vector(spark):
-    df = lines_df(spark, {"/a.log": ["before", "health", "ERROR bad", "after", "far"]})
-    q = LogQuery(pattern="ERROR", before=1, after=1, ignore=("health",))
-    for plan in ("join", "window"):
+def test_context_keeps_the_place_of_noise(spark):
+    df = lines_df(spark, {"/v.log": ["start", "ping", "FATAL disk", "retry", "done"]})
+    q = LogQuery(pattern="FATAL", before=1, after=1, ignore=("ping",))
+    for plan in ("join", "window", "bucket"):
         out = L.select_lines(df, q, plan=plan)
-        assert [r["line"] for r in out.orderBy("line_no", "sub").collect()] == ["ERROR bad", "after"]
+        assert [r["line"] for r in out.orderBy("line_no", "sub").collect()] == ["FATAL disk", "retry"]
 
 
-def test_tail_vector(spark):
-    df = lines_df(spark, {"/t.log": ["1", "2", "3", "4"]})
-    assert [r["line"] for r in L.tail_lines(df, 2).orderBy("line_no").collect()] == ["3", "4"]
+def test_last_lines(spark):
+    df = lines_df(spark, {"/w.log": list("pqrst")})
+    assert [r["line"] for r in L.tail_lines(df, 3).orderBy("line_no").collect()] == ["r", "s", "t"]
 
 
 def _random_files(seed, n_files=6, max_len=60):
@@ -41,56 +39,57 @@ def _random_files(seed, n_files=6, max_len=60):
     return files
 
 
+PLANS = ("auto", "select", "join", "bucket", "window")
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
-@pytest.mark.parametrize("plan", ["join", "window"])
-def test_search_matches_brute_force(spark, seed, plan):
+@pytest.mark.parametrize("width", [2, 7, 1000])
+def test_search_matches_brute_force(spark, seed, width):
+    """The rows are those of the whole file for every plan and bucket width."""
     files = _random_files(seed)
     rnd = random.Random(seed * 7)
-    before, after = rnd.randint(0, 3), rnd.randint(0, 3)
-    q = LogQuery(pattern="ERROR", before=before, after=after, ignore=("noise",))
+    before, after = rnd.randint(0, 3), rnd.randint(0, 9)
     df = lines_df(spark, files)
-    got = _rows(L.select_lines(df, q, plan=plan, bucket_width=7))
-    if plan == "window":  # per-file markers
-        want = sorted((p, ln, sub, t) for p, ls in files.items()
-                      for ln, sub, t in bf_select(ls, "ERROR", before, after, ("noise",)))
-    else:  # block-local markers
-        want = sorted((p, ln, sub, t) for p, ls in files.items()
-                      for ln, sub, t in bf_blocks(ls, "ERROR", before, after, ("noise",), 7))
-    assert got == want
+    for runs in (False, True):
+        q = LogQuery(pattern="ERROR", before=before, after=after, ignore=("noise",), dedup=runs)
+        want = sorted((p, *row) for p, ls in files.items() for row in output(ls, "ERROR", before, after, ("noise",), runs))
+        for plan in PLANS:
+            assert _rows(L.select_lines(df, q, plan=plan, bucket_width=width)) == want, (before, after, runs, plan)
 
 
-@pytest.mark.parametrize("seed", [4, 5])
-def test_dedup_matches_brute_force(spark, seed):
-    files = _random_files(seed)
+@pytest.mark.parametrize("width", [1, 3, 50])
+def test_runs_go_over_bucket_edges(spark, width):
+    files = {"/one.log": ["x"] * 40, "/two.log": ["a", "x", "a", "a", "x", "x", "x"] * 3, **_random_files(4)}
     df = lines_df(spark, files)
-    q = LogQuery(pattern="ERROR|ok", before=1, after=0, dedup=True)
-    for plan in ("join", "bucket"):
-        got = _rows(L.select_lines(df, q, plan=plan))
-        want = sorted((p, ln, sub, t) for p, ls in files.items()
-                      for ln, sub, t in bf_dedup(bf_select(ls, "ERROR|ok", 1, 0)))
-        assert got == want, plan
-    q2 = LogQuery(dedup=True)
-    got2 = _rows(L.select_lines(df, q2, plan="window", bucket_width=3))
-    want2 = sorted((p, ln, sub, t) for p, ls in files.items() for ln, sub, t in bf_dedup(bf_select(ls, None, 0, 0)))
-    assert got2 == want2
-
-
-@pytest.mark.parametrize("seed", [6, 7, 8])
-@pytest.mark.parametrize("width", [4, 7, 1000])
-def test_bucket_plan_block_semantics(spark, seed, width):
-    """Small widths force many blocks and halo copies: the selection must
-    stay per file, markers and runs block-local."""
-    files = _random_files(seed)
-    rnd = random.Random(seed)
-    before, after = rnd.randint(0, 3), rnd.randint(0, 3)
+    got = _rows(L.select_lines(df, LogQuery(dedup=True), bucket_width=width))
+    assert got == sorted((p, *row) for p, ls in files.items() for row in output(ls, None, runs=True))
+
+
+def test_halo_wider_than_a_bucket(spark):
+    df = lines_df(spark, {"/h.log": ["HIT", *"abcdefghijklmnop"]})
+    q = LogQuery(pattern="HIT", after=12)
+    for plan in PLANS:
+        assert L.select_lines(df, q, plan=plan, bucket_width=4).count() == 13
+
+
+def test_match_at_a_bucket_edge(spark):
+    """Matches on both sides of an edge, one line apart, keep their marker."""
+    df = lines_df(spark, {"/e.log": ["ok"] * 7 + ["HIT", "ok", "HIT"] + ["ok"] * 6})
+    for plan in PLANS:
+        rows = _rows(L.select_lines(df, LogQuery(pattern="HIT"), plan=plan, bucket_width=8))
+        assert [(r[1], r[2]) for r in rows] == [(7, 1), (9, 0), (9, 1)]
+
+
+@pytest.mark.parametrize("width", [2, 64])
+def test_snapshot_at_bucket_edges(spark, width):
+    files = _random_files(6, n_files=4)
     df = lines_df(spark, files)
-    for dd in (False, True):
-        q = LogQuery(pattern="ERROR", before=before, after=after, ignore=("noise",), dedup=dd)
-        want = sorted((p, ln, sub, t) for p, ls in files.items()
-                      for ln, sub, t in bf_blocks(ls, "ERROR", before, after, ("noise",), width, dd))
-        for plan in ("bucket", "select", "join"):
-            got = _rows(L.select_lines(df, q, plan=plan, bucket_width=width))
-            assert got == want, (before, after, dd, plan)
+    got = _rows(snapshot(df, 5, LogQuery(pattern="ERROR", before=1, dedup=True), bucket_width=width))
+    want = []
+    for p, ls in files.items():
+        skip = max(0, len(ls) - 20)
+        want += [(p, n + skip, sub, text) for n, sub, text in output(ls[skip:], "ERROR", 1, 0, runs=True)]
+    assert got == sorted(want)
 
 
 def test_drop_repeats_and_gaps_small_buckets(spark):

@@ -22,13 +22,26 @@ def _final(df) -> str:
     return _plan(df)
 
 
-def test_fused_search_is_one_shuffle_without_joins(spark):
+def test_bucket_plan_shuffles_the_lines_once_for_context(spark):
     df = lines_df(spark, {"/a": ["ok", "ERROR x", "ok", "ok"], "/b": ["ERROR y"]})
-    q = LogQuery(pattern="ERROR", before=1, after=1, dedup=True)
-    blocks = R.blocks(L.select_lines(df, q), "2026-01-01 00:00:00", with_counts=False)
-    p = _plan(blocks)
-    assert len(re.findall(r"Exchange hashpartitioning\(path#\d+, bk#\d+L?", p)) == 1
-    assert "Join" not in p
+    p = _plan(L.select_lines(df, LogQuery(pattern="ERROR", before=1, after=1), plan="bucket", markers=False))
+    assert len(re.findall(r"Exchange hashpartitioning", p)) == 1 and "Join" not in p
+
+
+def test_context_sends_positions_only(spark):
+    """The side that names the wanted positions carries no text."""
+    df = lines_df(spark, {"/a": ["ok", "ERROR x", "ok", "ok"], "/b": ["ERROR y"]}).repartition(3)
+    f = L.flag_lines(df, LogQuery(pattern="ERROR"))
+    p = L.context(f, 1, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftSemi" in p and re.search(r"Aggregate \[path#\d+, line_no#\d+L?\], \[path#\d+, line_no#\d+L?\]", p)
+
+
+def test_lines_of_blocks_never_meet_by_path_alone(spark):
+    df = lines_df(spark, {"/a": ["ok", "ERROR x", "ok", "ok"], "/b": ["ERROR y"]})
+    p = _plan(R.blocks(L.select_lines(df, LogQuery(pattern="ERROR")), "2026-01-01 00:00:00"))
+    for at in re.finditer(r"Exchange hashpartitioning\(path#\d+, \d+\)", p):
+        below = p[at.end() :].split("\n")[1]
+        assert "lines" not in below and "_l#" not in below
 
 
 def test_tail_uses_partial_window_group_limit(spark):
