@@ -10,11 +10,16 @@ from __future__ import annotations
 
 import os
 import posixpath
+import re
+from itertools import takewhile
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_JAVA_META = set("\\.[]{}()<>*+-=!?^$|&")
+# What each token of a glob stands for; any other character stands for itself.
+_TOKENS = re.compile(r"\*\*/|\*\*|\*|\?|.", re.S)
+_MEANINGS = {"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+_WILD = re.compile(r"[*?\[]")
 
 
 def expand_home(p: str) -> str:
@@ -31,34 +36,10 @@ def clean(p: str) -> str:
     return out
 
 
-def _quote(ch: str) -> str:
-    return "\\" + ch if ch in _JAVA_META else ch
-
-
 def glob_to_regex(pattern: str) -> str:
     """glob -> anchored regex (valid in Java and in RE2)."""
-    p = clean(expand_home(pattern))
-    out = ["^"]
-    i, n = 0, len(p)
-    while i < n:
-        c = p[i]
-        if c == "*":
-            if i + 1 < n and p[i + 1] == "*":
-                i += 1
-                if i + 1 < n and p[i + 1] == "/":
-                    i += 1
-                    out.append("(?:.*/)?")
-                else:
-                    out.append(".*")
-            else:
-                out.append("[^/]*")
-        elif c == "?":
-            out.append("[^/]")
-        else:
-            out.append(_quote(c))
-        i += 1
-    out.append("$")
-    return "".join(out)
+    tokens = _TOKENS.findall(clean(expand_home(pattern)))
+    return "^" + "".join(_MEANINGS.get(t) or re.sub(r"[^\w/\s]", r"\\\g<0>", t, flags=re.A) for t in tokens) + "$"
 
 
 def glob_match(col: Column | str, pattern: str) -> Column:
@@ -68,20 +49,16 @@ def glob_match(col: Column | str, pattern: str) -> Column:
 
 
 def has_meta(s: str) -> bool:
-    return any(ch in s for ch in "*?[")
+    return _WILD.search(s) is not None
 
 
 def literal_root(pattern: str) -> str:
-    """the directory a glob can be listed from."""
+    """the directory a glob can be listed from: its components before the first with a wildcard."""
     p = expand_home(pattern)
-    idx = next((i for i, ch in enumerate(p) if ch in "*?["), -1)
-    if idx < 0:
+    if not has_meta(p):
         return p
-    prefix = p[:idx]
-    cut = prefix.rfind("/")
-    if cut <= 0:
-        return "/" if p.startswith("/") else "."
-    return prefix[:cut]
+    plain = list(takewhile(lambda part: not has_meta(part), p.split("/")))
+    return "/".join(plain) or ("/" if p.startswith("/") else ".")
 
 
 def check_root(pattern: str) -> str:

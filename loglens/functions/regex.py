@@ -42,6 +42,10 @@ POSIX_CLASSES = {
     "punct": r"\p{Punct}", "space": r"\p{Space}", "upper": r"\p{Upper}",
     "word": r"\w", "xdigit": r"\p{XDigit}",
 }
+# RE2's \\s has no vertical tab.
+_SPACES = r"\t\n\f\r "
+# Flags that RE2 knows, and one-letter or two-letter general categories of \\p; longer names are scripts.
+_FLAGS = set("ims-")
 # ASCII word boundary, as RE2 defines \b (Java 17's \b is Unicode-aware).
 _WORD_BOUNDARY = r"(?:(?<=[0-9A-Za-z_])(?![0-9A-Za-z_])|(?<![0-9A-Za-z_])(?=[0-9A-Za-z_]))"
 # the same boundary when the character after / before it is known to be a word character
@@ -76,8 +80,10 @@ def to_java(pattern: str) -> str:
     * ``[[:alpha:]]`` style classes are expanded (Java would read them as a
       nested class without complaint).
     * Look-around, back-references, possessive and atomic groups, ``\\Z``,
-      ``\\C`` and ``(?U)`` are rejected, as RE2 rejects them or means
-      something else by them.
+      ``\\C``, ``(?U)`` and flags that RE2 doesn't know are rejected, as RE2
+      rejects them or means something else by them.
+    * ``\\s`` is ``[\\t\\n\\f\\r ]``; ``\\p{Greek}`` and other scripts become
+      ``\\p{IsGreek}``; ``{,n}`` is literal text.
     """
     out: list[str] = []
     i, n = 0, len(pattern)
@@ -102,6 +108,14 @@ def to_java(pattern: str) -> str:
                 raise UnsupportedPattern(f"\\{d} is not supported")
             if d == "v":
                 out.append("\\x0B")
+            elif d == "s":
+                out.append(_SPACES if in_class else f"[{_SPACES}]")
+            elif d == "S":
+                out.append(f"[^{_SPACES}]")  # inside a class this is a union
+            elif d in "pP" and (name := re.match(r"\{(\^?)(\w{3,})\}", pattern[i + 2 :])):
+                other = d if not name[1] else {"p": "P", "P": "p"}[d]
+                out.append(f"\\{other}{{Is{name[2]}}}" if name[2] != "Any" else "[\\x{0}-\\x{10FFFF}]")
+                i += name.end()
             elif d == "b" and not in_class:
                 nxt = pattern[i + 2:i + 3]
                 prv = "".join(out)[-1:] if out else ""
@@ -175,8 +189,12 @@ def to_java(pattern: str) -> str:
             while j < len(rest) and rest[j] not in ":)":
                 flags += rest[j]
                 j += 1
-            if "U" in flags:
-                raise UnsupportedPattern("(?U) is not supported")
+            if rest[j : j + 1] in (":", ")") and not flags.startswith(("<", "P")) and not set(flags) <= _FLAGS:
+                raise UnsupportedPattern(f"(?{flags}) is not supported")
+        if c == "{" and re.match(r"\{,\d*\}", pattern[i:]):
+            out.append("\\{")
+            i += 1
+            continue
         if c in "*+?}" and i + 1 < n and pattern[i + 1] == "+":
             raise UnsupportedPattern("possessive quantifiers are not supported")
         out.append(c)

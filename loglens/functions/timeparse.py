@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 # Whitespace trimmed by the original tool (Unicode White_Space in Latin-1 + Z*).
 SPACE_CLASS = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 MIN_PREFIX = 15
-PREFIX_WINDOW = 40  # > the widest layout (35) + one look-ahead character
 # (token regex, max prefix width, Spark format or None for ISO-8601 cast).
 # The year-less layout is 14 characters with a one-digit hour; the prefix it
 # is read from must still be 15 long, so a white space has to follow then.
@@ -80,10 +79,7 @@ def prefix_time(col: Column | str, year: int | Column | None = None) -> Column:
     the session clock, as the original tool does).  Deviation: a JSON time
     value with leading white space is not read.
     """
-    # every layout token is at most 35 characters from the start (plus one
-    # look-ahead character), so the regexes only ever see a short prefix:
-    # the cost per line does not grow with the line's length
-    s = F.substring(_c(col), 1, PREFIX_WINDOW)
+    s = _c(col)  # the layouts are anchored at its start
     y = _year(year)
     return F.coalesce(*[_layout_time(s, r, w, f, y) for r, w, f in LAYOUTS])
 

@@ -26,7 +26,6 @@ def q(s: str) -> str:
 
 def prefix_time(expr: str, year: int) -> str:
     parts = []
-    expr = f"left({expr}, 40)"
     for (tok_re, width, _), fmt in zip(LAYOUTS, _DUCK_FORMATS):
         tok = f"regexp_extract({expr}, {q('^(' + tok_re + ')')}, 1)"
         norm = f"replace(regexp_replace({tok}, ' +', ' ', 'g'), ',', '.')"

@@ -5,6 +5,8 @@ One lazy plan per call; the driver only builds it.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,12 +66,15 @@ def search_files(
     ordinals -> optional read window -> search -> one JSON-ready block per
     source.
 
+    A pattern without a time bound means the last 24 hours before ``now``.
     ``paths`` are files, directories or globs.  ``window_bytes`` applies the
     original tool's read window (last N bytes of plain files, first N bytes
     of decompressed gzip files); off by default.
     """
     from loglens.sources.text import first_bytes, last_bytes, read_lines, with_line_no
 
+    q = q.with_defaults(dt.datetime.fromisoformat(now) if isinstance(now, str) else now)
+
     lines = with_line_no(read_lines(spark, paths), ordinal).select("path", "file_mtime", "line_no", "line")
     if window_bytes:
         gz = F.lower(F.col("path")).endswith(".gz")

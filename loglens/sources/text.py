@@ -15,14 +15,11 @@ from pyspark.sql import functions as F
 
 from loglens.operators.ordered import DEFAULT_BUCKET_LINES, running_count
 
-# broadcast the per-split offsets only below this many split rows
-# (a row is a path plus three longs: ~200k rows stay around 25 MB);
-# above it the split table joins by shuffle
-MAX_BROADCAST_SPLITS = 200_000
-
 
 def _plain_path(c: Column) -> Column:
-    return F.regexp_replace(c, r"^file:(//)?", "")
+    """The path without scheme and without the URI's escapes, as file listings have it."""
+    plain = F.regexp_replace(c, r"^file:(//)?", "")
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B")))
 
 
 def read_lines(
@@ -31,16 +28,17 @@ def read_lines(
     path_regex: str | None = None,
     modified_after: str | None = None,
     recursive: bool = False,
-    skip_bad_files: bool = True,
+    skip_bad_files: bool = False,
 ) -> DataFrame:
     """``path, file_mtime, line, _block`` for every line of the files.
 
     Lines end at ``\\n`` only; up to two trailing ``\\r`` are dropped (F8).
     Path and age predicates apply to ``_metadata`` right at the scan, so
-    they prune files before any row is read.  With ``skip_bad_files`` a file
-    that cannot be read (corrupt gzip, deleted meanwhile) is skipped instead
-    of failing the job, as the original tool skips it; a gzip broken half-way
-    still yields the lines before the damage.
+    they prune files before any row is read.  A file that cannot be read
+    (corrupt gzip, deleted meanwhile) fails the job, unless
+    ``skip_bad_files`` is set; ``skipped_files`` then tells which files are
+    missing from the result.  A gzip broken half-way still yields the lines
+    before the damage.
     """
     r = spark.read.option("lineSep", "\n")
     if skip_bad_files:
@@ -60,14 +58,22 @@ def read_lines(
     )
 
 
+def skipped_files(spark: SparkSession, roots: str | Sequence[str]) -> DataFrame:
+    """Files below the roots with bytes of which ``skip_bad_files`` gives no line: ``path, size``."""
+    from loglens.sources.catalog import list_files
+
+    roots = [roots] if isinstance(roots, str) else list(roots)
+    read = read_lines(spark, roots, recursive=True, skip_bad_files=True).select("path").distinct()
+    return list_files(spark, roots).where(F.col("size") > 0).join(read, "path", "left_anti").select("path", "size")
+
+
 def with_line_no(df: DataFrame, method: str = "scalable") -> DataFrame:
     """S3: 0-based line ordinal within each file.
 
     * ``scalable``: rows of one split are contiguous in
       ``monotonically_increasing_id``; a per-split table (``min`` id, row
       count) gets prefix sums over the splits of a file and is joined back.
-      No per-file sort.  The split table is broadcast when the number of
-      splits -- known from the file listing -- is small enough.
+      No per-file sort; AQE picks the join by the split table's real size.
     * ``simple``: ``row_number`` over the file ordered by split and id (one
       sort per file).
 
@@ -80,13 +86,6 @@ def with_line_no(df: DataFrame, method: str = "scalable") -> DataFrame:
     splits = t.groupBy("path", "_block").agg(F.min("_mid").alias("_min"), F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy("path").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     splits = splits.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
-    try:
-        n_files = len(df.inputFiles())
-        n_parts = df.rdd.getNumPartitions()
-    except Exception:  # listing unavailable (streaming or non-file source)
-        n_files, n_parts = MAX_BROADCAST_SPLITS, MAX_BROADCAST_SPLITS
-    if n_files + n_parts <= MAX_BROADCAST_SPLITS:
-        splits = F.broadcast(splits)
     res = t.join(splits, ["path", "_block"])
     return res.withColumn("line_no", (F.col("_base") + F.col("_mid") - F.col("_min")).cast("long")).drop(
         "_mid", "_min", "_base", "_block"

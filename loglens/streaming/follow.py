@@ -17,9 +17,9 @@ kind, observed_at``; markers (``kind`` rotated/truncated) pass through.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -29,16 +29,17 @@ from loglens.config import MAX_BATCH_LINES, MAX_BUFFER_LINES, LogQuery
 from loglens.functions import regex as rx
 from loglens.operators import lines as L
 
+# --- fixed values: notices that users see -----------------------------------------
 ROTATED_NOTICE = "↻ file rotated/replaced"
 TRUNCATED_NOTICE = "↻ file truncated"
-DROPPED_NOTICE = "⚠ skipped {n} older buffered lines (hot log)"
+DROPPED_NOTICE = ("⚠ skipped ", " older buffered lines (hot log)")
+# ---------------------------------------------------------------------------------------
 
 OUT_SCHEMA = "path string, gen long, offset long, seq long, line string, observed_at timestamp"
-STATE_SCHEMA = "seq long, last_emitted long, after_remaining long, prev_seq array<long>, prev_text array<string>"
-
-
-def _notice(kind: str) -> str:
-    return ROTATED_NOTICE if kind == "rotated" else TRUNCATED_NOTICE
+STATE_SCHEMA = (
+    "seen long, wanted_until long, emitted long, "
+    "kept array<struct<at:long,gen:long,offset:long,line:string>>"
+)
 
 
 def follow_filter(stream: DataFrame, q: LogQuery, year=None) -> DataFrame:
@@ -53,84 +54,88 @@ def follow_filter(stream: DataFrame, q: LogQuery, year=None) -> DataFrame:
                                          .otherwise(TRUNCATED_NOTICE)).otherwise(F.col("line")))
 
 
-def _runs(items: list[tuple[int, int, str, object]]) -> list[tuple[int, int, str, object]]:
-    """Consecutive equal lines of one batch -> ``line  × n`` (first keeps its position)."""
-    out = []
-    i = 0
-    while i < len(items):
-        j = i
-        while j + 1 < len(items) and items[j + 1][2] == items[i][2]:
-            j += 1
-        c = j - i + 1
-        g, off, text, obs = items[i]
-        out.append((g, off, text if c == 1 else f"{text}  × {c}", obs))
-        i = j + 1
-    return out
+def _collapsed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Consecutive equal lines of one batch -> ``line  × n`` at the first one's place."""
+    run = (rows["line"] != rows["line"].shift()).cumsum()
+    first = rows.groupby(run, sort=False).first()
+    n = rows.groupby(run, sort=False).size()
+    first["line"] = [t if k == 1 else f"{t}  × {k}" for t, k in zip(first["line"], n)]
+    return first
+
+
+class _FileSoFar:
+    """What a file's next lines need to know of those before: positions count
+    the lines that noise filters let through, since the file (re)started."""
+
+    def __init__(self, seen=0, wanted_until=0, emitted=0, kept=()):
+        self.seen, self.wanted_until, self.emitted = seen, wanted_until, emitted
+        self.kept = [(int(k["at"]), int(k["gen"]), int(k["offset"]), k["line"]) for k in kept]
+
+    def add(self, part: pd.DataFrame, q: LogQuery) -> pd.DataFrame:
+        """The selected rows among the kept lines and the part's, each once."""
+        n = len(part)
+        at = np.arange(self.seen + 1, self.seen + n + 1)
+        old = pd.DataFrame(self.kept, columns=["at", "gen", "offset", "line"])
+        rows = pd.concat([old, part.assign(at=at)[["at", "gen", "offset", "line", "observed_at"]]], ignore_index=True)
+        place = rows["at"].to_numpy(np.int64)
+        if q.has_pattern:
+            hits = at[part["is_match"].to_numpy(bool)]
+            # the next match at or after a line, and the last one at or before it
+            following = np.append(hits, np.iinfo(np.int64).max)[np.searchsorted(hits, place)]
+            leading = np.append(-q.after - 1, hits)[np.searchsorted(hits, place, side="right")]
+            wanted = (following - q.before <= place) | (leading + q.after >= place) & (leading > 0) | (place <= self.wanted_until)
+            if len(hits):
+                self.wanted_until = int(hits[-1]) + q.after
+        else:
+            wanted = np.ones(len(rows), bool)
+        chosen = rows[wanted & (place > self.emitted)]
+        self.seen += n
+        if len(chosen):
+            self.emitted = int(chosen["at"].iloc[-1])
+        last = rows[place > self.seen - q.before] if q.before else rows.iloc[:0]
+        self.kept = list(last[["at", "gen", "offset", "line"]].itertuples(index=False, name=None))
+        if chosen["observed_at"].isna().any():  # a kept line is shown with what made it wanted
+            chosen = chosen.assign(observed_at=chosen["observed_at"].fillna(part["observed_at"].iloc[0]))
+        return chosen.drop(columns="at")
 
+    def state(self) -> tuple:
+        return self.seen, self.wanted_until, self.emitted, [tuple(k) for k in self.kept]
 
-def _make_stateful(q: LogQuery):
-    pattern = rx.severity_pattern(q.pattern) if q.pattern else None
-    flags = re.IGNORECASE if q.ignore_case else 0
-    # the same RE2-style pattern, run by Python's engine inside the task
-    match_re = re.compile(pattern, flags) if pattern else None
-    ignore_res = [re.compile(p) for p in q.ignore]
-    before, after = q.before, q.after
 
+def _make_stateful(q: LogQuery):
     def step(key, pdfs: Iterator[pd.DataFrame], state):
         (path,) = key
+        file = _FileSoFar()
         if state.exists:
-            seq, last_emitted, after_rem, pseq, ptext = state.get
-            prev = list(zip(list(pseq or []), list(ptext or [])))
-        else:
-            seq, last_emitted, after_rem, prev = 0, 0, 0, []
+            seen, until, emitted, kept = state.get
+            file = _FileSoFar(seen, until, emitted, [k if isinstance(k, dict) else k.asDict() for k in (kept if kept is not None else [])])
         frames = [p for p in pdfs if len(p)]
         if not frames:
             return
         rows = pd.concat(frames)
-        rows = rows.assign(_line=(rows["kind"] == "line")).sort_values(["gen", "offset", "_line"])
-        out_lines: list[tuple[int, int, str, object]] = []
-        for g, off, line, kind, obs in zip(rows["gen"], rows["offset"], rows["line"], rows["kind"], rows["observed_at"]):
-            g = int(g)
-            if kind != "line":
-                if kind == "rotated":
-                    seq, last_emitted, after_rem, prev = 0, 0, 0, []
-                out_lines.append((g, int(off), _notice(kind), obs))
-                continue
-            if any(r.search(line) for r in ignore_res):
-                continue
-            seq += 1
-            hit = match_re is not None and match_re.search(line) is not None
-            if match_re is None or hit:
-                if match_re is not None:
-                    for ps, pt in prev:
-                        if ps > last_emitted:
-                            out_lines.append((g, int(off), pt, obs))
-                            last_emitted = ps
-                if seq > last_emitted:
-                    out_lines.append((g, int(off), line, obs))
-                    last_emitted = seq
-                if hit:
-                    after_rem = after
-            elif after_rem > 0:
-                if seq > last_emitted:
-                    out_lines.append((g, int(off), line, obs))
-                    last_emitted = seq
-                after_rem -= 1
-            if before > 0:
-                prev.append((seq, line))
-                prev = prev[-before:]
-        state.update((seq, last_emitted, after_rem, [p[0] for p in prev], [p[1] for p in prev]))
-        if q.dedup:
-            out_lines = _runs(out_lines)
-        if out_lines:
-            yield pd.DataFrame({
-                "path": [path] * len(out_lines),
-                "gen": [g for g, _, _, _ in out_lines],
-                "offset": [o for _, o, _, _ in out_lines],
-                "seq": list(range(len(out_lines))),
-                "line": [t for _, _, t, _ in out_lines],
-                "observed_at": [ob for _, _, _, ob in out_lines],
-            })
+        rows = rows.assign(_line=rows["kind"] == "line").sort_values(["gen", "offset", "_line"], ignore_index=True)
+        out = []
+        # parts between markers
+        for _, part in rows.groupby((~rows["_line"]).cumsum(), sort=True):
+            if not part["_line"].iloc[0]:
+                head = part.iloc[0]
+                if head["kind"] == "rotated":
+                    file = _FileSoFar()
+                notice = ROTATED_NOTICE if head["kind"] == "rotated" else TRUNCATED_NOTICE
+                out.append(part.iloc[:1][["gen", "offset", "observed_at"]].assign(line=notice))
+                part = part.iloc[1:]
+            if len(part):
+                out.append(file.add(part, q))
+        state.update(file.state())
+        out = [x for x in out if len(x)]
+        if not out:
+            return
+        shown = pd.concat(out, ignore_index=True)
+        shown = _collapsed(shown) if q.dedup else shown
+        yield pd.DataFrame({
+            "path": [path] * len(shown), "gen": shown["gen"].astype("int64").to_numpy(), "offset": shown["offset"].astype("int64").to_numpy(),
+            "seq": np.arange(len(shown)), "line": shown["line"].to_numpy(), "observed_at": pd.to_datetime(shown["observed_at"]).to_numpy(),
+        })
 
     return step
 
@@ -138,11 +143,17 @@ def _make_stateful(q: LogQuery):
 def follow_context(stream: DataFrame, q: LogQuery) -> DataFrame:
     """The stream-side search with context, per file state.
 
-    A group is one file's rows of one micro-batch -- bounded by the source's
-    per-file admission (``maxBytesPerFile``) -- so no group grows with the
-    data.  ``since`` is not applied here (T11: follow drops it).
+    Patterns run before the group, by the same engine and dialect as in T1:
+    noise leaves there, and the group gets flags and positions.  A group is
+    one file's rows of one micro-batch -- bounded by the source's per-file
+    admission (``maxBytesPerFile``) -- so no group grows with the data.
+    ``since`` is the caller's filter on the stream (``follow`` applies it).
     """
-    return stream.groupBy("path").applyInPandasWithState(
+    pattern = rx.severity_pattern(q.pattern) if q.pattern else None
+    line = F.col("line")
+    hit = F.coalesce(rx.match(line, pattern, q.ignore_case), F.lit(False))
+    flagged = stream.filter((F.col("kind") != "line") | ~rx.ignored(line, q.ignore)).withColumn("is_match", hit)
+    return flagged.groupBy("path").applyInPandasWithState(
         _make_stateful(q), OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
 
@@ -153,13 +164,14 @@ PENDING_SCHEMA = "path string, b long, gen long, offset long, seq long, line str
 
 
 def read_version(spark: SparkSession, root: str, version: int, schema: str) -> DataFrame:
-    """State table written by batch ``version`` (empty when there is none)."""
+    """State table written by batch ``version``; empty only before the first batch.
+
+    A version that can't be read fails the batch: taking it for empty would
+    lose state silently.
+    """
     if version < 0:
         return spark.createDataFrame([], schema)
-    try:
-        return spark.read.schema(schema).parquet(os.path.join(root, f"v={version}"))
-    except Exception:  # noqa: BLE001 - no state yet
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(os.path.join(root, f"v={version}"))
 
 
 def fair_flush(
@@ -197,8 +209,7 @@ def fair_flush(
         out = kept.filter(F.col("_k") <= per_source)
         notices = out.filter((F.col("_k") == 1) & (F.col("_dropped") > 0)).select(
             "path", F.lit(0).cast("long").alias("k"),
-            F.concat(F.lit("⚠ skipped "), F.col("_dropped").cast("string"),
-                     F.lit(" older buffered lines (hot log)")).alias("line"))
+            F.concat(F.lit(DROPPED_NOTICE[0]), F.col("_dropped").cast("string"), F.lit(DROPPED_NOTICE[1])).alias("line"))
         emitted = out.select("path", F.col("_k").cast("long").alias("k"), "line").unionByName(notices)
         emitted.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch_id={batch_id}"))
         rest = kept.filter(F.col("_k") > per_source).select("path", "b", "gen", "offset", "seq", "line")
@@ -207,6 +218,13 @@ def fair_flush(
     return flush
 
 
+def _recent(stream: DataFrame, q: LogQuery, year=None) -> DataFrame:
+    """Markers and the lines that ``since`` lets through: one rule with and without context."""
+    if q.since is None:
+        return stream
+    return stream.filter((F.col("kind") != "line") | L.since_ok(F.col("line"), F.col("observed_at"), q.since, year))
+
+
 def search_then_follow(spark: SparkSession, path: str, q: LogQuery, year=None, **options) -> DataFrame:
     """Search the files and keep following them as ONE stream.
 
@@ -220,8 +238,7 @@ def search_then_follow(spark: SparkSession, path: str, q: LogQuery, year=None, *
     opts = {"startingLines": -1, **options}
     src = tail_stream(spark, path, **opts)
     if q.before or q.after or q.dedup:
-        # too-old lines leave first (markers pass), then the stateful context
-        return follow_context(follow_filter(src, LogQuery(None, False, (), q.since), year), q)
+        return follow_context(_recent(src, q, year), q)
     return follow_filter(src, q, year)
 
 
@@ -245,7 +262,7 @@ def follow(
     state_dir = state_dir or new_state_dir(spark, "follow")
     src = tail_stream(spark, path, **source_options)
     if q.before or q.after or q.dedup:
-        rows = follow_context(src, q)
+        rows = follow_context(_recent(src, q), q)
     else:
         rows = follow_filter(src, q).withColumn("seq", F.lit(0).cast("long"))
     return (rows.writeStream.foreachBatch(fair_flush(spark, state_dir, out_dir))

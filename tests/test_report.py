@@ -12,26 +12,29 @@ def _events(spark, rows):
                                  "source string, line string, at string").withColumn("at", F.col("at").cast("timestamp"))
 
 
-def test_alert_counts_and_rate(spark):
-    ev = _events(spark, [("/srv/api.log", "ERROR timeout", -10), ("/srv/api.log", "ERROR timeout", -5),
-                         ("/srv/worker.log", "ERROR job failed", -2)])
-    groups = R.top_alerts(R.alert_groups(ev, "at")).collect()
-    assert len(groups) == 2
-    assert groups[1]["line"] == "ERROR timeout" and groups[1]["count"] == 2
-    assert groups[1]["first"] == NOW - dt.timedelta(seconds=10) and groups[1]["last"] == NOW - dt.timedelta(seconds=5)
-    assert R.trailing_rate(ev, NOW).first()["rate"] == 3
-
-
-def test_rate_prunes_outside_window(spark):
-    ev = _events(spark, [("/a", "ERROR old", -120), ("/a", "ERROR current", -1), ("/a", "ERROR edge", -60)])
+def test_groups_count_and_span(spark):
+    ev = _events(spark, [("/x.log", "disk full", -40), ("/x.log", "disk full", -3), ("/y.log", "disk full", -9), ("/x.log", "disk full", -20)])
+    groups = {(r["source"], r["line"]): (r["count"], r["first"], r["last"]) for r in R.top_alerts(R.alert_groups(ev, "at")).collect()}
+    ago = lambda s: NOW - dt.timedelta(seconds=s)
+    assert groups == {("/x.log", "disk full"): (3, ago(40), ago(3)), ("/y.log", "disk full"): (1, ago(9), ago(9))}
+
+
+def test_trailing_minute_has_both_ends(spark):
+    ev = _events(spark, [("/x", str(s), s) for s in (-3600, -61, -60, -59, 0, 1)])
+    r = R.trailing_rate(ev, NOW).first()
+    assert (r["rate"], r["rate_capped"], r["rate_label"]) == (3, False, "3")
+
+
+def test_large_rate_is_exact_and_labelled(spark):
+    ev = spark.range(100_005).select(F.lit(NOW).cast("timestamp").alias("at"))
     r = R.trailing_rate(ev, NOW).first()
-    assert r["rate"] == 2 and r["rate_capped"] is False
+    assert (r["rate"], r["rate_capped"], r["rate_label"]) == (100_005, True, "100000+")
 
 
-def test_group_bound_keeps_most_recent(spark):
-    ev = _events(spark, [("/srv/api.log", f"ERROR request={i}", i) for i in range(201)])
-    top = R.top_alerts(R.alert_groups(ev, "at")).collect()
-    assert len(top) == 200 and {r["line"] for r in top} == {f"ERROR request={i}" for i in range(1, 201)}
+def test_latest_groups_stay(spark):
+    ev = _events(spark, [("/x.log", f"id {i % 230}", i) for i in range(460)])
+    kept = R.top_alerts(R.alert_groups(ev, "at")).collect()
+    assert {r["line"] for r in kept} == {f"id {i}" for i in range(30, 230)} and {r["count"] for r in kept} == {2}
 
 
 def test_rate_series(spark):

@@ -134,9 +134,27 @@ def test_search_files_end_to_end(spark):
     assert len(js) == 2
 
 
-def test_corrupt_gzip_is_skipped(spark):
+def test_paths_are_decoded_and_join_the_listing(spark):
+    from loglens.sources.catalog import list_files
+
+    d = _dir()
+    names = ["my app%1.log", "a+b.log", "é ü.log", "x%20y.log"]
+    for n in names:
+        _write(d, n, b"one\ntwo\n")
+    lines = scan(spark, d)
+    assert {os.path.basename(r.path) for r in lines.select("path").distinct().collect()} == set(names)
+    assert lines.join(list_files(spark, [d]), "path").count() == 8
+
+
+def test_bad_files_fail_or_are_told(spark):
+    import pytest
+
+    from loglens.sources.text import skipped_files
+
     d = _dir()
-    _write(d, "bad.log.gz", b"this is not gzip data\n")
-    _write(d, "good.log", b"fine\n")
-    got = [(os.path.basename(p), l) for p, _, l in _lines(scan(spark, d))]
-    assert got == [("good.log", "fine")]
+    _write(d, "good.log", b"x\n")
+    _write(d, "bad.log.gz", b"this is no gzip")
+    with pytest.raises(Exception):
+        scan(spark, d).count()
+    assert scan(spark, d, skip_bad_files=True).count() == 1
+    assert [os.path.basename(r.path) for r in skipped_files(spark, d).collect()] == ["bad.log.gz"]

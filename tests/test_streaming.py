@@ -133,6 +133,65 @@ def test_follow_filter_and_context(spark):
         fq.stop()
 
 
+def _plain_follow(batches, pattern, before, after, ignore):
+    """Lines shown after each batch, by definition: wanted lines not shown yet, in order."""
+    import re
+
+    lines, shown, out = [], set(), []
+    for batch in batches:
+        lines += [x for x in batch if not any(re.search(i, x) for i in ignore)]
+        hits = [p for p, x in enumerate(lines) if re.search(pattern, x)]
+        wanted = [p for p in range(len(lines)) if any(h - before <= p <= h + after for h in hits)]
+        late = max(shown, default=-1)
+        out.append([lines[p] for p in wanted if p > late])
+        shown |= set(wanted)
+    return out
+
+
+def test_follow_context_on_random_batches():
+    import random
+
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, (*value[:3], [dict(zip(("at", "gen", "offset", "line"), k)) for k in value[3]])
+
+    rng = random.Random(7)
+    for _ in range(200):
+        before, after = rng.randint(0, 3), rng.randint(0, 3)
+        q = LogQuery(pattern="E", before=before, after=after, ignore=("n",))
+        batches = [[rng.choice(["E", "a", "b", "n", "c"]) + str(rng.random()) for _ in range(rng.randint(0, 8))] for _ in range(5)]
+        step, state, offset, got = FW._make_stateful(q), State(), 0, []
+        for batch in batches:
+            kept = [x for x in batch if "n" not in x]
+            frame = pd.DataFrame({"gen": 0, "offset": range(offset, offset + len(kept)), "line": kept, "kind": "line", "observed_at": pd.Timestamp(0),
+                                  "is_match": ["E" in x for x in kept]})
+            offset += len(kept)
+            got.append([x for f in step(("p",), iter([frame]), state) for x in f["line"]])
+        assert got == _plain_follow(batches, "E", before, after, ("n",))
+
+
+def test_follow_dialect_is_the_same_with_context(spark):
+    d = _tmp()
+    p = os.path.join(d, "r.log")
+    _append(p, "ends in err\ncode 500 é\nxERR\nplain\n")
+    for pattern, want in ((r"err\z", ["ends in err"]), (r"[[:digit:]]{3}", ["code 500 é"]), (r"x(?i)err", ["xERR"]), (r"\pL\z", ["ends in err", "code 500 é", "xERR", "plain"])):
+        src = tail_stream(spark, p, startingLines=-1)
+        got = []
+        for make in (FW.follow_filter, FW.follow_context):
+            name = "t_" + uuid.uuid4().hex[:8]
+            q = _mem(make(src, LogQuery(pattern=pattern)), name, os.path.join(_tmp(), "c"))
+            try:
+                q.processAllAvailable()
+                got.append([r["line"] for r in spark.sql(f"SELECT * FROM {name} ORDER BY offset").collect()])
+            finally:
+                q.stop()
+        assert got == [want, want], pattern
+
+
 def test_follow_dedup_inside_batch(spark):
     d = _tmp()
     p = os.path.join(d, "d.log")
