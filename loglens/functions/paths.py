@@ -67,3 +67,18 @@ def is_rotated(col: Column | str) -> Column:
 def process_text(comm: Column | str, cmdline: Column | str) -> Column:
     """searchable text of a process."""
     return F.lower(F.concat(F.trim(_c(comm)), F.lit(" "), F.translate(_c(cmdline), "\u0000", " ")))
+
+
+# ---- the same predicates on one name, for driver-side listings ----------------------
+
+def likely_log(name: str) -> bool:
+    """P9 for a base name."""
+    b = name.lower().removesuffix(".gz")
+    return b.endswith(LOG_EXTENSIONS) or ".log." in b or b in LOG_NAMES or ("." not in b and "log" in b)
+
+
+def rotated(name: str) -> bool:
+    """P10 for a base name."""
+    b = name.lower()
+    parts = b.split(".log.")
+    return b.endswith(".gz") or ".log-" in b or (len(parts) > 1 and parts[1] != "")

@@ -7,9 +7,9 @@ files at every trigger and plans byte ranges, executors read the ranges.
 Offset (JSON)::
 
     {"ts": <epoch ms of the listing>,
-     "files": {path: {"id": "dev:ino", "pos": <next unread byte>,
+     "files": {path: {"id": "dev:ino", "pos": <next unread byte>, "size": <bytes>,
                       "from": <first byte of this file generation>,
-                      "long": <inside an over-long line>}}}
+                      "long": <inside an over-long line>, "gen": <generation>}}}
 
 ``pos`` always sits just after a ``\\n`` (or inside an over-long line, see
 below), so a range never splits a line.  Per range:
@@ -24,7 +24,16 @@ below), so a range never splits a line.  Per range:
   ``[0, pos)``;
 * otherwise ``[prev.pos, pos)``.
 
-Options: ``path`` (comma-separated globs/files), ``maxBytesPerFile``
+Ranges are cut from the start offset that Spark hands to ``partitions``, so
+after a restart they go on where the checkpoint ends.  The first listing of a
+query can't know an earlier offset: it marks its entries ``resumed`` and takes
+each file up to its last newline, however much that is; later listings admit
+``maxBytesPerFile``.  A file that a listing doesn't find
+or can't read keeps its entry for ``KEEP_GONE`` listings.
+
+Options: ``path`` (comma-separated files, globs and directories; rotated
+names that a glob or directory gives are not followed, of a directory's files
+only likely logs), ``maxBytesPerFile``
 (4 MiB, admission per trigger), ``startingLines`` (10: a file starts with
 its last N lines; ``-1`` = from its first byte), ``lineCap`` (2 MiB: a line
 longer than this is emitted as ``[truncated long line] `` + its last
@@ -50,20 +59,29 @@ from dataclasses import dataclass
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from loglens.config import DEFAULT_LINES, FOLLOW_READ_BYTES, LINE_CAP_BYTES
+from loglens.functions.paths import likely_log, rotated
 
 SCHEMA = "path string, gen long, offset long, line string, kind string, observed_at timestamp"
 TRUNCATED_TAG = "[truncated long line] "
 BLOCK = 64 * 1024
 
 
+# Listings for which a file that isn't found keeps its place.
+KEEP_GONE = 600
+
+
 def _list(patterns: str) -> list[str]:
+    """Files named outright, and current (not rotated) ones that globs and directories give."""
     out: set[str] = set()
-    for p in (x.strip() for x in patterns.split(",")):
-        if not p:
-            continue
-        for f in _glob.glob(os.path.expanduser(p), recursive=True):
-            if os.path.isfile(f):
-                out.add(os.path.abspath(f))
+    for p in filter(None, (x.strip() for x in patterns.split(","))):
+        p = os.path.expanduser(p)
+        if os.path.isdir(p):
+            found = (os.path.join(d, n) for d, _, names in os.walk(p) for n in names if likely_log(n) and not rotated(n))
+        elif _glob.has_magic(p):
+            found = (f for f in _glob.glob(p, recursive=True) if not rotated(os.path.basename(f)))
+        else:
+            found = iter([p])
+        out.update(os.path.abspath(f) for f in found if os.path.isfile(f))
     return sorted(out)
 
 
@@ -82,33 +100,17 @@ def _last_newline(f, lo: int, hi: int) -> int:
 
 
 def _last_lines_start(f, size: int, n: int) -> int:
-    """Start of the last ``n`` complete lines (read backwards, at most 4 MiB)."""
+    """Start of the last ``n`` complete lines, read backwards as far as needed."""
     if n < 0:
         return 0
     if size == 0 or n == 0:
         return size
-    base = size
-    data = b""
-    while base > 0 and data.count(b"\n") <= n and len(data) <= FOLLOW_READ_BYTES:
-        take = min(BLOCK, base)
-        base -= take
-        f.seek(base)
-        data = f.read(take) + data
-    last = data.rfind(b"\n")
-    if last < 0:
-        return base  # no complete line yet
-    body = data[:last]  # complete lines, without the final terminator
-    k = len(body)
+    end = _last_newline(f, 0, size)
     for _ in range(n):
-        k = body.rfind(b"\n", 0, k)
-        if k < 0:
-            break
-    if k >= 0:
-        return base + k + 1
-    if base == 0:
-        return 0
-    first = data.find(b"\n")  # window cut by the size guard: start at a line boundary
-    return base + first + 1
+        if end < 0:
+            return 0
+        end = _last_newline(f, 0, end)
+    return end + 1
 
 
 def _find_by_id(path: str, fid: str) -> str | None:
@@ -126,45 +128,38 @@ def _find_by_id(path: str, fid: str) -> str | None:
     return None
 
 
-def _plan_file(path: str, prev: dict | None, max_bytes: int, start_lines: int, cap: int) -> dict | None:
+def _plan_file(path: str, prev: dict | None, max_bytes: int, start_lines: int, cap: int, resumed: bool = False) -> dict | None:
+    """The file's entry in the next offset, or None if it can't be read now."""
     try:
         st = os.stat(path)
-        fid = f"{st.st_dev}:{st.st_ino}"
-        size = st.st_size
-        tail = None
+        fid, size, tail, gen, long_ = f"{st.st_dev}:{st.st_ino}", st.st_size, None, 0, False
         with open(path, "rb") as f:
-            if prev is None or prev.get("id") != fid:
-                frm = _last_lines_start(f, size, start_lines)
-                base, long_ = frm, False
-                gen = 0 if prev is None else prev.get("gen", 0) + 1
+            if prev is not None and prev["id"] == fid:
+                cut = size < prev["pos"]
+                gen = prev["gen"] + cut
+                frm, base, long_ = (0, 0, False) if cut else (prev["from"], prev["pos"], prev["long"])
+            else:
+                frm = base = _last_lines_start(f, size, start_lines)
                 if prev is not None:
+                    gen = prev["gen"] + 1
                     # rotated: the unread end of the old file, found by its identity
                     old = _find_by_id(path, prev["id"])
-                    if old is not None:
-                        old_size = os.stat(old).st_size
-                        if old_size > prev["pos"]:
-                            tail = {"file": old, "lo": prev["pos"], "hi": old_size}
-            elif size < prev["pos"]:
-                frm, base, long_ = 0, 0, False
-                gen = prev.get("gen", 0) + 1
-            else:
-                frm, base, long_ = prev["from"], prev["pos"], prev.get("long", False)
-                gen = prev.get("gen", 0)
-            # a line up to ``cap`` bytes is always admitted whole
-            hi = min(size, base + max(max_bytes, cap + 1))
-            k = _last_newline(f, base, hi)
-            if k >= 0:
-                pos, long_ = k + 1, False
-            elif hi - base > cap:
-                pos, long_ = hi, True  # inside a line longer than the cap: skip ahead
-            else:
-                pos = base  # an unfinished line: wait for its end
-        e = {"id": fid, "pos": pos, "from": frm, "long": long_, "gen": gen}
-        if tail is not None:
-            e["tail"] = tail
-        return e
+                    if old is not None and os.stat(old).st_size > prev["pos"]:
+                        tail = {"file": old, "lo": prev["pos"], "hi": os.stat(old).st_size}
+            # a line up to ``cap`` bytes is always admitted whole; what a restarted query
+            # has read already isn't known here, so its first listing has no limit
+            hi = size if resumed else min(size, base + max(max_bytes, cap + 1))
+            newline = _last_newline(f, base, hi)
+        if newline >= 0:
+            pos, long_ = newline + 1, False
+        elif hi - base > cap:
+            pos, long_ = hi, True  # inside a line longer than the cap: skip ahead
+        else:
+            pos = base  # an unfinished line: wait for its end
+        e = {"id": fid, "pos": pos, "size": size, "from": frm, "long": long_, "gen": gen}
+        return e | ({"tail": tail} if tail else {}) | ({"resumed": True} if resumed else {})
     except OSError:
-        return None  # vanished or unreadable: dropped this round
+        return None
 
 
 def _split(data: bytes, pos: int):
@@ -204,6 +199,11 @@ class TailRange(InputPartition):
     cap: int
 
 
+def _same(old: dict | None, new: dict) -> bool:
+    """Nothing to read between the entries."""
+    return old is not None and all(old[k] == new[k] for k in ("id", "pos", "gen", "long"))
+
+
 class LogTailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
         self.patterns = options.get("path", "")
@@ -212,13 +212,19 @@ class LogTailReader(DataSourceStreamReader):
         self.cap = int(options.get("lineCap", LINE_CAP_BYTES))
         self.split = int(options.get("splitBytes", 64 * 1024 * 1024))
         self.known: dict | None = None
+        self.gone: dict[str, int] = {}
 
-    def _scan(self, prev_files: dict) -> dict:
+    def _scan(self, prev_files: dict, resumed: bool = False) -> dict:
         files = {}
         for p in _list(self.patterns):
-            e = _plan_file(p, prev_files.get(p), self.max_bytes, self.start_lines, self.cap)
+            e = _plan_file(p, prev_files.get(p), self.max_bytes, self.start_lines, self.cap, resumed)
             if e is not None:
                 files[p] = e
+                self.gone.pop(p, None)
+        for p in prev_files.keys() - files.keys():
+            self.gone[p] = self.gone.get(p, 0) + 1
+            if self.gone[p] <= KEEP_GONE:
+                files[p] = prev_files[p]
         return {"ts": int(time.time() * 1000), "files": files}
 
     def initialOffset(self) -> dict:
@@ -227,14 +233,18 @@ class LogTailReader(DataSourceStreamReader):
         first = self._scan({})
         for e in first["files"].values():
             e["pos"], e["long"] = e["from"], False
-        self.known = first
+        if self.known is None:  # Spark may ask for the latest offset before this one
+            self.known = first
         return first
 
     def latestOffset(self) -> dict:
-        prev = self.known["files"] if self.known else {}
+        if self.known is None:  # a restarted query, or a new one
+            self.known = self._scan({}, resumed=True)
+            return self.known
+        prev = self.known["files"]
         nxt = self._scan(prev)
         # nothing new: keep the previous offset so no empty batch is planned
-        if self.known and all(prev.get(p) == e for p, e in nxt["files"].items()) and set(prev) == set(nxt["files"]):
+        if all(_same(prev.get(p), e) for p, e in nxt["files"].items()) and set(prev) == set(nxt["files"]):
             return self.known
         self.known = nxt
         return nxt
@@ -254,28 +264,33 @@ class LogTailReader(DataSourceStreamReader):
         out = []
         sfiles = (start or {}).get("files", {})
         for path, e in sorted(end.get("files", {}).items()):
-            s = sfiles.get(path)
-            marker = None
-            gen = e.get("gen", 0)
+            s, marker, gen = sfiles.get(path), None, e["gen"]
             if s is None:
                 lo, long_start = e["from"], False
             elif s["id"] != e["id"]:
                 lo, long_start, marker = e["from"], False, "rotated"
-                t = e.get("tail")
+                t = e.get("tail") or self._rest_of(path, s)
                 if t and t["lo"] == s["pos"]:
                     # the rest of the renamed file comes first, under the old generation
-                    out += self._ranges(path, t["file"], s.get("gen", 0), t["lo"], t["hi"],
-                                        s.get("long", False), False, None, end["ts"])
-            elif e["pos"] < s["pos"] or gen != s.get("gen", 0):
+                    out += self._ranges(path, t["file"], s["gen"], t["lo"], t["hi"], s["long"], False, None, end["ts"])
+            elif e["size"] < s["pos"] or (gen != s["gen"] and not e.get("resumed")):
                 lo, long_start, marker = 0, False, "truncated"
             else:
-                lo, long_start = s["pos"], s.get("long", False)
+                lo, long_start = s["pos"], s["long"]
             hi = e["pos"]
             if hi <= lo and marker is None:
                 continue
-            out += self._ranges(path, path, gen, lo, hi, long_start, e.get("long", False), marker, end["ts"])
+            if e.get("resumed") and s is not None:
+                gen = s["gen"] + (marker is not None)
+            out += self._ranges(path, path, gen, lo, hi, long_start, e["long"], marker, end["ts"])
         return out
 
+    def _rest_of(self, path: str, s: dict) -> dict | None:
+        """What a file renamed while the query was down had still unread."""
+        old = _find_by_id(path, s["id"])
+        size = os.stat(old).st_size if old else 0
+        return {"file": old, "lo": s["pos"], "hi": size} if size > s["pos"] else None
+
     def read(self, part: TailRange):
         ts = dt.datetime.fromtimestamp(part.ts / 1000.0, tz=dt.timezone.utc)
         if part.marker:

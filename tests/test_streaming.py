@@ -47,9 +47,10 @@ def test_tail_append_rotate_truncate_new_file(spark):
         q.processAllAvailable()
         assert [x[2] for x in _lines(spark, name)][-1] == "partial done"
         # rotation: the old file is renamed, a new one takes its name (T4)
+        # (written elsewhere first: a listing between creation and writing would see an empty file)
+        _append(app + ".new", "n1\nn2\nn3\n")
         os.rename(app, app + ".1")
-        with open(app, "w") as f:
-            f.write("n1\nn2\nn3\n")
+        os.rename(app + ".new", app)
         q.processAllAvailable()
         tail = _lines(spark, name)[-3:]
         assert tail == [("app.log", "rotated", None), ("app.log", "line", "n2"), ("app.log", "line", "n3")]
@@ -70,15 +71,17 @@ def test_tail_append_rotate_truncate_new_file(spark):
 def test_admission_limit_and_long_lines(spark):
     d = _tmp()
     p = os.path.join(d, "hot.log")
-    _append(p, "".join(f"line{i:03d}\n" for i in range(100)))  # 8 bytes each
-    _append(p, "y" * 300 + "\n" + "end\n")
+    _append(p, "")
     name = "t_" + uuid.uuid4().hex[:8]
     df = tail_stream(spark, p, startingLines=-1, maxBytesPerFile=64, lineCap=100)
     q = _mem(df, name, os.path.join(_tmp(), "c"))
     try:
+        q.processAllAvailable()
+        _append(p, "".join(f"line{i:03d}\n" for i in range(100)))  # 8 bytes each
+        _append(p, "y" * 300 + "\n" + "end\n")
         q.processAllAvailable()
         rows = [x[2] for x in _lines(spark, name)]
-        assert rows[:100] == [f"line{i:03d}" for i in range(100)]
+        assert len(rows) == 102 and rows[:100] == [f"line{i:03d}" for i in range(100)]
         assert rows[100] == "[truncated long line] " + "y" * 100 and rows[101] == "end"
         n_batches = spark.sql(f"SELECT count(DISTINCT observed_at) FROM {name}").first()[0]
         assert n_batches >= 10  # 800+ bytes at 64 bytes per trigger
@@ -106,6 +109,96 @@ def test_restart_from_checkpoint_reads_only_new_lines(spark):
     assert got == ["a", "b", "c"]
 
 
+def _run_into(spark, path, ckpt, out, **options):
+    q = (tail_stream(spark, path, **options).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", ckpt).trigger(processingTime="100 milliseconds").start())
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+
+
+def _all(spark, out):
+    rows = spark.read.parquet(out).orderBy("observed_at", "path", "gen", "offset").collect()
+    return [r["line"] for r in rows if r["kind"] == "line"], [r["kind"] for r in rows if r["kind"] != "line"]
+
+
+def test_restart_of_a_file_larger_than_a_trigger(spark):
+    d, ckpt, out = _tmp(), os.path.join(_tmp(), "c"), os.path.join(_tmp(), "out")
+    p = os.path.join(d, "r.log")
+    want = [f"line {i}" for i in range(100)]
+    _append(p, "".join(x + "\n" for x in want))
+    _run_into(spark, p, ckpt, out, startingLines=-1, maxBytesPerFile=64, lineCap=40)
+    _append(p, "one more\nunfinished")
+    _run_into(spark, p, ckpt, out, startingLines=-1, maxBytesPerFile=64, lineCap=40)
+    _append(p, " line\n")
+    _run_into(spark, p, ckpt, out, startingLines=-1, maxBytesPerFile=64, lineCap=40)
+    assert _all(spark, out) == ([*want, "one more", "unfinished line"], [])
+
+
+def test_restart_after_rotations(spark):
+    d, ckpt, out = _tmp(), os.path.join(_tmp(), "c"), os.path.join(_tmp(), "out")
+    p = os.path.join(d, "r.log")
+    options = {"startingLines": -1}
+    _append(p, "a\nb\n")
+    _run_into(spark, os.path.join(d, "*"), ckpt, out, **options)
+    _append(p, "c\n")  # still unread when it is renamed
+    os.rename(p, p + ".1")
+    _append(p, "d\n")
+    _run_into(spark, os.path.join(d, "*"), ckpt, out, **options)
+    _append(p, "e\n")
+    _run_into(spark, os.path.join(d, "*"), ckpt, out, **options)
+    lines, markers = _all(spark, out)
+    assert sorted(lines) == list("abcde") and markers == ["rotated"]
+
+
+def test_renamed_files_and_directories(spark):
+    d = _tmp()
+    app = os.path.join(d, "sub", "app.log")
+    os.makedirs(os.path.dirname(app))
+    _append(app, "a\n")
+    _append(os.path.join(d, "notes.md"), "no log\n")
+    _append(os.path.join(d, "old.log.1"), "rotated before\n")
+    name = "t_" + uuid.uuid4().hex[:8]
+    q = _mem(tail_stream(spark, d, startingLines=-1), name, os.path.join(_tmp(), "c"))
+    try:
+        q.processAllAvailable()
+        _append(app, "b\n")
+        os.rename(app, app + ".1")
+        _append(app, "c\n")
+        q.processAllAvailable()
+        assert sorted(x[2] for x in _lines(spark, name) if x[1] == "line") == ["a", "b", "c"]
+    finally:
+        q.stop()
+
+
+def test_a_file_missing_for_a_while_goes_on(tmp_path):
+    from loglens.sources.tail import LogTailReader
+
+    p = tmp_path / "x.log"
+    p.write_text("1\n2\n3\n")
+    reader = LogTailReader({"path": str(p), "startingLines": "2"})
+    reader.initialOffset()
+    before = reader.latestOffset()
+    p.rename(tmp_path / "away")
+    assert reader.latestOffset() == before
+    (tmp_path / "away").rename(p)
+    with open(p, "a") as f:
+        f.write("4\n5\n6\n")
+    after = reader.latestOffset()
+    assert [(r.lo, r.hi, r.marker) for r in reader.partitions(before, after)] == [(6, 12, None)]
+
+
+def test_last_lines_are_found_however_far_back(tmp_path):
+    from loglens.sources.tail import _last_lines_start
+
+    p = tmp_path / "long.log"
+    p.write_bytes(b"x\n" + b"y" * 6_000_000 + b"\n" + b"z\nunfinished")
+    with open(p, "rb") as f:
+        size = p.stat().st_size
+        assert [_last_lines_start(f, size, n) for n in (0, 1, 2, 3, 4, -1)] == [size, 6_000_003, 2, 0, 0, 0]
+
+
 def test_follow_filter_and_context(spark):
     d = _tmp()
     p = os.path.join(d, "c.log")
