@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from odd_rows import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 
 from loglens.llm import decontam, graph, jaccard, lines, quality, shards, substrings

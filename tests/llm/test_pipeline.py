@@ -5,6 +5,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from odd_rows import no_docs, odd_docs  # noqa: F401
 from test_corpus import line_dedup, links, plain_metrics
 from tokenizers import Tokenizer
 

@@ -6,6 +6,7 @@ import re
 
 import public_tokenizers
 import pytest
+from odd_rows import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
