@@ -24,6 +24,7 @@ from loglens.operators import inventory as INV
 from loglens.operators import lines as L
 from loglens.operators import report as R
 from loglens.operators.ordered import ordinal, quantile_bucket
+from loglens.operators.targets import resolve_targets
 from loglens.plans import duck as D
 from loglens.plans import fixtures as FX
 from loglens.plans.fixtures import EVENT_NOW, EVENT_SINCE, FILES_CUTOFF, SYSLOG_YEAR, with_views
@@ -479,6 +480,25 @@ def q_port_logs(spark, sf):
     return INV.logs_of_port(V(spark, sf, "listeners"), V(spark, sf, "proc_fds"), 8003, V(spark, sf, "files_v"))
 
 
+# a group, a port, a glob and a ranked name; no siblings, as current files only
+_TARGETS_SQL = f"""
+, t AS (
+  SELECT path FROM files_v WHERE regexp_matches(path, '^/srv/svc2/') AND NOT {DUCK_IS_ROT} AND {DUCK_IS_LOG}
+  UNION SELECT p.fd_path FROM (SELECT host, port, min(pid) AS pid FROM listeners WHERE port = 8003 GROUP BY host, port) o
+    JOIN proc_fds p ON p.host = o.host AND p.pid = o.pid WHERE p.fd_path IN (SELECT path FROM files_v)
+  UNION SELECT path FROM files_v WHERE regexp_matches(path, '^/srv/svc5/[^/]*\\.log$') AND NOT {DUCK_IS_ROT} AND {DUCK_IS_LOG}
+  UNION SELECT path FROM (SELECT path, mtime, {_SCORE_SQL} AS score FROM ({_CAT_SQL} AND NOT {DUCK_IS_ROT}))
+    WHERE score > 0 AND path IN (SELECT path FROM (SELECT path, row_number() OVER (ORDER BY score DESC, mtime DESC, path) AS r
+      FROM (SELECT path, mtime, {_SCORE_SQL} AS score FROM ({_CAT_SQL} AND NOT {DUCK_IS_ROT})) WHERE score > 0) WHERE r <= 20))
+SELECT path FROM t"""
+
+
+@register("resolve_targets", with_views(_TARGETS_SQL, "files_v", "listeners", "proc_fds"))
+def q_resolve_targets(spark, sf):
+    return resolve_targets(V(spark, sf, "files_v"), ["svc2, :8003", "/srv/svc5/*.log", "svc1"], ["/srv"], {"svc2": ["/srv/svc2/**"]},
+                           V(spark, sf, "proc_fds"), V(spark, sf, "listeners"), history=False)
+
+
 HOSTS = [("host0", "linux", "ubuntu debian"), ("host1", "linux", "centos rhel fedora"),
          ("host2", "linux", "opensuse-leap suse opensuse"), ("host3", "linux", "arch"),
          ("host4", "linux", "plan9"), ("host5", "darwin", "")]

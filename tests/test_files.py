@@ -99,3 +99,23 @@ def test_rotated_siblings_name_rules(spark):
     got = sorted(r["path"] for r in FL.rotated_siblings(f.filter(F.col("path") == "/d/app.log"), f).collect())
     # app.log-2024 is a sibling by name but not a likely log, so it is dropped like in the original
     assert got == ["/d/app.log", "/d/app.log.1"]
+
+
+def test_resolve_targets(spark):
+    from loglens.operators.targets import kind_of, resolve_targets
+
+    groups = {"shop": ["/srv/shop/*.log"]}
+    kinds = {"shop": "group", "@java": "process", ":80": "port", "/srv/x": "path", "a*": "path", "name": "name", "@": "name", ":x": "name"}
+    assert {t: kind_of(t, groups) for t in kinds} == kinds
+    names = ["/srv/shop/a.log", "/srv/shop/a.log.1", "/srv/pay/pay.log", "/srv/pay/notes.md", "/srv/old/x.log"]
+    files = spark.createDataFrame([(p, i) for i, p in enumerate(names)], "path string, i int").withColumn("mtime", F.timestamp_seconds("i")).withColumn("size", F.lit(1))
+    fds = spark.createDataFrame([("h", 7, "java", "java -jar x", "/srv/old/x.log")], "host string, pid long, comm string, cmdline string, fd_path string")
+
+    def got(targets, **options):
+        return {r.path for r in resolve_targets(files, targets, ["/srv"], groups, fds, **options).collect()}
+
+    assert got(["shop"]) == {"/srv/shop/a.log", "/srv/shop/a.log.1"}
+    assert got(["shop"], history=False) == {"/srv/shop/a.log"}
+    assert got(["@java, pay"]) == {"/srv/old/x.log", "/srv/pay/pay.log"}
+    assert got([], max_files=2, history=False) == {"/srv/old/x.log", "/srv/pay/pay.log"}
+    assert got(["/srv/pay"], excludes=["/srv/pay/**"]) == set()
