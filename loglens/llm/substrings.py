@@ -238,8 +238,7 @@ def doomed_windows(group: np.ndarray, rank: np.ndarray, segs: list[bytes], offs:
             # old places are increasing where symbols are equal; the least common prefix between them stays
             bounds = np.empty(2 * len(pairs), np.int64)
             bounds[0::2], bounds[1::2] = moved[pairs - 1] + 1, moved[pairs] + 1
-            closed = bounds[-1] >= n
-            fresh[pairs] = np.minimum.reduceat(np.append(common, 0) if closed else common, bounds)[0::2] + 1
+            fresh[pairs] = np.minimum.reduceat(np.append(common, 0), bounds)[0::2] + 1
         order, common = now, fresh
         equal = common >= width
         if equal.any():
