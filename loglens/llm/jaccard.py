@@ -5,11 +5,11 @@
    hash are compared with pivots of theirs, and verified links make groups.
    That takes a few comparisons a class, also inside very large groups.
 3. The token-group matrix holds, for each group, the union of its members'
-   rarest shingles.  A set that reaches the threshold with any member of a
-   group shares at least ``SHARED`` of so many rarest shingles with the
-   group's union (all orders of the shingles allow this bound; the rare ones
-   first make it sharp).  So the matrix's counts bound the overlap, and only
-   groups that can still qualify are opened.
+   first shingles in an order of all shingles, rare ones first.  What a set
+   and a group share among these bounds what they share at all: up to where
+   the shorter of two lists of first shingles ends, both are known, and after
+   it at most the rest can be common.  Only groups whose count reaches the
+   least that this bound allows (``_least_shared``) are opened.
 4. Members of opened groups that pass the same bound are verified exactly,
    and the links join the groups to components.
 
@@ -36,6 +36,7 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import map_arrow, slices, stored, text_or_empty
 from loglens.llm.graph import components
+from loglens.llm.lines import bit_places, holds
 from loglens.llm.shingles import mix, shingle_sets
 
 SHARED = 3
@@ -43,6 +44,11 @@ MINIMA = 3
 PIVOTS = 16
 FREQUENT = 1 << 20
 FREQUENT_FROM = 8
+# Rows of 16 bytes that are broadcast (32 MB); beyond that they are joined by shuffle.
+TOLD = 1 << 21
+# Bits of the filter of shingles that groups share (64 MB); a fuller one only lets more through.
+MOST_BITS = 1 << 29
+BLOCK_BITS = 1 << 16
 
 
 def _ids(rows: DataFrame) -> str:
@@ -86,9 +92,10 @@ def signatures(rows: DataFrame, size: int, percent: int) -> DataFrame:
         for batch in slices(batches):
             sets = shingle_sets(batch.column(1), size)
             h = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
-            minima, rare = [], []
+            minima, rare, common = [], [], []
             for s in sets:
                 if not len(s):
+                    common.append(0)
                     minima.append([])
                     rare.append(np.zeros(0, np.int64))
                     continue
@@ -96,8 +103,8 @@ def signatures(rows: DataFrame, size: int, percent: int) -> DataFrame:
                 if len(frequent):
                     at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
                     count = np.where(frequent[at] == s, times[at], 0)
-                own = s[count == 0] if (count == 0).any() else s
-                minima.append([int(mix(own ^ np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))).min().view(np.int64)) for j in range(1, MINIMA + 1)])
+                common.append(int((count > 0).sum()) * 1000 // len(s))
+                minima.append([int(mix(s ^ np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64))).min().view(np.int64)) for j in range(1, MINIMA + 1)])
                 length = min(len(s), len(s) - -(-percent * len(s) // 100) + SHARED)
                 order = np.argsort(count, kind="stable")[:length] if count.any() else slice(length)
                 rare.append(s[order].view(np.int64))
@@ -106,13 +113,14 @@ def signatures(rows: DataFrame, size: int, percent: int) -> DataFrame:
                     batch.column(0),
                     pa.array(np.array(h, np.uint64).view(np.int64)),
                     pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array(common, pa.int64()),
                     pa.array(minima, pa.list_(pa.int64())),
                     pa.ListArray.from_arrays(np.cumsum([0, *map(len, rare)]).astype(np.int32), pa.array(np.concatenate(rare))),
                 ],
-                ["_k", "h", "n", "minima", "rare"],
+                ["_k", "h", "n", "common", "minima", "rare"],
             )
 
-    return map_arrow(rows, sign, f"_k {_ids(rows)}, h long, n long, minima array<long>, rare array<long>")
+    return map_arrow(rows, sign, f"_k {_ids(rows)}, h long, n long, common long, minima array<long>, rare array<long>")
 
 
 def _may_reach(a: Column, b: Column, percent: int) -> Column:
@@ -120,10 +128,14 @@ def _may_reach(a: Column, b: Column, percent: int) -> Column:
 
 
 def _group_pairs(classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: each class with pivots of the classes that share a minimum."""
-    keyed = classes.select("h", "n", F.posexplode("minima").alias("j", "key")).withColumn("s", F.pmod("h", F.lit(PIVOTS)))
-    salted = keyed.groupBy("j", "key", "s").agg(F.min(F.struct("h", "n")).alias("sub"), F.count(F.lit(1)).alias("m"))
-    pivots = salted.groupBy("j", "key").agg(F.min("sub").alias("top"), F.sum("m").alias("m")).where(F.col("m") > 1)
+    """a, b: each class with pivots of the classes that share a minimum.
+
+    The pivot has most shingles in common with the corpus: of copies with
+    changes of their own, the one that is most like the others.
+    """
+    keyed = classes.select("h", "n", "common", F.posexplode("minima").alias("j", "key")).withColumn("s", F.pmod("h", F.lit(PIVOTS)))
+    salted = keyed.groupBy("j", "key", "s").agg(F.max(F.struct("common", "h", "n")).alias("sub"), F.count(F.lit(1)).alias("m"))
+    pivots = salted.groupBy("j", "key").agg(F.max("sub").alias("top"), F.sum("m").alias("m")).where(F.col("m") > 1)
     member = keyed.join(pivots, ["j", "key"])
     to_top = member.select("h", "n", F.col("top.h").alias("p"), F.col("top.n").alias("pn"))
     large = pivots.where(F.col("m") > PIVOTS).select("j", "key")
@@ -132,28 +144,95 @@ def _group_pairs(classes: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.greatest("h", "p").alias("a"), F.least("h", "p").alias("b")).distinct()
 
 
+def _told(df: DataFrame) -> DataFrame:
+    """Broadcast if it is small."""
+    return F.broadcast(df) if df.count() <= TOLD else df
+
+
+def _filter_of(tokens: DataFrame) -> np.ndarray:
+    """A packed Bloom filter of the tokens."""
+    bits = min(MOST_BITS, max(BLOCK_BITS, -(-16 * tokens.count() // BLOCK_BITS) * BLOCK_BITS))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = bit_places(np.asarray(batch.column(0)).view(np.uint64), bits).ravel()
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        blocks = packed.reshape(-1, BLOCK_BITS // 8)
+        for i in np.flatnonzero(blocks.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([blocks[i].tobytes()])], ["block", "bits"])
+
+    packed = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for row in map_arrow(tokens.coalesce(4), build, "block long, bits binary").toLocalIterator():  # four filters at most
+        packed[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
+    return packed.reshape(-1)
+
+
+def _postings(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """h, n, g, members, tokens: the first shingles of each class that groups share, and a few others."""
+    of = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
+    grouped = classes.select("h", "n", "rare").join(_told(of), "h", "left").select("h", "n", F.coalesce("root", "h").alias("g"), F.coalesce("members", F.lit(1)).alias("members"), "rare")
+    tokens = grouped.select("g", F.explode("rare").alias("token"))
+    between = tokens.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
+    shared = classes.sparkSession.sparkContext.broadcast(_filter_of(stored(between, "between")))
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = len(shared.value) * 8
+        for batch in batches:
+            lists = batch.column(4)
+            sizes = np.diff(np.asarray(lists.offsets))
+            flat = np.asarray(lists.flatten())
+            keep = holds(shared.value, bit_places(flat.view(np.uint64), bits)) if len(flat) else np.zeros(0, bool)
+            m = np.bincount(np.repeat(np.arange(batch.num_rows), sizes)[keep], minlength=batch.num_rows)
+            some = np.flatnonzero(m)
+            tokens = pa.ListArray.from_arrays(np.cumsum(np.append(0, m[some])).astype(np.int32), pa.array(flat[keep]))
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(some)) for i in range(4)), tokens], ["h", "n", "g", "members", "tokens"])
+
+    return stored(map_arrow(grouped, thin, "h long, n long, g long, members long, tokens array<long>"), "postings")
+
+
 def _opened_pairs(classes: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
     """a, b: classes of different groups that the token-group matrix can't tell apart."""
-    postings = classes.select("h", "n", F.explode("rare").alias("token")).join(groups, "h", "left").withColumn("g", F.coalesce("root", "h"))
-    between = postings.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    postings = stored(postings.join(between, "token").select("token", "h", "n", "g"), "postings")
-    matrix = postings.groupBy("token", "g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    theirs = matrix.withColumnRenamed("g", "other")
-    # how many of a class's rarest shingles the union of another group has
-    bound = postings.join(theirs, "token").where(F.col("g") != F.col("other"))
-    bound = bound.where((F.lit(percent) * F.col("n") <= 100 * F.col("most")) & (F.lit(percent) * F.col("least") <= 100 * F.col("n")))
-    opened = bound.groupBy("h", "n", "other").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= _shared(F.col("n"), percent))
-    mine = postings.select(F.col("h").alias("h2"), "token")
-    others = postings.select(F.col("token").alias("t2"), F.col("h").alias("p"), F.col("n").alias("pn"), F.col("g").alias("pg"))
+    known = _postings(classes, groups).withColumn("m", F.size("tokens"))
+    postings = known.select("h", "n", "g", "members", "m", F.posexplode("tokens").alias("i", "token"))
+    matrix = postings.groupBy("token", F.col("g").alias("other")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("m").alias("gm"), F.first("members").alias("size")
+    )
+    # sizes of members that may link with the class
+    low = F.greatest("least", F.ceil(F.lit(percent) * F.col("n") / 100))
+    high = F.least("most", F.floor(F.lit(100) * F.col("n") / percent))
+    # the bound has its least value at either end; among larger members, up to rounding
+    slack = F.when((high > F.col("n")) & (low < high), F.lit(1)).otherwise(F.lit(0))
+    needed = F.least(_least_shared(F.col("n"), low, percent), _least_shared(F.col("n"), high, percent) - slack)
+    # a class asks the larger group; who shares so many of m shingles has one of the first m - needed + 1
+    asks = (F.col("members") < F.col("size")) | ((F.col("members") == F.col("size")) & (F.col("g") < F.col("other")))
+    met = postings.join(matrix, "token").where(asks & (low <= high) & (F.least("m", "gm") >= needed) & (F.col("i") <= F.col("m") - needed))
+    met = met.groupBy("h", "n", "m", "other").agg(F.min(needed).alias("needed"))
+    # how many of a class's first shingles the union of the other group has
+    mine = postings.select(F.col("h").alias("h2"), "i", "token")
+    cells = matrix.select(F.col("token").alias("t2"), F.col("other").alias("g2"))
+    bound = met.join(mine, F.col("h") == F.col("h2")).join(cells, (F.col("token") == F.col("t2")) & (F.col("other") == F.col("g2")))
+    bound = bound.groupBy("h", "n", "m", "other").agg(F.count(F.lit(1)).alias("shared"), F.min("needed").alias("needed"))
+    opened = bound.where(F.col("shared") >= F.col("needed")).select("h", "n", "m", "other")
+    # the members that may qualify, by the same reasoning, then by all their first shingles
+    others = postings.select(F.col("token").alias("t2"), F.col("h").alias("p"), F.col("n").alias("pn"), F.col("g").alias("pg"), F.col("m").alias("pm"))
+    needed = _least_shared(F.col("n"), F.col("pn"), percent)
     pairs = opened.join(mine, F.col("h") == F.col("h2")).join(others, (F.col("token") == F.col("t2")) & (F.col("other") == F.col("pg")))
-    pairs = pairs.where(_may_reach(F.col("n"), F.col("pn"), percent)).groupBy("h", "p").agg(F.count(F.lit(1)).alias("shared"), F.first("n").alias("n"))
-    pairs = pairs.where(F.col("shared") >= _shared(F.col("n"), percent))
+    pairs = pairs.where(_may_reach(F.col("n"), F.col("pn"), percent) & (F.least("m", "pm") >= needed) & (F.col("i") <= F.col("m") - needed))
+    pairs = pairs.groupBy("h", "p").agg(F.min(needed).alias("needed"))
+    ours, theirs = (known.select(F.col("h").alias(k), F.col("tokens").alias(t)) for k, t in (("h", "x"), ("p", "y")))
+    pairs = pairs.join(ours, "h").join(theirs, "p").where(F.size(F.array_intersect("x", "y")) >= F.col("needed"))
     return pairs.select(F.greatest("h", "p").alias("a"), F.least("h", "p").alias("b")).distinct()
 
 
-def _shared(n: Column, percent: int) -> Column:
-    """How many of the rarest shingles sets must share: SHARED, or all they need to if that is less."""
-    return F.least(F.lit(SHARED), F.ceil(F.lit(percent) * n / 100))
+def _least_shared(a: Column, b: Column, percent: int) -> Column:
+    """How many first shingles sets of a and b shingles must share to reach the similarity.
+
+    They need ``percent / (100 + percent)`` of a + b in common, and all but
+    the first ones of the set whose list ends earlier may be.
+    """
+    rest = [F.greatest(F.lit(0), F.ceil(F.lit(percent) * n / 100) - SHARED) for n in (a, b)]
+    return F.greatest(F.lit(1), F.ceil(F.lit(percent) * (a + b) / (100 + percent)) - F.greatest(*rest))
 
 
 def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -171,7 +250,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, p
             lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, found)]).astype(np.int32), pa.array(np.concatenate([np.zeros(0, np.uint64), *found]).view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(right)), lists], ["h", "tokens"])
 
-    texts = wanted.join(rows, "_k").select("h", "text")
+    texts = rows.join(_told(stored(wanted, "wanted")), "_k").select("h", "text")  # no text moves while there are few
     tokens = stored(map_arrow(texts, sets, "h long, tokens array<long>"), "sets")
     both = pairs.join(tokens.select(F.col("h").alias("a"), F.col("tokens").alias("x")), "a").join(tokens.select(F.col("h").alias("b"), F.col("tokens").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
@@ -184,8 +263,11 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
     rows = docs.select(F.col(key).alias("_k"), text_or_empty(text).alias("text"))
     signed = stored(signatures(rows, size, percent), "signatures")
     known = signed.where(F.col("_k").isNotNull() & (F.col("n") > 0))
-    smallest = known.groupBy("h").agg(F.min("_k").alias("_k"))
-    classes = stored(known.join(smallest, ["h", "_k"]).dropDuplicates(["h"]).select("h", "_k", "n", "minima", "rare"), "classes")
+    # of each class the row with the smallest key stands for all
+    rest = known.select("h", "_k").join(known.groupBy("h").agg(F.min("_k").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "h")
+    classes = known.join(_told(stored(rest.where(F.col("_k") > F.col("least")).select("h", "_k").distinct(), "copies")), ["h", "_k"], "left_anti")
+    if not rest.where(F.col("_k") == F.col("least")).groupBy("h").count().where("count > 1").isEmpty():
+        classes = stored(classes.dropDuplicates(["h"]), "classes")  # repeated rows
     links = verified(_group_pairs(classes, percent), classes, rows, size, percent)
     links = stored(links, "links")
     groups = stored(components(links).select(F.col("id").alias("h"), "root"), "groups")
@@ -197,3 +279,4 @@ def join(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id",
     found = signed.select("_k", "n", "h").join(of.withColumnRenamed("h", "_h"), (F.col("h") == F.col("_h")) & (F.col("n") > 0), "left")
     own = F.when(F.col("_k").isNotNull(), F.coalesce("first", "_k"))
     return found.select(F.col("_k").alias(key), F.col("n").alias("n_shingles"), own.alias("component"))
+
