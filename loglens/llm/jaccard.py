@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import map_arrow, slices, stored, text_or_empty
 from loglens.llm.graph import components
-from loglens.llm.lines import bit_places, holds
+from loglens.llm.lines import bit_places, filter_of, holds
 from loglens.llm.shingles import mix, shingle_sets
 
 SHARED = 3
@@ -46,9 +46,6 @@ FREQUENT = 1 << 20
 FREQUENT_FROM = 8
 # Rows of 16 bytes that are broadcast (32 MB); beyond that they are joined by shuffle.
 TOLD = 1 << 21
-# Bits of the filter of shingles that groups share (64 MB); a fuller one only lets more through.
-MOST_BITS = 1 << 29
-BLOCK_BITS = 1 << 16
 
 
 def _ids(rows: DataFrame) -> str:
@@ -149,32 +146,13 @@ def _told(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= TOLD else df
 
 
-def _filter_of(tokens: DataFrame) -> np.ndarray:
-    """A packed Bloom filter of the tokens."""
-    bits = min(MOST_BITS, max(BLOCK_BITS, -(-16 * tokens.count() // BLOCK_BITS) * BLOCK_BITS))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = bit_places(np.asarray(batch.column(0)).view(np.uint64), bits).ravel()
-            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        blocks = packed.reshape(-1, BLOCK_BITS // 8)
-        for i in np.flatnonzero(blocks.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([blocks[i].tobytes()])], ["block", "bits"])
-
-    packed = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for row in map_arrow(tokens.coalesce(4), build, "block long, bits binary").toLocalIterator():  # four filters at most
-        packed[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
-    return packed.reshape(-1)
-
-
 def _postings(classes: DataFrame, groups: DataFrame) -> DataFrame:
     """h, n, g, members, tokens: the first shingles of each class that groups share, and a few others."""
     of = groups.join(groups.groupBy("root").agg(F.count(F.lit(1)).alias("members")), "root")
     grouped = classes.select("h", "n", "rare").join(_told(of), "h", "left").select("h", "n", F.coalesce("root", "h").alias("g"), F.coalesce("members", F.lit(1)).alias("members"), "rare")
     tokens = grouped.select("g", F.explode("rare").alias("token"))
     between = tokens.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).where(F.col("lo") != F.col("hi")).select("token")
-    shared = classes.sparkSession.sparkContext.broadcast(_filter_of(stored(between, "between")))
+    shared = classes.sparkSession.sparkContext.broadcast(filter_of(stored(between, "between")))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = len(shared.value) * 8

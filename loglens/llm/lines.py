@@ -89,6 +89,25 @@ def filter_bits(n_lines: int) -> int:
     return min(MOST_BITS, -(-wanted // BLOCK_BITS) * BLOCK_BITS)
 
 
+def filter_of(hashes: DataFrame) -> np.ndarray:
+    """A packed Bloom filter of a column of 64-bit hashes."""
+    bits = filter_bits(hashes.count())
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.zeros(bits // 8, np.uint8)
+        for batch in batches:
+            at = bit_places(np.asarray(batch.column(0)).view(np.uint64), bits).ravel()
+            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
+        blocks = packed.reshape(-1, BLOCK_BITS // 8)
+        for i in np.flatnonzero(blocks.any(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([blocks[i].tobytes()])], ["block", "bits"])
+
+    packed = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
+    for row in map_arrow(hashes.coalesce(4), build, "block long, bits binary").toLocalIterator():  # four filters at most
+        packed[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
+    return packed.reshape(-1)
+
+
 def _merge(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return a[0] | b[0], a[1] | b[1] | (a[0] & b[0])
 

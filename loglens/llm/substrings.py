@@ -7,8 +7,8 @@ bounded too:
 1. Every window of ``WIDTH`` bytes has an anchor: the leftmost of its
    ``GRAM``-byte grams with the least hash.  Equal windows have equal anchors
    at equal offsets, so windows meet by their anchors' hash.  Anchors whose
-   hash occurs once are dropped; a Bloom filter of the others (at most
-   ``MOST_BITS``) tells tasks which surroundings to send.
+   hash occurs once are dropped; a Bloom filter of the others (of bounded
+   size) tells tasks which surroundings to send.
 2. The surroundings of an anchor are the bytes of all windows it stands for.
    Equal surroundings are combined before the shuffle; only the first of them
    can hold a first occurrence.
@@ -36,18 +36,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loglens.llm.common import map_arrow, slices, stored
-from loglens.llm.lines import bit_places, holds
+from loglens.llm.lines import bit_places, filter_of, holds
 from loglens.llm.shingles import mix
 
 WIDTH = 100
 GRAM = 32
-MOST_BITS = 1 << 29
-BLOCK_BITS = 1 << 16
 SLICE = 1 << 20
 # Surroundings of one anchor that a task takes, and of several anchors that go through the rounds together.
 MOST_IN_GROUP = 1 << 16
@@ -144,22 +141,7 @@ def repeated_filter(rows: DataFrame, told, width: int) -> np.ndarray:
     counts = map_arrow(rows, count, "h long, again boolean")
     twice = counts.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.max("again").alias("again")).where((F.col("n") > 1) | F.col("again")).select("h")
     twice = stored(twice, "anchors")
-    bits = min(MOST_BITS, max(BLOCK_BITS, -(-16 * twice.count() // BLOCK_BITS) * BLOCK_BITS))
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packed = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            at = bit_places(np.asarray(batch.column(0)).view(np.uint64), bits).ravel()
-            np.bitwise_or.at(packed, at >> 3, (128 >> (at & 7)).astype(np.uint8))
-        blocks = packed.reshape(-1, BLOCK_BITS // 8)
-        for i in np.flatnonzero(blocks.any(1)):
-            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([blocks[i].tobytes()])], ["block", "bits"])
-
-    # few tasks, as each sends a filter of its own
-    packed = np.zeros((bits // BLOCK_BITS, BLOCK_BITS // 8), np.uint8)
-    for row in map_arrow(twice.coalesce(4), build, "block long, bits binary").toLocalIterator():
-        packed[row["block"]] |= np.frombuffer(row["bits"], np.uint8)
-    return packed.reshape(-1)
+    return filter_of(twice)
 
 
 def surroundings(rows: DataFrame, told, packed, width: int) -> DataFrame:
