@@ -7,8 +7,9 @@ children's densities; the node with the largest sum is the core of the page.
 The least density on the path from body to the core is the threshold.  The
 region grows from the core to the article or main element that holds it, or,
 without one, by those neighbours along the body path that reach the
-threshold.  Elements that are boilerplate by their tag, role, class or id are
-taken out beforehand, and so are lists of links.
+threshold.  Elements that are boilerplate by their tag or role are taken out
+beforehand, and so are lists of links.  A boilerplate word in a class or id,
+and the tags form, dialog and object, are hints only: see ``_settle``.
 
 Edge cases: a null or empty page, or one without text, gives ''; unclosed and
 misplaced tags, broken comments and quotes are read leniently; a page without
@@ -56,8 +57,13 @@ ENDS = {
 PARAGRAPH_ENDS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split()
 )
-BOILERPLATE_TAGS = frozenset("nav footer aside form button select input dialog menu head object canvas audio video datalist".split())
-BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
+BOILERPLATE_TAGS = frozenset("nav footer aside button select input menu head canvas audio video datalist".split())
+BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar toolbar".split())
+# Hints: a page may stand in one form, and a layout may be named by what stands beside the text.
+WEAK, STRONG = 1, 2
+HINT_TAGS = {"form": WEAK, "dialog": STRONG, "object": STRONG}
+HINT_ROLES = {"form": WEAK, "dialog": STRONG}
+LAYOUT_NAMES = frozenset("layout page site content container wrap wrapper inner outer main body row col column columns grid elementor".split())
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promos promotion sidebar sidebars menu menus nav navbar navigation "
     "breadcrumb breadcrumbs footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login "
@@ -66,6 +72,8 @@ BOILERPLATE_NAMES = frozenset(
 )
 KEPT_TAGS = frozenset("html body article main".split())
 HEADINGS = frozenset({"h1"})
+# Strong hints are asked again where less than this share of a page's text stands outside of hints.
+LEAST_LEFT = 0.1
 
 
 class Page:
@@ -74,6 +82,9 @@ class Page:
     def __init__(self, source: str):
         self.tag, self.parent, self.dropped = ["#"], [-1], [False]
         self.role = [""]
+        #: 0, WEAK or STRONG, and the names that gave the hint
+        self.hint: list[int] = [0]
+        self.names: list[frozenset[str]] = [frozenset()]
         #: (node, text) in page order; a node of -1 is a border between blocks
         self.pieces: list[tuple[int, str]] = []
         self._read(source)
@@ -83,29 +94,40 @@ class Page:
         self.tag.append(tag)
         self.parent.append(parent)
         role, dropped = "", self.dropped[parent] or tag in BOILERPLATE_TAGS
+        hint, names = HINT_TAGS.get(tag, 0), {f"<{tag}>"} if tag in HINT_TAGS else set()
         if rest and not dropped:
             for name, *values in ATTRIBUTE.findall(rest):
                 name, value = name.lower(), "".join(values).lower()
                 if name == "role":
                     role = value.strip()
                     dropped |= role in BOILERPLATE_ROLES
+                    if role in HINT_ROLES:
+                        hint = max(hint, HINT_ROLES[role])
+                        names.add(f"<{role}>")
                 elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                     dropped = True
                 elif name == "style":
                     dropped |= "display:none" in value.replace(" ", "")
                 elif name in ("class", "id") and tag not in KEPT_TAGS:
-                    dropped |= any(self._names_boilerplate(x, parent) for x in value.split())
+                    for x in value.split():
+                        if found := self._names_boilerplate(x, parent):
+                            hint = max(hint, found)
+                            names.add(x)
         if tag == "header" and not dropped:
             dropped = not self._within_article(parent)
         self.dropped.append(dropped)
         self.role.append(role)
+        self.hint.append(hint)
+        self.names.append(frozenset(names))
         return node
 
-    def _names_boilerplate(self, name: str, parent: int) -> bool:
+    def _names_boilerplate(self, name: str, parent: int) -> int:
         parts = [x for x in re.split(r"[^a-z0-9]+", name) if x]
-        if not parts or parts[0] in ("has", "no", "with", "without"):
-            return False
-        return not BOILERPLATE_NAMES.isdisjoint(parts) or (parts[-1] == "header" and not self._within_article(parent))
+        # what a layout has or lacks is not what it is
+        parts = parts[: next((i for i, x in enumerate(parts) if x in ("has", "no", "with", "without")), None)]
+        if not parts or (BOILERPLATE_NAMES.isdisjoint(parts) and (parts[-1] != "header" or self._within_article(parent))):
+            return 0
+        return STRONG if LAYOUT_NAMES.isdisjoint(parts) else WEAK
 
     def _within_article(self, node: int) -> bool:
         while node > 0:
@@ -167,6 +189,9 @@ def main_text(source: str | None) -> str:
         return ""
     page = Page(source)
     pieces = [(n, html.unescape(t) if "&" in t else t) for n, t in page.pieces if n < 0 or not page.dropped[n]]
+    if any(page.hint):
+        _settle(page, pieces)
+        pieces = [(n, t) for n, t in pieces if n < 0 or not page.dropped[n]]
     region = _region(page, pieces)
     out = []
     for node, text in pieces:
@@ -177,8 +202,73 @@ def main_text(source: str | None) -> str:
     return " ".join("".join(out).split())
 
 
-def _region(page: Page, pieces: list[tuple[int, str]]) -> list[bool]:
-    """Which nodes' own text belongs to the main text."""
+def _settle(page: Page, pieces: list[tuple[int, str]]) -> None:
+    """Drop the nodes with a hint, and all below them, unless they hold the main text.
+
+    They hold it if a main element or h1 stands in them, or an article, unless
+    they stand in an article themselves or a longer one stands outside of
+    hints; and if the core of the page stands in them.  The core is sought
+    with the weak hints ignored, and with all ignored where too little text
+    stands outside of hints; then the parts of the core that reach the
+    threshold count too.  A name that holds the core is a hint no more.
+    """
+    n, parent, tag, hint = len(page.tag), page.parent, page.tag, page.hint
+    hard, kept = page.dropped, [not h for h in hint]
+
+    def settled(kept: list[bool]) -> list[bool]:
+        out = list(hard)
+        for i in range(1, n):
+            out[i] = out[i] or not kept[i] or out[parent[i]]
+        return out
+
+    size, longest, holds, in_article, plain = [0] * n, [0] * n, [False] * n, [False] * n, [True] * n
+    for i in range(1, n):
+        in_article[i] = in_article[parent[i]] or tag[parent[i]] == "article"
+        plain[i] = plain[parent[i]] and tag[i] != "a" and tag[i] not in HEADINGS
+    for node, text in pieces:
+        if node >= 0:
+            size[node] += len(text.strip())
+    own = list(size)
+    for i in range(n - 1, 0, -1):
+        if not hard[i]:
+            holds[i] = holds[i] or tag[i] in HEADINGS or tag[i] == "main" or page.role[i] == "main"
+            holds[parent[i]] = holds[parent[i]] or holds[i]
+            kept[i] = kept[i] or holds[i]
+            if tag[i] == "article":
+                longest[i] = max(longest[i], size[i])
+            longest[parent[i]] = max(longest[parent[i]], longest[i])
+            size[parent[i]] += size[i]
+    page.dropped = settled(kept)
+    outside = max((size[i] for i in range(n) if tag[i] == "article" and not page.dropped[i]), default=0)
+    for i in range(1, n):
+        kept[i] = kept[i] or (longest[i] > outside and not in_article[i])
+
+    for least in (WEAK, STRONG):
+        page.dropped = settled(kept)
+        if least == STRONG:
+            whole, left = (sum(own[i] for i in range(n) if plain[i] and not out[i]) for out in (hard, page.dropped))
+            if left >= LEAST_LEFT * whole:
+                break
+        page.dropped = settled([k or h <= least for k, h in zip(kept, hint)])
+        chars, of, bare, core = _measure(page, [(i, t) for i, t in pieces if i < 0 or not page.dropped[i]])
+        path = [core, *_above(parent, core)]
+        cores = [i for i in path if not kept[i]]
+        if least == STRONG and not cores:
+            threshold = min(of[i] for i in path)
+            below = [False] * n
+            for i in of:
+                below[i] = i > 0 and (parent[i] == core or below[parent[i]])
+            cores = [i for i in of if not kept[i] and below[i] and chars[i] and not bare[i] and of[i] >= threshold]
+        names = {x for i in cores for x in page.names[i] if x[0] != "<"}
+        for i in cores:
+            kept[i] = True
+        for i in range(1, n):
+            kept[i] = kept[i] or page.names[i] <= names
+    page.dropped = settled(kept)
+
+
+def _measure(page: Page, pieces: list[tuple[int, str]]) -> tuple[list[int], dict[int, float], list[bool], int]:
+    """Characters by node, density of what is not dropped, which nodes are bare links, and the core."""
     n, parent, tag = len(page.tag), page.parent, page.tag
     chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
@@ -220,6 +310,15 @@ def _region(page: Page, pieces: list[tuple[int, str]]) -> list[bool]:
     for i in live:
         bare[i] = i > 0 and (bare[parent[i]] or (tag[i] in ("ul", "ol", "dl", "p", "div", "section", "table") and link_tags[i] > 1 and link_chars[i] > 0.8 * chars[i]))
     core = max((i for i in live if tag[i] not in INLINE and not bare[i]), key=lambda i: (sums[i], of[i], -i), default=0)
+    return chars, of, bare, core
+
+
+def _region(page: Page, pieces: list[tuple[int, str]]) -> list[bool]:
+    """Which nodes' own text belongs to the main text."""
+    n, parent, tag = len(page.tag), page.parent, page.tag
+    chars, of, bare, core = _measure(page, pieces)
+    live = list(of)
+    body = next((i for i in range(n) if tag[i] == "body"), 0)
 
     def semantic(i: int) -> bool:
         return tag[i] in ("article", "main") or page.role[i] == "main"

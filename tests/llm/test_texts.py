@@ -36,6 +36,37 @@ def test_page(source, text):
     assert html_text.main_text(source) == text
 
 
+STORY = "<p>" + "It rained all day, and nobody came to the fair. " * 6 + "</p><p>" + "So the baker took the loaves home again. " * 5 + "</p>"
+TOLD = ("It rained all day, and nobody came to the fair. " * 6 + "So the baker took the loaves home again. " * 5).strip()
+ASIDE = '<div class="sidebar"><p>Other tales of the week</p></div><div class="cookie-banner"><p>We use cookies.</p></div>'
+COMMENTS = '<div id="comments"><article><p>' + "Nice story! " * 9 + "</p></article><article><p>Me too.</p></article></div>"
+HINTED = [
+    f'<body><div class="content-with-sidebar"><article>{STORY}</article>{ASIDE}</div></body>',
+    f'<body><div class="layout-sidebar-right"><article>{STORY}</article>{ASIDE}</div>{COMMENTS}</body>',
+    f'<body><div class="layout-sidebar-right">{STORY}</div>{ASIDE}</body>',
+    f'<body><div class="elementor-widget-container">{STORY}</div>{ASIDE}</body>',
+    f'<body><form id="aspnetForm"><div><div id="body">{STORY}</div>{ASIDE}</div></form></body>',
+    f'<body><form id="aspnetForm"><main>{STORY}<form class="search"><p>Find more</p></form></main></form></body>',
+    f'<body><div id="notice">{STORY}</div></body>',
+    f'<body><div class="widget"><div role="main">{STORY}</div>{ASIDE}</div></body>',
+    f'<body><dialog open><div class="banner">{STORY}</div></dialog></body>',
+    "<body><div id=page>" + "".join(f'<div class="widget text-widget">{p}</p></div>' for p in STORY.split("</p>")[:2]) + ASIDE + "</div></body>",
+    f"<body><article>{STORY}{COMMENTS}</article></body>",
+    f"<body><article>{STORY}</article>{COMMENTS}{ASIDE}</body>",
+]
+
+
+@pytest.mark.parametrize("source", HINTED)
+def test_names_and_forms_are_hints_only(source):
+    assert html_text.main_text(source) == TOLD
+
+
+def test_blocks_of_a_page_builder():
+    widget = '<div class="elementor-widget elementor-widget-{}"><div class="elementor-widget-container">{}</div></div>'
+    source = f'<body><div>{widget.format("heading", "<h1>The fair</h1>")}{widget.format("text", STORY)}{ASIDE}</div></body>'
+    assert html_text.main_text(source).endswith(TOLD)
+
+
 def test_pages_frame(spark):
     df = spark.createDataFrame([(1, None, s, "x") for s, _ in PAGES] + [(None, "u", PAGES[4][0], None)] * 2, "page_id int, url string, html string, text string")
     got = html_text.extract(df)
