@@ -1,23 +1,28 @@
 """Secret scans with character Markov models, as DataFrame expressions only.
 
-Patterns find the base spans.  Two models of character pairs are trained on
-all of the corpus: one on the values of the base spans (random strings), one
-on long words of letters (ordinary identifiers).  Every other long run of
-token characters is compared under both; where the log-likelihood ratio
-passes ``MARGIN``, the run is one more span, of kind ``markov``.
-
-Edge cases: a null or empty text has no spans; without any random or any
-ordinary sample nothing is added to the base spans; equal rows give equal
+Patterns find the base spans.  Two models of character pairs, of random
+strings and of ordinary identifiers, are trained on the labelled strings of
+``secret_samples`` and, with the same weight, on all of the corpus: on those
+values of base spans that change often between letters and digits (random)
+and on long words of letters (ordinary).  Every distinct sample counts once.
+Every other long run of token characters is compared under both; where the
+log-likelihood ratio passes ``MARGIN``, the run is one more span, of kind
+``markov``.
+
+Edge cases: a null or empty text has no spans; a corpus without any random or
+any ordinary sample is judged by the labelled ones; equal rows give equal
 results; offsets are code points, ends exclusive; other columns are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loglens.llm import secret_samples
 from loglens.llm.common import stored, text_or_empty
 
 # Kinds in their order, patterns, least length of the value or match.
@@ -29,10 +34,11 @@ LEAST_VALUE = 6
 # Runs that the models judge, and what counts as an ordinary identifier.
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ORDINARY = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{12,}(?![A-Za-z0-9+/_=-])"
+# Values of base spans are random samples if so long and with so many changes between letters and digits.
+LEAST_SAMPLE, LEAST_CHANGES = 16, 3
 # A run must be so many times likelier under the random model.
 MARGIN = log(1e4)
 CODES = 128
-SYMBOLS = 67  # A-Z a-z 0-9 + / _ = -
 PRIOR = 10
 
 
@@ -77,48 +83,69 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
 
 def pair_counts(scanned: DataFrame) -> DataFrame:
-    """random (boolean), a, b, n: how often character b follows a in the samples; at most 2 * 128 * 128 rows."""
-    random = scanned.select(F.lit(True).alias("random"), F.explode("base.value").alias("s"))
+    """random (boolean), a, b, n: how often character b follows a in the distinct samples; at most 2 * 128 * 128 rows."""
+    random = scanned.select(F.lit(True).alias("random"), F.explode("base.value").alias("s")).withColumn("s", F.expr("rtrim('=', s)"))
+    changes = F.regexp_count("s", F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"))
+    random = random.where((F.length("s") >= LEAST_SAMPLE) & (changes >= LEAST_CHANGES))
     ordinary = scanned.select(F.lit(False).alias("random"), F.explode("ordinary").alias("s"))
     pairs = "transform(sequence(1, length(s) - 1), i -> ascii(substring(s, i, 1)) * 128 + ascii(substring(s, i + 1, 1)))"
-    codes = random.unionByName(ordinary).where(F.length("s") > 1).select("random", F.explode(F.expr(pairs)).alias("p"))
+    codes = random.unionByName(ordinary).where(F.length("s") > 1).distinct().select("random", F.explode(F.expr(pairs)).alias("p"))
     counts = codes.groupBy("random", "p").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("random", F.expr("p DIV 128").alias("a"), F.expr("p % 128").alias("b"), "n")
 
 
-def ratios(counts: DataFrame) -> list[float] | None:
-    """The log-likelihood ratio of each pair (place 128 * a + b).
+def _class(code: int) -> str:
+    x = chr(code)
+    return "a" if x.islower() else "A" if x.isupper() else "0" if x.isdigit() else x
 
-    A model's chance of b after a mixes the pairs' counts with the chance of b
-    alone, which weighs as much as PRIOR samples; b alone is estimated by
-    adding one to the count of every token character.
+
+CLASSES = [_class(code) for code in range(CODES)]
+
+
+def _chances(of: dict[tuple[int, int], int]) -> list[float]:
+    """The chance of b after a (place 128 * a + b).
+
+    It mixes the counts of the pair with the chance by kinds of characters
+    (small, capital, digit or one sign), which weighs as much as PRIOR
+    samples: of b's kind after a's kind, and of b in its kind.  Both add one
+    to every count.
     """
+    token = [i for i in range(CODES) if chr(i).isalnum() or chr(i) in "+/_=-"]
+    after, kinds, of_kind, alone = Counter(), Counter(), Counter(), Counter(token)
+    for (a, b), n in of.items():
+        after[a] += n
+        kinds[CLASSES[a], CLASSES[b]] += n
+        of_kind[CLASSES[a]] += n
+        alone[b] += n
+    in_kind = Counter()
+    for b, n in alone.items():
+        in_kind[CLASSES[b]] += n
+    different = len({CLASSES[i] for i in token})
+
+    def chance(a: int, b: int) -> float:
+        x, y = CLASSES[a], CLASSES[b]
+        by_kind = (kinds[x, y] + 1) / (of_kind[x] + different) * max(alone[b], 1) / max(in_kind[y], 1)
+        return (of.get((a, b), 0) + PRIOR * by_kind) / (after[a] + PRIOR)
+
+    return [chance(a, b) for a in range(CODES) for b in range(CODES)]
+
+
+def ratios(counts: DataFrame) -> list[float]:
+    """The log-likelihood ratio of each pair (place 128 * a + b); a model is the mean of the corpus's and the labelled strings'."""
     table: dict[bool, dict[tuple[int, int], int]] = {True: {}, False: {}}
     for r in counts.collect():  # bounded, see pair_counts
         table[r["random"]][r["a"], r["b"]] = r["n"]
-    if not table[True] or not table[False]:
-        return None
-    after = {kind: [0] * CODES for kind in table}
-    alone = {kind: [1] * CODES for kind in table}
-    for kind, of in table.items():
-        for (a, b), n in of.items():
-            after[kind][a] += n
-            alone[kind][b] += n
-
-    def logs(kind: bool) -> list[float]:
-        of, n = table[kind], sum(after[kind]) + SYMBOLS
-        return [log((of.get((a, b), 0) + PRIOR * alone[kind][b] / n) / (after[kind][a] + PRIOR)) for a in range(CODES) for b in range(CODES)]
-
-    return [x - y for x, y in zip(logs(True), logs(False))]
+    models = {}
+    for kind, samples in secret_samples.training().items():
+        known = _chances(Counter((ord(a), ord(b)) for s in samples for a, b in zip(s, s[1:])))
+        models[kind] = [(x + y) / 2 for x, y in zip(known, _chances(table[kind]))] if table[kind] else known
+    return [log(x) - log(y) for x, y in zip(models[True], models[False])]
 
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float = MARGIN) -> DataFrame:
     """key, base and spans: arrays of (first, kind, until, value), in order; kind 3 is what the models add."""
     scanned = stored(scan(docs, key, text), "secret-scan")  # spans and long words only, so the texts are read once
-    model = ratios(pair_counts(scanned))
-    if model is None:
-        return scanned.select(F.col("_k").alias(key), "base", F.col("base").alias("spans"))
-    ratio = F.lit(model).cast("array<double>")
+    ratio = F.lit(ratios(pair_counts(scanned))).cast("array<double>")
 
     def score(run: Column) -> Column:
         s = run["value"]
