@@ -208,6 +208,29 @@ def test_decontam(spark, odd_docs, no_docs):
     assert decontam.clean(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_decontam_finds_passages_cut_at_either_end(spark):
+    """All windows that reach the similarity are within the radius, as in the SQL form, which has no SimHash."""
+    rng = random.Random(8)
+    items = {r.item_id: re.findall(r"[^\W_]+", r.text.lower()) for r in spark.read.parquet("/root/testdata/sf0.1/benchmark.parquet").collect()}
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    rows, want = [], set()
+    for item, w in items.items():
+        for end in (True, False):
+            for k in range(1, len(w)):
+                other = [f"other{rng.randrange(10**6)}" for _ in range(k)]
+                cut = w[:-k] + other if end else other + w[k:]
+                shared = sum((grams(cut) & grams(w)).values())
+                if 100 * shared < 80 * (2 * sum(grams(w).values()) - shared):
+                    break
+                rows.append((len(rows), " ".join(cut)))
+                want.add((len(rows) - 1, item))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], ["item_id", "text"])
+    found = {(r._k, r.item) for r in decontam.best(decontam.find(docs, benchmark)).collect()}
+    print(f"\n{len(want - found)} of {len(want)} windows missed")
+    assert want <= found
+
+
 def plain_metrics(text):
     w = words(text)
     own = [x for x in (text or "").split("\n") if words(x)]
