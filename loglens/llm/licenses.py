@@ -4,7 +4,10 @@ A text and a template are anchored on words that are unique in both; the
 longest increasing subsequence of the anchors stays; the gaps between anchors
 are aligned in the same way, with what is unique there.  A gap without any
 such word is matched word by word from both its ends.  The aligned share of
-the template's words is its coverage; ``LEAST`` and more of it is a finding.
+the template's words is its coverage; ``LEAST`` and more of it is a finding
+if all of its telling words (names, versions, Affero, Lesser, ShareAlike ...)
+are aligned, no other telling word stands within, and not more words of the
+text stand within unaligned than may be missing of the template.
 
 Texts are whole: every place with a template's rarer words is a window of up
 to twice the template's length, so a license may stand anywhere and more than
@@ -57,8 +60,20 @@ TEMPLATES = {
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     ],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-2.1": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ],
+    "LGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+    ],
+    "AGPL-3.0": [
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+    ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
         "You can obtain one at https://mozilla.org/MPL/2.0/."
@@ -77,14 +92,41 @@ TEMPLATES = {
     "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "CC-BY-NC-SA-4.0": [
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    ],
+    "Apache-1.1": ["Licensed under the Apache License, Version 1.1."],
+    "Zlib": ["Licensed under the Zlib License."],
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "Artistic-2.0": ["Licensed under the Artistic License 2.0."],
     "proprietary": ["All rights reserved."],
 }
+# SPDX lines: the license each identifier stands for.
+SPDX = {x: x for x in TEMPLATES if x not in ("MIT-text", "BSD", "proprietary")} | {"BSD-2-Clause": "BSD", "BSD-3-Clause": "BSD"}
+for _id, _license in SPDX.items():
+    TEMPLATES[_license] = [*TEMPLATES[_license], f"SPDX-License-Identifier: {_id}"]
+# Words that tell licenses apart; so do versions.
+TELLING = frozenset(
+    "mit apache gpl lgpl agpl gnu lesser library affero mozilla mpl bsd isc cc by sa nc nd attribution sharealike noncommercial noderivatives cc0 zlib boost bsl "
+    "eclipse epl artistic unlicense spdx proprietary clause".split()
+)
 # End of the fixed values.
 
 # Words that stand in many notices or in ordinary prose: windows are sought by others where these don't suffice.
 COMMON = frozenset("a all an and any are at be by for from in is it of or that the this to under use with you v version 4.0 3 2".split())
 
 
+def telling(words: list[str]) -> set[int]:
+    """Places of the words that tell a license from others."""
+    license = not {"license", "licensed", "licenses", "cc"}.isdisjoint(words)
+    return {
+        i for i, w in enumerate(words)
+        if license and (w in TELLING and (w not in ("by", "library") or words[max(0, i - 1)] in ("cc", "gnu", "identifier")) or (w[0].isdigit() and ("." in w or words[max(0, i - 1)] in ("version", "v", "bsd"))))
+    }
+
+
 def split(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -147,6 +189,7 @@ class Template:
                 break
             self.probes.add(w)
             held += count[w]
+        self.telling = telling(self.words)
         self.need = -(-LEAST * len(self.words) // 1)
 
     def findings(self, words: list[str], at: dict[str, list[int]]) -> Iterator[tuple[int, int, int]]:
@@ -160,13 +203,35 @@ class Template:
             starts = [(hit - size, hit + size), *((hit - q, hit - q + size) for q, w in enumerate(self.words) if w == word)]
             for start, end in starts:
                 start = max(0, start)
-                pairs = _tight(align(words[start:end], self.words), size)
-                if len(pairs) >= self.need:
+                pairs = _dense(_tight(align(words[start:end], self.words), size))
+                if len(pairs) >= self.need and self._tells(words[start:end], pairs):
                     until = start + pairs[-1][0] + 1
                     yield len(pairs), start + pairs[0][0], until
                     break
 
 
+    def _tells(self, words: list[str], pairs: list[tuple[int, int]]) -> bool:
+        first, end, met = pairs[0][0], pairs[-1][0] + 1, {i for i, _ in pairs}
+        if end - first - len(pairs) > len(self.words) - self.need or not self.telling <= {j for _, j in pairs}:
+            return False
+        # with the word before, which tells by and versions
+        return all(i < first or i in met for i in (max(0, first - 1) + j for j in telling(words[max(0, first - 1) : end])))
+
+
+def _dense(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The run of pairs with the most of them over the words of the text between them."""
+    best, best_sum, start, total = (0, 0), 0, 0, 0
+    for k, (i, _) in enumerate(pairs):
+        if k:
+            total -= i - pairs[k - 1][0] - 1
+        if total < 0:
+            start, total = k, 0
+        total += 1
+        if total > best_sum:
+            best, best_sum = (start, k + 1), total
+    return pairs[best[0] : best[1]]
+
+
 def _tight(pairs: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     """Without words at the ends that lie further off than the template is long."""
     if not pairs:

@@ -130,6 +130,28 @@ def test_licenses(spark, odd_docs, no_docs):
     assert licenses.scan(odd_docs).count() == licenses.scan(no_docs).count() == 0
 
 
+GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+)
+
+
+@pytest.mark.parametrize(
+    "text, names",
+    [(t, [name]) for name, ts in licenses.TEMPLATES.items() for t in ts]
+    + [
+        (GNU.format(""), ["GPL-3.0"]), (GNU.format("Lesser "), ["LGPL-3.0"]), (GNU.format("Affero "), ["AGPL-3.0"]), ("Licensed under the Zlib License.", ["Zlib"]),
+        ("Licensed under the Apache License, Version 1.1.", ["Apache-1.1"]), ("Licensed under the Apache License, Version 7.5.", []), ("Licensed under the Foo License.", []),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]), ("Licensed under CC BY 3.0.", []), ("// SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0"]),
+    ],
+)
+def test_telling_words_of_licenses(text, names):
+    templates = [licenses.Template(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    probes = frozenset(w for t in templates for w in t.probes)
+    for around in ("{}", "some words before {} and some words after"):
+        assert [f[0] for f in licenses.find_all(around.format(text), templates, probes)] == names
+
+
 def test_alignment_is_monotone():
     rng = random.Random(1)
     for _ in range(300):
