@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loglens.llm import bpe, decontam, html_text, jaccard, licenses, lines, quality, secrets, shards, substrings
+from loglens.llm import bpe, decontam, exact, html_text, jaccard, licenses, lines, quality, secrets, shards, substrings, whitening
 from loglens.llm.common import stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,24 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in all documents."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which row of equal texts stays, for every document."""
+    found = exact.groups(table(spark, sf_dir, "documents"))
+    return found.select(F.col("_k").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
+
+
+ORACLES["op12_exact"] = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY t)
+"""
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding whitened on the first four components."""
+    done = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
