@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loglens.llm import bpe, decontam, exact, html_text, jaccard, licenses, lines, quality, secrets, shards, substrings, whitening
+from loglens.llm import bpe, decontam, exact, html_text, jaccard, licenses, lines, quality, secrets, shards, substrings, tries, whitening
 from loglens.llm.common import stored, table, text_or_empty
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -246,3 +246,38 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding whitened on the first four components."""
     done = whitening.whiten(table(spark, sf_dir, "embeddings"))
     return done.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
+
+
+@query
+def op11_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all rebuilt conversations, a row for each node."""
+    seq, turnless = tries.rebuilt(tries.sequences(table(spark, sf_dir, "conversations")))
+    return tries.trie(seq, turnless)
+
+
+# CRC-32 of the decimal id, bit by bit
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda ch: ascii(ch)::UBIGINT)),
+  lambda crc, b: list_reduce(list_prepend(xor(crc, b), [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+    lambda x, zero: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
+
+ORACLES["op11_trie"] = f"""
+WITH t AS (
+  SELECT conv_id, list([coalesce(role, ''), coalesce(text, '')] ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS own
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, own, CAST({_CRC32} % 6 AS BIGINT) AS h FROM t),
+r AS (
+  SELECT h.conv_id, list_concat(coalesce(t.own, [])[1:h], h.own[h + 1:]) AS path
+  FROM h LEFT JOIN t ON t.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, path, unnest(generate_series(0, len(path))) AS depth FROM r),
+m AS (SELECT conv_id, depth, path[1:depth] AS node, depth = len(path) AS ends FROM p),
+n AS (
+  SELECT node, depth, min(conv_id) AS conv_id, count(*) AS n_convs, bool_and(ends) AS leaf,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM m GROUP BY node, depth),
+w AS (SELECT *, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(node[depth][2]) END AS w FROM n),
+s AS (
+  SELECT up, CAST(sum(leaf::INT) AS BIGINT) AS n_leaves, CAST(sum(w) AS BIGINT) AS saved_tokens, count(*) FILTER (WHERE d = depth - 1) AS n_children
+  FROM (SELECT leaf, w, depth, d, node[1:d] AS up FROM (SELECT *, unnest(generate_series(0, depth)) AS d FROM w)) GROUP BY up)
+SELECT n.conv_id, n.depth, q.conv_id AS parent_conv_id, n.n_convs, n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM n JOIN s ON s.up = n.node LEFT JOIN n AS q ON n.depth > 0 AND q.node = n.node[1:n.depth - 1]
+"""
