@@ -84,7 +84,113 @@ def context(
     return df.filter(F.col("is_eligible")).join(hits, ["path", "line_no"], "left_semi")
 
 
-# ---- W2: gap markers ---------------------------------------------------------------------
+# ---- W2 / W3: gap markers and runs -------------------------------------------------------
+
+def _bucket(width: int) -> Column:
+    return F.floor(F.col("line_no") / F.lit(int(width))).cast("long")
+
+
+def _in_order(*more: str) -> Window:
+    return Window.partitionBy("path", "bk").orderBy("line_no", *more)
+
+
+def _edges(x: DataFrame, collapse: bool) -> DataFrame:
+    """One small row per bucket: where it starts and ends, and what its first
+    and last run look like."""
+    agg = [
+        F.min("line_no").alias("first_no"), F.max("line_no").alias("last_no"),
+        F.bool_or(F.when(F.col("_k") == 1, F.col("_gap"))).alias("gap"),
+        # keeps all columns in this branch, so that both branches read one and the same exchange
+        F.sum(F.octet_length("line") + F.col("is_match").cast("int")).alias("size"),
+    ]
+    if collapse:
+        hits_before = F.col("_hits") - F.col("is_match").cast("int")
+        later = F.col("_start") & (F.col("_k") > 1)
+        agg += [
+            F.max("_k").alias("n"), F.max("_hits").alias("m"),
+            F.min_by("line", "_k").alias("first_line"), F.max_by("line", "_k").alias("last_line"),
+            F.min(F.when(later, F.col("_k"))).alias("second"), F.max(F.when(later, F.col("_k"))).alias("last"),
+            F.min(F.when(later, hits_before)).alias("second_hits"), F.max(F.when(later, hits_before)).alias("last_hits"),
+        ]
+    return x.groupBy("path", "bk").agg(*agg)
+
+
+def _joined_edges(edges: DataFrame, collapse: bool) -> DataFrame:
+    """What a bucket's rows need to know of the buckets before and after it:
+    ``_gap0`` (a marker before its first row) and, for runs, ``_joins`` (its
+    first run goes on from an earlier bucket) and the length and hits of its
+    first and last run as a whole (``_fn _fm _ln _lm``).
+
+    A scan by path over one row per bucket; no line is in it but the edges'.
+    """
+    w = Window.partitionBy("path").orderBy("bk")
+    before = F.lag("last_no").over(w)
+    gap = F.coalesce("gap", F.col("first_no") - before > 1, F.lit(False)) & (F.col("size") >= 0)
+    e = edges.withColumn("_gap0", gap)
+    if not collapse:
+        return e.select("path", "bk", "_gap0")
+    joins = F.coalesce(F.lag("last_line").over(w).eqNullSafe(F.col("first_line")) & before.isNotNull() & ~F.col("_gap0"), F.lit(False))
+    first = F.struct(F.lit(0).alias("at"), (F.coalesce(F.col("second") - 1, F.col("n"))).alias("n"), F.coalesce("second_hits", "m").alias("m"))
+    last = F.when(F.col("last").isNotNull(), F.struct(F.lit(1).alias("at"), (F.col("n") - F.col("last") + 1).alias("n"), (F.col("m") - F.col("last_hits")).alias("m")))
+    runs = e.withColumn("_joins", joins).select("path", "bk", "_gap0", "_joins", F.explode(F.array_compact(F.array(first, last))).alias("r"))
+    runs = runs.select("path", "bk", "_gap0", "_joins", "r.*")
+    alone = (F.col("at") == 1) | ~F.col("_joins")
+    order = Window.partitionBy("path").orderBy("bk", "at").rowsBetween(Window.unboundedPreceding, 0)
+    runs = runs.withColumn("chain", F.sum(alone.cast("int")).over(order))
+    whole = Window.partitionBy("path", "chain")
+    runs = runs.withColumns({"n": F.sum("n").over(whole), "m": F.sum("m").over(whole)})
+    return runs.groupBy("path", "bk", "_gap0", "_joins").agg(
+        F.min_by("n", "at").alias("_fn"), F.min_by("m", "at").alias("_fm"),
+        F.max_by("n", "at").alias("_ln"), F.max_by("m", "at").alias("_lm"),
+    )
+
+
+def _assembled(x: DataFrame, collapse: bool) -> DataFrame:
+    """Output rows of lines placed in buckets.
+
+    Input: ``path, bk, line_no, sub, line, is_match``, the row's place ``_k``
+    in its bucket and ``_gap`` (a marker belongs before it; null if only the
+    buckets before can tell).  The text stays in its ``(path, bk)``
+    partition: what crosses bucket edges is a table of one row per bucket.
+    """
+    if collapse:
+        w = _in_order("sub")
+        same = F.lag("line").over(w).eqNullSafe(F.col("line"))
+        start = (F.col("_k") == 1) | F.coalesce("_gap", F.lit(False)) | ~same
+        x = x.withColumns({"_start": start, "_hits": F.sum(F.col("is_match").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))})
+    told = _joined_edges(_edges(x, collapse), collapse)
+    line, match = F.col("line"), F.col("is_match")
+    if collapse:
+        x = x.filter("_start").withColumn("_hits", F.col("_hits") - F.col("is_match").cast("int"))
+        x = x.withColumns({"_next": F.lead("_k").over(w), "_next_hits": F.lead("_hits").over(w)})
+    x = x.join(told, ["path", "bk"], "left")
+    if collapse:
+        x = x.filter((F.col("_k") > 1) | ~F.col("_joins"))
+        inner = F.col("_next").isNotNull() & (F.col("_k") > 1)
+        n = F.when(inner, F.col("_next") - F.col("_k")).when(F.col("_k") == 1, F.col("_fn")).otherwise(F.col("_ln"))
+        m = F.when(inner, F.col("_next_hits") - F.col("_hits")).when(F.col("_k") == 1, F.col("_fm")).otherwise(F.col("_lm"))
+        line = F.when(n > 1, F.concat(line, F.lit("  × "), n.cast("string"))).otherwise(line)
+        match = m > 0
+    gap = F.when(F.col("_k") == 1, F.col("_gap0")).otherwise(F.coalesce("_gap", F.lit(False)))
+    row = lambda sub, text, hit, is_gap: F.struct(sub.alias("sub"), text.alias("line"), hit.alias("is_match"), F.lit(is_gap).alias("is_gap"))
+    emit = F.array(F.when(gap, row(F.lit(0), F.lit(GAP), F.lit(False), True)), row(F.col("sub"), line, match, False))
+    return x.select("path", "bk", "line_no", F.explode(F.array_compact(emit)).alias("_e")).select("path", "bk", "line_no", "_e.*")
+
+
+def _marked(sel: DataFrame, width: int, markers: bool, collapse: bool = False) -> DataFrame:
+    """Output rows of already selected lines, from one exchange of them to
+    ``(path, line_no div width)``: a ``--`` before a line that does not follow
+    the previous selected line of its file, and runs as one row.
+    """
+    # both branches of the plan below must filter alike to share one exchange: here, and by a left join
+    x = sel.filter(F.col("path").isNotNull()).select("path", _bucket(width).alias("bk"), "line_no", F.lit(1).alias("sub"), "line", "is_match")
+    if not markers and not collapse:
+        return x.withColumn("is_gap", F.lit(False))
+    w = _in_order("sub")
+    before = F.lag("line_no").over(w)
+    gap = F.when(before.isNotNull(), F.col("line_no") - before > 1) if markers else F.lit(False)
+    return _assembled(x.withColumns({"_gap": gap, "_k": F.row_number().over(w)}), collapse)
+
 
 def gap_markers(sel: DataFrame, bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """A ``--`` row before each selected line that does not follow the
@@ -94,59 +200,26 @@ def gap_markers(sel: DataFrame, bucket_width: int = DEFAULT_BUCKET_LINES) -> Dat
     orders a file's output (the marker has ``sub=0`` and the line number of
     the line after it).
     """
-    base = sel.select("path", "line_no", "line", "is_match")
-    prev = previous_row(base, ["path"], "line_no", [], line_bucket("line_no", bucket_width))
-    gaps = prev.filter(F.col("prev_line_no").isNotNull() & (F.col("line_no") - F.col("prev_line_no") > 1)).select(
-        "path", "line_no", F.lit(0).alias("sub"), F.lit(GAP).alias("line"),
-        F.lit(False).alias("is_match"), F.lit(True).alias("is_gap"),
-    )
-    rows = base.select(
-        "path", "line_no", F.lit(1).alias("sub"), "line", "is_match", F.lit(False).alias("is_gap"),
-    )
-    return rows.unionByName(gaps)
-
+    return _marked(sel, bucket_width, True).drop("bk")
 
-# ---- W3 / W6: runs ---------------------------------------------------------------------------
 
 def dedup(rows: DataFrame, bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """Collapse consecutive equal output lines to ``line  × n``.
 
     Input: output rows ``path, line_no, sub, line, is_match, is_gap`` (see
     ``gap_markers``; plain selected lines with ``sub=1, is_gap=false`` work
-    too).  Runs are formed inside buckets of ``bucket_width`` line numbers;
-    then the first and last run of every bucket meet in one small group per
-    file, where runs that go over bucket edges are joined.  The width steers
-    parallelism only.
+    too).  Runs are formed inside buckets of ``bucket_width`` line numbers and
+    joined over bucket edges by a table of one row per bucket.  The width
+    steers parallelism only.
 
     The match count of a run is its flag before the rewrite (one per run);
     markers never join a run.
     """
-    rows = rows.withColumn("bk", line_bucket("line_no", bucket_width).cast("long"))
-    w = Window.partitionBy("path", "bk").orderBy("line_no", "sub")
-    prev = F.lag(F.struct("line", "is_gap")).over(w)
-    starts = prev.isNull() | ~prev["line"].eqNullSafe(F.col("line")) | prev["is_gap"] | F.col("is_gap")
-    r = rows.withColumn("_b", starts.cast("int")).withColumn("_run", F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.min_by(F.struct("line_no", "sub", "line", "is_gap"), F.struct("line_no", "sub")).alias("_f")
-    runs = r.groupBy("path", "bk", "_run").agg(first, F.count(F.lit(1)).alias("_n"), F.max(F.col("is_match").cast("int")).alias("_m"))
-    runs = runs.select("path", "bk", "_run", "_f.*", "_n", "_m")
-    wr = Window.partitionBy("path", "bk").orderBy("_run")
-    edge = F.lag("_run").over(wr).isNull() | F.lead("_run").over(wr).isNull()
-    runs = runs.withColumn("_g", F.when(edge, F.lit(-1)).otherwise(F.col("bk")))
-    we = Window.partitionBy("path", "_g").orderBy("line_no", "sub")
-    p = F.lag(F.struct("bk", "line", "is_gap")).over(we)
-    # two runs of one bucket are different runs, whatever stands between them
-    alone = p.isNull() | (p["bk"] == F.col("bk")) | ~p["line"].eqNullSafe(F.col("line")) | p["is_gap"] | F.col("is_gap")
-    runs = runs.withColumn("_b", alone.cast("int")).withColumn("_c", F.sum("_b").over(we.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = runs.groupBy("path", "_g", "_c").agg(
-        F.min_by(F.struct("bk", "line_no", "sub", "line", "is_gap"), F.struct("line_no", "sub")).alias("_f"),
-        F.sum("_n").alias("_n"), F.max("_m").alias("_m"),
-    )
-    return whole.select(
-        "path", F.col("_f.bk").alias("bk"), F.col("_f.line_no").alias("line_no"), F.col("_f.sub").alias("sub"),
-        F.when(F.col("_n") > 1, F.concat(F.col("_f.line"), F.lit("  × "), F.col("_n").cast("string")))
-        .otherwise(F.col("_f.line")).alias("line"),
-        (F.col("_m") == 1).alias("is_match"), F.col("_f.is_gap").alias("is_gap"),
-    )
+    w = _in_order("sub")
+    x = rows.filter(F.col("path").isNotNull()).select("path", _bucket(bucket_width).alias("bk"), "line_no", "sub", "line", "is_match", "is_gap")
+    # a marker has the line number of the line after it, so both lie in one bucket
+    x = x.withColumn("_gap", F.coalesce(F.lag("is_gap").over(w), F.lit(False))).filter(~F.col("is_gap")).drop("is_gap")
+    return _assembled(x.withColumn("_k", F.row_number().over(w)), True).select(*OUT_COLS)
 
 
 def drop_repeats(df: DataFrame, bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
@@ -206,37 +279,6 @@ def _near_in_buckets(flagged: DataFrame, q: LogQuery, width: int) -> DataFrame:
     return x.filter(F.col("_near") & F.col("is_eligible") & (F.col("home") == F.col("bk"))).select("path", "line_no", "line", "is_match")
 
 
-def _marked(sel: DataFrame, width: int, markers: bool) -> DataFrame:
-    """Output rows of already selected lines: a ``--`` before a line that does
-    not follow the previous selected line of its file.
-
-    Only the selected rows are shuffled, by ``(path, bk)``; the first and last
-    row of every bucket then meet in one small group per file, where a
-    bucket's first row finds the row before it.
-    """
-    bk = F.floor(F.col("line_no") / F.lit(width)).cast("long")
-    x = sel.select("path", bk.alias("bk"), "line_no", "line", "is_match")
-    gap = F.lit(False)
-    if markers:
-        w = Window.partitionBy("path", "bk").orderBy("line_no")
-        x = x.withColumns({"_prev": F.lag("line_no").over(w), "_next": F.lead("line_no").over(w)})
-        x = x.withColumn("_g", F.when(F.col("_prev").isNull() | F.col("_next").isNull(), F.lit(-1)).otherwise(F.col("bk")))
-        before = F.lag("line_no").over(Window.partitionBy("path", "_g").orderBy("line_no"))
-        # inside its bucket a row has its neighbour already
-        x = x.withColumn("_before", before)
-        prev = F.coalesce(F.col("_prev"), F.col("_before"))
-        gap = F.coalesce(F.col("line_no") - prev > 1, F.lit(False))
-    emit = F.array(
-        F.when(gap, F.struct(F.lit(0).alias("sub"), F.lit(GAP).alias("line"),
-                             F.lit(False).alias("is_match"), F.lit(True).alias("is_gap"))),
-        F.struct(F.lit(1).alias("sub"), F.col("line").alias("line"), F.col("is_match").alias("is_match"),
-                 F.lit(False).alias("is_gap")),
-    )
-    out = x.select("path", "bk", "line_no", F.explode(F.array_compact(emit)).alias("_e"))
-    return out.select("path", "bk", "line_no", F.col("_e.sub").alias("sub"), F.col("_e.line").alias("line"),
-                      F.col("_e.is_match").alias("is_match"), F.col("_e.is_gap").alias("is_gap"))
-
-
 def select_lines(
     df: DataFrame,
     q: LogQuery,
@@ -278,8 +320,7 @@ def select_lines(
         sel = _near_in_buckets(flagged, q, bucket_width)
     else:
         sel = context(flagged, q.before, q.after, "window" if plan == "window" else "join")
-    out = _marked(sel, bucket_width, markers and q.has_pattern)
-    return dedup(out, bucket_width) if q.dedup else out.select(*OUT_COLS)
+    return _marked(sel, bucket_width, markers and q.has_pattern, q.dedup).select(*OUT_COLS)
 
 
 def order_output(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:

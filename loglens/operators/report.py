@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from loglens.config import ALERT_RATE_WINDOW_S, MAX_ALERT_EVENTS, MAX_ALERT_GROUPS, MAX_RENDERED_ALERTS
 from loglens.functions.timeparse import ts_literal
 
+# Bytes of output lines in a block: a row of the result and a JSON object.
+BLOCK_BYTES = 16 << 20
+
 
 def _ts(now) -> Column:
     return now if isinstance(now, Column) else ts_literal(now)
@@ -119,31 +122,40 @@ def blocks(
     now,
     span: int | None = None,
     with_counts: bool = True,
+    max_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """A5: the ordered output lines of a block as one array.
 
-    A block is ``(path, bk)`` of the search output (``bk`` = ``line_no div
-    width``; pass ``span`` to re-cut rows without ``bk``), so every group is
-    bounded whatever the file size; a file shorter than the width is one
-    block, as in the original tool.  ``suffix`` is ``"<n> matches"`` with the
-    source's total: a sum of the flags alone, one number per block, joined by
-    block, so the lines never meet by path.
+    The rows of a ``(path, bk)`` (``bk`` = ``line_no div width`` of the search
+    output; pass ``span`` to re-cut rows without ``bk``) are cut into blocks
+    where a running sum of their bytes passes a multiple of ``max_bytes``, so
+    a block holds about ``max_bytes`` at most whatever the file and its lines
+    are, plus one line.  A source with less is one block, as in the original
+    tool.  ``part`` numbers a source's blocks from 0 without gaps; ``suffix``
+    is ``"<n> matches"`` with the source's total.  Both come from a table of
+    one row per ``(path, bk)``, so the lines never meet by path.
     """
     if span is not None or "bk" not in rows.columns:
         rows = rows.withColumn("bk", F.floor(F.col("line_no") / F.lit(span or 1_000_000)).cast("long"))
-    agg = rows.groupBy("path", F.col("bk").alias("part")).agg(
+    w = Window.partitionBy("path", "bk").orderBy("line_no", "sub")
+    running = w.rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(F.octet_length("line") + 1).over(running), F.lit(0))
+    x = rows.select("path", "bk", "line_no", "sub", "line", "is_match", "is_gap", F.floor(before / F.lit(max_bytes)).alias("_cut"))
+    new = (F.col("_cut") != F.lag("_cut").over(w)).cast("int")
+    x = x.withColumn("_b", F.coalesce(F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).cast("long"))
+    agg = x.groupBy("path", "bk", "_b").agg(
         F.array_sort(F.collect_list(F.struct(F.col("line_no"), F.col("sub"), F.col("line")))).alias("_l"),
     )
-    out = agg.select("path", "part", F.transform("_l", lambda x: x["line"]).alias("lines"))
-    if with_counts:
-        hit = (F.col("is_match") & ~F.col("is_gap")).cast("long")
-        parts = rows.groupBy("path", F.col("bk").alias("part")).agg(F.sum(hit).alias("_m"))
-        total = F.sum("_m").over(Window.partitionBy("path"))  # over one number per block
-        out = out.join(parts.select("path", "part", F.concat(total.cast("string"), F.lit(" matches")).alias("suffix")), ["path", "part"])
-    else:
-        out = out.withColumn("suffix", F.lit(None).cast("string"))
+    hit = (F.col("is_match") & ~F.col("is_gap")).cast("long")
+    parts = x.groupBy("path", "bk").agg((F.max("_b") + 1).alias("_n"), F.sum(hit).alias("_m"))
+    of_path = Window.partitionBy("path")
+    first = F.sum("_n").over(of_path.orderBy("bk").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("path", "bk", F.coalesce(first, F.lit(0)).alias("_first"), F.sum("_m").over(of_path).alias("_total"))
+    out = agg.join(parts, ["path", "bk"], "left")
+    suffix = F.concat(F.col("_total").cast("string"), F.lit(" matches")) if with_counts else F.lit(None).cast("string")
     t = F.date_format(_ts(now), "yyyy-MM-dd'T'HH:mm:ssXXX")
-    return out.select("path", "part", t.alias("time"), "suffix", "lines")
+    lines = F.transform("_l", lambda r: r["line"])
+    return out.select("path", (F.col("_first") + F.col("_b")).cast("long").alias("part"), t.alias("time"), suffix.alias("suffix"), lines.alias("lines"))
 
 
 def to_json_blocks(blk: DataFrame) -> DataFrame:

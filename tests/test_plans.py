@@ -88,3 +88,33 @@ def test_plain_search_filters_before_its_shuffle(spark):
     ex = p.index("Exchange hashpartitioning(path")
     flt = p.index("Filter", ex)  # the filter is below (printed after) the exchange
     assert flt > ex and "Window" in p[:ex]
+
+
+def _text_exchanges(df) -> int:
+    """Exchanges of the final plan whose rows hold whole lines (the edge rows of buckets have names of their own)."""
+    plan = _final(df).split("== Initial Plan ==")[0].split("\n")
+    below = [plan[i + 1] for i, x in enumerate(plan) if re.search(r"[-:] Exchange hashpartitioning\(path#\d+, (bk|_b)#", x)]
+    return sum(bool(re.search(r"[( ,\[]line#", x)) for x in below)
+
+
+def test_selected_lines_cross_one_exchange(spark):
+    """Markers, runs and blocks: everything else that is shuffled is one row a bucket."""
+    df = lines_df(spark, {"/a": ["ok", "ERROR x", "ok", "ok"] * 9, "/b": ["ERROR y"] * 5}).repartition(3)
+    for dedup in (False, True):
+        rows = L.select_lines(df, LogQuery(pattern="ERROR", dedup=dedup), bucket_width=4)
+        assert _text_exchanges(rows) == 1, dedup
+        assert _text_exchanges(R.blocks(rows, "2026-01-01 00:00:00")) == 1, dedup
+
+
+def test_blocks_keep_a_byte_budget(spark):
+    """Long lines: every block is about the budget, its number has no gaps, the total is the source's."""
+    df = lines_df(spark, {"/a": [f"{i:04d}" + "x" * 1996 for i in range(300)] + ["y" * 50_000, "end"], "/b": ["short"]})
+    rows = L.select_lines(df, LogQuery(pattern="x|y|e|s"), bucket_width=64)
+    got = R.blocks(rows, "2026-01-01 00:00:00", max_bytes=20_000).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.path, {})[r.part] = r.lines
+        assert sum(len(x) + 1 for x in r.lines[:-1]) <= 20_000
+    assert sorted(by["/a"]) == list(range(len(by["/a"]))) and list(by["/b"]) == [0]
+    assert [x for k in sorted(by["/a"]) for x in by["/a"][k]] == [r["line"] for r in df.filter("path = '/a'").orderBy("line_no").collect()]
+    assert {r.suffix for r in got if r.path == "/a"} == {"302 matches"}
