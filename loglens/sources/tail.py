@@ -1,48 +1,61 @@
 """``logtail`` -- a streaming source of lines appended to log files.
 
 Spark's file stream ignores bytes appended to a file it has seen; this
-source follows appends.  It is a Python data source: the driver lists the
-files at every trigger and plans byte ranges, executors read the ranges.
+source follows appends.  It is a Python data source: the driver asks the file
+system for names, identities and sizes at every trigger and never opens a
+file; executors read the byte ranges.
 
 Offset (JSON)::
 
     {"ts": <epoch ms of the listing>,
      "files": {path: {"id": "dev:ino", "pos": <next unread byte>, "size": <bytes>,
-                      "from": <first byte of this file generation>,
-                      "long": <inside an over-long line>, "gen": <generation>}}}
+                      "first": <size when this generation was first seen>, "gen": <generation>}}}
 
-``pos`` always sits just after a ``\\n`` (or inside an over-long line, see
-below), so a range never splits a line.  Per range:
+``pos`` is any byte: ranges are cut from sizes alone.  **A line belongs to the
+range that holds its newline**; its reader looks back over the range's start
+for the line's own (``lineCap`` bytes at most).  So ranges of a file can be
+read by any number of tasks, an unfinished line waits for the range with its
+newline, and no range depends on the text of another.  Per file:
 
-* a file new since the previous offset -> ``[from, pos)``;
+* new since the previous offset -> its last N lines (``startingLines``) up to
+  ``first``, found by the reader, then ``[first, pos)``;
 * identity changed (rotated/replaced) -> first the unread end of the old
-  file, found in the same directory by its identity (``tail``), then a
-  marker row ``rotated`` + ``[from, pos)`` of the new file (``from`` = start
-  of its last N lines).  ``gen`` counts the generations of a path, so rows
-  order as ``gen, offset``;
+  file, found in the same directory by its identity (``rest``), then a
+  marker row ``rotated`` and the new file as above.  ``gen`` counts the
+  generations of a path, so rows order as ``gen, offset``;
 * size below the previous position (truncated) -> marker ``truncated`` +
   ``[0, pos)``;
-* otherwise ``[prev.pos, pos)``.
-
-Ranges are cut from the start offset that Spark hands to ``partitions``, so
-after a restart they go on where the checkpoint ends.  The first listing of a
-query can't know an earlier offset: it marks its entries ``resumed`` and takes
-each file up to its last newline, however much that is; later listings admit
-``maxBytesPerFile``.  A file that a listing doesn't find
-or can't read keeps its entry for ``KEEP_GONE`` listings.
-
-Options: ``path`` (comma-separated files, globs and directories; rotated
-names that a glob or directory gives are not followed, of a directory's files
-only likely logs), ``maxBytesPerFile``
-(4 MiB, admission per trigger), ``startingLines`` (10: a file starts with
-its last N lines; ``-1`` = from its first byte), ``lineCap`` (2 MiB: a line
-longer than this is emitted as ``[truncated long line] `` + its last
-``lineCap`` bytes), ``splitBytes`` (64 MiB: larger ranges are read by
-several tasks, split Hadoop-style at line starts).
-
-Output: ``path, gen, offset, line, kind ('line'|'rotated'|'truncated'),
-observed_at``.  ``observed_at`` is the listing time stored in the offset,
-so a replayed batch yields the same rows.
+* otherwise ``[prev.pos, pos)``, at most ``maxBytesPerFile`` long.
+
+Spark tells a Python source its earlier offset only when it plans a batch.
+The first listing of a started (or restarted) query is therefore returned as
+``{"ref": <name>}``; when its batch is planned, positions are counted from
+the offset that Spark gives -- the checkpoint's -- and written under that name
+to ``offsetDir`` before any range is handed out.  A replay reads them there.
+So admission is the same before and after a restart.
+
+A file that is gone leaves the offset at the next listing (marker ``gone``),
+as in the original tool; one that can't be asked about (any other error) keeps its entry.
+
+Targets: ``path`` is a comma-separated list of files, globs, directories and
+group names; ``groups`` a JSON object of group name -> globs (the built-in
+ones are known); ``exclude`` a comma-separated list of globs, where a hit
+directory takes its subtree along (the root itself is never tested).  All are
+looked up anew at every trigger.  Rotated names that a glob or directory gives
+are not followed; of a directory's files only likely logs.
+
+Other options: ``maxBytesPerFile`` (4 MiB, admission per trigger),
+``startingLines`` (10: a file starts with its last N lines; ``-1`` = from its
+first byte), ``lineCap`` (2 MiB: a line longer than this is emitted as
+``[truncated long line] `` + its last ``lineCap`` bytes), ``splitBytes``
+(64 MiB: larger ranges are read by several tasks), ``offsetDir`` (a folder the
+driver can write to again after a restart; ``tail_stream`` takes the session's
+shared checkpoint folder).
+
+Output: ``path, gen, offset, line, kind ('line'|'rotated'|'truncated'|'gone'),
+observed_at``.  ``offset`` is where the line starts (-1 for markers; of a cut
+line, where what is left of it starts).  ``observed_at`` is the listing time
+stored in the offset, so a replayed batch yields the same rows.
 
 Identity is ``(st_dev, st_ino)`` of a shared POSIX mount; object stores have
 no append, use the plain file stream there.
@@ -52,37 +65,62 @@ from __future__ import annotations
 
 import datetime as dt
 import glob as _glob
+import json
 import os
+import re
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from loglens.config import DEFAULT_LINES, FOLLOW_READ_BYTES, LINE_CAP_BYTES
+from loglens.functions.glob import glob_to_regex
 from loglens.functions.paths import likely_log, rotated
+from loglens.operators.files import BUILTIN_GROUPS
 
 SCHEMA = "path string, gen long, offset long, line string, kind string, observed_at timestamp"
 TRUNCATED_TAG = "[truncated long line] "
 BLOCK = 64 * 1024
 
 
-# Listings for which a file that isn't found keeps its place.
-KEEP_GONE = 600
+class Targets:
+    """Names of files, globs, directories and groups, less excludes; ``list`` looks them up."""
+
+    def __init__(self, path: str, groups: str = "", exclude: str = ""):
+        known = dict(BUILTIN_GROUPS) | (json.loads(groups) if groups else {})
+        named = [x.strip() for x in path.split(",") if x.strip()]
+        self.patterns = [os.path.expanduser(p) for x in named for p in known.get(x, [x])]
+        self.excluded = [re.compile(glob_to_regex(x.strip()), re.S) for x in exclude.split(",") if x.strip()]
+
+    def _hit(self, path: str) -> bool:
+        return any(x.search(path) for x in self.excluded)
+
+    def _walk(self, root: str):
+        for d, folders, names in os.walk(root):
+            folders[:] = [x for x in folders if not self._hit(os.path.join(d, x))]
+            yield from (os.path.join(d, n) for n in names if likely_log(n) and not rotated(n))
+
+    def list(self) -> list[str]:
+        """Files named outright, and current (not rotated) ones that globs and directories give."""
+        out: set[str] = set()
+        for p in self.patterns:
+            if os.path.isdir(p):
+                found = self._walk(os.path.abspath(p))
+            elif _glob.has_magic(p):
+                root = os.path.abspath(p[: re.search(r"[*?\[]", p).start()].rsplit("/", 1)[0] or "/")
+                hits = (os.path.abspath(f) for f in _glob.glob(p, recursive=True) if not rotated(os.path.basename(f)))
+                found = (f for f in hits if not any(self._hit(x) for x in _below(root, f)))
+            else:
+                found = iter([os.path.abspath(p)])
+            out.update(f for f in found if os.path.isfile(f) and not self._hit(f))
+        return sorted(out)
 
 
-def _list(patterns: str) -> list[str]:
-    """Files named outright, and current (not rotated) ones that globs and directories give."""
-    out: set[str] = set()
-    for p in filter(None, (x.strip() for x in patterns.split(","))):
-        p = os.path.expanduser(p)
-        if os.path.isdir(p):
-            found = (os.path.join(d, n) for d, _, names in os.walk(p) for n in names if likely_log(n) and not rotated(n))
-        elif _glob.has_magic(p):
-            found = (f for f in _glob.glob(p, recursive=True) if not rotated(os.path.basename(f)))
-        else:
-            found = iter([p])
-        out.update(os.path.abspath(f) for f in found if os.path.isfile(f))
-    return sorted(out)
+def _below(root: str, path: str) -> list[str]:
+    """The folders of path strictly below root."""
+    parts = os.path.relpath(os.path.dirname(path), root).split("/")
+    return [os.path.join(root, *parts[: i + 1]) for i in range(len(parts))] if parts != ["."] else []
 
 
 def _last_newline(f, lo: int, hi: int) -> int:
@@ -128,50 +166,37 @@ def _find_by_id(path: str, fid: str) -> str | None:
     return None
 
 
-def _plan_file(path: str, prev: dict | None, max_bytes: int, start_lines: int, cap: int, resumed: bool = False) -> dict | None:
-    """The file's entry in the next offset, or None if it can't be read now."""
+def _stat(path: str) -> tuple[str, int]:
+    st = os.stat(path)
+    return f"{st.st_dev}:{st.st_ino}", st.st_size
+
+
+def _plan_file(path: str, prev: dict | None, max_bytes: int, start_lines: int) -> dict | None:
+    """The file's entry in the next offset, from its identity and size; None if it is gone."""
     try:
-        st = os.stat(path)
-        fid, size, tail, gen, long_ = f"{st.st_dev}:{st.st_ino}", st.st_size, None, 0, False
-        with open(path, "rb") as f:
-            if prev is not None and prev["id"] == fid:
-                cut = size < prev["pos"]
-                gen = prev["gen"] + cut
-                frm, base, long_ = (0, 0, False) if cut else (prev["from"], prev["pos"], prev["long"])
-            else:
-                frm = base = _last_lines_start(f, size, start_lines)
-                if prev is not None:
-                    gen = prev["gen"] + 1
-                    # rotated: the unread end of the old file, found by its identity
-                    old = _find_by_id(path, prev["id"])
-                    if old is not None and os.stat(old).st_size > prev["pos"]:
-                        tail = {"file": old, "lo": prev["pos"], "hi": os.stat(old).st_size}
-            # a line up to ``cap`` bytes is always admitted whole; what a restarted query
-            # has read already isn't known here, so its first listing has no limit
-            hi = size if resumed else min(size, base + max(max_bytes, cap + 1))
-            newline = _last_newline(f, base, hi)
-        if newline >= 0:
-            pos, long_ = newline + 1, False
-        elif hi - base > cap:
-            pos, long_ = hi, True  # inside a line longer than the cap: skip ahead
-        else:
-            pos = base  # an unfinished line: wait for its end
-        e = {"id": fid, "pos": pos, "size": size, "from": frm, "long": long_, "gen": gen}
-        return e | ({"tail": tail} if tail else {}) | ({"resumed": True} if resumed else {})
+        fid, size = _stat(path)
+    except FileNotFoundError:
+        return None
+    except OSError:
+        return prev
+    if prev is not None and prev["id"] == fid:
+        cut = size < prev["pos"]
+        base, gen, first = (0, prev["gen"] + 1, 0) if cut else (prev["pos"], prev["gen"], prev["first"])
+        return {"id": fid, "pos": min(size, base + max_bytes), "size": size, "first": first, "gen": gen}
+    first = size if start_lines >= 0 else 0
+    e = {"id": fid, "pos": first or min(size, max_bytes), "size": size, "first": first, "gen": prev["gen"] + 1 if prev else 0}
+    rest = _rest_of(path, prev) if prev else None
+    return e | ({"rest": rest} if rest else {})
+
+
+def _rest_of(path: str, prev: dict) -> dict | None:
+    """What the file renamed from ``path`` still has unread."""
+    old = _find_by_id(path, prev["id"])
+    try:
+        size = os.stat(old).st_size if old else 0
     except OSError:
         return None
-
-
-def _split(data: bytes, pos: int):
-    """Lines of ``data`` with their file offsets and whether they ended in ``\\n``."""
-    cut = 0
-    while cut < len(data):
-        nl = data.find(b"\n", cut)
-        if nl < 0:
-            yield data[cut:], pos + cut, False
-            return
-        yield data[cut:nl], pos + cut, True
-        cut = nl + 1
+    return {"file": old, "lo": prev["pos"], "hi": size} if size > prev["pos"] else None
 
 
 def _text(raw: bytes) -> str:
@@ -185,154 +210,131 @@ def _text(raw: bytes) -> str:
 
 @dataclass
 class TailRange(InputPartition):
+    """Lines with their newline in ``[lo, hi)`` of a file; ``last``: only so many, the last ones;
+    ``final``: the file has ended, so what follows the last newline is a line."""
+
     path: str
     file: str
     gen: int
     lo: int
     hi: int
-    range_lo: int
-    range_hi: int
-    long_start: bool
-    long_end: bool
+    last: int | None
+    final: bool
     marker: str | None
     ts: int
     cap: int
 
 
-def _same(old: dict | None, new: dict) -> bool:
-    """Nothing to read between the entries."""
-    return old is not None and all(old[k] == new[k] for k in ("id", "pos", "gen", "long"))
+def _lines_of(f, lo: int, hi: int, cap: int, final: bool):
+    """(start, text) of the lines that a range owns."""
+    back = max(0, lo - cap - 1)
+    f.seek(back)
+    before = f.read(lo - back)
+    head = before[before.rfind(b"\n") + 1 :]  # of a longer line, more than cap bytes: that is enough to know
+    data = head + f.read(hi - lo)
+    at, base = 0, lo - len(head)
+    while True:
+        nl = data.find(b"\n", at)
+        end = nl if nl >= 0 else len(data)
+        if nl < 0 and not (final and end > at):
+            return
+        long = end - at > cap
+        raw = data[end - cap : end] if long else data[at:end]
+        yield (base + end - cap if long else base + at), (TRUNCATED_TAG if long else "") + _text(raw)
+        if nl < 0:
+            return
+        at = nl + 1
 
 
 class LogTailReader(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.patterns = options.get("path", "")
+        self.targets = Targets(options.get("path", ""), options.get("groups", ""), options.get("exclude", ""))
         self.max_bytes = int(options.get("maxBytesPerFile", FOLLOW_READ_BYTES))
         self.start_lines = int(options.get("startingLines", DEFAULT_LINES))
         self.cap = int(options.get("lineCap", LINE_CAP_BYTES))
         self.split = int(options.get("splitBytes", 64 * 1024 * 1024))
-        self.known: dict | None = None
-        self.gone: dict[str, int] = {}
-
-    def _scan(self, prev_files: dict, resumed: bool = False) -> dict:
-        files = {}
-        for p in _list(self.patterns):
-            e = _plan_file(p, prev_files.get(p), self.max_bytes, self.start_lines, self.cap, resumed)
-            if e is not None:
-                files[p] = e
-                self.gone.pop(p, None)
-        for p in prev_files.keys() - files.keys():
-            self.gone[p] = self.gone.get(p, 0) + 1
-            if self.gone[p] <= KEEP_GONE:
-                files[p] = prev_files[p]
-        return {"ts": int(time.time() * 1000), "files": files}
+        self.refs = options.get("offsetDir", "").removeprefix("file://")
+        self.known: dict | None = None  # the positions that the last offset stands for
+        self.told: dict | None = None  # that offset
+
+    def _scan(self, prev: dict) -> dict:
+        files = {p: _plan_file(p, prev.get(p), self.max_bytes, self.start_lines) for p in self.targets.list()}
+        return {"ts": int(time.time() * 1000), "files": {p: e for p, e in files.items() if e is not None}}
 
     def initialOffset(self) -> dict:
-        # every file starts at its ``from`` point, so the first batch holds
-        # its last N lines (or the whole file with startingLines=-1)
-        first = self._scan({})
-        for e in first["files"].values():
-            e["pos"], e["long"] = e["from"], False
-        if self.known is None:  # Spark may ask for the latest offset before this one
-            self.known = first
-        return first
+        return {"ts": 0, "files": {}}
 
     def latestOffset(self) -> dict:
-        if self.known is None:  # a restarted query, or a new one
-            self.known = self._scan({}, resumed=True)
-            return self.known
-        prev = self.known["files"]
-        nxt = self._scan(prev)
-        # nothing new: keep the previous offset so no empty batch is planned
-        if all(_same(prev.get(p), e) for p, e in nxt["files"].items()) and set(prev) == set(nxt["files"]):
-            return self.known
-        self.known = nxt
-        return nxt
-
-    def _ranges(self, path, file, gen, lo, hi, long_start, long_end, marker, ts):
-        out, a, first = [], lo, True
-        while True:
-            b = min(hi, a + self.split)
-            out.append(TailRange(path, file, gen, a, b, lo, hi, long_start, long_end,
-                                 marker if first else None, ts, self.cap))
-            first = False
-            if b >= hi:
-                return out
-            a = b
+        if self.known is None:
+            if not self.refs or "://" in self.refs:
+                raise ValueError("logtail needs the option offsetDir: a folder that the driver can read again after a restart")
+            self.told = self.told or {"ref": uuid.uuid4().hex}
+            return self.told
+        now = self._scan(self.known["files"])
+        old, new = (x["files"] for x in (self.known, now))
+        # nothing new: the same offset again, so that no empty batch is planned
+        if old.keys() != new.keys() or any(old[p][k] != new[p][k] for p in new for k in ("id", "pos", "gen")):
+            self.known = self.told = now
+        return self.told
+
+    def _positions(self, offset: dict | None, start: dict | None = None) -> dict:
+        """What an offset stands for; the first planning of a ``ref`` decides it."""
+        if not offset or "ref" not in offset:
+            return offset or {"ts": 0, "files": {}}
+        name = os.path.join(self.refs, f"{offset['ref']}.json")
+        if not os.path.exists(name):
+            if start is None:
+                raise FileNotFoundError(f"the positions of the last batch are missing: {name}")
+            os.makedirs(self.refs, exist_ok=True)
+            with open(f"{name}.new", "w", encoding="utf-8") as f:
+                json.dump(self._scan(start["files"]), f)
+            os.replace(f"{name}.new", name)
+        with open(name, encoding="utf-8") as f:
+            return json.load(f)
+
+    def _ranges(self, path, file, gen, lo, hi, ts, last=None, final=False, marker=None):
+        cuts = [lo, *range(lo + self.split, hi, self.split), hi] if last is None and hi > lo else [lo, hi]
+        pairs = list(zip(cuts[:-1], cuts[1:]))
+        return [TailRange(path, file, gen, a, b, last, final and b == hi, marker if a == lo else None, ts, self.cap) for a, b in pairs]
 
     def partitions(self, start: dict, end: dict):
-        out = []
-        sfiles = (start or {}).get("files", {})
-        for path, e in sorted(end.get("files", {}).items()):
-            s, marker, gen = sfiles.get(path), None, e["gen"]
-            if s is None:
-                lo, long_start = e["from"], False
-            elif s["id"] != e["id"]:
-                lo, long_start, marker = e["from"], False, "rotated"
-                t = e.get("tail") or self._rest_of(path, s)
-                if t and t["lo"] == s["pos"]:
-                    # the rest of the renamed file comes first, under the old generation
-                    out += self._ranges(path, t["file"], s["gen"], t["lo"], t["hi"], s["long"], False, None, end["ts"])
-            elif e["size"] < s["pos"] or (gen != s["gen"] and not e.get("resumed")):
-                lo, long_start, marker = 0, False, "truncated"
-            else:
-                lo, long_start = s["pos"], s["long"]
-            hi = e["pos"]
-            if hi <= lo and marker is None:
+        before = self._positions(start)
+        after = self._positions(end, before)
+        if self.known is None:
+            self.known, self.told = after, end
+        out, ts = [], after["ts"]
+        for path in sorted(before["files"].keys() - after["files"].keys()):
+            out.append(TailRange(path, path, before["files"][path]["gen"], 0, 0, None, False, "gone", ts, self.cap))
+        for path, e in sorted(after["files"].items()):
+            s, marker = before["files"].get(path), None
+            if s is not None and s["id"] == e["id"] and s["gen"] == e["gen"]:
+                if e["pos"] > s["pos"]:
+                    out += self._ranges(path, path, e["gen"], s["pos"], e["pos"], ts)
                 continue
-            if e.get("resumed") and s is not None:
-                gen = s["gen"] + (marker is not None)
-            out += self._ranges(path, path, gen, lo, hi, long_start, e["long"], marker, end["ts"])
+            if s is not None:
+                marker = "truncated" if s["id"] == e["id"] else "rotated"
+                if r := e.get("rest"):
+                    # the rest of the renamed file comes first, under the old generation
+                    out += self._ranges(path, r["file"], s["gen"], r["lo"], r["hi"], ts, final=True)
+            last = self.start_lines if e["first"] else None
+            if e["first"] or marker:
+                out += self._ranges(path, path, e["gen"], 0, e["first"], ts, last, marker=marker)
+            if e["pos"] > e["first"]:
+                out += self._ranges(path, path, e["gen"], e["first"], e["pos"], ts)
         return out
 
-    def _rest_of(self, path: str, s: dict) -> dict | None:
-        """What a file renamed while the query was down had still unread."""
-        old = _find_by_id(path, s["id"])
-        size = os.stat(old).st_size if old else 0
-        return {"file": old, "lo": s["pos"], "hi": size} if size > s["pos"] else None
-
     def read(self, part: TailRange):
         ts = dt.datetime.fromtimestamp(part.ts / 1000.0, tz=dt.timezone.utc)
         if part.marker:
-            yield (part.path, part.gen, part.range_lo, None, part.marker, ts)
+            yield (part.path, part.gen, -1, None, part.marker, ts)
         if part.hi <= part.lo:
             return
         with open(part.file, "rb") as f:
-            pos = part.lo
-            if pos > part.range_lo:
-                # a line belongs to the piece that holds its first byte
-                f.seek(pos - 1)
-                skip = f.read(1)
-                while skip and skip != b"\n" and pos < part.hi:
-                    skip = f.read(1)
-                    pos += 1
-                if pos >= part.hi:
-                    return
-            f.seek(pos)
-            data = f.read(part.hi - pos)
-            # finish the last line past the piece end, never past the range end
-            while not data.endswith(b"\n") and pos + len(data) < part.range_hi:
-                more = f.read(min(BLOCK, part.range_hi - pos - len(data)))
-                if not more:
-                    break
-                nl = more.find(b"\n")
-                data += more if nl < 0 else more[:nl + 1]
-                if nl >= 0:
-                    break
-            for raw_line, line_pos, complete in _split(data, pos):
-                if not complete and part.long_end:
-                    break  # middle of an over-long line: its end comes later
-                if line_pos == part.range_lo and part.long_start:
-                    # the end of a line that began before this range: its last cap bytes
-                    end_at = line_pos + len(raw_line)
-                    f.seek(max(0, end_at - part.cap))
-                    raw_line = f.read(min(part.cap, end_at))
-                    text = TRUNCATED_TAG + _text(raw_line)
-                elif len(raw_line) > part.cap:
-                    text = TRUNCATED_TAG + _text(raw_line[-part.cap:])
-                else:
-                    text = _text(raw_line)
-                yield (part.path, part.gen, line_pos, text, "line", ts)
+            lo = part.lo if part.last is None else _last_lines_start(f, part.hi, part.last)
+            for a in range(lo, part.hi, self.split):  # a piece in memory at a time
+                b = min(part.hi, a + self.split)
+                for at, text in _lines_of(f, a, b, part.cap, part.final and b == part.hi):
+                    yield (part.path, part.gen, at, text, "line", ts)
 
     def commit(self, end: dict) -> None:
         pass
@@ -356,8 +358,11 @@ def register(spark) -> None:
 
 def tail_stream(spark, path: str, **options):
     """``spark.readStream.format('logtail')`` with the given options."""
+    from loglens.session import checkpoint_root
+
     register(spark)
     r = spark.readStream.format("logtail").option("path", path)
+    options = {"offsetDir": os.path.join(checkpoint_root(spark), "logtail")} | options
     for k, v in options.items():
-        r = r.option(k, str(v))
+        r = r.option(k, json.dumps(v) if isinstance(v, dict) else str(v))
     return r.load()

@@ -172,21 +172,105 @@ def test_renamed_files_and_directories(spark):
         q.stop()
 
 
-def test_a_file_missing_for_a_while_goes_on(tmp_path):
+def test_a_vanished_file_leaves_and_may_come_back(spark, tmp_path, monkeypatch):
+    """As in the original tool it is a new file then; a file that only can't be asked about stays."""
+    from loglens.sources import tail
     from loglens.sources.tail import LogTailReader
 
     p = tmp_path / "x.log"
     p.write_text("1\n2\n3\n")
-    reader = LogTailReader({"path": str(p), "startingLines": "2"})
-    reader.initialOffset()
-    before = reader.latestOffset()
+    reader = LogTailReader({"path": str(p), "startingLines": "2", "offsetDir": str(tmp_path / "offsets")})
+    first = reader.latestOffset()
+    texts = lambda parts: [(r[2], r[3], r[4]) for x in parts for r in reader.read(x)]
+    assert texts(reader.partitions(reader.initialOffset(), first)) == [(2, "2", "line"), (4, "3", "line")]
+    assert reader.latestOffset() == first
+    with monkeypatch.context() as m:
+        m.setattr(tail, "_stat", lambda path: (_ for _ in ()).throw(PermissionError(path)))
+        assert reader.latestOffset() == first
     p.rename(tmp_path / "away")
-    assert reader.latestOffset() == before
+    gone = reader.latestOffset()
+    assert gone["files"] == {} and texts(reader.partitions(first, gone)) == [(-1, None, "gone")]
     (tmp_path / "away").rename(p)
     with open(p, "a") as f:
-        f.write("4\n5\n6\n")
-    after = reader.latestOffset()
-    assert [(r.lo, r.hi, r.marker) for r in reader.partitions(before, after)] == [(6, 12, None)]
+        f.write("4\n5\n6")
+    assert texts(reader.partitions(gone, reader.latestOffset())) == [(6, "4", "line"), (8, "5", "line")]
+
+
+def _read_in_batches(reader, start):
+    """All batches from an offset until nothing is new: their lines, and the last offset."""
+    batches = []
+    while True:
+        end = reader.latestOffset()
+        if end == start:
+            return batches, end
+        batches.append([r[3] for x in reader.partitions(start, end) for r in reader.read(x)])
+        start = end
+
+
+def test_admission_before_and_after_a_restart(tmp_path, monkeypatch):
+    """Many batches at the first listing too, no file is opened to plan them, and a replay gives the same."""
+    import builtins
+
+    from loglens.sources.tail import LogTailReader
+
+    p, want = tmp_path / "big.log", [f"line {i} " + "x" * (i % 37) for i in range(4000)]
+    p.write_text("\n".join(want) + "\nunfinished")
+    options = {"path": str(p), "startingLines": "-1", "maxBytesPerFile": "10000", "splitBytes": "777", "offsetDir": str(tmp_path / "offsets")}
+    reader, opened = LogTailReader(options), []
+    real = builtins.open
+    monkeypatch.setattr(builtins, "open", lambda f, *a, **k: (opened.append(str(f)), real(f, *a, **k))[1])
+    end = reader.latestOffset()
+    parts = reader.partitions(reader.initialOffset(), end)
+    assert str(p) not in opened and len(parts) == 13
+    got = [r[3] for x in parts for r in reader.read(x)]
+    # a replay of the planned batch, then the rest after a restart at its end
+    again = LogTailReader(options)
+    assert [r[3] for x in again.partitions(again.initialOffset(), end) for r in again.read(x)] == got
+    restarted = LogTailReader(options)
+    batches, last = _read_in_batches(restarted, end)
+    assert len(batches) >= len("".join(want)) // 10000
+    assert [*got, *(x for b in batches for x in b)] == want
+    with real(p, "a") as f:
+        f.write(" line\n")
+    more, _ = _read_in_batches(restarted, last)
+    assert more == [["unfinished line"]]
+
+
+def test_lines_belong_to_the_range_of_their_newline(tmp_path):
+    """However a file is cut: every line once, long ones by their last bytes."""
+    import random
+
+    from loglens.sources.tail import TRUNCATED_TAG, _lines_of
+
+    rng = random.Random(4)
+    lines = ["a" * rng.choice([0, 1, 5, 30, 31, 32, 200]) for _ in range(60)]
+    p = tmp_path / "x.log"
+    p.write_text("\n".join(lines) + "\n")
+    want = [x if len(x) <= 30 else TRUNCATED_TAG + x[-30:] for x in lines]
+    size = p.stat().st_size
+    for _ in range(50):
+        cuts = sorted({0, size, *(rng.randrange(size) for _ in range(rng.randrange(12)))})
+        with open(p, "rb") as f:
+            got = [x for a, b in zip(cuts, cuts[1:]) for x in _lines_of(f, a, b, 30, False)]
+        assert [t for _, t in got] == want and [a for a, _ in got] == sorted(a for a, _ in got)
+
+
+def test_targets_are_groups_globs_and_excludes(tmp_path):
+    """Looked up anew at each listing."""
+    from loglens.sources.tail import Targets
+
+    for name in ("api/app.log", "api/app.log.1", "api/old/app.log", "web/error.log", "web/notes.md", "tmp/x.log"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x\n")
+    rel = lambda t: [os.path.relpath(x, tmp_path) for x in t.list()]
+    t = Targets(f"svc,{tmp_path}/web", f'{{"svc": ["{tmp_path}/api/**/*.log*"]}}', f"{tmp_path}/**/old")
+    assert rel(t) == ["api/app.log", "web/error.log"]
+    (tmp_path / "api" / "late.log").write_text("y\n")
+    (tmp_path / "web" / "error.log").unlink()
+    assert rel(t) == ["api/app.log", "api/late.log"]
+    # a directory named as an exclude isn't a target below itself, but is one as the root
+    assert rel(Targets(str(tmp_path / "tmp"), "", f"{tmp_path}/tmp")) == ["tmp/x.log"]
+    assert rel(Targets(str(tmp_path), "", f"{tmp_path}/tmp,{tmp_path}/api")) == []
 
 
 def test_last_lines_are_found_however_far_back(tmp_path):
@@ -433,7 +517,7 @@ def test_follow_and_watch_entry_points(spark):
         s.stop()
     got = [r["line"] for r in spark.read.parquet(out).orderBy("batch_id", "k").collect()]
     assert got == ["ERROR one", "ERROR three"]
-    w, state = WA.watch(spark, p, LogQuery(pattern="errors"), trigger="100 milliseconds", startingLines=-1)
+    w, state = WA.watch(spark, p, LogQuery(pattern="errors"), trigger="100 milliseconds", heartbeat=False, startingLines=-1)
     try:
         w.processAllAvailable()
         bid = w.lastProgress["batchId"]
@@ -441,3 +525,114 @@ def test_follow_and_watch_entry_points(spark):
         w.stop()
     assert {r["line"]: r["count"] for r in WA.latest(spark, state, "alerts", bid).collect()} == {
         "ERROR one": 1, "ERROR three": 1}
+
+
+STREAM = "path string, gen long, offset long, line string, kind string, observed_at timestamp"
+
+
+def _batch(spark, rows):
+    """Rows (path, offset, line) or (path, gen, offset, line, kind)."""
+    import datetime as dt
+
+    t = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+    rows = [(r[0], 0, r[1], r[2], "line") if len(r) == 3 else r for r in rows]
+    return spark.createDataFrame([(*r, t) for r in rows], STREAM)
+
+
+def test_context_batches_on_random_files(spark):
+    """Lines shown after every batch equal the definition, whatever the size of the chunks."""
+    import random
+
+    rng = random.Random(11)
+    for before, after, chunk in ((0, 2, 1 << 20), (3, 1, 3), (2, 2, 1)):
+        q = LogQuery(pattern="E", before=before, after=after, ignore=("n",))
+        batches = [[rng.choice(["E", "a", "b", "n", "c"]) + str(rng.random()) for _ in range(rng.randint(0, 12))] for _ in range(4)]
+        state, at, got = spark.createDataFrame([], FW.CONTEXT_SCHEMA), 0, []
+        for lines in batches:
+            rows = _batch(spark, [("/p", at + i, x) for i, x in enumerate(lines)] + [("/other", at, "quiet")])
+            at += len(lines)
+            shown, after_ = FW.context_batch(rows, state, q, chunk)
+            got.append([r["line"] for r in shown.orderBy("gen", "offset").collect()])
+            state = spark.createDataFrame(after_.collect(), FW.CONTEXT_SCHEMA)
+        assert got == _plain_follow(batches, "E", before, after, ("n",)), (before, after, chunk)
+
+
+def test_context_batch_restarts_at_a_rotation(spark):
+    q = LogQuery(pattern="E", before=1, after=1)
+    first = _batch(spark, [("/p", 0, "a"), ("/p", 2, "E1"), ("/q", 0, "E")])
+    shown, state = FW.context_batch(first, spark.createDataFrame([], FW.CONTEXT_SCHEMA), q)
+    assert sorted(r["line"] for r in shown.collect()) == ["E", "E1", "a"]
+    state = spark.createDataFrame(state.collect(), FW.CONTEXT_SCHEMA)
+    rows = [("/p", 0, 4, "open", "line"), ("/p", 1, -1, None, "rotated"), ("/p", 1, 0, "closed", "line"), ("/p", 1, 7, "b", "line"), ("/p", 1, 9, "E2", "line"), ("/q", 0, -1, None, "gone")]
+    shown, state = FW.context_batch(_batch(spark, rows), state, q)
+    assert [r["line"] for r in shown.orderBy("gen", "offset").collect()] == ["open", FW.ROTATED_NOTICE, "b", "E2"]
+    left = {r["path"]: (r["seen"], r["wanted_until"], r["emitted"], [k["line"] for k in r["kept"]]) for r in state.collect()}
+    assert left == {"/p": (3, 4, 3, ["E2"])}
+
+
+def test_context_batch_of_one_file_uses_many_tasks(spark):
+    rows = spark.range(0, 40_000, numPartitions=4).selectExpr("'/hot' AS path", "0L AS gen", "id * 100 AS offset", "IF(id % 1000 = 7, 'ERROR', 'ok') AS line", "'line' AS kind", "timestamp'2026-01-01' AS observed_at")
+    shown, state = FW.context_batch(rows, spark.createDataFrame([], FW.CONTEXT_SCHEMA), LogQuery(pattern="ERROR", before=1, after=1), chunk_bytes=100_000)
+    assert shown.count() == 120 and state.first()["seen"] == 40_000
+    plan = shown._jdf.queryExecution().executedPlan().toString()
+    assert "Pandas" not in plan
+    # the windows over lines are inside chunks; by path alone only one row a chunk is put in order
+    assert all("_bk#" in x or "_n#" in x for x in plan.split("\n") if "Window [" in x)
+
+
+def test_fair_batch_says_what_is_buffered(spark):
+    rows = spark.createDataFrame([("/hot", 0, 0, i, 0, f"h{i}") for i in range(50)] + [("/cold", 0, 0, 0, 0, "c")], FW.PENDING_SCHEMA)
+    out, rest = FW.fair_batch(rows, 10, 30)
+    got = {(r["path"], r["k"]): (r["line"], r["suffix"]) for r in out.collect()}
+    assert got["/hot", 0] == ("⚠ skipped 20 older buffered lines (hot log)", "20 buffered") and got["/hot", 1] == ("h20", "20 buffered")
+    assert got["/cold", 1] == ("c", None) and len(got) == 12 and rest.count() == 20
+    rest.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def test_rate_falls_with_the_heartbeat_and_sources_leave(spark, tmp_path):
+    """One read of the batch, an exact rate, no rate after a silent minute."""
+    import datetime as dt
+
+    t0 = dt.datetime(2026, 1, 1, tzinfo=dt.timezone.utc)
+    sink = WA.watch_sink(spark, str(tmp_path), LogQuery(pattern="ERROR"), keep=5)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        def see(parts):
+            for p in parts:
+                reads.add(len(p))
+                yield p
+
+        return spark.createDataFrame(rows, STREAM).coalesce(1).mapInPandas(see, STREAM)
+
+    rows = [("/a", 0, i, f"ERROR {i % 7}", "line", t0 + dt.timedelta(seconds=i % 3)) for i in range(30)] + [("/b", 0, 0, "fine", "line", t0)]
+    sink(counted(rows), 0)
+    assert reads.value == 31
+    head = WA.latest(spark, str(tmp_path), "header", 0).first()
+    assert (head["alert_groups"], head["rate"], head["rate_capped"], head["sources"]) == (5, 30, False, 2)
+    tick = lambda s: (None, None, None, None, "tick", t0 + dt.timedelta(seconds=s))
+    sink(counted([tick(30), ("/b", 0, -1, None, "gone", t0 + dt.timedelta(seconds=30))]), 1)
+    head = WA.latest(spark, str(tmp_path), "header", 1).first()
+    assert (head["rate"], head["sources"], head["alert_groups"]) == (30, 1, 5)
+    sink(counted([tick(61)]), 2)
+    assert WA.latest(spark, str(tmp_path), "header", 2).first()["rate"] == 20  # the first second is past
+    sink(counted([tick(63)]), 3)
+    head = WA.latest(spark, str(tmp_path), "header", 3).first()
+    assert (head["rate"], head["alert_groups"], head["now"]) == (0, 5, (t0 + dt.timedelta(seconds=63)).replace(tzinfo=None))
+
+
+def test_the_heartbeat_stream_has_ticks(spark):
+    name = "t_" + uuid.uuid4().hex[:8]
+    q = _mem(WA.ticks(spark), name, os.path.join(_tmp(), "c"))
+    try:
+        import time
+
+        for _ in range(100):
+            time.sleep(0.2)
+            if spark.table(name).count():
+                break
+        assert {r["kind"] for r in spark.table(name).collect()} == {"tick"}
+    finally:
+        q.stop()
