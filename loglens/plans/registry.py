@@ -29,7 +29,9 @@ from loglens.plans import duck as D
 from loglens.plans import fixtures as FX
 from loglens.plans.fixtures import EVENT_NOW, EVENT_SINCE, FILES_CUTOFF, SYSLOG_YEAR, with_views
 from loglens.plans.search import search, snapshot
+from loglens.session import new_state_dir
 from loglens.sources.text import last_bytes
+from loglens.streaming.follow import CONTEXT_SCHEMA, context_batch
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -625,6 +627,74 @@ def q_json_blocks(spark, sf):
     return R.to_json_blocks(R.blocks(rows, JSON_NOW)).select("path", "part", "json")
 
 
+PART_BYTES = 4000
+
+
+@register("json_parts", _ctx_sql(
+    "SELECT path, CAST(part AS BIGINT) AS part, json_object('path', path, 'time', '2024-01-31T00:00:00Z', "
+    "'suffix', CAST(total AS VARCHAR) || ' matches', 'lines', list(line ORDER BY line_no, sub)) AS json FROM ("
+    "SELECT *, dense_rank() OVER (PARTITION BY path ORDER BY cut) - 1 AS part, sum(CAST(is_match AS INT)) OVER (PARTITION BY path) AS total FROM ("
+    "SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY path ORDER BY line_no, sub "
+    f"ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {PART_BYTES} AS cut "
+    "FROM (SELECT path, line_no, 1 AS sub, line, hit AS is_match FROM sel UNION ALL "
+    "SELECT path, line_no, 0 AS sub, '--' AS line, false AS is_match FROM ("
+    "SELECT path, line_no, lag(line_no) OVER (PARTITION BY path ORDER BY line_no) AS prev FROM sel) "
+    "WHERE prev IS NOT NULL AND line_no - prev > 1))) GROUP BY path, part, total"))
+def q_json_parts(spark, sf):
+    """Blocks cut at a small byte budget: gapless parts, the source's total in each."""
+    rows = search(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR)
+    return R.to_json_blocks(R.blocks(rows, JSON_NOW, max_bytes=PART_BYTES)).select("path", "part", "json")
+
+
+@register("search_default_since", with_views("""
+SELECT path, line_no, line FROM event_lines
+WHERE coalesce(""" + LT_EV + """, observed_at) >= TIMESTAMP '2024-01-30 00:00:00' AND regexp_matches(line, 'purchase')""", "event_lines"))
+def q_search_default_since(spark, sf):
+    """A pattern without a time bound searches the 24 hours before now."""
+    q = LogQuery(pattern="purchase").with_defaults(dt.datetime.fromisoformat(EVENT_NOW))
+    return search(V(spark, sf, "event_lines"), q, "observed_at", SYSLOG_YEAR).filter(~F.col("is_gap")).select("path", "line_no", "line")
+
+
+# RE2 patterns whose Java reading differs or doesn't compile
+DIALECT = (
+    r"(?P<who>user=\d+)\b", r"[[:upper:]]{4,} [[:alpha:]]+=", r"value=[[:digit:]]+\.0{2}$", r"\pL+\s\z|click", r"(?i)PURCHASE\x20value", r"\Quser=1\E\b",
+    r"[^[:space:]]{12}", r"(?s)user.*value", r"(?:view|click)[[:blank:]]",
+)
+
+
+@register("regex_dialect", with_views(
+    "SELECT p AS pattern, count(*) AS lines, min(line) AS first FROM event_lines, "
+    f"(VALUES {', '.join(f'({D.q(p)})' for p in DIALECT)}) AS t(p) WHERE regexp_matches(line, p) GROUP BY p", "event_lines"))
+def q_regex_dialect(spark, sf):
+    """what RE2 patterns match, line by line, after their translation."""
+    d = V(spark, sf, "event_lines")
+    hits = F.array_compact(F.array(*(F.when(rx.match(F.col("line"), p), F.lit(p)) for p in DIALECT)))
+    return d.select("line", F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("first"))
+
+
+FOLLOW_Q = LogQuery(pattern="error", ignore=("signup",), before=2, after=1)
+FOLLOW_CUT = 150  # lines of a file in the first batch
+
+
+@register("follow_context_batch", with_views("""
+, e AS (SELECT path, line_no, line, row_number() OVER (PARTITION BY path ORDER BY line_no) AS pos,
+               regexp_matches(line, 'error') AS hit
+        FROM event_lines WHERE NOT regexp_matches(line, 'signup'))
+SELECT path, line_no, line FROM (
+  SELECT *, max(CAST(hit AS INT)) OVER (PARTITION BY path ORDER BY pos ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING) AS near FROM e)
+WHERE near = 1""", "event_lines"))
+def q_follow_context_batch(spark, sf):
+    """The stream's context rules over two micro-batches, the second going on from the first one's state."""
+    rows = V(spark, sf, "event_lines").select(
+        "path", F.lit(0).cast("long").alias("gen"), F.col("line_no").alias("offset"), "line", F.lit("line").alias("kind"), F.col("observed_at").cast("timestamp").alias("observed_at"))
+    none = spark.createDataFrame([], CONTEXT_SCHEMA)
+    first, state = context_batch(rows.filter(F.col("offset") < FOLLOW_CUT), none, FOLLOW_Q, chunk_bytes=64)
+    at = new_state_dir(spark, "follow-context")
+    state.write.parquet(at)
+    second, _ = context_batch(rows.filter(F.col("offset") >= FOLLOW_CUT), spark.read.schema(CONTEXT_SCHEMA).parquet(at), FOLLOW_Q, chunk_bytes=64)
+    return first.unionByName(second).select("path", F.col("offset").alias("line_no"), "line")
+
+
 @register("dedup_runs", with_views("""
 , s AS (SELECT path, line_no, line,
                CASE WHEN lag(line) OVER w IS DISTINCT FROM line THEN 1 ELSE 0 END AS b
