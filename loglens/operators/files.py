@@ -97,15 +97,54 @@ def preset_hits(files: DataFrame, hosts: DataFrame, presets: DataFrame) -> DataF
 
 
 def groups_table(spark: SparkSession, mapping: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
-    """``(name, pattern, regex, literal)``; the built-in groups are added."""
-    m = dict(BUILTIN_GROUPS)
-    m.update(mapping or {})
-    rows = []
-    for name, pats in m.items():
-        for p in pats:
-            lit = not has_meta(p)
-            rows.append((name, p, glob_to_regex(p) if not lit else None, clean(p) if lit else None))
-    return spark.createDataFrame(rows, "name string, pattern string, regex string, literal string")
+    """``(name, pattern)``; the built-in groups are added."""
+    m = dict(BUILTIN_GROUPS) | dict(mapping or {})
+    return spark.createDataFrame([(name, p) for name, pats in m.items() for p in pats], "name string, pattern string")
+
+
+def pattern_index(patterns: DataFrame) -> DataFrame:
+    """A table of globs with ``root`` (the folder above their first wildcard; the
+    whole of a literal pattern), ``is_glob`` and ``regex`` (F5 as a column)."""
+    p = F.regexp_replace(F.regexp_replace("pattern", "/+", "/"), "(?<=.)/$", "")
+    is_glob = p.rlike(r"[*?\[]")
+    root = F.when(is_glob, F.regexp_extract(p, r"^([^*?\[]*)/", 1)).otherwise(p)
+    regex = F.regexp_replace(p, r"([^A-Za-z0-9_/\s*?])", r"\\$1")
+    # the longest token first; a mark keeps what it becomes from being read again
+    tokens = (("**/", "\x01", "(?:.*/)?"), ("**", "\x02", ".*"), ("*", "\x03", "[^/]*"), ("?", "\x04", "[^/]"))
+    for token, mark, _ in tokens:
+        regex = F.replace(regex, F.lit(token), F.lit(mark))
+    for _, mark, meaning in tokens:
+        regex = F.replace(regex, F.lit(mark), F.lit(meaning))
+    return patterns.withColumns({"root": root, "is_glob": is_glob, "regex": F.concat(F.lit("(?s)^"), regex, F.lit("$"))})
+
+
+def match_patterns(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """J2/P8 for pattern tables of any size: every column of ``patterns`` and
+    ``path, explicit`` for each file that a pattern selects (a literal one
+    names the file, ``explicit``, or a folder above it).
+
+    A file is looked up under each of its folders and its own name, so the
+    match is an equi-join on a pattern's literal root with the regex as
+    residual: no pattern meets a file outside its root.
+    """
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    places = files.select("path", F.explode(above).alias("root"))
+    index = pattern_index(patterns)
+    found = places.join(index, "root").filter(~F.col("is_glob") | F.expr("regexp_like(path, regex)"))
+    return found.select(*patterns.columns, "path", (~F.col("is_glob") & (F.col("path") == F.col("root"))).alias("explicit"))
+
+
+def resolve_group_table(files: DataFrame, groups: DataFrame, excludes: DataFrame | None = None, history: bool = False) -> DataFrame:
+    """J2 with the groups (``name, pattern``) and excludes (``pattern``) as
+    tables: ``(name, path)``; the rules are those of ``resolve_groups``."""
+    found = match_patterns(files, groups.select("name", "pattern"))
+    path = F.col("path")
+    out = found.filter(is_log(path) & (F.col("explicit") | F.lit(history) | ~is_rotated(path))).select("name", "path").distinct()
+    if excludes is None:
+        return out
+    hit = match_patterns(files, excludes.select("pattern").distinct())
+    return out.join(hit.select("path").distinct(), "path", "left_anti").select("name", "path")
 
 
 # ---- P8: excludes ------------------------------------------------------------------------------------
@@ -408,6 +447,15 @@ def list_sources(
     return gcounts.unionByName(auto.select(*gcounts.columns))
 
 
+def source_paths(files: DataFrame, groups: Mapping[str, Sequence[str]], roots: Sequence[str], excludes: Sequence[str] = ()) -> DataFrame:
+    """A4's ``paths`` as rows: ``name, kind, root, path`` of every file of every
+    source of ``list_sources`` (a source may hold any number of files)."""
+    of_group = resolve_groups(files, groups, excludes).select("name", F.lit("group").alias("kind"), F.lit(None).cast("string").alias("root"), "path")
+    root = dir_name(F.col("path"))
+    auto = catalog(files, roots, excludes).select(base_name(root).alias("name"), F.lit("auto").alias("kind"), root.alias("root"), "path")
+    return of_group.unionByName(auto.filter(~F.col("name").isin(*{*BUILTIN_GROUPS, *groups})))
+
+
 # ---- J4 / J5 live in inventory.py --------------------------------------------------------------------------------
 
 

@@ -369,6 +369,41 @@ def q_group_files(spark, sf):
     return FL.resolve_groups(V(spark, sf, "files_v"), GROUPS)
 
 
+_SOURCE_PATHS_SQL = f"""
+, gf AS ({_GROUP_FILES_SQL}), cat AS ({_CAT_SQL} AND NOT {DUCK_IS_ROT}),
+a AS (SELECT regexp_extract(regexp_extract(path, '^(.*)/[^/]*$', 1), '([^/]*)$', 1) AS name, regexp_extract(path, '^(.*)/[^/]*$', 1) AS root, path FROM cat)
+SELECT name, 'group' AS kind, CAST(NULL AS VARCHAR) AS root, path FROM gf
+UNION ALL SELECT name, 'auto', root, path FROM a WHERE name NOT IN ('api', 'svc2', 'debug', 'workers', 'mysql')"""
+
+
+@register("source_paths", with_views(_SOURCE_PATHS_SQL, "files_v"))
+def q_source_paths(spark, sf):
+    return FL.source_paths(V(spark, sf, "files_v"), GROUPS, ["/srv"])
+
+
+# A table of groups: several patterns for every customer, and excludes from the suppliers.
+_MANY_GROUPS = ("/srv/svc{}/*.log", "/srv/svc{}/**", "/srv/svc{}/**/app.lo?", "/srv/svc{}/app.log.1", "/srv/*{}/logs/*", "/srv/svc{}/debug", "/srv/svc{}/logs/work*", "/srv/svc{}/er[ror].log")
+
+
+@register("group_table", with_views(f"""
+, pats AS (SELECT 'g' || c_custkey AS name, replace(p, '{{}}', CAST(c_custkey % 97 AS VARCHAR)) AS pattern
+          FROM customer, (VALUES {', '.join(f"('{p}')" for p in _MANY_GROUPS)}) AS t(p)),
+k AS (SELECT DISTINCT pattern, regexp_matches(pattern, '[*?\\[]') AS is_glob,
+            '^' || replace(replace(replace(replace(replace(replace(replace(regexp_replace(pattern, '([.\\[\\]])', '\\\\\\1', 'g'),
+              '**/', chr(1)), '**', chr(2)), '*', chr(3)), '?', '[^/]'), chr(1), '(?:.*/)?'), chr(2), '.*'), chr(3), '[^/]*') || '$' AS regex FROM pats),
+f AS (SELECT pattern, path, NOT is_glob AND path = pattern AS explicit FROM k JOIN files_v
+      ON CASE WHEN is_glob THEN regexp_matches(path, regex) ELSE path = pattern OR starts_with(path, pattern || '/') END),
+x AS (SELECT DISTINCT path FROM files_v JOIN supplier ON starts_with(path, '/srv/svc' || CAST(s_suppkey % 7 AS VARCHAR) || '/logs/'))
+SELECT DISTINCT name, path FROM pats JOIN f USING (pattern)
+WHERE {DUCK_IS_LOG} AND (explicit OR NOT {DUCK_IS_ROT}) AND path NOT IN (SELECT path FROM x)""", "files_v"))
+def q_group_table(spark, sf):
+    """J2 with a table of patterns: a look-up by literal root, whatever its size."""
+    of = lambda c: F.explode(F.array(*(F.replace(F.lit(p), F.lit("{}"), c) for p in _MANY_GROUPS)))
+    groups = FX.table(spark, sf, "customer").select(F.concat(F.lit("g"), F.col("c_custkey").cast("string")).alias("name"), of((F.col("c_custkey") % 97).cast("string")).alias("pattern"))
+    excludes = FX.table(spark, sf, "supplier").select(F.concat(F.lit("/srv/svc"), (F.col("s_suppkey") % 7).cast("string"), F.lit("/logs")).alias("pattern"))
+    return FL.resolve_group_table(V(spark, sf, "files_v"), FL.groups_table(spark).unionByName(groups), excludes)
+
+
 @register("source_list", with_views(f"""
 , gf AS ({_GROUP_FILES_SQL}),
      names AS (SELECT * FROM (VALUES ('api'), ('svc2'), ('debug'), ('workers'), ('mysql')) t(name)),
@@ -688,6 +723,9 @@ def q_follow_context_batch(spark, sf):
     rows = V(spark, sf, "event_lines").select(
         "path", F.lit(0).cast("long").alias("gen"), F.col("line_no").alias("offset"), "line", F.lit("line").alias("kind"), F.col("observed_at").cast("timestamp").alias("observed_at"))
     none = spark.createDataFrame([], CONTEXT_SCHEMA)
+    whole = new_state_dir(spark, "follow-rows")
+    rows.write.parquet(whole)  # as the sink does with a micro-batch
+    rows = spark.read.parquet(whole)
     first, state = context_batch(rows.filter(F.col("offset") < FOLLOW_CUT), none, FOLLOW_Q, chunk_bytes=64)
     at = new_state_dir(spark, "follow-context")
     state.write.parquet(at)

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loglens.operators.ordered import DEFAULT_BUCKET_LINES, running_count
+from loglens.operators.ordered import DEFAULT_BUCKET_LINES
 
 
 def _plain_path(c: Column) -> Column:
@@ -92,29 +92,45 @@ def with_line_no(df: DataFrame, method: str = "scalable") -> DataFrame:
     )
 
 
+def _windowed(lines: DataFrame, n: int, width: int, from_end: bool) -> tuple[DataFrame, DataFrame]:
+    """Lines of the buckets that lie wholly inside the ``n`` bytes, and those
+    of the bucket that the edge runs through, with ``_cum``: bytes up to and
+    including the line, counted from the window's outer end.
+
+    Sums of one number per ``(path, bucket)``, scanned by path, drop the
+    buckets outside before any line is put in order; a window runs over the
+    edge bucket of each file alone.
+    """
+    size = F.octet_length("line") + 1
+    t = lines.withColumn("_bk", F.floor(F.col("line_no") / F.lit(int(width))))
+    sizes = t.groupBy("path", "_bk").agg(F.sum(size).alias("_size"))
+    order = F.col("_bk").desc() if from_end else F.col("_bk")
+    outer = F.sum("_size").over(Window.partitionBy("path").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("_outer", F.coalesce(outer, F.lit(0))).filter(F.col("_outer") < n)
+    t = t.join(sizes, ["path", "_bk"])
+    whole = F.col("_outer") + F.col("_size") <= n
+    inside = t.filter(whole).drop("_bk", "_size", "_outer")
+    w = Window.partitionBy("path", "_bk").orderBy(F.col("line_no").desc() if from_end else F.col("line_no"))
+    cum = F.col("_outer") + F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    edge = t.filter(~whole).withColumn("_cum", cum).filter(F.col("_cum") - size < n)
+    return inside, edge.drop("_bk", "_size", "_outer")
+
+
 def last_bytes(lines: DataFrame, n: int, bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """The lines inside the last ``n`` bytes of each file (each line
     counted with its newline); the first line of the window is cut to the
     part inside it (cut by characters)."""
-    size = F.octet_length(F.col("line")) + 1
-    bucket = -F.floor(F.col("line_no") / F.lit(bucket_width))
-    t = running_count(lines, ["path"], [F.col("line_no").desc()], bucket, "_cum", value=size)
-    after = F.col("_cum") - size
-    t = t.filter(after < n)
+    inside, edge = _windowed(lines, n, bucket_width, True)
     cut = F.expr(f"right(line, CAST({n} - (_cum - octet_length(line) - 1) - 1 AS INT))")
-    return t.withColumn("line", F.when(F.col("_cum") <= n, F.col("line")).otherwise(cut)).drop("_cum")
+    return inside.unionByName(edge.withColumn("line", F.when(F.col("_cum") <= n, F.col("line")).otherwise(cut)).drop("_cum"))
 
 
 def first_bytes(lines: DataFrame, n: int, bucket_width: int = DEFAULT_BUCKET_LINES) -> DataFrame:
     """The lines inside the first ``n`` bytes (gzip read window); the last
     line is cut to the part inside it."""
-    size = F.octet_length(F.col("line")) + 1
-    bucket = F.floor(F.col("line_no") / F.lit(bucket_width))
-    t = running_count(lines, ["path"], [F.col("line_no")], bucket, "_cum", value=size)
-    before = F.col("_cum") - size
-    t = t.filter(before < n)
+    inside, edge = _windowed(lines, n, bucket_width, False)
     cut = F.expr(f"left(line, CAST({n} - (_cum - octet_length(line) - 1) AS INT))")
-    return t.withColumn("line", F.when(F.col("_cum") <= n, F.col("line")).otherwise(cut)).drop("_cum")
+    return inside.unionByName(edge.withColumn("line", F.when(F.col("_cum") <= n, F.col("line")).otherwise(cut)).drop("_cum"))
 
 
 def scan(spark: SparkSession, paths, method: str = "scalable", **kw) -> DataFrame:
