@@ -21,6 +21,7 @@ from loglens.config import DEFAULT_MAX_FILES, HISTORY_FILE_FACTOR
 from loglens.functions.glob import clean, glob_to_regex, has_meta
 from loglens.functions.paths import base_name, dir_name, extension, is_log, is_rotated
 from loglens.functions.timeparse import ts_literal
+from loglens.operators.ordered import ordinal, quantile_bucket
 
 # --- fixed values: built-in source group and distribution presets ----------------------
 BUILTIN_GROUPS = {
@@ -32,6 +33,7 @@ BUILTIN_GROUPS = {
         "/opt/homebrew/var/mysql/*.log", "/opt/homebrew/var/mysql/*.err",
     ),
 }
+LOOKUP_SCORES = {"directory": 100, "stem": 95, "in directory": 80, "in base": 70, "segment": 90, "in path": 40}
 COMMON_EXCLUDES = ("/var/log/journal/**", "/var/log/audit/**")
 PRESETS = {
     "debian": ("/var/log/daemon.log*", "/var/log/syslog*", "/var/log/kern.log*", "/var/log/auth.log*",
@@ -226,6 +228,15 @@ def history_order(files: DataFrame, current_only: bool = False) -> DataFrame:
     return files.orderBy("mtime", "path")
 
 
+def history_positions(files: DataFrame, buckets: int = 256) -> DataFrame:
+    """L2 as a column: ``pos``, the place in the order of ``history_order``.
+
+    Buckets of about equal size by time, one window in each; no global sort.
+    """
+    at = F.unix_micros(F.col("mtime").cast("timestamp"))
+    return ordinal(files, [], [F.col("mtime"), F.col("path")], quantile_bucket(files, at, buckets), "pos")
+
+
 def recent(files: DataFrame, cutoff) -> DataFrame:
     """Modified at or after ``cutoff``."""
     return files.filter(F.col("mtime").cast("timestamp") >= _ts(cutoff))
@@ -239,9 +250,8 @@ def current_only(files: DataFrame) -> DataFrame:
 # ---- L3: ranked lookup -----------------------------------------------------------------------------------
 
 def find_source(files: DataFrame, name: str, k: int = DEFAULT_MAX_FILES) -> DataFrame:
-    """L3: score files against a name; the first rule that holds wins
-    (directory 100, stem 95, directory contains 80, base contains 70,
-    path segment 90, path contains 40).  Newest first inside a score."""
+    """L3: score files against a name (``LOOKUP_SCORES``); the first rule that
+    holds wins.  Newest first inside a score."""
     needle = name.lower()
     # the parts are columns of their own, so the score below stays small
     staged = files.withColumn("_lp", F.lower(F.col("path"))).withColumn(
@@ -249,12 +259,12 @@ def find_source(files: DataFrame, name: str, k: int = DEFAULT_MAX_FILES) -> Data
     lp, base, d = F.col("_lp"), F.col("_base"), F.col("_d")
     stem = base.substr(F.lit(1), F.length(base) - F.length(extension(base)))
     score = (
-        F.when(d == needle, 100)
-        .when(stem == needle, 95)
-        .when(d.contains(needle), 80)
-        .when(base.contains(needle), 70)
-        .when(lp.contains("/" + needle + "/"), 90)
-        .when(lp.contains(needle), 40)
+        F.when(d == needle, LOOKUP_SCORES["directory"])
+        .when(stem == needle, LOOKUP_SCORES["stem"])
+        .when(d.contains(needle), LOOKUP_SCORES["in directory"])
+        .when(base.contains(needle), LOOKUP_SCORES["in base"])
+        .when(lp.contains("/" + needle + "/"), LOOKUP_SCORES["segment"])
+        .when(lp.contains(needle), LOOKUP_SCORES["in path"])
         .otherwise(0)
     )
     return (

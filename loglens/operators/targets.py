@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from loglens.config import DEFAULT_MAX_FILES
 from loglens.functions.glob import has_meta
@@ -54,7 +55,7 @@ def resolve_targets(
     for target in words:
         kind = kind_of(target, groups)
         if kind == "group":
-            chosen = FL.resolve_groups(files, groups, excludes, history).where(f"name = '{target}'")
+            chosen = FL.resolve_groups(files, groups, excludes, history).where(F.col("name") == target)
         elif kind in ("process", "port"):
             if proc_fds is None or (kind == "port" and listeners is None):
                 raise ValueError(f"{target}: needs the inventory tables")

@@ -325,8 +325,7 @@ def q_newest_files_history(spark, sf):
     f"FROM ({_CAT_SQL})", "files_v"))
 def q_history_order(spark, sf):
     c = FL.catalog(V(spark, sf, "files_v"), ["/srv"], history=True)
-    b = quantile_bucket(c, F.unix_micros(F.col("mtime").cast("timestamp")), 16)
-    return ordinal(c, [], [F.col("mtime"), F.col("path")], b, "pos").select("path", "pos")
+    return FL.history_positions(c).select("path", "pos")
 
 
 _SCORE_SQL = """CASE

@@ -30,19 +30,26 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8, app: str
     return spark
 
 
+_OWN: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for state tables and stream checkpoints.
+    """Shared folder for state tables and stream checkpoints: the session's
+    ``spark.checkpoint.dir``.
 
-    Uses ``spark.checkpoint.dir`` from the session (the cluster's shared
-    folder).  Only when it is unset -- local tests -- a temporary folder is
-    created and registered.
+    Only a local session, whose executors are the driver, may leave it unset;
+    it gets one temporary folder.  A cluster must name a folder that the
+    driver and all executors share.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="loglens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+    if root:
+        return root
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="loglens-ckpt-")
+    return _OWN[context.applicationId]
 
 
 def new_state_dir(spark: SparkSession, name: str) -> str:

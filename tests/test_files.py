@@ -119,3 +119,42 @@ def test_resolve_targets(spark):
     assert got(["@java, pay"]) == {"/srv/old/x.log", "/srv/pay/pay.log"}
     assert got([], max_files=2, history=False) == {"/srv/old/x.log", "/srv/pay/pay.log"}
     assert got(["/srv/pay"], excludes=["/srv/pay/**"]) == set()
+
+
+def test_a_table_of_patterns_selects_as_the_mapping_does(spark):
+    """The look-up by literal root gives what the predicates of ``resolve_groups`` give."""
+    paths = [f"/srv/{a}/{b}" for a in ("api", "web/x", "w.b", "api[1]") for b in ("app.log", "app.log.1", "logs/e.log", "logs/deep/f.out", "notes.md", "a(b).log")]
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    groups = {"one": ["/srv/api/*.log", "/srv/w.b/app.log.1"], "two": ["/srv/**/logs/*", "/srv/web"], "three": ["/srv/ap?/**", "/srv/*/a(b).log"], "four": ["/srv//web/x/", "**/app.log", "/srv/api[1]/app.log"], "none": ["/opt/*.log"]}
+    table = FL.groups_table(spark, groups)
+    excludes = ["/srv/web/x/logs/**"]
+    for history in (False, True):
+        want = {tuple(r) for r in FL.resolve_groups(files, groups, excludes, history).collect()}
+        got = FL.resolve_group_table(files, table, spark.createDataFrame([(e,) for e in excludes], "pattern string"), history)
+        assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_positions_in_reading_order(spark):
+    files = spark.createDataFrame([(f"/f{i % 50}", i % 7) for i in range(50)], "path string, m int").withColumn("mtime", F.timestamp_seconds("m"))
+    want = [r["path"] for r in FL.history_order(files).collect()]
+    assert [r["path"] for r in FL.history_positions(files, 5).orderBy("pos").collect()] == want
+
+
+def test_targets_to_blocks(spark, tmp_path):
+    """From words to matches: a group, a path and a name; history first unless only current files count."""
+    import os
+
+    from loglens.config import LogQuery
+    from loglens.plans.search import search_targets
+
+    for i, (name, text) in enumerate((("api/app.log.1", "ERROR old\n"), ("api/app.log", "ok\nERROR new\n"), ("web/error.log", "ERROR w\n"), ("db/main.log", "ERROR d\n"), ("db/skip.txt.bak", "ERROR no\n"))):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+        os.utime(tmp_path / name, (1_767_225_600 + i, 1_767_225_600 + i))
+    go = lambda targets, **k: [(os.path.relpath(r["path"], tmp_path), r["lines"]) for r in search_targets(spark, targets, [str(tmp_path)], LogQuery(pattern="ERROR"), "2026-01-01 12:00:00", groups={"it's": [f"{tmp_path}/api/*.log"]}, **k).collect()]
+    assert go(["it's"]) == [("api/app.log.1", ["ERROR old"]), ("api/app.log", ["ERROR new"])]
+    assert go(["it's", "main"], current=True) == [("api/app.log", ["ERROR new"]), ("db/main.log", ["ERROR d"])]
+    assert go([f"{tmp_path}/web/error.log,{tmp_path}/nothing/*"]) == [("web/error.log", ["ERROR w"])]
+    assert go(["nowhere-at-all"]) == []
