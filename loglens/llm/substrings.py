@@ -169,24 +169,29 @@ def surroundings(rows: DataFrame, told, packed, width: int) -> DataFrame:
 
 
 class _Columns:
-    """Strings lined up at their anchors; the file holds one column after another."""
+    """Strings lined up at their anchors; the file holds one column after another.
+
+    A cell is a byte plus one; 0, before and after a string, is no byte.
+    """
 
     def __init__(self, segs: list[bytes], offs: np.ndarray):
         sizes = np.array([len(s) for s in segs])
         self.left = int(offs.max())
         self.width = self.left + int((sizes - offs).max())
         self.begin, self.end = self.left - offs, self.left - offs + sizes
-        cells = np.zeros((len(segs), self.width), np.uint8)
+        self.rows = len(segs)
         flat = np.frombuffer(b"".join(segs), np.uint8)
-        row = np.repeat(np.arange(len(segs)), sizes)
-        cells[row, np.repeat(self.begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(len(flat))] = flat
+        starts = np.cumsum(sizes) - sizes
         self.file = tempfile.TemporaryFile()
-        np.ascontiguousarray(cells.T).tofile(self.file)
-        self.rows = len(segs)
+        for column in range(self.width):
+            inside = np.flatnonzero((self.begin <= column) & (column < self.end))
+            cells = np.zeros(self.rows, np.uint16)
+            cells[inside] = flat[starts[inside] + column - self.begin[inside]].astype(np.uint16) + 1
+            cells.tofile(self.file)
 
     def read(self, column: int) -> np.ndarray:
-        self.file.seek(column * self.rows)
-        return np.frombuffer(self.file.read(self.rows), np.uint8)
+        self.file.seek(column * self.rows * 2)
+        return np.frombuffer(self.file.read(self.rows * 2), np.uint16)
 
 
 def doomed_windows(group: np.ndarray, rank: np.ndarray, segs: list[bytes], offs: np.ndarray, width: int = WIDTH) -> np.ndarray:

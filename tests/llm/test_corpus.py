@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from odd_rows import no_docs, odd_docs  # noqa: F401
 from pyspark.sql import functions as F
@@ -72,6 +73,23 @@ def test_substrings(mixed, most):
     assert Counter((r.doc_id, r.n_bytes, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got.collect()) == want
 
 
+def test_windows_over_nul_bytes():
+    """A string may end at a NUL that lies inside the others: the pad beside it is no byte."""
+    rng = random.Random(6)
+    for _ in range(20):
+        body = bytearray(rng.randrange(256) for _ in range(168))
+        for at in rng.sample(range(100, 168), 9):
+            body[at] = 0
+        body[130] = 0
+        segs = [bytes(body[: rng.choice([131, 115, 140, 168])]) for _ in range(5)] + [bytes(body)]
+        segs[0] = bytes(body[:131])
+        offs, rank = np.full(len(segs), 50), np.arange(len(segs))
+        got = substrings.doomed_windows(np.zeros(len(segs)), rank, segs, offs)
+        for i, s in enumerate(segs):
+            want = [any(s[c : c + 100] == t[c : c + 100] and len(t) >= c + 100 for t in segs[:i]) for c in range(len(s) - 99)]
+            assert got[i, : len(want)].tolist() == want
+
+
 def test_substrings_edges(spark, odd_docs, no_docs):
     assert substrings.dedup(no_docs).count() == 0
     got = substrings.dedup(odd_docs).collect()
@@ -268,6 +286,29 @@ def test_quality_cutoffs(spark):
     assert quality.judge(quality.measure(docs.limit(0)), cutoffs).count() == 0
 
 
+def _measured(spark, rows):
+    """rows: (doc_id, lang, good, features by rule); the tables of fit."""
+    kinds = ", ".join(f"{r}: long" for r in quality.CUTOFFS)
+    whole = [((i, lang), tuple(f.get(r, 0) for r in quality.CUTOFFS)) for i, lang, _, f in rows]
+    measured = spark.createDataFrame(whole, f"_row struct<doc_id: long, lang: string>, _features struct<{kinds}>")
+    return measured, spark.createDataFrame([(i, int(good)) for i, _, good, _ in rows], "doc_id long, quality int")
+
+
+def test_rules_of_a_stratum_are_certified_together(spark):
+    """437 good documents without a rejection suffice in one of four strata; rejections of different rules add up."""
+    rows = []
+    for lang, n in (("en", 437), ("de", 436), ("fr", 3000), ("es", 10)):
+        rows += [(lang, True, {}) for _ in range(n)] + [(lang, False, {"symbols": 900}) for _ in range(5)]
+    # each of these rejects 0.4 % of the good documents of fr, all three 1.2 %
+    for rule, value in (("dup_lines", 900), ("repeats", 600), ("same_next", 500)):
+        rows += [("fr", True, {rule: value}) for _ in range(12)] + [("fr", False, {rule: value}) for _ in range(40)]
+    measured, labels = _measured(spark, [(i, *r) for i, r in enumerate(rows)])
+    got = {(r.stratum, r.rule, r.cutoff) for r in quality.fit(measured, labels).collect()}
+    assert {x for x in got if x[0] != "fr"} == {("en", "symbols", 800)}
+    # symbols and the first of the three: 12 of 3036 is certified, 24 isn't
+    assert {x[1] for x in got if x[0] == "fr"} == {"symbols", "dup_lines"}
+
+
 def test_binomial_tail(spark):
     from math import comb
 
