@@ -4,14 +4,16 @@
 are DataFrame expressions.
 
 A rule rejects a document whose feature (an integer, per thousand) is at or
-over a cutoff.  The cutoffs tried are fixed beforehand, so every labelled
-document is a holdout for them.  In a stratum (a language), a cutoff is
-certified if the exact binomial test refutes, at the family's error level
-divided by all cutoffs tried in all strata (Bonferroni), that it rejects
-``limit`` or more of the good documents.  Of a rule's certified cutoffs, the
+over a cutoff.  The sets of rules tried grow in a sequence fixed beforehand
+(``SEQUENCE``), so every labelled document is a holdout for all of them.  In a
+stratum (a language), a set is certified if the exact binomial test refutes,
+at the error level divided by the number of strata (Bonferroni), that the set
+as a whole rejects ``limit`` or more of the good documents.  Tests in a fixed
+order up to the first that fails need no other correction; as the sets grow,
+so do their rejections, and those certified are the first ones.  Of these, the
 one counts that rejects most bad documents less good ones; on a tie, the
-mildest.  Rules with no certified cutoff, or none that pays, don't reject in
-that stratum; nor do strata without labels.
+smallest.  Strata without labels, or with too few, or where no set pays,
+reject nothing.
 
 Edge cases: a null text has no words and fails the base rule (fewer than 50
 words); a null language is a stratum of its own; rows of ``labels`` with a
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loglens.llm.common import SPACES, text_or_empty, words
 
-# Share of a stratum's good documents that a cutoff may reject, and the chance that any cutoff exceeds it.
+# Share of a stratum's good documents that its rules may reject together, and the chance that any stratum's exceed it.
 LIMIT = 0.01
 ERROR = 0.05
 # Cutoffs tried, per thousand.
@@ -40,6 +42,8 @@ CUTOFFS = {
     "capitals": (200, 300, 400, 500),  # A-Z to characters in words
     "shouts": (100, 200, 400, 800),  # exclamation marks to words
 }
+# Each step adds a rule or lowers its cutoff: the mildest cutoff of every rule, then the next ones.
+SEQUENCE = tuple((rule, cs[-1 - i]) for i in range(max(map(len, CUTOFFS.values()))) for rule, cs in CUTOFFS.items() if i < len(cs))
 SYMBOLS = "#*$%&|<>"
 # Strata whose cutoffs are written into the plan as a constant; beyond that they are joined.
 LISTED_STRATA = 500
@@ -120,34 +124,35 @@ def _binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.expr(sql.format(n="_n", k="_k"))
 
 
+def first_step(prefix: str = "") -> str:
+    """SQL: the first step of SEQUENCE (from 1) that rejects a row with these features; more than any if none does."""
+    cases = []
+    for rule in CUTOFFS:
+        steps = [(c, i) for i, (r, c) in enumerate(SEQUENCE, 1) if r == rule]
+        cases.append("CASE " + " ".join(f"WHEN {prefix}{rule} >= {c} THEN {i}" for c, i in steps) + f" ELSE {len(SEQUENCE) + 1} END")
+    return f"least({', '.join(cases)})"
+
+
 def fit(measured: DataFrame, labels: DataFrame, key: str = "doc_id", stratum: str = "lang", limit: float = LIMIT, error: float = ERROR) -> DataFrame:
     """stratum, rule, cutoff of every rule that rejects; ``_row`` of measured holds key and stratum."""
     quality = (
         labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(key).alias("_id")).agg(F.min("quality").alias("_quality"))
     )
-    known = measured.select(F.col(f"_row.{key}").alias("_id"), F.col(f"_row.{stratum}").alias("_stratum"), "_features").join(quality, "_id")
-    tried = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for r, cs in CUTOFFS.items() for c in cs)))
+    known = measured.select(F.col(f"_row.{key}").alias("_id"), F.col(f"_row.{stratum}").alias("_stratum"), F.expr(first_step("_features.")).alias("_first"))
+    known = known.join(quality, "_id").withColumn("_good", F.col("_quality") > 0)
+    steps = range(1, len(SEQUENCE) + 1)
     # one row a stratum: partial sums before any shuffle, so a large stratum is no hot key
     counts = known.groupBy("_stratum").agg(
-        F.sum(F.when(F.col("_quality") > 0, 1).otherwise(0)).cast("long").alias("_n"),
-        *(
-            F.sum(F.when((F.col(f"_features.{r}") >= c) & ((F.col("_quality") > 0) == good), 1).otherwise(0)).cast("long").alias(f"{r}_{c}_{int(good)}")
-            for r, cs in CUTOFFS.items()
-            for c in cs
-            for good in (True, False)
-        ),
+        F.count_if("_good").alias("_n"),
+        F.array(*(F.struct(F.lit(i).alias("step"), F.count_if(F.col("_good") & (F.col("_first") <= i)).alias("k"), F.count_if(~F.col("_good") & (F.col("_first") <= i)).alias("bad")) for i in steps)).alias("_sets"),
     )
-
-    def pick(good: int) -> Column:
-        return F.expr("CASE " + " ".join(f"WHEN _t.rule = '{r}' AND _t.cutoff = {c} THEN {r}_{c}_{good}" for r, cs in CUTOFFS.items() for c in cs) + " END")
-
-    table = counts.withColumn("_strata", F.count(F.lit(1)).over(_whole()))
-    table = table.withColumn("_t", tried).select("_stratum", "_strata", "_n", "_t.*", pick(1).alias("_k"), pick(0).alias("_bad"))
-    tests = F.col("_strata") * sum(map(len, CUTOFFS.values()))
-    certified = table.where((F.col("_n") > 0) & (F.col("_k") <= F.col("_n") * limit) & (F.col("_bad") > F.col("_k")))
-    certified = certified.where(_binomial_tail(F.col("_n"), F.col("_k"), limit) <= F.lit(error) / tests)
-    best = F.max(F.struct((F.col("_bad") - F.col("_k")).alias("gain"), F.col("cutoff")))
-    return certified.groupBy("_stratum", "rule").agg(best.alias("_best")).select(F.col("_stratum").alias("stratum"), "rule", F.col("_best.cutoff").alias("cutoff"))
+    table = counts.withColumn("_strata", F.count(F.lit(1)).over(_whole())).select("_stratum", "_strata", "_n", F.inline("_sets")).withColumnRenamed("k", "_k")
+    certified = table.where((F.col("_n") > 0) & (F.col("_k") <= F.col("_n") * limit) & (F.col("bad") > F.col("_k")))
+    certified = certified.where(_binomial_tail(F.col("_n"), F.col("_k"), limit) <= F.lit(error) / F.col("_strata"))
+    best = certified.groupBy("_stratum").agg(F.max(F.struct((F.col("bad") - F.col("_k")).alias("gain"), (-F.col("step")).alias("less"))).alias("_best"))
+    rules = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(r).alias("rule"), F.lit(c).alias("cutoff")) for i, (r, c) in enumerate(SEQUENCE, 1)))
+    chosen = best.select(F.col("_stratum").alias("stratum"), F.inline(F.filter(rules, lambda x: x["step"] <= -F.col("_best.less"))))
+    return chosen.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
 def _whole():
@@ -158,7 +163,7 @@ def _whole():
 
 
 def judge(measured: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """measured with ``kept``: the base rule and every rule's cutoff of the row's stratum passed."""
+    """measured with ``kept``: the base rule and every rule of the row's stratum passed."""
     by_stratum = cutoffs.groupBy("stratum").pivot("rule", list(CUTOFFS)).agg(F.min("cutoff"))
     found = by_stratum.limit(LISTED_STRATA + 1).collect()  # at most LISTED_STRATA + 1 rows of 7 numbers
     own = F.col(f"_row.{stratum}")

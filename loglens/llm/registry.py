@@ -76,9 +76,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _quality_sql() -> str:
-    tried = ", ".join(f"('{r}', {c})" for r, cs in quality.CUTOFFS.items() for c in cs)
-    feature = "CASE t.rule " + " ".join(f"WHEN '{r}' THEN m.{r}" for r in quality.CUTOFFS) + " END"
-    p = quality.LIMIT
+    p, steps = quality.LIMIT, len(quality.SEQUENCE)
     return rf"""
 WITH w AS (
   SELECT doc_id, lang, coalesce(text, '') AS text,
@@ -110,25 +108,23 @@ m AS (
          coalesce(1000 * n_repeat_words // nullif(n_words, 0), 0) AS repeats, coalesce(1000 * n_same // nullif(n_words, 0), 0) AS same_next,
          coalesce(1000 * n_caps // nullif(word_chars, 0), 0) AS capitals, coalesce(1000 * n_shouts // nullif(n_words, 0), 0) AS shouts
   FROM b),
-t(rule, cutoff) AS (VALUES {tried}),
-h AS (SELECT m.*, quality FROM m JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)),
+f AS (SELECT *, {quality.first_step()} AS first_step FROM m),
+h AS (SELECT f.lang, first_step, quality FROM f JOIN (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id) USING (doc_id)),
 s AS (
-  SELECT m.lang, t.rule, t.cutoff, count(*) FILTER (WHERE quality > 0) AS n,
-         count(*) FILTER (WHERE quality > 0 AND {feature} >= t.cutoff) AS k,
-         count(*) FILTER (WHERE quality <= 0 AND {feature} >= t.cutoff) AS bad
-  FROM h AS m CROSS JOIN t GROUP BY ALL),
+  SELECT lang, step, count(*) FILTER (WHERE quality > 0) AS n,
+         count(*) FILTER (WHERE quality > 0 AND first_step <= step) AS k,
+         count(*) FILTER (WHERE quality <= 0 AND first_step <= step) AS bad
+  FROM h CROSS JOIN (SELECT unnest(generate_series(1, {steps})) AS step) GROUP BY ALL),
 q AS (
   SELECT *, list_sum(list_transform(generate_series(0, k), lambda i:
            exp(lgamma(n + 1.0) - lgamma(i + 1.0) - lgamma(n - i + 1.0) + i * ln({p}) + (n - i) * ln(1 - {p})))) AS tail
   FROM s WHERE n > 0 AND k <= n * {p} AND bad > k),
 c AS (
-  SELECT lang, rule, max({{'gain': bad - k, 'cutoff': cutoff}}).cutoff AS cutoff FROM q
-  WHERE tail <= {quality.ERROR} / ((SELECT count(*) FROM (SELECT DISTINCT lang FROM h)) * (SELECT count(*) FROM t))
-  GROUP BY lang, rule)
+  SELECT lang, -max({{'gain': bad - k, 'less': -step}}).less AS last_step FROM q
+  WHERE tail <= {quality.ERROR} / (SELECT count(*) FROM (SELECT DISTINCT lang FROM h)) GROUP BY lang)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND NOT EXISTS (
-         SELECT 1 FROM c AS t WHERE t.lang IS NOT DISTINCT FROM m.lang AND {feature} >= t.cutoff) AS kept
-FROM m
+       NOT base_failed AND NOT EXISTS (SELECT 1 FROM c WHERE c.lang IS NOT DISTINCT FROM f.lang AND f.first_step <= c.last_step) AS kept
+FROM f
 """
 
 
