@@ -205,9 +205,11 @@ def main_text(source: str | None) -> str:
 def _settle(page: Page, pieces: list[tuple[int, str]]) -> None:
     """Drop the nodes with a hint, and all below them, unless they hold the main text.
 
-    They hold it if a main element or h1 stands in them, or an article, unless
+    They hold it if a main element stands in them; if an h1 does and the core
+    of the page too, sought among all that hold either or have no hint (a node
+    beside the core is not saved by its h1); or if an article does, unless
     they stand in an article themselves or a longer one stands outside of
-    hints; and if the core of the page stands in them.  The core is sought
+    hints; and if the core of the page stands in them.  This core is sought
     with the weak hints ignored, and with all ignored where too little text
     stands outside of hints; then the parts of the core that reach the
     threshold count too.  A name that holds the core is a hint no more.
@@ -221,7 +223,7 @@ def _settle(page: Page, pieces: list[tuple[int, str]]) -> None:
             out[i] = out[i] or not kept[i] or out[parent[i]]
         return out
 
-    size, longest, holds, in_article, plain = [0] * n, [0] * n, [False] * n, [False] * n, [True] * n
+    size, longest, holds, headed, in_article, plain = [0] * n, [0] * n, [False] * n, [False] * n, [False] * n, [True] * n
     for i in range(1, n):
         in_article[i] = in_article[parent[i]] or tag[parent[i]] == "article"
         plain[i] = plain[parent[i]] and tag[i] != "a" and tag[i] not in HEADINGS
@@ -231,13 +233,20 @@ def _settle(page: Page, pieces: list[tuple[int, str]]) -> None:
     own = list(size)
     for i in range(n - 1, 0, -1):
         if not hard[i]:
-            holds[i] = holds[i] or tag[i] in HEADINGS or tag[i] == "main" or page.role[i] == "main"
+            holds[i] = holds[i] or tag[i] == "main" or page.role[i] == "main"
             holds[parent[i]] = holds[parent[i]] or holds[i]
+            headed[i] = headed[i] or tag[i] in HEADINGS
+            headed[parent[i]] = headed[parent[i]] or headed[i]
             kept[i] = kept[i] or holds[i]
             if tag[i] == "article":
                 longest[i] = max(longest[i], size[i])
             longest[parent[i]] = max(longest[parent[i]], longest[i])
             size[parent[i]] += size[i]
+    if any(headed[i] and not kept[i] for i in range(n)):
+        page.dropped = settled([k or x for k, x in zip(kept, headed)])
+        core = _measure(page, [(i, t) for i, t in pieces if i < 0 or not page.dropped[i]])[3]
+        for i in [core, *_above(parent, core)]:
+            kept[i] = kept[i] or headed[i]
     page.dropped = settled(kept)
     outside = max((size[i] for i in range(n) if tag[i] == "article" and not page.dropped[i]), default=0)
     for i in range(1, n):

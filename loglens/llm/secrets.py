@@ -57,17 +57,36 @@ def _cut(rows: DataFrame, patterns: list[tuple[str, int]]) -> DataFrame:
     return rows.withColumns(columns)
 
 
+def _running(values: str, op: str) -> str:
+    """SQL: op (of x and y) of every element and all before it, in doubling steps: array operations of n log n, not of n * n."""
+    step = f"(a, k) -> transform(a, (x, i) -> CASE WHEN i >= shiftleft(1, k) THEN {op.replace('y', 'a[i - shiftleft(1, k)]')} ELSE x END)"
+    rounds = "sequence(0, CAST(ceil(log2(size(v))) AS int) - 1)"
+    # a name for the values, so that they are worked out once
+    return f"transform(array({values}), v -> CASE WHEN size(v) > 1 THEN aggregate({rounds}, v, {step}) ELSE v END)[0]"
+
+
 def _placed(i: int, least: int) -> Column:
     """Array of (first, kind, until, value) of pattern i's matches, as long as the value is: the gaps give the places."""
-    spans = "CAST(array() AS array<struct<first:int,kind:int,until:int,value:string>>)"
-    start, end = f"a.pos + length(m.g{i})", f"a.pos + length(m.g{i}) + length(m.m{i})"
+    lengths = f"zip_with(slice(g{i}, 1, size(m{i})), m{i}, (g, m) -> length(g) + length(m))"
+    ends = _running(lengths, "x + y")
     return F.expr(
-        f"filter(aggregate(arrays_zip(g{i}, m{i}, v{i}), struct(0 AS pos, {spans} AS spans), (a, m) -> CASE WHEN m.m{i} IS NULL THEN a ELSE"
-        f" struct({end} AS pos, concat(a.spans, array(struct({start} AS first, {i} AS kind, {end} AS until, m.v{i} AS value))) AS spans) END,"
-        f" a -> a.spans), s -> length(s.value) >= {least})"
+        f"filter(zip_with({ends}, arrays_zip(m{i}, v{i}), (e, z) -> struct(e - length(z.m{i}) AS first, {i} AS kind, e AS until, z.v{i} AS value)),"
+        f" s -> length(s.value) >= {least})"
     )
 
 
+# Runs that no base span overlaps: in the order of their starts, a run looks at the furthest end of the base spans before it and at the next one's start.
+_ALL = "array_sort(concat(transform(base, s -> struct(s.first AS first, s.until AS until, true AS known, s AS span)), transform(runs, s -> struct(s.first AS first, s.until AS until, false AS known, s AS span))))"
+_FREE = (
+    f"transform(array({_ALL}), w -> transform(array(struct("
+    + _running("transform(w, s -> IF(s.known, s.until, -1))", "greatest(x, y)")
+    + " AS ends, reverse("
+    + _running("reverse(transform(w, s -> IF(s.known, s.first, 2147483647)))", "least(x, y)")
+    + ") AS starts)), p -> transform(filter(transform(w, (s, i) -> struct(NOT s.known"
+    " AND coalesce(get(p.ends, i - 1), -1) <= s.first AND coalesce(get(p.starts, i + 1), 2147483647) >= s.until AS free, s.span AS span)), t -> t.free), t -> t.span))[0])[0]"
+)
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """_k, base spans, other runs and ordinary identifiers of every row."""
     rows = docs.select(F.col(key).alias("_k"), text_or_empty(text).alias("_text"))
@@ -78,7 +97,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
         _placed(3, 16).alias("runs"),
         F.expr(f"regexp_extract_all(_text, {_quoted(ORDINARY)}, 0)").alias("ordinary"),
     )
-    own = F.expr("filter(runs, r -> NOT exists(base, s -> s.first < r.until AND r.first < s.until))")
+    own = F.expr(f"CASE WHEN size(base) = 0 OR size(runs) = 0 THEN runs ELSE {_FREE} END")
     return found.select("_k", "base", own.alias("runs"), "ordinary")
 
 
@@ -88,7 +107,7 @@ def pair_counts(scanned: DataFrame) -> DataFrame:
     changes = F.regexp_count("s", F.lit("[A-Za-z](?=[0-9])|[0-9](?=[A-Za-z])"))
     random = random.where((F.length("s") >= LEAST_SAMPLE) & (changes >= LEAST_CHANGES))
     ordinary = scanned.select(F.lit(False).alias("random"), F.explode("ordinary").alias("s"))
-    pairs = "transform(sequence(1, length(s) - 1), i -> ascii(substring(s, i, 1)) * 128 + ascii(substring(s, i + 1, 1)))"
+    pairs = "transform(array(split(s, '')), c -> transform(sequence(1, size(c) - 1), i -> ascii(c[i - 1]) * 128 + ascii(c[i])))[0]"
     codes = random.unionByName(ordinary).where(F.length("s") > 1).distinct().select("random", F.explode(F.expr(pairs)).alias("p"))
     counts = codes.groupBy("random", "p").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("random", F.expr("p DIV 128").alias("a"), F.expr("p % 128").alias("b"), "n")
@@ -148,9 +167,14 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", margin: float
     ratio = F.lit(ratios(pair_counts(scanned))).cast("array<double>")
 
     def score(run: Column) -> Column:
-        s = run["value"]
-        code = lambda i: F.ascii(F.substring(s, i, F.lit(1)))
-        return F.aggregate(F.sequence(F.lit(1), F.length(s) - 1), F.lit(0.0), lambda a, i: a + F.element_at(ratio, code(i) * CODES + code(i + 1) + 1))
+        start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("total"))
+
+        def add(a: Column, c: Column) -> Column:
+            code = F.ascii(c)
+            here = F.when(a["last"] < 0, F.lit(0.0)).otherwise(F.element_at(ratio, F.greatest(a["last"], F.lit(0)) * CODES + code + 1))
+            return F.struct(code.alias("last"), (a["total"] + here).alias("total"))
+
+        return F.aggregate(F.split(run["value"], ""), start, add, lambda a: a["total"])
 
     added = F.filter("runs", lambda r: score(r) > margin)
     return scanned.select(F.col("_k").alias(key), "base", F.array_sort(F.concat("base", added)).alias("spans"))

@@ -1,5 +1,6 @@
 """HTML text, BPE, licenses, secrets: per-document operators against plain versions."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -56,6 +57,22 @@ HINTED = [
 ]
 
 
+BESIDE = [
+    f'<body><div class="sidebar"><h1>Site name</h1><p>About the site and its people.</p></div><div id="x">{STORY}</div></body>',
+    f'<body><article>{STORY}<div class="ad"><h1>Big sale</h1><p>Buy now</p></div></article></body>',
+    f'<body><div class="sidebar"><h1>Site</h1></div><div class="widget">{STORY}</div></body>',
+]
+
+
+@pytest.mark.parametrize("source", BESIDE)
+def test_an_h1_beside_the_core_saves_nothing(source):
+    assert html_text.main_text(source) == TOLD
+
+
+def test_an_h1_with_the_core_saves_its_node():
+    assert html_text.main_text(f'<body><div class="sidebar"><h1>Site</h1></div><div class="widget"><h1>Head</h1>{STORY}</div></body>') == f"Head {TOLD}"
+
+
 @pytest.mark.parametrize("source", HINTED)
 def test_names_and_forms_are_hints_only(source):
     assert html_text.main_text(source) == TOLD
@@ -111,7 +128,7 @@ def test_bpe_forgets_without_harm(monkeypatch):
     import pyarrow as pa
 
     monkeypatch.setattr(bpe, "REMEMBERED_CHUNKS", 10)
-    encoder, tokenizer = bpe.Encoder(VOCABULARY), Tokenizer.from_file(VOCABULARY)
+    encoder, tokenizer = bpe.Encoder(bpe.Vocabulary(VOCABULARY)), Tokenizer.from_file(VOCABULARY)
     for text in ["a b c d e f g a a a a a", "h i j k l m n o p a a a a", "a q r s t u v w x y z"] * 2:
         encoder.learn(pa.array([text]))
         assert encoder.texts([text])[1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
@@ -223,6 +240,28 @@ def test_password_in_words_is_no_sample(spark):
     assert sum(r.n for r in counts) == 19 and {r.n for r in counts} == {1}
 
 
+def test_long_runs_and_many_runs(spark):
+    """Spans of a run of 300,000 characters and of 30,000 runs and base spans, by a plain score."""
+    rng = random.Random(8)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    many = " ".join(rng.choice([draw("abcdefXYZ0123456789", 18), "some_ordinary_identifier", draw("0123456789abcdef", 30), "token=" + draw("abcdef", 7)]) for _ in range(30_000))
+    docs = spark.createDataFrame([(1, draw("abcdefghijklmnopqrstuvwxyz0123456789ABCDEF+/", 300_000)), (2, many)], "doc_id long, text string")
+    ratio = secrets.ratios(secrets.pair_counts(secrets.scan(docs)))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in secrets.find(docs).collect():
+        base = [(s["first"], s["until"]) for s in r.base]
+        ends = sorted(base)
+        want = []
+        for m in re.finditer(secrets.RUN, texts[r.doc_id]):
+            i = bisect.bisect_left(ends, (m.end(),))  # base spans that begin before the run ends
+            if any(until > m.start() for _, until in ends[max(0, i - 50) : i]):
+                continue
+            codes = [ord(c) for c in m.group()]
+            if sum(ratio[a * secrets.CODES + b] for a, b in zip(codes, codes[1:])) > secrets.MARGIN:
+                want.append(m.span())
+        assert [(s["first"], s["until"]) for s in r.spans if s["kind"] == 3] == want and want
+
+
 def test_secret_digest(spark):
     df = spark.createDataFrame([(1, "é token: abcdef AKIA" + "A" * 16)], "doc_id long, text string")
     row = secrets.find(df).select(F.sha2(secrets.listed("base"), 256).alias("h"), secrets.count_of("access").alias("n")).first()
