@@ -453,7 +453,7 @@ SELECT DISTINCT path FROM (SELECT path FROM event_lines UNION ALL SELECT path FR
                            UNION ALL SELECT path FROM files_v UNION ALL SELECT '' AS path) u WHERE path <> ''""",
     "event_lines", "event_msgs", "files_v"))
 def q_unique_paths(spark, sf):
-    u = V(spark, sf, "event_lines").select("path").unionByName(V(spark, sf, "event_msgs").select("path")).unionByName(
+    u = V(spark, sf, "event_rows").select("path").unionByName(V(spark, sf, "event_msgs").select("path")).unionByName(
         V(spark, sf, "files_v").select("path")).unionByName(spark.range(1).select(F.lit("").alias("path")))
     return FL.unique_paths(u)
 
@@ -641,7 +641,7 @@ def q_gaps_small_blocks(spark, sf):
     "SELECT path, CAST(sum(CAST(hit AS INT)) AS BIGINT) AS matches FROM sel GROUP BY ROLLUP (path)"))
 def q_match_counts(spark, sf):
     # only direct matches count: context and markers can't change the result
-    hits = L.flag_lines(V(spark, sf, "event_lines"), CTX_Q, "observed_at", SYSLOG_YEAR).filter("is_match")
+    hits = L.flag_lines(V(spark, sf, "event_rows"), CTX_Q, "observed_at", SYSLOG_YEAR).filter("is_match")
     return R.match_counts(hits.withColumn("is_gap", F.lit(False)))
 
 
@@ -701,7 +701,7 @@ DIALECT = (
     f"(VALUES {', '.join(f'({D.q(p)})' for p in DIALECT)}) AS t(p) WHERE regexp_matches(line, p) GROUP BY p", "event_lines"))
 def q_regex_dialect(spark, sf):
     """what RE2 patterns match, line by line, after their translation."""
-    d = V(spark, sf, "event_lines")
+    d = V(spark, sf, "event_rows")
     hits = F.array_compact(F.array(*(F.when(rx.match(F.col("line"), p), F.lit(p)) for p in DIALECT)))
     return d.select("line", F.explode(hits).alias("pattern")).groupBy("pattern").agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("first"))
 
@@ -849,7 +849,7 @@ SELECT source, line, count, {D.ts_text('first')} AS first, {D.ts_text('last')} A
   FROM event_lines WHERE regexp_matches(line, {D.q(ERR_RE)}) GROUP BY path, line)
 ORDER BY last DESC, count DESC, source, line LIMIT 200""", "event_lines"))
 def q_top_alerts(spark, sf):
-    ev = V(spark, sf, "event_lines").filter(rx.match("line", rx.severity_pattern("errors")))
+    ev = V(spark, sf, "event_rows").filter(rx.match("line", rx.severity_pattern("errors")))
     a = R.top_alerts(R.alert_groups(ev.withColumnRenamed("path", "source")))
     return a.select("source", "line", "count", tsx("first").alias("first"), tsx("last").alias("last"))
 
@@ -862,7 +862,7 @@ SELECT CAST(count(*) AS BIGINT) AS rate, CAST(count(*) > 100000 AS BIGINT) AS ra
 FROM event_lines WHERE observed_at BETWEEN TIMESTAMP '{RATE_NOW}' - INTERVAL 1 HOUR AND TIMESTAMP '{RATE_NOW}'""",
     "event_lines").replace("INTERVAL 1 HOUR", "INTERVAL 60 SECOND"))
 def q_trailing_rate(spark, sf):
-    ev = V(spark, sf, "event_lines").withColumnRenamed("observed_at", "at")
+    ev = V(spark, sf, "event_rows").withColumnRenamed("observed_at", "at")
     r = R.trailing_rate(ev, RATE_NOW)
     return r.select("rate", flag(F.col("rate_capped")).alias("rate_capped"))
 
@@ -872,7 +872,7 @@ def q_trailing_rate(spark, sf):
 SELECT strftime(to_timestamp(a.sec), '%Y-%m-%d %H:%M:%S') AS second, CAST(sum(b.n) AS BIGINT) AS rate
 FROM per a JOIN per b ON b.sec BETWEEN a.sec - 60 AND a.sec GROUP BY a.sec""", "event_lines"))
 def q_rate_series(spark, sf):
-    ev = V(spark, sf, "event_lines").withColumnRenamed("observed_at", "at")
+    ev = V(spark, sf, "event_rows").withColumnRenamed("observed_at", "at")
     r = R.rate_series(ev)
     return r.select(F.date_format("second", "yyyy-MM-dd HH:mm:ss").alias("second"), "rate")
 
