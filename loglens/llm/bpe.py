@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 from loglens.llm.common import map_arrow, slices, text_or_empty
 
 # Words with their punctuation that a task remembers between slices; afterwards it starts anew (memory only, never the result).
-REMEMBERED_CHUNKS = 600_000
+REMEMBERED_CHUNKS = 150_000
 # Bytes of text whose distinct words go into one trie.
-LEARN_BYTES = 24 << 20
+LEARN_BYTES = 8 << 20
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -192,8 +192,8 @@ class WordTrie:
 class Encoder:
     """Encodes slices of texts; remembers a bounded number of words."""
 
-    def __init__(self, path: str):
-        self.v = Vocabulary(path)
+    def __init__(self, vocabulary: Vocabulary):
+        self.v = vocabulary
         self.trie = WordTrie(self.v)
         self.number: dict[str, int] = {f" {s}": i for i, s in enumerate(self.v.special)}
         self.shown: list[str] = list(self.v.special)
@@ -256,23 +256,28 @@ class Encoder:
 
 
 @lru_cache(maxsize=1)
-def encoder_of(path: str) -> Encoder:
-    """One encoder a Python worker, so that its tasks share the words it remembers."""
-    gc.disable()  # its many small lists hold no cycles; walking through them takes a quarter of the time
-    return Encoder(path)
+def vocabulary_of(path: str) -> Vocabulary:
+    """One vocabulary a Python worker; what a task remembers of its texts goes with the task."""
+    return Vocabulary(path)
 
 
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, ids array<int>, decoded string for every row; vocabulary: path of a tokenizers file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(vocabulary)
-        for some in slices(batches, size=LEARN_BYTES):
-            encoder.learn(some.column(1))
-            for part in slices(iter([some])):
-                offsets, ids, decoded = encoder.texts(part.column(1).to_pylist())
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], ["_k", "ids", "decoded"])
+        encoder = Encoder(vocabulary_of(vocabulary))
+        collects = gc.isenabled()
+        gc.disable()  # the encoder's many small lists hold no cycles; walking through them takes a quarter of the time
+        try:
+            for some in slices(batches, size=LEARN_BYTES):
+                encoder.learn(some.column(1))
+                for part in slices(iter([some])):
+                    offsets, ids, decoded = encoder.texts(part.column(1).to_pylist())
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
+                    yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], ["_k", "ids", "decoded"])
+        finally:
+            if collects:
+                gc.enable()
 
     rows = docs.select(F.col(key).alias("_k"), text_or_empty(text).alias("text"))
     kind = rows.schema["_k"].dataType.simpleString()
