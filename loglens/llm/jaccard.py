@@ -40,6 +40,8 @@ from loglens.llm.lines import bit_places, filter_of, holds
 from loglens.llm.shingles import mix, shingle_sets
 
 SHARED = 3
+# First shingles of all members of a group whose union is held as one list (128 kB).
+SHORT_UNION = 1 << 14
 MINIMA = 3
 PIVOTS = 16
 FREQUENT = 1 << 20
@@ -173,7 +175,10 @@ def _opened_pairs(classes: DataFrame, groups: DataFrame, percent: int) -> DataFr
     """a, b: classes of different groups that the token-group matrix can't tell apart."""
     known = _postings(classes, groups).withColumn("m", F.size("tokens"))
     postings = known.select("h", "n", "g", "members", "m", F.posexplode("tokens").alias("i", "token"))
-    matrix = postings.groupBy("token", F.col("g").alias("other")).agg(
+    # sets that are similar meet in a shingle that is an early one of both: of m, one of the first m - needed + 1
+    n, least = F.col("n"), F.ceil(F.lit(percent) * F.col("n") / 100)
+    lowest = F.greatest(F.lit(1), F.least(_least_shared(n, least, percent), _least_shared(n, F.floor(F.lit(100) * n / percent), percent) - 1))
+    matrix = postings.where(F.col("i") <= F.col("m") - lowest).groupBy("token", F.col("g").alias("other")).agg(
         F.min("n").alias("least"), F.max("n").alias("most"), F.max("m").alias("gm"), F.first("members").alias("size")
     )
     # sizes of members that may link with the class
@@ -182,27 +187,40 @@ def _opened_pairs(classes: DataFrame, groups: DataFrame, percent: int) -> DataFr
     # the bound has its least value at either end; among larger members, up to rounding
     slack = F.when((high > F.col("n")) & (low < high), F.lit(1)).otherwise(F.lit(0))
     needed = F.least(_least_shared(F.col("n"), low, percent), _least_shared(F.col("n"), high, percent) - slack)
-    # a class asks the larger group; who shares so many of m shingles has one of the first m - needed + 1
+    # a class asks the larger group
     asks = (F.col("members") < F.col("size")) | ((F.col("members") == F.col("size")) & (F.col("g") < F.col("other")))
     met = postings.join(matrix, "token").where(asks & (low <= high) & (F.least("m", "gm") >= needed) & (F.col("i") <= F.col("m") - needed))
     met = met.groupBy("h", "n", "m", "other").agg(F.min(needed).alias("needed"))
-    # how many of a class's first shingles the union of the other group has
     mine = postings.select(F.col("h").alias("h2"), "i", "token")
-    cells = matrix.select(F.col("token").alias("t2"), F.col("other").alias("g2"))
-    bound = met.join(mine, F.col("h") == F.col("h2")).join(cells, (F.col("token") == F.col("t2")) & (F.col("other") == F.col("g2")))
-    bound = bound.groupBy("h", "n", "m", "other").agg(F.count(F.lit(1)).alias("shared"), F.min("needed").alias("needed"))
+    bound = _shared_with_groups(met, known, mine, postings.select(F.col("token").alias("t2"), F.col("g").alias("g2")).distinct())
     opened = bound.where(F.col("shared") >= F.col("needed")).select("h", "n", "m", "other")
     # the members that may qualify, by the same reasoning, then by all their first shingles
-    others = postings.select(F.col("token").alias("t2"), F.col("h").alias("p"), F.col("n").alias("pn"), F.col("g").alias("pg"), F.col("m").alias("pm"))
+    others = postings.select(F.col("token").alias("t2"), F.col("h").alias("p"), F.col("n").alias("pn"), F.col("g").alias("pg"), F.col("m").alias("pm"), F.col("i").alias("j"))
     needed = _least_shared(F.col("n"), F.col("pn"), percent)
     pairs = opened.join(mine, F.col("h") == F.col("h2")).join(others, (F.col("token") == F.col("t2")) & (F.col("other") == F.col("pg")))
-    pairs = pairs.where(_may_reach(F.col("n"), F.col("pn"), percent) & (F.least("m", "pm") >= needed) & (F.col("i") <= F.col("m") - needed))
+    early = (F.col("i") <= F.col("m") - needed) & (F.col("j") <= F.col("pm") - needed)
+    pairs = pairs.where(_may_reach(F.col("n"), F.col("pn"), percent) & (F.least("m", "pm") >= needed) & early)
     pairs = pairs.groupBy("h", "p").agg(F.min(needed).alias("needed"))
     ours, theirs = (known.select(F.col("h").alias(k), F.col("tokens").alias(t)) for k, t in (("h", "x"), ("p", "y")))
     pairs = pairs.join(ours, "h").join(theirs, "p").where(F.size(F.array_intersect("x", "y")) >= F.col("needed"))
     return pairs.select(F.greatest("h", "p").alias("a"), F.least("h", "p").alias("b")).distinct()
 
 
+def _shared_with_groups(met: DataFrame, known: DataFrame, mine: DataFrame, cells: DataFrame) -> DataFrame:
+    """met with ``shared``: how many of a class's first shingles the union of the other group has.
+
+    The union of most groups is short: one list beside the class's own.  Those
+    of large groups stay rows of the matrix, and the class's shingles meet them one by one.
+    """
+    wide = known.groupBy("g").agg(F.sum("m").alias("all"))
+    unions = known.join(wide.where(F.col("all") <= SHORT_UNION), "g").groupBy(F.col("g").alias("other")).agg(F.array_distinct(F.flatten(F.collect_list("tokens"))).alias("union"))
+    lists = met.join(unions, "other").join(known.select("h", "tokens"), "h")
+    short = lists.select("h", "n", "m", "other", F.size(F.array_intersect("tokens", "union")).cast("long").alias("shared"), "needed")
+    large = wide.where(F.col("all") > SHORT_UNION).select(F.col("g").alias("other"))
+    rows = met.join(large, "other").join(mine, F.col("h") == F.col("h2")).join(cells, (F.col("token") == F.col("t2")) & (F.col("other") == F.col("g2")))
+    return short.unionByName(rows.groupBy("h", "n", "m", "other").agg(F.count(F.lit(1)).alias("shared"), F.min("needed").alias("needed")))
+
+
 def _least_shared(a: Column, b: Column, percent: int) -> Column:
     """How many first shingles sets of a and b shingles must share to reach the similarity.
 
