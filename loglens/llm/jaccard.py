@@ -42,6 +42,8 @@ from loglens.llm.shingles import mix, shingle_sets
 SHARED = 3
 # First shingles of all members of a group whose union is held as one list (128 kB).
 SHORT_UNION = 1 << 14
+# Members of a group that are all looked at when it is opened.
+FEW_MEMBERS = 8
 MINIMA = 3
 PIVOTS = 16
 FREQUENT = 1 << 20
@@ -194,15 +196,19 @@ def _opened_pairs(classes: DataFrame, groups: DataFrame, percent: int) -> DataFr
     mine = postings.select(F.col("h").alias("h2"), "i", "token")
     bound = _shared_with_groups(met, known, mine, postings.select(F.col("token").alias("t2"), F.col("g").alias("g2")).distinct())
     opened = bound.where(F.col("shared") >= F.col("needed")).select("h", "n", "m", "other")
-    # the members that may qualify, by the same reasoning, then by all their first shingles
-    others = postings.select(F.col("token").alias("t2"), F.col("h").alias("p"), F.col("n").alias("pn"), F.col("g").alias("pg"), F.col("m").alias("pm"), F.col("i").alias("j"))
+    # the members that may qualify: all of a small group; of a larger one, those that share an early shingle
     needed = _least_shared(F.col("n"), F.col("pn"), percent)
-    pairs = opened.join(mine, F.col("h") == F.col("h2")).join(others, (F.col("token") == F.col("t2")) & (F.col("other") == F.col("pg")))
-    early = (F.col("i") <= F.col("m") - needed) & (F.col("j") <= F.col("pm") - needed)
-    pairs = pairs.where(_may_reach(F.col("n"), F.col("pn"), percent) & (F.least("m", "pm") >= needed) & early)
-    pairs = pairs.groupBy("h", "p").agg(F.min(needed).alias("needed"))
-    ours, theirs = (known.select(F.col("h").alias(k), F.col("tokens").alias(t)) for k, t in (("h", "x"), ("p", "y")))
-    pairs = pairs.join(ours, "h").join(theirs, "p").where(F.size(F.array_intersect("x", "y")) >= F.col("needed"))
+    fits = _may_reach(F.col("n"), F.col("pn"), percent) & (F.least("m", "pm") >= needed)
+    theirs = known.select(F.col("g").alias("other"), "members", F.col("h").alias("p"), F.col("n").alias("pn"), F.col("m").alias("pm"), F.col("tokens").alias("y"))
+    all_of = opened.join(theirs.where(F.col("members") <= FEW_MEMBERS).drop("members"), "other").where(fits).select("h", "p", needed.alias("needed"), "y")
+    large = known.where(F.col("members") > FEW_MEMBERS).select(F.col("g").alias("other")).distinct()
+    others = postings.select(F.col("token").alias("t2"), F.col("h").alias("p"), F.col("n").alias("pn"), F.col("g").alias("pg"), F.col("m").alias("pm"), F.col("i").alias("j"))
+    asking = opened.join(large, "other").join(mine, (F.col("h") == F.col("h2")) & (F.col("i") <= F.col("m") - lowest))
+    pairs = asking.join(others, (F.col("token") == F.col("t2")) & (F.col("other") == F.col("pg")))
+    pairs = pairs.where(fits & (F.col("i") <= F.col("m") - needed) & (F.col("j") <= F.col("pm") - needed))
+    pairs = pairs.groupBy("h", "p").agg(F.min(needed).alias("needed")).join(theirs.select("p", "y"), "p").select("h", "p", "needed", "y")
+    # then by all their first shingles
+    pairs = all_of.unionByName(pairs).join(known.select("h", F.col("tokens").alias("x")), "h").where(F.size(F.array_intersect("x", "y")) >= F.col("needed"))
     return pairs.select(F.greatest("h", "p").alias("a"), F.least("h", "p").alias("b")).distinct()
 
 
