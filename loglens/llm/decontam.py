@@ -40,6 +40,8 @@ RADIUS = BLOCKS * (NEAR + 1) - 1
 # Shingles and index rows of items that are broadcast (some 30 bytes each); beyond that they are joined by shuffle.
 BROADCAST_ROWS = 1 << 20
 EDGES = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+# Masks of each block that flip up to NEAR of its bits.
+MASKS = [[sum(1 << i for i in flips) for near in range(NEAR + 1) for flips in combinations(range(b - a), near)] for a, b in zip(EDGES, EDGES[1:])]
 
 
 def bare_words(text: Column) -> Column:
@@ -78,6 +80,18 @@ def _blocks(fingerprint: str) -> list[str]:
     return [f"shiftrightunsigned({fingerprint}, {a}) & {(1 << (b - a)) - 1}L" for a, b in zip(EDGES, EDGES[1:])]
 
 
+def _listed(items: DataFrame) -> DataFrame:
+    """item, size, item_print, block and every value within NEAR bits of the block's own.
+
+    The masks are one constant: an expression for each of some 400 values makes a method that the JVM never compiles.
+    """
+    own = F.array(*(F.struct(F.lit(b).alias("block"), F.expr(block).alias("own")) for b, block in enumerate(_blocks("print"))))
+    masks = F.expr("array(" + ", ".join(f"array({', '.join(f'{m}L' for m in of)})" for of in MASKS) + ")")
+    blocks = items.select("item", "size", F.col("print").alias("item_print"), F.inline(own))
+    values = blocks.select("item", "size", "item_print", "block", "own", F.explode(masks[F.col("block")]).alias("mask"))
+    return values.select("item", "size", "item_print", "block", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+
+
 def _items(benchmark: DataFrame, item: str, text: str) -> DataFrame:
     rows = benchmark.select(F.col(item).alias("item"), bare_words(text_or_empty(text)).alias("words")).distinct().where(F.size("words") > 0)
     rows = rows.withColumn("n", F.size("words")).withColumn("size", F.least("n", F.lit(SIZE)))
@@ -113,15 +127,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
 
 def _verified(windows: DataFrame, items: DataFrame) -> DataFrame:
-    index = F.array(
-        *(
-            F.struct(F.lit(b).alias("block"), F.expr(f"({block}) ^ {sum(1 << i for i in flips)}L").alias("value"))
-            for b, block in enumerate(_blocks("print"))
-            for near in range(NEAR + 1)
-            for flips in combinations(range(EDGES[b + 1] - EDGES[b]), near)
-        )
-    )
-    listed = items.select(F.col("item"), F.col("size"), F.col("print").alias("item_print"), F.explode(index).alias("i")).select("item", "size", "item_print", "i.*")
+    listed = _listed(items)
     own = F.array(*(F.struct(F.lit(b).alias("block"), F.expr(block).alias("value")) for b, block in enumerate(_blocks("print"))))
     probes = windows.select("_k", "_h", "first", "n", "size", "print", F.explode(own).alias("o")).select("_k", "_h", "first", "n", "size", "print", "o.*")
     near = probes.join(_small(listed), ["block", "value", "size"]).withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))

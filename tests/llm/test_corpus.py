@@ -226,6 +226,30 @@ def test_decontam(spark, odd_docs, no_docs):
     assert decontam.clean(docs, benchmark.limit(0)).count() == docs.count()
 
 
+def test_decontam_lists_all_values_near_a_block(spark):
+    """Each item under every value within NEAR bits of each block, by code that the JVM compiles (methods of at most 8000 bytes)."""
+    prints = [0, -1, 0x0123456789ABCDEF, -(1 << 63), 5]
+    rows = [(i, 5, p) for i, p in enumerate(prints)] + [(None, 1, 5)]
+    items = spark.createDataFrame(rows, "item long, size int, print long").withColumn("counted", F.array(F.lit(1)))
+    want = Counter()
+    for item, size, p in rows:
+        for b, (low, high) in enumerate(zip(decontam.EDGES, decontam.EDGES[1:])):
+            own = ((p % (1 << 64)) >> low) % (1 << (high - low))
+            want.update((item, size, p, b, v) for v in range(1 << (high - low)) if (v ^ own).bit_count() <= decontam.NEAR)
+    listed = decontam._listed(items)
+    assert Counter(tuple(r) for r in listed.select("item", "size", "item_print", "block", "value").collect()) == want
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        docs = spark.createDataFrame([(1, "one two three four five six")], "doc_id long, text string")
+        found = decontam.find(docs, docs.withColumnRenamed("doc_id", "item_id"))
+        code = found._jdf.queryExecution().debug().codegenToSeq()
+        assert max(code.apply(i)._3().maxMethodCodeSize() for i in range(code.size())) <= 8000
+        assert found.count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_decontam_finds_passages_cut_at_either_end(spark):
     """All windows that reach the similarity are within the radius, as in the SQL form, which has no SimHash."""
     rng = random.Random(8)
