@@ -191,11 +191,12 @@ def _opened_pairs(classes: DataFrame, groups: DataFrame, percent: int) -> DataFr
     needed = F.least(_least_shared(F.col("n"), low, percent), _least_shared(F.col("n"), high, percent) - slack)
     # a class asks the larger group
     asks = (F.col("members") < F.col("size")) | ((F.col("members") == F.col("size")) & (F.col("g") < F.col("other")))
-    met = postings.join(matrix, "token").where(asks & (low <= high) & (F.least("m", "gm") >= needed) & (F.col("i") <= F.col("m") - needed))
-    met = met.groupBy("h", "n", "m", "other").agg(F.min(needed).alias("needed"))
+    met = postings.join(matrix, "token").where(asks & (low <= high) & (F.least(F.col("gm"), F.col("m") - F.col("i")) >= needed))
+    # met and opened are each read twice or more below; planned anew each time, their joins and broadcasts fill the driver
+    met = stored(met.groupBy("h", "n", "m", "other").agg(F.min(needed).alias("needed")), "met")
     mine = postings.select(F.col("h").alias("h2"), "i", "token")
     bound = _shared_with_groups(met, known, mine, postings.select(F.col("token").alias("t2"), F.col("g").alias("g2")).distinct())
-    opened = bound.where(F.col("shared") >= F.col("needed")).select("h", "n", "m", "other")
+    opened = stored(bound.where(F.col("shared") >= F.col("needed")).select("h", "n", "m", "other"), "opened")
     # the members that may qualify: all of a small group; of a larger one, those that share an early shingle
     needed = _least_shared(F.col("n"), F.col("pn"), percent)
     fits = _may_reach(F.col("n"), F.col("pn"), percent) & (F.least("m", "pm") >= needed)

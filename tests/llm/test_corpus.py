@@ -199,6 +199,21 @@ def test_full_filters_change_nothing(monkeypatch, mixed):
     assert Counter((r._row.doc_id, r.n_lines, r.n_dropped, r._kept or "") for r in got.collect()) == line_dedup(rows_of(mixed), 3)
 
 
+def test_opened_pairs_are_planned_in_parts(spark, mixed):
+    """What is read more than once is stored, so no plan of the matrix holds its joins again and again."""
+    rows = mixed.select(F.col("doc_id").alias("_k"), "text")
+    classes = jaccard.signatures(rows, 4, 85).where(F.col("_k").isNotNull() & (F.col("n") > 0)).dropDuplicates(["h"])
+    groups = spark.createDataFrame([], "h long, root long")
+    pairs = jaccard._opened_pairs(classes, groups, 85)
+    assert pairs._jdf.queryExecution().analyzed().toString().count("Join ") <= 8
+    sets = {r.h: {tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} for r in classes.join(rows, "_k").select("h", "text").collect() if (w := words((r.text or "").translate(LOW)))}
+    found = {frozenset((r.a, r.b)) for r in pairs.collect()}
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and 100 * len(x & y) >= 85 * len(x | y):
+                assert frozenset((a, b)) in found
+
+
 def test_decontam(spark, odd_docs, no_docs):
     rng = random.Random(6)
     vocabulary = [f"v{i}" for i in range(500)]
