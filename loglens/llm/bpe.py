@@ -33,6 +33,10 @@ from loglens.llm.common import map_arrow, slices, text_or_empty
 REMEMBERED_CHUNKS = 150_000
 # Bytes of text whose distinct words go into one trie.
 LEARN_BYTES = 8 << 20
+# Of these, chunks whose words and tokens are lists at a time; each costs about 1 kB, which a worker hardly ever gives back.
+LEARN_CHUNKS = 1 << 14
+# Pairs of tokens whose order is remembered (some 30 MB).
+REMEMBERED_PAIRS = 1 << 18
 WHITE_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
@@ -120,7 +124,7 @@ class Vocabulary:
                 until_x, x = of_x[0], of_x[2]
             else:
                 until_y, y = of_y[0], of_y[1]
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) >= REMEMBERED_PAIRS:
             self.pairs.clear()
         self.pairs[a, b] = fine
         return fine
@@ -213,6 +217,16 @@ class Encoder:
         self.used = np.zeros(len(keep), np.int64)
 
     def _learn(self, chunks: set[str]) -> None:
+        flats, sizes = [self.flat], [self.size]
+        ordered = sorted(chunks)  # neighbours share prefixes
+        for i in range(0, len(ordered), LEARN_CHUNKS):
+            flat, size = self._tokens(ordered[i : i + LEARN_CHUNKS])
+            flats.append(flat)
+            sizes.append(size)
+        self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
+
+    def _tokens(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number the chunks; their tokens one after another, and how many each has."""
         split, symbols = self.v.words.findall, self.v.symbols
         words = {c: [c] if c.isascii() and c.isalpha() else [symbols(w) for w in split(c)] for c in chunks}
         known = dict(self.trie.encode(list({w for ws in words.values() for w in ws})))
@@ -223,8 +237,7 @@ class Encoder:
             self.shown.append(" ".join([self.v.strings[t] for t in tokens]))
             flat += tokens
             size.append(len(tokens))
-        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
-        self.size = np.concatenate([self.size, np.array(size, np.int64)])
+        return np.array(flat, np.int32), np.array(size, np.int64)
 
     def learn(self, texts: pa.Array) -> None:
         """Encode the distinct chunks of the texts that aren't known yet."""
@@ -232,18 +245,17 @@ class Encoder:
             self._forget()
         new: set[str] = set()
         for text in texts:
-            new.update(self.v.chunks(text.as_py()))
-        self._learn(new.difference(self.number))
+            new.update(set(self.v.chunks(text.as_py())).difference(self.number))
+        self._learn(new)
         self.used = np.concatenate([self.used, np.zeros(len(self.size) - len(self.used), np.int64)])
 
     def texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Offsets by text, the ids of all texts one after another, decoded texts; learn() has had them."""
-        chunks = [self.v.chunks(t) for t in texts]
         number, shown = self.number.__getitem__, self.shown.__getitem__
         first = np.cumsum(self.size) - self.size
         offsets, ids, decoded, met = [0], [], [], [np.zeros(0, np.int64)]
-        for c in chunks:
-            at = list(map(number, c))
+        for text in texts:
+            at = list(map(number, self.v.chunks(text)))
             decoded.append(" ".join(map(shown, at)))
             at = np.array(at, np.int64)
             n = self.size[at]
@@ -265,7 +277,8 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
     """key, ids array<int>, decoded string for every row; vocabulary: path of a tokenizers file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary_of(vocabulary))
+        words = vocabulary_of(vocabulary)
+        encoder = Encoder(words)
         collects = gc.isenabled()
         gc.disable()  # the encoder's many small lists hold no cycles; walking through them takes a quarter of the time
         try:
@@ -276,6 +289,9 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
                     yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array(decoded, pa.string())], ["_k", "ids", "decoded"])
         finally:
+            # the worker stays for tasks of other stages; a few small objects among many would hold all their memory
+            words.pairs.clear()
+            pa.default_memory_pool().release_unused()
             if collects:
                 gc.enable()
 

@@ -48,6 +48,10 @@ MINIMA = 3
 PIVOTS = 16
 FREQUENT = 1 << 20
 FREQUENT_FROM = 8
+# Text whose shingles are worked out at a time; the arrays for it take some 50 times as much.
+SHINGLED_BYTES = 1 << 20
+# Shingles that a task counts at a time (48 MB).
+COUNTED = 6_000_000
 # Rows of 16 bytes that are broadcast (32 MB); beyond that they are joined by shuffle.
 TOLD = 1 << 21
 
@@ -56,26 +60,32 @@ def _ids(rows: DataFrame) -> str:
     return rows.schema["_k"].dataType.simpleString()
 
 
+def met_twice(held: list[np.ndarray]) -> pa.RecordBatch:
+    """token, n of the shingles that the arrays hold twice or more; empties the list, and holds one copy beside it at most."""
+    tokens = np.concatenate(held)
+    held.clear()
+    tokens.sort()
+    same = np.zeros(len(tokens) + 1, bool)  # as the one before
+    same[1:-1] = tokens[1:] == tokens[:-1]
+    first = np.flatnonzero(same[1:] & ~same[:-1])
+    last = np.flatnonzero(same[:-1] & ~same[1:])
+    return pa.RecordBatch.from_arrays([pa.array(tokens[first].view(np.int64)), pa.array(last - first + 1)], ["token", "n"])
+
+
 def frequent_shingles(rows: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Sorted shingles and their counts, as far as tasks have met them twice."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
-
-        def flush() -> pa.RecordBatch:
-            token, times = np.unique(np.concatenate(held), return_counts=True)
-            often = times > 1
-            return pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(times[often].astype(np.int64))], ["token", "n"])
-
-        for batch in slices(batches):
+        for batch in slices(batches, size=SHINGLED_BYTES):
             for s in shingle_sets(batch.column(1), size):
                 held.append(s)
                 n += len(s)
-            if n > 6_000_000:
-                yield flush()
-                held, n = [], 0
+            if n > COUNTED:
+                yield met_twice(held)
+                n = 0
         if held:
-            yield flush()
+            yield met_twice(held)
 
     counts = map_arrow(rows, count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
     found = counts.orderBy(F.desc("n"), "token").limit(FREQUENT).toPandas()
@@ -90,7 +100,7 @@ def signatures(rows: DataFrame, size: int, percent: int) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, times = shared.value
-        for batch in slices(batches):
+        for batch in slices(batches, size=SHINGLED_BYTES):
             sets = shingle_sets(batch.column(1), size)
             h = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets]
             minima, rare, common = [], [], []
@@ -244,7 +254,7 @@ def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, size: int, p
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct().join(classes.select("h", "_k"), "h")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=SHINGLED_BYTES):
             found = shingle_sets(batch.column(1), size)
             # repeated ids may bring another text
             right = [xxhash.xxh3_64_intdigest(s.tobytes()) for s in found]

@@ -199,6 +199,27 @@ def test_full_filters_change_nothing(monkeypatch, mixed):
     assert Counter((r._row.doc_id, r.n_lines, r.n_dropped, r._kept or "") for r in got.collect()) == line_dedup(rows_of(mixed), 3)
 
 
+def test_shingles_met_twice():
+    """As by np.unique, with one copy of the shingles instead of six."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for sizes in ([], [0], [1], [5, 0, 5], [400_000] * 3):
+        held = [rng.integers(0, 1 << 20, n, np.uint64) for n in sizes] + [np.array([1 << 63], np.uint64)]
+        token, times = np.unique(np.concatenate(held), return_counts=True)
+        size = sum(s.nbytes for s in held)
+        tracemalloc.start()
+        try:
+            got = jaccard.met_twice(held)
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert got.column(0).to_pylist() == token[times > 1].view(np.int64).tolist() and got.column(1).to_pylist() == times[times > 1].tolist()
+        assert not held and peak < 2.5 * size + 100_000
+
+
 def test_opened_pairs_are_planned_in_parts(spark, mixed):
     """What is read more than once is stored, so no plan of the matrix holds its joins again and again."""
     rows = mixed.select(F.col("doc_id").alias("_k"), "text")

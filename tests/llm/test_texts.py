@@ -134,6 +134,34 @@ def test_bpe_forgets_without_harm(monkeypatch):
         assert encoder.texts([text])[1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_bpe_learns_piece_by_piece():
+    """The lists of words and tokens of many new chunks are not there all at once."""
+    import tracemalloc
+
+    encoder, chunks = bpe.Encoder(bpe.Vocabulary(VOCABULARY)), {f"{i:06d}-x" for i in range(50_000)}
+    tracemalloc.start()
+    try:
+        encoder._learn(chunks)
+        held, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert peak - held < 7_000_000
+    assert sorted(encoder.number.values()) == list(range(len(encoder.shown))) and len(encoder.size) == len(encoder.shown)
+
+
+def test_bpe_leaves_no_pairs_to_the_next_task(spark):
+    import pyarrow as pa
+
+    rows = spark.createDataFrame([(i, f"word{i} unheard-of{i}") for i in range(200)], "doc_id int, text string")
+    assert bpe.encode(rows, VOCABULARY).count() == 200
+
+    def left(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(bpe.vocabulary_of(VOCABULARY).pairs)])], ["pairs"])
+
+    assert {r.pairs for r in spark.range(0, 80, 1, 8).mapInArrow(left, "pairs long").collect()} == {0}
+
+
 def test_licenses(spark, odd_docs, no_docs):
     mit = licenses.TEMPLATES["MIT"][0]
     apache = licenses.TEMPLATES["Apache-2.0"][1]
